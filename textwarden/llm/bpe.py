@@ -31,7 +31,9 @@ from textwarden.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces, and pre-tokens, that a Python worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+#: Bits that hold an id in the key of a pair, and a place in an entry of the heap.
+ID_BITS, PLACE_BITS = 32, 40
 ENCODED = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n", T.LongType())])
 
 
@@ -42,6 +44,9 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+BLANK_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
+
+
 def split_pieces(text: str) -> list[str]:
     """Cuts before each blank that a non-space character follows.
 
@@ -50,7 +55,7 @@ def split_pieces(text: str) -> list[str]:
     fall inside one.
     """
     parts = text.split(" ")
-    if all(p and not p[0].isspace() for p in parts[1:]):
+    if not BLANK_BEFORE_SPACE.search(text):
         return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
     out = [parts[0]]
     for p in parts[1:]:
@@ -64,7 +69,12 @@ def split_pieces(text: str) -> list[str]:
 class Encoder:
     """The vocabulary and merge ranks of one tokenizer file, and what was encoded so far."""
 
-    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+    #: The pre-token pattern with the letters and numbers below U+0180 spelt out, for texts that stay below.
+    LETTER, NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+    LATIN = re.compile(
+        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+"
+    )
+    ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -73,10 +83,12 @@ class Encoder:
         to_char = byte_alphabet()
         self.to_byte = {c: b for b, c in to_char.items()}
         self.first = [vocab[to_char[b]] for b in range(256)]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.ranks[vocab[a] << ID_BITS | vocab[b]] = rank
+            self.merged.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         size = max([*vocab.values(), *self.special.values()]) + 1
@@ -90,37 +102,50 @@ class Encoder:
         self._pretokenizer = None
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        sym: list[int] = [self.first[b] for b in word]
+        """The ids of one pre-token.
+
+        ``rank[i]`` is the rank of the pair that begins at symbol i, or -1.  A heap
+        entry holds a rank and the place where it stood; it is stale if the place
+        has another rank by now.
+        """
+        sym = [self.first[b] for b in word]
         n = len(sym)
-        if n < 2:
+        find = self.ranks.get
+        rank = [find(a << ID_BITS | b, -1) for a, b in zip(sym, sym[1:], strict=False)]
+        heap = [r << PLACE_BITS | i for i, r in enumerate(rank) if r >= 0]
+        if not heap:
             return sym
-        ranks = self.ranks
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            if found := ranks.get((sym[i], sym[i + 1])):
-                heap.append((found[0], i, sym[i], sym[i + 1], found[1]))
         heapq.heapify(heap)
+        rank.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pop, push, merged, mask = heapq.heappop, heapq.heappush, self.merged, (1 << PLACE_BITS) - 1
         while heap:
-            _, i, left, right, whole = heapq.heappop(heap)
+            entry = pop(heap)
+            i = entry & mask
+            r = entry >> PLACE_BITS
+            if rank[i] != r:
+                continue
             j = after[i]
-            if sym[i] != left or j >= n or sym[j] != right:
-                continue  # stale: one of the two has been merged since
-            sym[i], sym[j] = whole, -1
             k = after[i] = after[j]
+            whole = sym[i] = merged[r]
+            sym[j] = rank[j] = -1
             if k < n:
                 before[k] = i
-                if found := ranks.get((whole, sym[k])):
-                    heapq.heappush(heap, (found[0], i, whole, sym[k], found[1]))
+                r = rank[i] = find(whole << ID_BITS | sym[k], -1)
+                if r >= 0:
+                    push(heap, r << PLACE_BITS | i)
+            else:
+                rank[i] = -1
             h = before[i]
-            if h >= 0 and (found := ranks.get((sym[h], whole))):
-                heapq.heappush(heap, (found[0], h, sym[h], whole, found[1]))
+            if h >= 0:
+                r = rank[h] = find(sym[h] << ID_BITS | whole, -1)
+                if r >= 0:
+                    push(heap, r << PLACE_BITS | h)
         return [s for s in sym if s >= 0]
 
     def pretokens(self, piece: str) -> list[bytes]:
-        if piece.isascii() and not any("\x1c" <= c <= "\x1f" for c in piece):
-            return [w.encode() for w in self.ASCII.findall(piece)]
+        if (piece.isascii() or max(piece) < "\u0180") and not self.ODD_SPACE.search(piece):
+            return [w.encode() for w in self.LATIN.findall(piece)]
         if self._pretokenizer is None:
             from tokenizers.pre_tokenizers import ByteLevel
 
@@ -132,28 +157,26 @@ class Encoder:
         for word in self.pretokens(piece):
             ids = self.words.get(word)
             if ids is None:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                ids = self.words[word] = np.array(self.merge(word), "<u4").tobytes()
+                ids = np.array(self.merge(word), "<u4").tobytes()
+                if len(word) < 64:
+                    if len(self.words) >= REMEMBERED:
+                        self.words.clear()
+                    self.words[word] = ids
             out.append(ids)
         return b"".join(out)
 
     def plain(self, text: str) -> bytes:
         known, cut = self.pieces, split_pieces(text)
-        try:
-            return b"".join([known[p] for p in cut])
-        except KeyError:
-            pass
-        if len(known) >= REMEMBERED:
-            known.clear()
-        out = []
-        for p in cut:
-            ids = known.get(p)
-            if ids is None:
-                ids = self.piece(p)
-                if len(p) < 64:
-                    known[p] = ids
-            out.append(ids)
+        out = list(map(known.get, cut))
+        if None in out:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            for i, ids in enumerate(out):
+                if ids is None:
+                    p = cut[i]
+                    ids = out[i] = known.get(p) or self.piece(p)
+                    if len(p) < 64:
+                        known[p] = ids
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:

@@ -134,15 +134,15 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-@F.pandas_udf(SPANS)
-def pii_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: [{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in spans_of(t)])
-
-
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``pii``: array of (kind, start, end, score), ordered by start, then kind."""
-    return docs.withColumn("pii", pii_spans.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
+
+    @F.pandas_udf(SPANS)
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: [{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in spans_of(t)])
+
+    return docs.withColumn("pii", spans.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from textwarden.llm import bpe, decontaminate, near_dedup, pii
+from textwarden.llm import ann, bpe, decontaminate, near_dedup, pii, quality, rollups, token_files, toxicity, url_filter
 
 QUERIES = {
+    "op1_nearest": ann.op1_nearest,
     "op2_bpe_codec": bpe.op2_bpe_codec,
     "op3_pii": pii.op3_pii,
+    "op4_token_files": token_files.op4_token_files,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_quality": quality.op7_quality,
+    "op8_token_counts": rollups.op8_token_counts,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_url_filter": url_filter.op10_url_filter,
+}
+ORACLES = {
+    "op1_nearest": ann.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
 }
-ORACLES = {"op5_decontaminate": decontaminate.ORACLE}
