@@ -1 +1 @@
-"""TBD"""
+"""Operators: each takes DataFrames and gives a DataFrame."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from textwarden.plans import text_queries
+
+MODULES = (text_queries,)
+QUERIES = {name: q for m in MODULES for name, (q, _) in m.Q.items()}
+ORACLES = {name: sql for m in MODULES for name, (_, sql) in m.Q.items() if sql}
 FLAGSHIP = "h22_moderate_corpus"
