@@ -154,8 +154,8 @@ def context_flags(docs: DataFrame, negated: DataFrame, quoted: DataFrame, contex
 
 def recommended_action(modifiers: DataFrame, scores: DataFrame) -> DataFrame:
     """(doc_id, action): mean modifier first, else the largest score."""
-    m = modifiers.groupBy("doc_id").agg(F.avg("modifier").alias("m"))
-    s = scores.groupBy("doc_id").agg(F.max("score").alias("s"))
+    m = modifiers.groupBy("doc_id").agg(F.round(F.avg("modifier"), 9).alias("m"))
+    s = scores.groupBy("doc_id").agg(F.round(F.max("score"), 9).alias("s"))
     action = F.when(F.col("m") < 0.3, "allow").when(F.col("m") < 0.7, "review").when(F.col("s") > 0.8, "block").when(F.col("s") > 0.5, "review").otherwise("allow")
     return s.join(m, "doc_id", "left").select("doc_id", action.alias("action"))
 

@@ -137,7 +137,7 @@ def match_fuzzy(docs: DataFrame, lexicon: DataFrame, threshold: float = 0.8) ->
     # (jaccard + ratio) / 2 >= t needs a ratio of at least 2t - 1
     ratio = 2 * threshold - 1
     terms = lexicon.where("length(term) >= 3").select("term", "category", "severity", "weight", F.length("term").alias("m"))
-    lengths = F.explode(F.sequence(F.ceil(F.col("m") * ratio).cast("int"), F.floor(F.col("m") / ratio).cast("int")))
+    lengths = F.explode(F.sequence(F.ceil(F.col("m") * ratio - 1e-9).cast("int"), F.floor(F.col("m") / ratio + 1e-9).cast("int")))
     terms = terms.withColumn("len", lengths)
     unique = per_doc.select("word").distinct().withColumn("len", F.length("word"))
     both = unique.join(bounded(terms), "len").withColumn("a", letters("word")).withColumn("b", letters("term"))
@@ -198,7 +198,7 @@ def lpe_category_scores(matches: DataFrame) -> DataFrame:
 
 
 def rule_traces(matches: DataFrame) -> DataFrame:
-    line = F.concat(F.lit("Rule: "), "rule_source", F.lit(" -> Category: "), "category", F.lit(" -> Weight: "), F.format_number("confidence", "0.00"))
+    line = F.concat(F.lit("Rule: "), "rule_source", F.lit(" -> Category: "), "category", F.lit(" -> Weight: "), F.format_string("%.2f", "confidence"))
     return matches.select("doc_id", line.alias("trace")).groupBy("doc_id").agg(F.array_sort(F.collect_set("trace")).alias("traces"))
 
 
