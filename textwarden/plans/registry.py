@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textwarden.plans import decision_queries, match_queries, text_queries
+from textwarden.plans import decision_queries, match_queries, policy_queries, text_queries
 
-MODULES = (text_queries, match_queries, decision_queries)
+MODULES = (text_queries, match_queries, decision_queries, policy_queries)
 QUERIES = {name: q for m in MODULES for name, (q, _) in m.Q.items()}
 ORACLES = {name: sql for m in MODULES for name, (_, sql) in m.Q.items() if sql}
 FLAGSHIP = "h22_moderate_corpus"
