@@ -1 +1,133 @@
-"""TBD"""
+"""Streaming forms of the operators: Structured Streaming queries and their state."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from textwarden.operators import feedback, monitoring
+
+
+def read_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the Parquet files under a path, with the schema they have now.
+
+    The pattern lets the path be a single file too, which a file source takes only so.
+    """
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+
+
+def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Processes what is there and ends; the sink's rows, read back.  Exactly once by checkpoint and file sink."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def stream_moderate(stream: DataFrame, moderate, path: str):
+    """Each micro-batch goes through ``moderate`` and replaces its own folder, so replays change nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        moderate(batch).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+
+
+def stream_windows(stream: DataFrame, size: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
+    """Tumbling windows by tenant; rows later than the watermark are dropped."""
+    return (
+        stream.withWatermark("ts", watermark)
+        .groupBy("tenant", F.window("ts", size))
+        .agg(F.count("*").alias("total"), F.avg("confidence").alias("avg_confidence"), F.avg("processing_ms").alias("avg_processing"))
+        .select("tenant", F.col("window.start").alias("win"), "total", "avg_confidence", "avg_processing")
+    )
+
+
+def stream_correlate_feedback(given: DataFrame, decisions: DataFrame, within: str = "7 days") -> DataFrame:
+    """Feedback (request_id, fts) with decisions (request_id, dts) of the time before; unmatched rows when the watermark has passed."""
+    f = given.withWatermark("fts", "1 hour").alias("f")
+    d = decisions.withWatermark("dts", "1 hour").alias("d")
+    on = F.expr(f"f.request_id = d.request_id AND f.fts >= d.dts AND f.fts <= d.dts + INTERVAL {within}")
+    return f.join(d, on, "leftOuter").select("f.request_id", "f.fts", "d.decision", "d.dts")
+
+
+def stream_review_queue(decisions: DataFrame) -> DataFrame:
+    """Review items of a stream of measured decisions, one for each request."""
+    fresh = decisions.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["request_id"])
+    return feedback.review_priority(feedback.select_for_review(feedback.uncertainty_metrics(fresh)))
+
+
+def stream_audit(decisions: DataFrame, path: str):
+    """Audit rows to daily folders of JSON lines, exactly once."""
+    rows = decisions.withColumn("event_date", F.to_date("ts"))
+    return rows.writeStream.format("json").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").partitionBy("event_date").trigger(availableNow=True).start()
+
+
+def stream_rate_limit(stream: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
+    """(tenant, event_id, us, admitted): only admitted events count in the trailing seconds.
+
+    State of a tenant: the times of its admitted events in that span, at most ``limit``.
+    Events of one batch are taken in order of time; the span is kept in event time.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        out = []
+        for us, event in zip(rows["us"].tolist(), rows["event_id"].tolist(), strict=True):
+            kept = [t for t in kept if t > us - seconds * 1_000_000]
+            ok = len(kept) < limit
+            if ok:
+                kept.append(us)
+            out.append((key[0], event, us, ok))
+        state.update((kept,))
+        yield pd.DataFrame(out, columns=["tenant", "event_id", "us", "admitted"])
+
+    rows = stream.select("tenant", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return rows.groupBy("tenant").applyInPandasWithState(run, "tenant string, event_id long, us long, admitted boolean", "kept array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_drift(windows: DataFrame, n: int = 5, threshold: float = 0.05) -> DataFrame:
+    """(tenant, win_us, score): each tenant's first n closed windows are its baseline, later ones are scored once.
+
+    State: the count of windows and the sums of the baseline's values and squares.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        k, total, squares = state.get if state.exists else (0, 0.0, 0.0)
+        rows = pd.concat(list(batches)).sort_values("win_us")
+        out = []
+        for win, x in zip(rows["win_us"].tolist(), rows["avg_confidence"].tolist(), strict=True):
+            if k < n:
+                k, total, squares = k + 1, total + x, squares + x * x
+                continue
+            mean = total / n
+            score = abs(x - mean) / (max(squares / n - mean * mean, 0.0) ** 0.5 + 1e-8)
+            if score > threshold:
+                out.append((key[0], win, score))
+        state.update((k, total, squares))
+        yield pd.DataFrame(out, columns=["tenant", "win_us", "score"])
+
+    rows = windows.select("tenant", "avg_confidence", F.unix_micros(F.col("win").cast("timestamp")).alias("win_us"))
+    return rows.groupBy("tenant").applyInPandasWithState(run, "tenant string, win_us long, score double", "k int, total double, squares double", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_adaptive_weights(outcomes: DataFrame, n: int = 100) -> DataFrame:
+    """(component, seen, performance): mean outcome score of the last n of each component, emitted at every trigger."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, seen = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        rows = pd.concat(list(batches)).sort_values(["us", "outcome_id"])
+        scores = rows["confidence"].where(rows["correct"], 1 - rows["confidence"]).tolist()
+        last, seen = (last + scores)[-n:], seen + len(scores)
+        state.update((last, seen))
+        yield pd.DataFrame([(key[0], seen, sum(last) / len(last))], columns=["component", "seen", "performance"])
+
+    rows = outcomes.select("component", "outcome_id", "correct", "confidence", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return rows.groupBy("component").applyInPandasWithState(run, "component string, seen long, performance double", "last array<double>, seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+__all__ = [name for name in dir() if name.startswith(("stream_", "run_", "read_"))] + ["monitoring"]
