@@ -15,6 +15,8 @@ def sql_text(value: object) -> str:
         return "NULL"
     if isinstance(value, bool):
         return str(value).upper()
+    if isinstance(value, float):
+        return f"{value!r}::DOUBLE"
     if isinstance(value, str):
         return "'" + value.replace("'", "''") + "'"
     return repr(value)

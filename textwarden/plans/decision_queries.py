@@ -180,7 +180,7 @@ adapted = lambda s, d: decide.adapt_scores(combined(s, d), features(s, d))  # no
 Q["h5_adapt_scores"] = (lambda s, d: rounded(adapted(s, d), "score"), f"WITH {ADAPTED} SELECT doc_id, category, round(score, 6) AS score FROM adapted")
 Q["h6_adapt_thresholds"] = (
     lambda s, d: rounded(decide.adapt_thresholds(features(s, d)).select("doc_id", "block_at", "review_at"), "block_at", "review_at"),
-    f"WITH {FEATURES} SELECT doc_id, round(b, 6) AS block_at, round(r, 6) AS review_at FROM thr",
+    f"WITH {FEATURES} SELECT doc_id, round(b, 6)::DOUBLE AS block_at, round(r, 6)::DOUBLE AS review_at FROM thr",
 )
 
 

@@ -50,7 +50,7 @@ SELECT doc_id, category, count(*) AS n FROM (
 GROUP BY ALL""",
 )
 SQL_PATTERNS = " UNION ALL ".join(
-    f"SELECT doc_id, {sql_text(p)} AS pattern, {sql_text(c)} AS category, {sql_text(s)} AS severity, {w} AS weight, len(regexp_extract_all(text, {sql_text('(?i)' + p)})) AS n FROM documents"
+    f"SELECT doc_id, {sql_text(p)} AS pattern, {sql_text(c)} AS category, {sql_text(s)} AS severity, {w}::DOUBLE AS weight, len(regexp_extract_all(text, {sql_text('(?i)' + p)})) AS n FROM documents"
     for _, p, c, s, w in K.LEXICON_PATTERNS
 )
 Q["e2_match_patterns"] = (lambda spark, sf: matching.pattern_counts(docs(spark, sf)), f"SELECT * FROM ({SQL_PATTERNS}) WHERE n > 0")
@@ -149,7 +149,7 @@ Q["f2_negation_scopes"] = (
 )
 Q["f3_negated_spans"] = (
     lambda spark, sf: context.negated_spans(terms(spark, sf), scopes(spark, sf)),
-    f'WITH {SPANS}, {PARTS} SELECT DISTINCT s.doc_id, start, "end", 0.9 AS negation FROM spans s JOIN scope c ON s.doc_id = c.doc_id AND start <= scope_end AND "end" >= scope_start',
+    f'WITH {SPANS}, {PARTS} SELECT DISTINCT s.doc_id, start, "end", 0.9::DOUBLE AS negation FROM spans s JOIN scope c ON s.doc_id = c.doc_id AND start <= scope_end AND "end" >= scope_start',
 )
 QUOTES = ("\"[^\"]*\"", "'[^']*'", "«[^»]*»", "“[^”]*”")
 Q["f4_direct_quotes"] = (
@@ -189,7 +189,7 @@ SQL_SAFE = "safe AS (SELECT doc_id, t AS context_type, hits, least(0.9, 0.3 + 0.
 ) + ") WHERE hits > 0)"
 Q["f9_safe_contexts"] = (
     lambda spark, sf: context.safe_contexts(docs(spark, sf)).withColumn("confidence", F.round("confidence", 6)),
-    f"WITH {SAFE}, {SQL_SAFE} SELECT doc_id, context_type, hits, round(confidence, 6) AS confidence FROM safe",
+    f"WITH {SAFE}, {SQL_SAFE} SELECT doc_id, context_type, hits, round(confidence, 6)::DOUBLE AS confidence FROM safe",
 )
 W = "CASE context_type " + " ".join(f"WHEN '{t}' THEN {w}" for t, w in K.SAFE_WEIGHTS.items()) + " END"
 SQL_SAFE_DOC = f"safe_doc AS (SELECT doc_id, sum(confidence * {W}) / sum({W}) AS safe FROM safe GROUP BY doc_id)"

@@ -112,27 +112,32 @@ Q["k8_variance_drift"] = (
     lambda s, d: rounded(monitoring.variance_drift(old(s, d), new(s, d), "value").select("f"), "f"),
     f"WITH {SPLIT} SELECT round(greatest(v1, v2) / least(v1, v2), 6) AS f FROM two",
 )
-late = F.col("ts") >= F.lit("2024-01-24 00:00:00").cast("timestamp")
+
+
+def late():
+    return F.col("ts") >= F.lit("2024-01-24 00:00:00").cast("timestamp")
+
+
 BINS = f"{LOG}, bins AS (SELECT floor(confidence * 10) / 10 + 0.05 AS x, ts >= TIMESTAMP '2024-01-24' AS recent FROM lg)"
 Q["k9_confidence_drift"] = (
-    lambda s, d: rounded(monitoring.confidence_drift(log(s, d).select((F.floor(F.col("confidence") * 10) / 10 + 0.05).alias("x"), late.alias("recent"), F.lit(1).alias("n")), F.col("recent")), "statistic", "mean_shift"),
+    lambda s, d: rounded(monitoring.confidence_drift(log(s, d).select((F.floor(F.col("confidence") * 10) / 10 + 0.05).alias("x"), late().alias("recent"), F.lit(1).alias("n")), F.col("recent")), "statistic", "mean_shift"),
     f"""WITH {BINS}, v AS (SELECT x, count(*) FILTER (recent) AS a, count(*) AS b FROM bins GROUP BY x),
 g AS (SELECT x, a, b, abs(sum(a) OVER w / sum(a) OVER () - sum(b) OVER w / sum(b) OVER ()) AS gap FROM v WINDOW w AS (ORDER BY x))
 SELECT round(max(gap), 6) AS statistic, round(abs(sum(x * a) / sum(a) - sum(x * b) / sum(b)), 6) AS mean_shift FROM g""",
 )
 Q["k10_decision_drift"] = (
-    lambda s, d: rounded(monitoring.decision_drift(log(s, d), late, "event_type"), "distance"),
+    lambda s, d: rounded(monitoring.decision_drift(log(s, d), late(), "event_type"), "distance"),
     f"""WITH {LOG}, v AS (SELECT event_type, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') AS a, count(*) AS b FROM lg GROUP BY 1),
 t AS (SELECT sum(abs(a / ta - b / tb)) AS distance, max(ta) AS ta, max(tb) AS tb FROM (SELECT a, b, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM v))
 SELECT round(distance, 6) AS distance, round(distance, 9) > 0.15 AND ta >= 100 AND tb >= 100 AS drift FROM t""",
 )
 Q["k11_performance_drift"] = (
-    lambda s, d: rounded(monitoring.performance_drift(log(s, d).withColumn("f1", (F.col("event_type") == "view").cast("double")), late, threshold=0.001), "drop"),
+    lambda s, d: rounded(monitoring.performance_drift(log(s, d).withColumn("f1", (F.col("event_type") == "view").cast("double")), late(), threshold=0.001), "drop"),
     f"""WITH {LOG}, p AS (SELECT tenant, avg((event_type = 'view')::INT) FILTER (ts >= TIMESTAMP '2024-01-24') AS now, avg((event_type = 'view')::INT) AS usual FROM lg GROUP BY tenant)
 SELECT tenant, round(usual - now, 6) AS drop, CASE WHEN round(usual - now, 9) > 0.15 THEN 'critical' WHEN round(usual - now, 9) > 0.1 THEN 'high' WHEN round(usual - now, 9) > 0.075 THEN 'medium' ELSE 'low' END AS severity FROM p WHERE round(usual - now, 9) > 0.001""",
 )
 Q["k12_feedback_drift"] = (
-    lambda s, d: rounded(log(s, d).groupBy("tenant").agg((F.avg(F.when(late, (F.col("event_type") == "error").cast("double"))) - F.avg((F.col("event_type") == "error").cast("double"))).alias("rise")), "rise"),
+    lambda s, d: rounded(log(s, d).groupBy("tenant").agg((F.avg(F.when(late(), (F.col("event_type") == "error").cast("double"))) - F.avg((F.col("event_type") == "error").cast("double"))).alias("rise")), "rise"),
     f"WITH {LOG} SELECT tenant, round(avg((event_type = 'error')::INT) FILTER (ts >= TIMESTAMP '2024-01-24') - avg((event_type = 'error')::INT), 6) AS rise FROM lg GROUP BY tenant",
 )
 SEV = ", ".join(f"count(*) FILTER (severity = '{x}') AS {x}" for x in ("critical", "high", "medium", "low"))
