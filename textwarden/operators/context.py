@@ -192,3 +192,9 @@ def adjustment_summary(adjusted: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.sum(changed.cast("long")).alias("n_adjusted"), F.avg("factor").alias("mean_factor"),
         F.min("factor").alias("min_factor"), F.max("factor").alias("max_factor"),
     )
+
+
+def context_explanations(flags: DataFrame, actions: DataFrame) -> DataFrame:
+    """(doc_id, lines): fixed sentences for flags and for the action."""
+    said = [F.when(F.col(f), text) for f, text in K.CONTEXT_SENTENCES.items()] + [F.when(F.col("action") == a, text) for a, text in K.ACTION_SENTENCES.items()]
+    return flags.join(actions, "doc_id", "left").select("doc_id", F.array_compact(F.array(*said)).alias("lines"))

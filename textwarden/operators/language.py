@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
@@ -118,3 +119,109 @@ def tokens_by_script(tokens: DataFrame, by: list[str]) -> DataFrame:
     """(by, script, n, distinct_tokens)."""
     rows = tokens.withColumn("script", dominant_script(F.col("token")))
     return rows.groupBy(*by, "script").agg(F.count("*").alias("n"), F.count_distinct("token").alias("distinct_tokens"))
+
+
+def ngram_language_scores(df: DataFrame, col: str = "text", id_col: str = "doc_id", corrected: bool = False) -> DataFrame:
+    """(id, lang, score): softmax over the profiled languages of sums over character 2- to 5-grams.
+
+    Only n-grams of a profile are counted, each by the number of its occurrences, so
+    nothing is exploded by position; the number of all n-grams follows from the length.
+    The plain form adds share * ln(usual share); ``corrected`` adds share * usual share.
+    """
+    t = F.concat(F.lit("<"), F.lower(col), F.lit(">"))
+    n = F.length(t)
+    total = sum((F.greatest(n - k + 1, F.lit(0)) for k in (2, 3, 4, 5)), F.lit(0))
+    rows = df.where(F.length(F.trim(col)) >= 10).select(F.col(id_col).alias("id"), t.alias("t"), total.alias("total"))
+
+    def count(gram: str) -> Column:
+        return F.size(F.regexp_extract_all("t", F.lit(f"(?=(\\Q{gram}\\E))"), F.lit(1)))
+
+    def weight(share: float) -> float:
+        return share if corrected else math.log(share + 1e-10)
+
+    sums = {lang: sum((count(g) * weight(s) for g, s in grams.items()), F.lit(0.0)) / F.col("total") for lang, grams in K.NGRAMS.items()}
+    entries = F.array(*[F.struct(F.lit(lang).alias("lang"), s.alias("raw")) for lang, s in sums.items()])
+    out = rows.select("id", F.explode(entries).alias("e")).select(F.col("id").alias(id_col), "e.lang", "e.raw")
+    w = Window.partitionBy(id_col)
+    out = out.withColumn("x", F.exp(F.col("raw") - F.max("raw").over(w)))
+    return out.select(id_col, "lang", (F.col("x") / F.sum("x").over(w)).alias("score"))
+
+
+def detect_languages(df: DataFrame, col: str = "text", hints_col: str | None = None, threshold: float = 0.7, english: float = 0.5) -> DataFrame:
+    """Adds ``languages``: array of (code, confidence, percentage), surest first.
+
+    Shares of scripts give their languages; Latin text is Hinglish or English, the latter
+    with ``english`` as the n-gram evidence.  Hints raise what was found by a fifth.
+    """
+    rows = hinglish_score(script_shares(df, col), col)
+    share = lambda s: F.coalesce(F.col("scripts")[s], F.lit(0.0))
+    found = []
+    for script, languages in K.SCRIPT_LANGUAGES.items():
+        for code, weight in languages:
+            part = share(script) * weight
+            found.append(F.struct(F.lit(code).alias("code"), (part * 0.7).alias("c"), part.alias("p")))
+    latin = share("latin")
+    mixed = F.struct(F.lit("hi-Latn").alias("code"), F.when((latin > 0.05) & (F.col("hinglish") > 0.15), F.least(F.lit(0.9), 0.3 + F.col("hinglish")) * 0.8).otherwise(0.0).alias("c"), latin.alias("p"))
+    plain = F.struct(F.lit("en").alias("code"), F.when((latin > 0.05) & (F.col("hinglish") <= 0.15), F.lit(min(0.9, 0.5 + english) * 0.8)).otherwise(0.0).alias("c"), latin.alias("p"))
+    every = F.array(*found, mixed, plain)
+    if hints_col:
+        boost = lambda x: F.when(F.array_contains(F.coalesce(hints_col, F.array().cast("array<string>")), x["code"]), x["c"] * 1.2).otherwise(x["c"])
+        every = F.transform(every, lambda x: F.struct(x["code"].alias("code"), boost(x).alias("c"), x["p"].alias("p")))
+    kept = F.filter(every, lambda x: x["c"] > 0.1)
+    total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x["p"])
+    shaped = F.transform(kept, lambda x: F.struct((-F.least(F.lit(0.95), x["c"])).alias("k"), x["code"].alias("code"), (x["p"] / total * 100).alias("percentage")))
+    ordered = F.transform(F.array_sort(shaped), lambda x: F.struct(x["code"].alias("code"), (-x["k"]).alias("confidence"), x["percentage"].alias("percentage")))
+    sure = F.filter(ordered, lambda x: x["confidence"] >= threshold)
+    default = F.array(F.struct(F.lit("en").alias("code"), F.lit(0.5).alias("confidence"), F.lit(100.0).alias("percentage")))
+    final = F.when(F.size(ordered) == 0, default).when(F.size(sure) == 0, F.slice(ordered, 1, 1)).otherwise(sure)
+    return rows.withColumn("languages", final).drop("scripts", "hinglish")
+
+
+def detect_per_segment(df: DataFrame, col: str = "text", id_col: str = "doc_id", segment_length: int = 50) -> DataFrame:
+    """(id, seg, text, languages) of windows of words that overlap by half; short ends are skipped."""
+    words = F.filter(F.split(col, r"(?U)\s+"), lambda w: w != "")
+    step = max(1, segment_length // 2)
+    rows = df.select(F.col(id_col).alias("id"), F.col(col).alias("whole"), words.alias("w"))
+    begins = F.when(F.size("w") <= segment_length, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step)))
+    rows = rows.select("id", "whole", "w", F.posexplode(begins).alias("seg", "at"))
+    part = F.slice("w", F.col("at") + 1, segment_length)
+    rows = rows.where((F.size("w") <= segment_length) | (F.size(part) >= 3))
+    text = F.when(F.size("w") <= segment_length, F.col("whole")).otherwise(F.array_join(part, " "))
+    out = detect_languages(rows.select("id", "seg", text.alias("text")))
+    return out.where((F.col("seg") == 0) | (F.element_at("languages", 1)["confidence"] > 0.3)).withColumnRenamed("id", id_col)
+
+
+def token_offsets(df: DataFrame, tokens_col: str, col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, pos, start, end): each token sought from where the one before ended; start -1 if it isn't there."""
+    step = lambda acc, t: F.struct(
+        F.when(at(acc, t) > 0, at(acc, t) - 1 + F.length(t)).otherwise(acc["from_"]).alias("from_"),
+        F.concat(acc["out"], F.array(F.struct((at(acc, t) - 1).alias("start"), F.when(at(acc, t) > 0, at(acc, t) - 1 + F.length(t)).otherwise(-1).alias("end")))).alias("out"),
+    )
+    at = lambda acc, t: F.call_function("locate", t, F.col(col), acc["from_"] + 1)
+    empty = F.struct(F.lit(0).alias("from_"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    folded = F.aggregate(tokens_col, empty, step, lambda acc: acc["out"])
+    return df.select(id_col, F.posexplode(folded).alias("pos", "s")).select(id_col, "pos", "s.start", "s.end")
+
+
+def dictionary(df: DataFrame, lang: str) -> DataFrame:
+    rows = [(k, r, n) for k, (r, n) in enumerate(K.TRANSLITERATION[lang].items())]
+    return df.sparkSession.createDataFrame(rows, "ord int, roman string, native string")
+
+
+def transliterate_to_native(df: DataFrame, col: str = "text", lang: str = "hi", id_col: str = "doc_id") -> DataFrame:
+    """(id, roman, native, n) of the words that the dictionary has."""
+    words = df.select(id_col, F.explode(F.split(F.lower(col), r"\s+")).alias("roman"))
+    return words.join(F.broadcast(dictionary(df, lang)), "roman").groupBy(id_col, "roman", "native").agg(F.count("*").alias("n"))
+
+
+def transliterate_to_roman(df: DataFrame, col: str = "text", lang: str = "hi", id_col: str = "doc_id") -> DataFrame:
+    """(id, native, roman, n): runs of Devanagari whose first dictionary spelling is known."""
+    first = dictionary(df, lang).groupBy("native").agg(F.min_by("roman", "ord").alias("roman"))
+    runs = df.select(id_col, F.explode(F.regexp_extract_all(col, F.lit("[\\x{900}-\\x{97F}]+"), F.lit(0))).alias("native"))
+    return runs.join(F.broadcast(first), "native").groupBy(id_col, "native", "roman").agg(F.count("*").alias("n"))
+
+
+def transliteration_variants(lexicon: DataFrame, term: str = "term") -> DataFrame:
+    """(term, variant): the term and each spelling that one substitution makes."""
+    made = F.array(F.col(term), *[F.replace(F.col(term), F.lit(a), F.lit(b)) for a, b in K.SPELLING_VARIANTS.items()])
+    return lexicon.select(F.col(term).alias("term")).distinct().select("term", F.explode(F.array_distinct(made.alias("x"))).alias("variant")) if term == "term" else transliteration_variants(lexicon.withColumnRenamed(term, "term"))

@@ -229,3 +229,21 @@ def overlay_lexicon(lexicon: DataFrame, tenant_terms: DataFrame) -> DataFrame:
 def emoji_statistics(matches: DataFrame, by: list[str]) -> DataFrame:
     n = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)).alias
     return matches.groupBy(*by).agg(F.sum("n").alias("total"), n(F.col("kind") == "offensive")("offensive"), n(F.col("kind") == "anger")("anger"), n(F.col("severity") == "high")("high"))
+
+
+def emoji_context(matches: DataFrame, docs: DataFrame, window: int = 10) -> DataFrame:
+    """Adds to (doc_id, start, end) the kinds of words within ``window`` characters, and their share as ``risk_score``."""
+    rows = matches.join(docs.select("doc_id", F.lower("text").alias("low")), "doc_id")
+    near = F.expr(f"substring(low, greatest(start - {window}, 0) + 1, end + {window} - greatest(start - {window}, 0))")
+    rows = rows.withColumn("near", near)
+    kinds = {k: F.col("near").rlike("|".join(words)) for k, words in K.EMOJI_CONTEXT.items()}
+    risk = sum((c.cast("double") for c in kinds.values()), F.lit(0.0)) / len(kinds)
+    return rows.select(*matches.columns, *[c.alias(k) for k, c in kinds.items()], risk.alias("risk_score"))
+
+
+def match_transliterated(native: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, roman, term, category, severity, confidence, rule_source): lexicon terms in transliterated words (doc_id, roman, native)."""
+    terms = lexicon.select(F.col("lang").alias("term_lang"), "term", "category", "severity", F.col("weight").alias("confidence"))
+    hits = native.join(bounded(terms), F.contains(F.col("native"), F.col("term")))
+    source = F.concat(F.lit("lexicon:"), "term_lang", F.lit(":"), "term", F.lit(":transliterated:"), "roman")
+    return hits.select("doc_id", "roman", "term", "category", "severity", "confidence", source.alias("rule_source"))

@@ -184,3 +184,15 @@ def compliance_report(audit: DataFrame, tenant: str | None = None, start: str |
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     flag = lambda f: n(F.array_contains("compliance_flags", f)).alias(f)
     return rows.rollup("tenant_id", "event_date").agg(F.count("*").alias("n"), *[flag(f) for f in ("content_blocked", "policy_override", "hard_rule_triggered", "high_confidence_override")])
+
+
+def policy_trace_text(applied: DataFrame) -> DataFrame:
+    """(doc_id, lines): the policy applied, a hard rule, and the signed shift."""
+    shift = F.when(F.col("adjustment") > 0, "increased").otherwise("decreased")
+    lines = F.array_compact(
+        F.array(
+            F.lit("Applied Policies:"), F.concat(F.lit("- "), "tenant"), F.when(F.col("hard_rule").isNotNull(), F.concat(F.lit("- hard rule "), "hard_rule")),
+            F.when(F.col("adjustment") != 0, F.lit("Threshold Adjustments:")), F.when(F.col("adjustment") != 0, F.format_string("- %s by %.2f", shift, F.abs("adjustment"))),
+        )
+    )
+    return applied.select("doc_id", lines.alias("lines"))
