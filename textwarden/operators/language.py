@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
+from textwarden.operators.normalize import let
 
 LETTERS_AND_DIGITS = r"[^\p{L}\p{N}]"
 
@@ -167,13 +168,20 @@ def detect_languages(df: DataFrame, col: str = "text", hints_col: str | None = N
     if hints_col:
         boost = lambda x: F.when(F.array_contains(F.coalesce(hints_col, F.array().cast("array<string>")), x["code"]), x["c"] * 1.2).otherwise(x["c"])
         every = F.transform(every, lambda x: F.struct(x["code"].alias("code"), boost(x).alias("c"), x["p"].alias("p")))
-    kept = F.filter(every, lambda x: x["c"] > 0.1)
-    total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x["p"])
-    shaped = F.transform(kept, lambda x: F.struct((-F.least(F.lit(0.95), x["c"])).alias("k"), x["code"].alias("code"), (x["p"] / total * 100).alias("percentage")))
-    ordered = F.transform(F.array_sort(shaped), lambda x: F.struct(x["code"].alias("code"), (-x["k"]).alias("confidence"), x["percentage"].alias("percentage")))
-    sure = F.filter(ordered, lambda x: x["confidence"] >= threshold)
     default = F.array(F.struct(F.lit("en").alias("code"), F.lit(0.5).alias("confidence"), F.lit(100.0).alias("percentage")))
-    final = F.when(F.size(ordered) == 0, default).when(F.size(sure) == 0, F.slice(ordered, 1, 1)).otherwise(sure)
+
+    def shaped(kept: Column, total: Column) -> Column:
+        row = lambda x: F.struct((-F.least(F.lit(0.95), x["c"])).alias("k"), x["code"].alias("code"), (x["p"] / total * 100).alias("percentage"))
+        back = lambda x: F.struct(x["code"].alias("code"), (-x["k"]).alias("confidence"), x["percentage"].alias("percentage"))
+        return F.transform(F.array_sort(F.transform(kept, row)), back)
+
+    def chosen(ordered: Column) -> Column:
+        sure = F.filter(ordered, lambda x: x["confidence"] >= threshold)
+        return F.when(F.size(ordered) == 0, default).otherwise(let(sure, lambda x: F.when(F.size(x) == 0, F.slice(ordered, 1, 1)).otherwise(x)))
+
+    total = lambda kept: F.aggregate(kept, F.lit(0.0), lambda a, x: a + x["p"])
+    of_kept = lambda kept: let(total(kept), lambda t: let(shaped(kept, t), chosen))
+    final = let(F.filter(every, lambda x: x["c"] > 0.1), of_kept)
     return rows.withColumn("languages", final).drop("scripts", "hinglish")
 
 
@@ -188,7 +196,10 @@ def detect_per_segment(df: DataFrame, col: str = "text", id_col: str = "doc_id",
     rows = rows.where((F.size("w") <= segment_length) | (F.size(part) >= 3))
     text = F.when(F.size("w") <= segment_length, F.col("whole")).otherwise(F.array_join(part, " "))
     out = detect_languages(rows.select("id", "seg", text.alias("text")))
-    return out.where((F.col("seg") == 0) | (F.element_at("languages", 1)["confidence"] > 0.3)).withColumnRenamed("id", id_col)
+    # a filter on the detected languages would be pushed below and compute them anew for each use
+    sure = F.filter(F.array("languages"), lambda x: (F.col("seg") == 0) | (F.element_at(x, 1)["confidence"] > 0.3))
+    out = out.select(F.col("id").alias(id_col), "seg", "text", F.explode_outer(sure).alias("languages"))
+    return out.where("languages is not null")
 
 
 def token_offsets(df: DataFrame, tokens_col: str, col: str = "text", id_col: str = "doc_id") -> DataFrame:
