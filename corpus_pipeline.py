@@ -49,14 +49,14 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes every text and decodes it again: ids, their digest, and whether the text came back."""
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    both = bpe.codec(docs.select("doc_id", "lang", "source", "text"), keep=("doc_id", "lang", "source", "text"))
     return both.select(
         "doc_id",
         "lang",
         "source",
-        F.col("bpe.n").alias("n_tokens"),
-        F.col("bpe.ids").alias("ids"),
-        F.sha2(F.col("bpe.ids"), 256).alias("ids_sha256"),
+        "n_tokens",
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
     )
 

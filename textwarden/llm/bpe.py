@@ -1,6 +1,6 @@
 """Byte-level BPE: encoding by a priority queue of merges, decoding by vocabulary.
 
-``encode`` and ``decode`` work on a DataFrame column.  A text is cut at blanks that
+``codec`` encodes a text column and decodes the ids again, ``decode`` takes ids alone.  A text is cut at blanks that
 stand before a non-blank character; such a place always ends a pre-token, so a piece
 between two of them has the same ids in every text, and pieces are remembered in a
 table of bounded size.  A piece seen for the first time is split into pre-tokens and
@@ -25,16 +25,17 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textwarden.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces, and pre-tokens, that a Python worker remembers at most.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Bits that hold an id in the key of a pair, and a place in an entry of the heap.
 ID_BITS, PLACE_BITS = 32, 40
-ENCODED = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n", T.LongType())])
+#: Rows that leave a Python worker at once; ids and texts of more needn't be held together.
+ROWS = 256
+CODED = "ids binary, n_tokens long, decoded string"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -200,21 +201,32 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Adds ``bpe`` = struct(ids binary of little-endian unsigned 32-bit integers, n long)."""
+def codec(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", path: str | None = None, decoded: bool = True) -> DataFrame:
+    """Columns ``keep`` and (ids binary, n_tokens long, decoded string) of every row.
+
+    ids are little-endian unsigned 32-bit integers; ``decoded`` is put together from
+    the ids' vocabulary strings alone, or null if not asked for.
+    """
     where = path or public_tokenizers.path(VOCABULARY)
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kept = [f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
 
-    @F.pandas_udf(ENCODED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = encoder(where)
-        for texts in batches:
-            ids = [one.encode(t or "") for t in texts]
-            yield pd.DataFrame({"ids": ids, "n": [len(i) // 4 for i in ids]})
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                some = batch.iloc[at : at + ROWS]
+                ids = [one.encode(t) for t in some["text"]]
+                out = some.drop(columns="text")
+                out["ids"], out["n_tokens"] = ids, [len(i) // 4 for i in ids]
+                out["decoded"] = [one.decode(i) for i in ids] if decoded else None
+                yield out
 
-    return docs.withColumn("bpe", run.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
+    out = rows.mapInPandas(run, ", ".join([*kept, CODED]))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", "n_tokens", "decoded")
 
 
-def decode(encoded: DataFrame, ids_col: str = "bpe.ids", path: str | None = None) -> DataFrame:
+def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """Adds ``decoded``: the vocabulary strings of the ids, put together, as text."""
     where = path or public_tokenizers.path(VOCABULARY)
 
@@ -228,11 +240,10 @@ def decode(encoded: DataFrame, ids_col: str = "bpe.ids", path: str | None = None
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    both = decode(encode(docs.select("doc_id", "text")))
-    return both.select(
+    return codec(docs).select(
         "doc_id",
-        F.col("bpe.n").alias("n_tokens"),
-        F.sha2(F.col("bpe.ids"), 256).alias("ids_sha256"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
     )
 
