@@ -12,14 +12,22 @@ The steps, each a Spark job whose work follows the input:
    sets; the least doc_id stands for all of them from here on.
 2. In each bucket every document is paired with the least one.  Such a star has as
    many pairs as documents, however large the group.  Pairs are confirmed on full
-   sets, and connected components are taken of the confirmed links.
-3. Where a bucket still holds several components apart from its least member, the
-   remaining pairs between them are tested in blocks: members are dealt to pairs of
-   blocks of at most ``BLOCK`` documents and each task emits at most one confirmed
-   link for each two components.  So no link is lost, and no task or row count grows
-   with the square of a group.
+   sets, and connected components are taken of the confirmed links.  In buckets that
+   stay apart, the documents outside the largest component are paired with ``HUBS``
+   further members, again a bounded number for each.
+3. What is still apart is compared in full, in blocks: the documents outside a bucket's
+   largest component (strays) meet all its members in groups of at most 2 * ``BLOCK``
+   rows.  A first round compares sketches only and says which documents have any
+   partner left at all; a second confirms links between those on full sets and emits
+   at most one link for each two components.  So no link is lost, and neither tasks
+   nor row counts grow with the square of a group.
 4. Components again, over all links.
 
+A sketch holds one byte of each coordinate.  Pairs whose sketches agree in fewer than
+``LEAST_SHARE`` of the bytes, five and a half standard deviations below what the
+threshold makes likely, aren't fetched for the exact test (chance of losing a link at
+the threshold: 2e-8).
+
 Chance of missing a pair of similarity s: (1 - s^ROWS)^BANDS, under 1e-6 at 0.85.
 
 Defined results: rows with a null or blank text have an empty set (n_shingles 0),
@@ -41,11 +49,14 @@ from pyspark.sql import functions as F
 from textwarden.llm.common import table, written
 
 BANDS, ROWS = 24, 5
-BLOCK = 128
+BLOCK, HUBS = 512, 6
+COORDINATES = BANDS * ROWS
+#: Ids that are broadcast at most to pick texts.
+MOST_BROADCAST = 1_000_000
 #: Odd multiplier of the polynomial hash over a shingle's bytes, and its inverse mod 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
-SIGNED = "doc_id long, n_shingles long, set_key binary, buckets array<long>"
+SIGNED = "doc_id long, n_shingles long, set_key binary, sketch binary, buckets array<long>"
 
 
 class Powers:
@@ -95,7 +106,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(mixed((upto[b] - upto[a]) * down[a]))
 
 
-def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+def signature(shingles: np.ndarray, size: int = COORDINATES) -> np.ndarray:
     """Coordinates of the circulant MinHash of a non-empty set."""
     scattered = (shingles >> np.uint64(32)).astype("u4")  # sigma: the hash, seen mod 2^32
     shifts = np.arange(size, dtype="u4")[:, None]
@@ -121,19 +132,25 @@ def bands(sig: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, keys, buckets = [], [], []
-            for text in batch["text"]:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingle_set(text, width)
-                sizes.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                buckets.append(bands(signature(s)) if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "set_key": keys, "buckets": buckets})
+                if len(s):
+                    sig = signature(s)
+                    rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.astype("u1").tobytes(), bands(sig)))
+                else:
+                    rows.append((doc, 0, None, None, None))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "sketch", "buckets"])
+            yield out.astype({"doc_id": batch["doc_id"].dtype})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SIGNED)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles array<long>) of the documents whose ids are in ``wanted``."""
+    """(doc_id, shingles array<long>) of the documents whose ids are in ``wanted``.
+
+    The ids are broadcast up to ``MOST_BROADCAST``; beyond it Spark shuffles the texts.
+    """
 
     @F.pandas_udf("array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -141,9 +158,28 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield texts.map(lambda t: shingle_set(t, width).view("i8"))
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    kept = rows.join(wanted, "doc_id", "left_semi")
-    # a doc_id that came in with several texts stands for the largest of them
-    return kept.groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", run("text").alias("shingles"))
+    small = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    kept = rows.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
+    return kept.select("doc_id", run("text").alias("shingles"))
+
+
+def least_share(percent: int) -> float:
+    p = percent / 100
+    return p - 5.5 * (p * (1 - p) / COORDINATES) ** 0.5
+
+
+def alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave possible."""
+    side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias("n" + c), F.col("sketch").alias("s" + c))
+
+    @F.pandas_udf("double")
+    def share(x: pd.Series, y: pd.Series) -> pd.Series:
+        one, two = (np.frombuffer(b"".join(v), "u1").reshape(-1, COORDINATES) for v in (x, y))
+        return pd.Series((one == two).mean(axis=1))
+
+    both = pairs.join(side("b"), "b").where("a <> b").join(side("a"), "a")
+    both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return both.where(share("sa", "sb") >= least_share(percent)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -188,25 +224,58 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").where(100 * common >= percent * (both - common)).select("a", "b")
 
 
-def between_components(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between documents of different components in one bucket.
+def dealt(open_members: DataFrame) -> DataFrame:
+    """Rows (bucket, i, j, stray, doc_id, component): strays of block i meet members of block j.
 
-    ``open_members``: (bucket, doc_id, component, size).  Each pair of blocks of a
-    bucket is one group of at most 2 * BLOCK documents.
+    ``open_members``: (bucket, doc_id, component).  Strays are outside the bucket's
+    largest component.
     """
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = (
-        open_members.withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .withColumn("other", other)
-        .select("bucket", "doc_id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .join(sets, "doc_id")
+    parts = open_members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"))
+    sizes = sizes.where("all > top.n").select(
+        "bucket",
+        F.col("top.component").alias("main"),
+        F.ceil(F.col("all") / BLOCK).cast("int").alias("mb"),
+        F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("sb"),
     )
+    rows = open_members.join(sizes, "bucket")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = rows.where("component <> main").select("*", block("sb").alias("i"), every("mb").alias("j"), F.lit(True).alias("stray"))
+    members = rows.select("*", every("sb").alias("i"), block("mb").alias("j"), F.lit(False).alias("stray"))
+    out = strays.unionByName(members)
+    return out.select("bucket", "i", "j", "stray", "doc_id", "component", (F.col("component") == F.col("main")).alias("in_main"))
+
+
+def with_partners(open_members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The members that have, by sketch and size, any possible partner outside their component."""
+    least = least_share(percent) * COORDINATES
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        stray = group["stray"].to_numpy(bool)
+        ids, comp, size = (group[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
+        sketch = np.frombuffer(b"".join(group["sketch"]), "u1").reshape(-1, COORDINATES)
+        x, y = np.flatnonzero(stray), np.flatnonzero(~stray)
+        hit = np.zeros(len(ids), bool)
+        for at in range(0, len(x), 64):
+            some = x[at : at + 64]
+            same = (sketch[some][:, None, :] == sketch[y][None, :, :]).sum(axis=2)
+            low, high = np.minimum.outer(size[some], size[y]), np.maximum.outer(size[some], size[y])
+            ok = (same >= least) & (comp[some][:, None] != comp[y]) & (100 * low >= percent * high)
+            hit[some] |= ok.any(axis=1)
+            hit[y] |= ok.any(axis=0)
+        return group.loc[hit, ["bucket", "doc_id", "component"]]
+
+    rows = dealt(open_members).join(sketches, "doc_id")
+    return rows.groupBy("bucket", "i", "j").applyInPandas(run, "bucket long, doc_id long, component long").distinct()
+
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        own, comp, ids = group["own"].tolist(), group["component"].tolist(), group["doc_id"].tolist()
+def between_components(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between documents of different components in one bucket."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        stray, main = group["stray"].tolist(), group["in_main"].tolist()
+        comp, ids = group["component"].tolist(), group["doc_id"].tolist()
         sets_ = [np.asarray(s, "i8") for s in group["shingles"]]
         top = {c: c for c in comp}
 
@@ -215,10 +284,13 @@ def between_components(open_members: DataFrame, sets: DataFrame, percent: int) -
                 c = top[c]
             return c
 
-        out, across = [], key[1] != key[2]
-        for x in range(len(ids)):
-            for y in range(x):
-                if across and own[x] == own[y] or (p := find(comp[x])) == (q := find(comp[y])):
+        out = []
+        members = [y for y in range(len(ids)) if not stray[y]]
+        for x in (x for x in range(len(ids)) if stray[x]):
+            for y in members:
+                if not main[y] and ids[x] >= ids[y]:
+                    continue  # two strays meet once
+                if (p := find(comp[x])) == (q := find(comp[y])):
                     continue
                 n, m = len(sets_[x]), len(sets_[y])
                 if 100 * min(n, m) < percent * max(n, m):
@@ -229,7 +301,36 @@ def between_components(open_members: DataFrame, sets: DataFrame, percent: int) -
                     out.append((ids[x], ids[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long")
+    rows = dealt(open_members).join(sets, "doc_id")
+    return rows.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, doc_id, component) of the buckets that hold pairs in different components not yet tested.
+
+    Pairs with the least member were; so a bucket counts if its other members differ.
+    """
+    placed = members.where("doc_id <> first").join(found, "doc_id", "left")
+    placed = placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return placed.join(apart.select("bucket"), "bucket", "left_semi")
+
+
+def hub_pairs(open_members: DataFrame) -> DataFrame:
+    """Pairs of members outside a bucket's largest component with HUBS members of other components."""
+    draw = [F.min(F.struct(F.xxhash64(F.lit(r), "doc_id").alias("h"), "doc_id", "component")) for r in range(HUBS)]
+    hubs = open_members.groupBy("bucket").agg(F.array_distinct(F.array(*draw)).alias("hubs"))
+    parts = open_members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"))
+    rows = open_members.join(main, "bucket").where("component <> top.component").join(hubs, "bucket")
+    pairs = rows.select("doc_id", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
+    return pairs.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
+
+
+def confirmed_of(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    likely = written(alike(pairs, sketches, percent), name + "_likely")
+    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return written(confirmed(likely, sets_of(docs, ids, width), percent), name + "_links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -237,35 +338,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = written(signatures(docs, width), "signatures")
     full = signed.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     # equal sets have equal buckets, so the least row of a key brings its buckets along
-    copies = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "buckets")).alias("least"))
-    copies = copies.select("set_key", F.col("least.doc_id").alias("rep"), F.col("least.buckets").alias("buckets"))
-    buckets = copies.select(F.col("rep").alias("doc_id"), F.explode("buckets").alias("bucket"))
+    copies = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "buckets")).alias("r"))
+    reps = copies.select("set_key", "r.*")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    if not full.groupBy("doc_id").count().where("count > 1").isEmpty():
+        texts = texts.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+        reps = reps.dropDuplicates(["doc_id"])
+    sketches = reps.select("doc_id", "n_shingles", "sketch")
+    buckets = reps.select("doc_id", F.explode("buckets").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(
         F.min("doc_id").alias("first"), F.count("*").alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")
     )
     # buckets of equal members need but one test
     distinct = shared.where("size > 1").groupBy("first", "size", "who").agg(F.min("bucket").alias("bucket"))
-    members = written(buckets.join(distinct, "bucket").select("bucket", "doc_id", "first", "size"), "members")
+    members = written(buckets.join(distinct, "bucket").select("bucket", "doc_id", "first"), "members")
+    sketches = written(sketches.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "sketches")
 
     stars = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    sets = written(sets_of(docs, members.select("doc_id").distinct(), width), "sets")
-    links = written(confirmed(stars, sets, percent), "links")
+    links = confirmed_of(texts, stars, sketches, width, percent, "star")
     found = components(links)
-
-    labelled = members.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    apart = (
-        labelled.where("doc_id <> first")
-        .groupBy("bucket")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo <> hi")
-        .select("bucket")
-    )
-    still = labelled.join(apart, "bucket", "left_semi").where("doc_id <> first").select("bucket", "doc_id", "component", "size")
-    more = written(between_components(still, sets, percent), "more_links")
-    copied = full.join(copies, "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    final = components(
-        found.select(F.col("component").alias("a"), F.col("doc_id").alias("b")).unionByName(more).unionByName(copied)
-    )
+    still = written(unsettled(members, found), "unsettled")
+    if not still.isEmpty():
+        more = confirmed_of(texts, hub_pairs(still), sketches, width, percent, "hub")
+        links = links.unionByName(more)
+        found = components(links)
+        again = written(unsettled(members, found), "unsettled")
+        left = written(with_partners(again, sketches, percent), "partners")
+        sets = sets_of(texts, left.select("doc_id").distinct(), width)
+        links = links.unionByName(written(between_components(left, sets, percent), "last_links"))
+    copied = full.select("set_key", "doc_id").join(copies.select("set_key", F.col("r.doc_id").alias("rep")), "set_key")
+    copied = copied.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    final = components(links.unionByName(copied))
     return (
         signed.select("doc_id", "n_shingles")
         .join(final, "doc_id", "left")
@@ -277,3 +380,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicates among all ``documents``."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 2], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b
+  WHERE 100 * c.c >= 85 * (x.n + y.n - c.c)),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.r),
+comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)
+"""
