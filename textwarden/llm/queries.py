@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op1_nearest": ann.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
+    "op9_near_dedup": near_dedup.ORACLE,
 }
