@@ -39,11 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textwarden.llm.bpe import REMEMBERED, VOCABULARY, split_pieces
+from textwarden.llm.bpe import BLANK_BEFORE_SPACE, VOCABULARY, split_pieces
 from textwarden.llm.common import table, written
 
 BLOCK, SEGMENT, PERCENTILE, END = 128, 1 << 20, 98, 0
 MAGIC = 0x31524650
+#: Pieces that a Python worker remembers at most, and segments whose places are broadcast at most.
+REMEMBERED, MOST_BROADCAST = 400_000, 1_000_000
 SEGMENTS = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, segment binary"
 
 
@@ -68,24 +70,39 @@ class LibraryEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, out, cut, new = self.known, [], [], {}
+        known, cut, out, gaps, new = self.known, [], [], [], {}
         for text in texts:
-            if any(s in text for s in self.special):
-                pieces = [text]  # the library itself finds the special tokens of the text
-            else:
-                pieces = split_pieces(text) if text else []
-            got = list(map(known.get, pieces))
-            if None in got:
-                new.update((p, None) for p, ids in zip(pieces, got, strict=True) if ids is None)
+            keys = self.keys(text)
+            got = list(map(known.get, keys))
+            gap = [i for i, ids in enumerate(got) if ids is None] if None in got else ()
+            new.update((keys[i], None) for i in gap)
+            cut.append(keys)
             out.append(got)
-            cut.append(pieces)
-        found = dict(zip(new, self.ask(list(new)), strict=True))
-        for pieces, got in zip(cut, out, strict=True):
-            if None in got:
-                got[:] = [found[p] if ids is None else ids for p, ids in zip(pieces, got, strict=True)]
-        known.update((p, ids) for p, ids in found.items() if len(p) < 64)
+            gaps.append(gap)
+        found = dict(zip(new, self.ask([k[1:] if k[0] == "\n" else " " + k for k in new]), strict=True))
+        for keys, got, gap in zip(cut, out, gaps, strict=True):
+            for i in gap:
+                got[i] = found[keys[i]]
+        known.update((k, ids) for k, ids in found.items() if len(k) < 64)
         return [b"".join(got) for got in out]
 
+    def keys(self, text: str) -> list[str]:
+        """The pieces of a text, as keys: without their blank, or after a line end if they have none.
+
+        A piece with a blank goes on with a non-space character, so no two pieces share a key.
+        """
+        if any(s in text for s in self.special):
+            return ["\n" + text]  # the library itself finds the special tokens of the text
+        if not text:
+            return []
+        if BLANK_BEFORE_SPACE.search(text):
+            return [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else "\n" + p for p in split_pieces(text)]
+        keys = text.split(" ")
+        if keys[0]:
+            keys[0] = "\n" + keys[0]
+            return keys
+        return keys[1:]
+
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
@@ -208,7 +225,9 @@ def with_starts(segments: DataFrame) -> DataFrame:
     bases = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", "seq", F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias("own")).join(bases, "part")
-    return segments.join(offsets.select("part", "seq", (F.col("base") + F.col("own")).alias("start")), ["part", "seq"])
+    starts = offsets.select("part", "seq", (F.col("base") + F.col("own")).alias("start"))
+    small = sizes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST  # else the segments are shuffled
+    return segments.join(F.broadcast(starts) if small else starts, ["part", "seq"])
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
