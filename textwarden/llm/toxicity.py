@@ -20,8 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from textwarden.llm.common import labelled_sample, table
 
-MOST_DOCS, MOST_CHARS, MOST_FEATURES, LEAST_DOCS = 12_000, 64_000_000, 20_000, 4
+MOST_DOCS, MOST_CHARS, MOST_FEATURES, LEAST_DOCS = 6_000, 24_000_000, 20_000, 4
 STEPS, RATE, SHRINK = 150, 0.15, 2e-4
 REMEMBERED = 600_000
 FLAGGED = 0.3
@@ -95,42 +94,61 @@ class Model:
         return 1 - clean
 
 
-def fit(docs: list[tuple[str, int]]) -> Model:
-    """Fits the sentence weights to document labels by gradient steps on the noisy-or likelihood."""
-    labels = np.array([y for _, y in docs], "f8")
+def fit(docs: Iterable[tuple[str, int]]) -> Model:
+    """Fits the sentence weights to document labels by gradient steps on the noisy-or likelihood.
+
+    Texts are taken one by one and kept as numbers: of each sentence its distinct words.
+    """
+    vocabulary: dict[str, int] = {}
+    ids, sentence, labels = [], [], []
+    for text, label in docs:
+        words, at = [], []
+        for k, part in enumerate(SENTENCE.split(text)):
+            found = [vocabulary.setdefault(w, len(vocabulary)) for w in dict.fromkeys(WORD.findall(part.lower()))]
+            words += found
+            at += [k] * len(found)
+        ids.append(np.array(words, "u4"))
+        sentence.append(np.array(at, "u4"))
+        labels.append(label)
+    labels = np.array(labels, "f8")
     prior = float(labels.mean()) if len(labels) else 0.0
     if not 0 < prior < 1:
         return Model(prior=prior)
-    bags = [[set(WORD.findall(s.lower())) for s in SENTENCE.split(t)] for t, _ in docs]
-    seen, toxic = Counter(), Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        found = {f for w in set().union(*bag) for f in features(w)}
-        seen.update(found)
-        if y:
-            toxic.update(found)
-    rows = {f: n for f, n in toxic.items() if n >= LEAST_DOCS}
-    p = labels.sum()
-    odds = {f: (n - seen[f] * prior) / math.sqrt(seen[f] * prior * (1 - prior)) for f, n in rows.items()}
-    chosen = sorted((f for f in odds if odds[f] > 3), key=lambda f: (-odds[f], f))[:MOST_FEATURES]
-    column = {f: k for k, f in enumerate(chosen)}
+    names: dict[str, int] = {}
+    of_word = np.full((len(vocabulary), 4), -1, "i4")
+    for word, i in vocabulary.items():
+        for j, f in enumerate(features(word)):
+            of_word[i, j] = names.setdefault(f, len(names))
+    seen, toxic = np.zeros(len(names)), np.zeros(len(names))
+    for words, label in zip(ids, labels, strict=True):
+        there = np.unique(of_word[np.unique(words)])
+        there = there[there >= 0]
+        seen[there] += 1
+        toxic[there] += label
+    score = (toxic - seen * prior) / np.sqrt(np.maximum(seen, 1) * prior * (1 - prior))
+    score[(toxic < LEAST_DOCS) | (score <= 3)] = 0
+    chosen = np.argsort(-score, kind="stable")[: min(MOST_FEATURES, int((score > 0).sum()))]
+    column = np.full(len(names) + 1, -1, "i4")
+    column[chosen] = np.arange(len(chosen))
     row_of, col_of, bag_of, n = [], [], [], 0
-    for b, bag in enumerate(bags):
-        for words in bag:
-            found = [column[f] for w in words for f in features(w) if f in column]
-            if found:
-                col_of += found
-                row_of += [n] * len(found)
-                bag_of.append(b)
-                n += 1
-    row, col, bag_ = np.array(row_of, "i8"), np.array(col_of, "i8"), np.array(bag_of, "i8")
+    for b, (words, at) in enumerate(zip(ids, sentence, strict=True)):
+        cols = column[of_word[words]]
+        i, j = np.nonzero(cols >= 0)
+        parts, where = np.unique(at[i], return_inverse=True)
+        row_of.append(where + n)
+        col_of.append(cols[i, j])
+        bag_of += [b] * len(parts)
+        n += len(parts)
+    row, col, bag = np.concatenate(row_of).astype("i8"), np.concatenate(col_of).astype("i8"), np.array(bag_of, "i8")
+    p, size = labels.sum(), len(labels)
     w, bias = np.full(len(chosen), 0.5), -4.0
     moment, spread = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, STEPS + 1):
         z = np.bincount(row, w[col], n) + bias
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.exp(np.bincount(bag_, np.log1p(-np.minimum(q, 1 - 1e-9)), len(bags)))
+        clean = np.exp(np.bincount(bag, np.log1p(-np.minimum(q, 1 - 1e-9)), size))
         pull = np.where(labels > 0, clean / np.maximum(1 - clean, 1e-6), -1.0)
-        g = np.clip(pull[bag_] * q, -1, 1) * np.where(labels[bag_] > 0, 1.0, p / max(1.0, len(labels) - p) * 4)
+        g = np.clip(pull[bag] * q, -1, 1) * np.where(labels[bag] > 0, 1.0, p / max(1.0, size - p) * 4)
         grad = np.append(np.bincount(col, g[row], len(chosen)), g.sum()) / max(1.0, p)
         grad[:-1] -= SHRINK * w
         grad[-1] -= SHRINK * (bias + 4)
@@ -138,14 +156,15 @@ def fit(docs: list[tuple[str, int]]) -> Model:
         spread = 0.99 * spread + 0.01 * grad**2
         move = RATE * (moment / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
         w, bias = np.maximum(w + move[:-1], 0), min(bias + move[-1], -2.0)
-    keep = {f: float(w[k]) for f, k in column.items() if w[k] > 0.05}
+    known = list(names)
+    keep = {known[f]: float(w[k]) for k, f in enumerate(chosen.tolist()) if w[k] > 0.05}
     return Model(weights=keep, bias=float(bias), prior=prior, fitted=True)
 
 
 def train(docs: DataFrame, labels: DataFrame, fold=None) -> Model:
     """A model from ``labels.toxic``; ``fold`` says which labels may be learned."""
     rows = labelled_sample(docs, labels, "toxic", F.lit(True) if fold is None else fold, MOST_DOCS, MOST_CHARS)
-    return fit([(r["text"], r["label"]) for r in rows.orderBy("doc_id").toLocalIterator()])
+    return fit((r["text"], r["label"]) for r in rows.orderBy("doc_id").toLocalIterator())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
