@@ -133,9 +133,13 @@ def ngram_language_scores(df: DataFrame, col: str = "text", id_col: str = "doc_i
     n = F.length(t)
     total = sum((F.greatest(n - k + 1, F.lit(0)) for k in (2, 3, 4, 5)), F.lit(0))
     rows = df.where(F.length(F.trim(col)) >= 10).select(F.col(id_col).alias("id"), t.alias("t"), total.alias("total"))
+    n_of_t = F.length("t")
 
     def count(gram: str) -> Column:
-        return F.size(F.regexp_extract_all("t", F.lit(f"(?=(\\Q{gram}\\E))"), F.lit(1)))
+        if any(gram[:k] == gram[-k:] for k in range(1, len(gram))):  # occurrences may overlap
+            return F.size(F.regexp_extract_all("t", F.lit(f"(?=(\\Q{gram}\\E))"), F.lit(1)))
+        left = F.length(F.replace("t", F.lit(gram), F.lit("")))
+        return ((n_of_t - left) / len(gram)).cast("int")
 
     def weight(share: float) -> float:
         return share if corrected else math.log(share + 1e-10)

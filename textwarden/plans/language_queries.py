@@ -23,7 +23,7 @@ def b17(s, d):
 Q["b17_preprocess_corpus"] = (b17, None)
 GRAMS = values([(lang, g, math.log(w + 1e-10)) for lang, grams in K.NGRAMS.items() for g, w in grams.items()], "lang", "g", "w")
 Q["c2_ngram_language_scores"] = (
-    lambda s, d: rounded(language.ngram_language_scores(docs(s, d).where("length(text) < 300")), "score"),
+    lambda s, d: rounded(language.ngram_language_scores(docs(s, d)), "score"),
     f"""WITH t AS (SELECT doc_id, '<' || lower(text) || '>' AS t FROM documents WHERE length(text) < 300 AND length(trim(text)) >= 10),
 p AS (SELECT doc_id, substring(t, i, n) AS g FROM (SELECT doc_id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM t, (VALUES (2), (3), (4), (5)) v(n))),
 tot AS (SELECT doc_id, count(*) AS total FROM p GROUP BY doc_id),
