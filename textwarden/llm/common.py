@@ -54,23 +54,29 @@ def labelled_sample(
     """At most ``limit`` labelled documents of at most ``max_chars`` characters in all.
 
     ``fold`` is a condition on ``doc_id`` that says which labels may be learned.
-    Rows are taken in the order of a hash of ``doc_id``, so the sample is the same
-    on every run and doesn't depend on partitioning.  Both limits are proven bounds
-    of what reaches the driver.  Returns (doc_id, text, label int).
+    Only labels of documents that can be learned from count toward ``limit``: those
+    with a text of 1 to ``max_chars`` characters.  They are taken in the order of a
+    hash of ``doc_id``, so the sample is the same on every run and doesn't depend on
+    partitioning.  If they are too long together, those of more than ten times the
+    mean length that the bounds allow wait until the others are in, the longest last,
+    so a long text never keeps shorter ones out.  Both limits are proven bounds of
+    what reaches the driver.  Returns (doc_id, text, label int).
     """
+    docs = documents.select("doc_id", "text").where(F.length("text").between(1, max_chars))
     ids = (
         labels.where(fold & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("label"))
+        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    docs = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    rows = docs.join(F.broadcast(written(ids, "sampled_ids")), "doc_id")
     # ids are at most ``limit``, so this window sorts at most so many rows
     from pyspark.sql import Window
 
     rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    share = F.lit(max(1, max_chars * 10 // limit))
+    order = Window.orderBy(F.greatest("n", share), F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     sized = rows.select("doc_id", F.length("text").alias("n")).withColumn("upto", F.sum("n").over(order))
     return rows.join(F.broadcast(sized.where(F.col("upto") <= max_chars).select("doc_id")), "doc_id")
