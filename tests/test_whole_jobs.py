@@ -42,3 +42,21 @@ def test_ngram_scores_of_the_corpus(spark, sf):
     assert {k for k, _ in got} == {k for k, t in docs.items() if len(t.strip(" ")) >= 10}
     part = {r[:2]: r[2] for r in by_sql("c2_ngram_language_scores", sf).fetchall()}
     assert part and all(got[k] == pytest.approx(x, abs=2e-6) for k, x in part.items())
+
+
+def variants(term):
+    out = {(term, "same")}
+    for i, c in enumerate(term):
+        out |= {(term[:i] + s + term[i + 1 :], "leet") for s in K.VARIANT_LEET.get(c, "")}
+        if c in K.VARIANT_ELONGATED:
+            out |= {(term[: i + 1] + c * n + term[i + 1 :], "elongated") for n in (2, 3, 4)}
+    return out | {(term.replace(a, b), "phonetic") for a, b in K.VARIANT_PHONETIC.items() if a in term}
+
+
+def test_variants_of_terms_of_all_lengths(spark, tmp_path):
+    terms = "a", "of", "the", "quick", "phonetic", "kindnesses", "aaaaaaa", "z" * 40
+    sf = saved(spark, tmp_path, [(1, " ".join(terms), "en", "s"), (2, "  the -- of", "en", "s"), (3, None, None, None), (4, "", "en", "s")])
+    rows = registry.QUERIES["b16_expand_lexicon_variants"](spark, sf).collect()
+    want = {(t, *v) for t in terms for v in variants(t)}
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    assert {tuple(r) for r in rows if 3 <= len(r.term) <= 5} == set(by_sql("b16_expand_lexicon_variants", sf).fetchall())

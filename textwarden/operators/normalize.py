@@ -179,25 +179,22 @@ def obfuscation_prevalence(df: DataFrame, by: list[str], col: str = "text") -> D
 
 
 def expand_lexicon_variants(lexicon: DataFrame, term: str = "term") -> DataFrame:
-    """(term, variant, kind): spellings that dodge a word filter."""
-    t = F.col(term)
-    places = lexicon.select(t.alias("term"), F.explode(F.sequence(F.lit(1), F.length(t))).alias("i")).distinct()
-    around = places.select(
-        "term",
-        F.expr("substring(term, 1, i - 1)").alias("before"),
-        F.expr("lower(substring(term, i, 1))").alias("c"),
-        F.expr("substring(term, i + 1)").alias("after"),
-        F.expr("substring(term, 1, i)").alias("upto"),
-    )
-    signs = F.create_map(*[F.lit(x) for k, v in K.VARIANT_LEET.items() for x in (k, v)])
-    leet = around.select("term", F.explode(F.split(signs[F.col("c")], "")).alias("s"), "before", "after").where("s <> ''")
-    leet = leet.select("term", F.concat("before", "s", "after").alias("variant"), F.lit("leet").alias("kind"))
-    long_ = around.where(F.contains(F.lit(K.VARIANT_ELONGATED), F.col("c")))
-    long_ = long_.select("term", "upto", "c", "after", F.explode(F.sequence(F.lit(2), F.lit(4))).alias("n"))
-    long_ = long_.select("term", F.expr("concat(upto, repeat(c, n), after)").alias("variant"), F.lit("elongated").alias("kind"))
-    words = lexicon.select(t.alias("term")).distinct()
-    pairs = F.explode(F.create_map(*[F.lit(x) for kv in K.VARIANT_PHONETIC.items() for x in kv])).alias("old", "new")
-    sound = words.select("term", pairs).where(F.contains(F.lower("term"), F.col("old")))
-    sound = sound.select("term", F.replace(F.lower("term"), F.col("old"), F.col("new")).alias("variant"), F.lit("phonetic").alias("kind"))
-    same = words.select("term", F.col("term").alias("variant"), F.lit("same").alias("kind"))
-    return same.unionByName(leet).unionByName(long_).unionByName(sound).distinct()
+    """(term, variant, kind): spellings that dodge a word filter.
+
+    Variants are made within the row of a distinct term, so only terms are shuffled.
+    """
+    words = lexicon.select(F.col(term).alias("term")).distinct()
+    t, none = F.col("term"), F.array().cast("array<string>")
+    places = F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t))).otherwise(F.array().cast("array<int>"))
+    upto = lambda i: F.substr(t, F.lit(1), i)
+    after = lambda i: F.substr(t, i + 1)
+    letter = lambda i: F.lower(F.substr(t, i, F.lit(1)))
+    signs = F.create_map(*[x for k, v in K.VARIANT_LEET.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    leet = F.flatten(F.transform(places, lambda i: F.transform(F.coalesce(signs[letter(i)], none), lambda s: F.concat(upto(i - 1), s, after(i)))))
+    drawn = F.filter(places, lambda i: F.contains(F.lit(K.VARIANT_ELONGATED), letter(i)))
+    long_ = F.flatten(F.transform(drawn, lambda i: F.array(*[F.concat(upto(i), F.repeat(letter(i), F.lit(n)), after(i)) for n in (2, 3, 4)])))
+    low = F.lower(t)
+    sound = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(a)), F.replace(low, F.lit(a), F.lit(b))) for a, b in K.VARIANT_PHONETIC.items()]))
+    kinds = {"same": F.array(t), "leet": leet, "elongated": long_, "phonetic": sound}
+    made = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(v).alias("variants")) for k, v in kinds.items()])
+    return words.select("term", F.explode(made).alias("m")).select("term", F.explode("m.variants").alias("variant"), "m.kind")

@@ -75,9 +75,9 @@ GROUP BY ALL""",
 
 
 def words_of_labels(spark, sf):
-    """The words of one short column of the corpus, as a lexicon to expand."""
+    """All distinct runs of a-z in the texts, as a lexicon to expand."""
     words = docs(spark, sf).select(F.explode(F.split("text", r"[^a-z]+")).alias("term"))
-    return words.where("length(term) BETWEEN 3 AND 5").distinct()
+    return words.where("term <> ''").distinct()
 
 
 SQL_LEET = " UNION ALL ".join(
