@@ -1,6 +1,7 @@
 """Registered queries cover every row, whatever part of it their SQL covers."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -60,3 +61,18 @@ def test_variants_of_terms_of_all_lengths(spark, tmp_path):
     want = {(t, *v) for t in terms for v in variants(t)}
     assert {tuple(r) for r in rows} == want and len(rows) == len(want)
     assert {tuple(r) for r in rows if 3 <= len(r.term) <= 5} == set(by_sql("b16_expand_lexicon_variants", sf).fetchall())
+
+
+def test_token_offsets_of_long_texts(spark, sf, tmp_path):
+    texts = ["the end, they \U0001f600 then \u0939 the. " * 3000, "a aa aaa", "x" * 2000, "", None, "1 2 3"]
+    rows = registry.QUERIES["c9_token_offsets"](spark, saved(spark, tmp_path, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    want = []
+    for i, text in enumerate(texts):
+        at = 0
+        for pos, token in enumerate(re.findall("[A-Za-z]+", text or "")):
+            start = text.find(token, at)
+            at = start + len(token)
+            want.append((i, pos, start, at))
+    assert sorted(map(tuple, rows)) == want
+    part = set(by_sql("c9_token_offsets", sf).fetchall())
+    assert part and part <= {tuple(r) for r in registry.QUERIES["c9_token_offsets"](spark, sf).collect()}

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,15 +208,31 @@ def detect_per_segment(df: DataFrame, col: str = "text", id_col: str = "doc_id",
 
 
 def token_offsets(df: DataFrame, tokens_col: str, col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, pos, start, end): each token sought from where the one before ended; start -1 if it isn't there."""
-    step = lambda acc, t: F.struct(
-        F.when(at(acc, t) > 0, at(acc, t) - 1 + F.length(t)).otherwise(acc["from_"]).alias("from_"),
-        F.concat(acc["out"], F.array(F.struct((at(acc, t) - 1).alias("start"), F.when(at(acc, t) > 0, at(acc, t) - 1 + F.length(t)).otherwise(-1).alias("end")))).alias("out"),
-    )
-    at = lambda acc, t: F.call_function("locate", t, F.col(col), acc["from_"] + 1)
-    empty = F.struct(F.lit(0).alias("from_"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    folded = F.aggregate(tokens_col, empty, step, lambda acc: acc["out"])
-    return df.select(id_col, F.posexplode(folded).alias("pos", "s")).select(id_col, "pos", "s.start", "s.end")
+    """(id, pos, start, end): each token sought from where the one before ended; start -1 if it isn't there.
+
+    One pass over a text; few rows of a batch are Python objects at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                row, pos, start, end = [], [], [], []
+                for r, (text, tokens) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    at = 0
+                    for k, token in enumerate(tokens or ()):
+                        found = -1 if text is None or token is None else text.find(token, at)
+                        at = found + len(token) if found >= 0 else at
+                        row.append(r)
+                        pos.append(k)
+                        start.append(found)
+                        end.append(at if found >= 0 else -1)
+                numbers = [pa.array(x, pa.int32()) for x in (pos, start, end)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *numbers], ["id", "pos", "start", "end"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(col).alias("text"), F.col(tokens_col).alias("tokens"))
+    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, pos int, start int, end int")
+    return out.withColumnRenamed("id", id_col)
 
 
 def dictionary(df: DataFrame, lang: str) -> DataFrame:

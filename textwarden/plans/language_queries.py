@@ -38,7 +38,7 @@ Q["c4_detect_languages"] = (
 )
 Q["c5_detect_per_segment"] = (lambda s, d: language.detect_per_segment(docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("n_segments")), None)
 Q["c9_token_offsets"] = (
-    lambda s, d: language.token_offsets(docs(s, d).where("length(text) < 2000").withColumn("tokens", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))), "tokens"),
+    lambda s, d: language.token_offsets(docs(s, d).withColumn("tokens", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))), "tokens"),
     """WITH a AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS a, string_split_regex(text, '[A-Za-z]+') AS p FROM documents WHERE length(text) < 2000),
 k AS (SELECT *, unnest(range(1, len(a) + 1)) AS k FROM a)
 SELECT doc_id, (k - 1)::INTEGER AS pos, (list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(a[1:k-1], lambda x: length(x))), 0))::INTEGER AS start,
