@@ -2,50 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
+from textwarden.operators.matching import FOUND, found_in
+from textwarden.operators.normalize import let
+
+WORD = r"[\p{L}\p{M}\p{N}_]"
+
+
+def whole(body: str) -> str:
+    """A pattern that holds where no word goes on before or after it."""
+    return f"(?i)(?<!{WORD})(?:{body})(?!{WORD})"
+
 
-SENTENCE_END = r"[.!?]+"
 CUES = {
-    "english": (r"(?i)\b(?:" + "|".join(K.NEGATIONS) + r")\b", 0.9),
-    "hindi": (r"(?iU)\b(?:" + "|".join(K.HINDI_NEGATIONS) + r")\b", 0.9),
-    "contraction": (r"(?i)\b\w+n't\b", 0.95),
-    "prefix": (r"(?i)\b(?:" + "|".join(K.NEGATION_PREFIXES) + r")\w+", 0.7),
-    "suffix": (r"(?i)\w+(?:" + "|".join(K.NEGATION_SUFFIXES) + r")\b", 0.7),
+    "english": (whole("|".join(K.NEGATIONS)), 0.9),
+    "hindi": (whole("|".join(K.HINDI_NEGATIONS)), 0.9),
+    "contraction": (whole(f"{WORD}+n't"), 0.95),
+    "prefix": (whole(f"(?:{'|'.join(K.NEGATION_PREFIXES)}){WORD}+"), 0.7),
+    "suffix": (whole(f"{WORD}+(?:{'|'.join(K.NEGATION_SUFFIXES)})"), 0.7),
 }
 SCOPE_WORDS = 8
+DIRECT = (r'(?s)"[^"]*"', r"(?s)'[^']*'", r"(?s)«[^»]*»", r"(?s)“[^”]*”")
+INDIRECT = r"(?i)(?<![\p{L}\p{N}_])(?:" + "|".join(K.REPORTING) + r")(?![\p{L}\p{N}_])"
+THIRD = "(?i)" + "|".join(K.THIRD_PARTY)
+QUOTES = "array<struct<start:int,end:int,quote_type:string,confidence:double>>"
+
+
+def cues_of(text: Column, morphological: bool = True) -> Column:
+    """Array of (kind, cue, start, end, confidence)."""
+    kinds = [(k, *v) for k, v in CUES.items() if morphological or k not in ("prefix", "suffix")]
+    named = lambda kind, c: lambda m: F.struct(F.lit(kind).alias("kind"), m["m"].alias("cue"), m["start"].alias("start"), m["end"].alias("end"), F.lit(c).alias("confidence"))
+    return F.concat(*[F.transform(found_in(text, p), named(kind, c)) for kind, p, c in kinds])
+
+
+def scope_end_of(text: Column, end: Column, max_words: int = SCOPE_WORDS) -> Column:
+    """Where the scope of a cue that ends at ``end`` stops: after ``max_words`` words, or at .!?;, before that."""
+    rest = F.substring(text, end + 1, F.length(text))
+    words = F.length(F.regexp_extract(rest, rf"^(?:[^\p{{L}}\p{{M}}\p{{N}}_]*{WORD}+){{0,{max_words}}}", 0))
+    return end + F.least(words, F.length(F.regexp_extract(rest, r"^[^.!?;,]*", 0)))
+
+
+def clause_of(text: Column, span: Column) -> Column:
+    """(at, clause): the text around a span from the .!?;, before it to the one after it."""
+    flat = lambda t: F.translate(t, "!?;,", "....")
+    before, after = F.substring(text, F.lit(1), span["start"]), F.substring(text, span["end"] + 1, F.length(text))
+    lead = F.length(F.substring_index(flat(before), ".", -1))
+    tail = F.length(F.substring_index(flat(after), ".", 1))
+    cut = lambda n: F.struct((span["start"] - n).alias("at"), F.substring(text, span["start"] - n + 1, n + span["end"] - span["start"] + tail).alias("clause"))
+    return let(lead, cut)
+
+
+def negation_of(text: Column, spans: Column, morphological: bool = True) -> Column:
+    """Of one text: the confidence of the surest cue whose scope a span touches, else null.
 
+    A scope never passes .!?;, so cues are looked for in the clauses of the spans alone.
+    """
 
-def found_at(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """(doc_id, text, m, start, end): matches of a pattern with code-point offsets."""
-    rows = docs.where(F.col(text).rlike(pattern))
-    all_ = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(F.col(text), pattern, -1)
-    size = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    rows = rows.select("doc_id", F.col(text).alias("text"), all_.alias("a"), parts.alias("p")).select("*", F.posexplode("a").alias("k", "m"))
-    start = size("p", F.col("k") + 1) + size("a", F.col("k"))
-    return rows.select("doc_id", "text", "m", start.alias("start"), (start + F.length("m")).alias("end"))
+    def surest(c: Column) -> Column:
+        # a value used inside a lambda is computed for each element, so ends are bound first
+        start, end = lambda cue: c["at"] + cue["start"], lambda cue: scope_end_of(text, c["at"] + cue["end"])
+        scoped = lambda cue: let(F.struct(start(cue).alias("a"), end(cue).alias("b")), lambda x: F.exists(spans, lambda s: (s["start"] <= x["b"]) & (s["end"] >= x["a"])))
+        return F.array_max(F.transform(F.filter(cues_of(c["clause"], morphological), scoped), lambda cue: cue["confidence"]))
+
+    return F.array_max(F.transform(F.array_distinct(F.transform(spans, lambda s: clause_of(text, s))), surest))
 
 
 def negation_cues(docs: DataFrame, morphological: bool = True) -> DataFrame:
     """(doc_id, text, kind, cue, start, end, confidence)."""
-    out = None
-    for kind, (pattern, confidence) in CUES.items():
-        if kind in ("prefix", "suffix") and not morphological:
-            continue
-        rows = found_at(docs, pattern).select("doc_id", "text", F.lit(kind).alias("kind"), F.col("m").alias("cue"), "start", "end", F.lit(confidence).alias("confidence"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return docs.select("doc_id", "text", F.explode(cues_of(F.col("text"), morphological)).alias("c")).select("doc_id", "text", "c.*")
 
 
 def negation_scopes(cues: DataFrame, max_words: int = SCOPE_WORDS) -> DataFrame:
     """Adds scope_start and scope_end: from the cue to the eighth word after it, cut at .!?;, if one comes first."""
-    rest = F.expr("substring(text, end + 1)")
-    words = F.length(F.regexp_extract(rest, rf"^(?:\W*\w+){{0,{max_words}}}", 0))
-    stop = F.length(F.regexp_extract(rest, r"^[^.!?;,]*", 0))
-    return cues.withColumn("scope_start", F.col("start")).withColumn("scope_end", F.col("end") + F.least(words, stop))
+    return cues.withColumn("scope_start", F.col("start")).withColumn("scope_end", scope_end_of(F.col("text"), F.col("end"), max_words))
 
 
 def negated_spans(spans: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -56,47 +88,90 @@ def negated_spans(spans: DataFrame, scopes: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "start", "end").agg(F.max("c").alias("negation"))
 
 
-def direct_quotes(docs: DataFrame) -> DataFrame:
-    out = None
-    for pattern in (r'(?s)"[^"]*"', r"(?s)'[^']*'", r"(?s)«[^»]*»", r"(?s)“[^”]*”"):
-        rows = found_at(docs, pattern).select("doc_id", "start", "end", F.lit("direct").alias("quote_type"), F.lit(0.95).alias("confidence"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def quote(kind: str, confidence: float):
+    return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("quote_type"), F.lit(confidence).alias("confidence"))
+
+
+def direct_quotes_of(text: Column) -> Column:
+    return F.concat(*[F.transform(found_in(text, p), quote("direct", 0.95)) for p in DIRECT])
+
+
+def sentences_of(text: Column, holding: str) -> Column:
+    """What stands between sentence ends and holds a pattern; texts without it aren't cut up."""
+    found = found_in(text, r"[^.!?]+", lambda m: m.rlike(holding) & (F.trim(m) != ""))
+    return F.when(text.rlike(holding), found).otherwise(F.array().cast(FOUND))
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, sentence, start, end): what stands between sentence ends, if anything."""
-    rows = found_at(docs, r"[^.!?]+").select("doc_id", F.col("m").alias("sentence"), "start", "end")
-    return rows.where("trim(sentence) <> ''")
+def indirect_quotes_of(text: Column) -> Column:
+    return F.transform(sentences_of(text, INDIRECT), quote("indirect", 0.7))
+
+
+def third_party_references_of(text: Column) -> Column:
+    return F.transform(sentences_of(text, THIRD), quote("reported", 0.6))
+
+
+def exploded_quotes(docs: DataFrame, of) -> DataFrame:
+    return docs.select("doc_id", F.explode(of(F.col("text"))).alias("q")).select("doc_id", "q.start", "q.end", "q.quote_type", "q.confidence")
+
+
+def direct_quotes(docs: DataFrame) -> DataFrame:
+    return exploded_quotes(docs, direct_quotes_of)
 
 
 def indirect_quotes(docs: DataFrame) -> DataFrame:
-    pattern = r"(?i)(?<![\p{L}\p{N}_])(?:" + "|".join(K.REPORTING) + r")(?![\p{L}\p{N}_])"
-    rows = sentences(docs.where(F.col("text").rlike(pattern))).where(F.col("sentence").rlike(pattern))
-    return rows.select("doc_id", "start", "end", F.lit("indirect").alias("quote_type"), F.lit(0.7).alias("confidence"))
+    return exploded_quotes(docs, indirect_quotes_of)
 
 
 def third_party_references(docs: DataFrame) -> DataFrame:
-    pattern = "(?i)" + "|".join(K.THIRD_PARTY)
-    rows = sentences(docs.where(F.col("text").rlike(pattern))).where(F.col("sentence").rlike(pattern))
-    return rows.select("doc_id", "start", "end", F.lit("reported").alias("quote_type"), F.lit(0.6).alias("confidence"))
+    return exploded_quotes(docs, third_party_references_of)
 
 
-def resolve_quotes(quotes: DataFrame) -> DataFrame:
-    """Greedy by start: of two that overlap the more confident stays."""
-    item = F.struct("start", (-F.col("confidence")).alias("less"), "end", "quote_type")
-    per_doc = quotes.groupBy("doc_id").agg(F.array_sort(F.collect_set(item)).alias("all"))
+def all_quotes_of(text: Column) -> Column:
+    return F.concat(direct_quotes_of(text), indirect_quotes_of(text), third_party_references_of(text))
+
+
+def resolved_of(quotes: Column) -> Column:
+    """Greedy by start: of two that overlap the more confident stays.  Array of (start, less, end, quote_type), less = -confidence."""
+    item = lambda q: F.struct(q["start"].alias("start"), (-q["confidence"]).alias("less"), q["end"].alias("end"), q["quote_type"].alias("quote_type"))
 
     def step(kept, q):
         last = F.element_at(kept, -1)
         return (
-            F.when((F.size(kept) == 0) | (q["start"] >= F.coalesce(last["end"], F.lit(0))), F.concat(kept, F.array(q)))
+            F.when(F.size(kept) == 0, F.array(q))
+            .when(q["start"] >= last["end"], F.concat(kept, F.array(q)))
             .when(q["less"] < last["less"], F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(q)))
             .otherwise(kept)
         )
 
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, q: F.when(F.size(acc) == 0, F.array(q)).otherwise(step(acc, q)))
-    return per_doc.select("doc_id", F.explode(kept).alias("q")).select("doc_id", "q.start", "q.end", "q.quote_type", (-F.col("q.less")).alias("confidence"))
+    def folded(every):
+        return F.aggregate(every, F.slice(every, 1, 0), step)
+
+    return let(F.array_sort(F.array_distinct(F.transform(quotes, item))), folded)
+
+
+def resolve_quotes(quotes: DataFrame) -> DataFrame:
+    """(doc_id, start, end, quote_type, confidence) of the quotes that stay."""
+    per_doc = quotes.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "quote_type", "confidence")).alias("all"))
+    kept = per_doc.select("doc_id", F.explode(resolved_of(F.col("all"))).alias("q"))
+    return kept.select("doc_id", "q.start", "q.end", "q.quote_type", (-F.col("q.less")).alias("confidence"))
+
+
+def quotation_of(text: Column, spans: Column) -> Column:
+    """Of one text: (quotation, most) of the spans in quotes: the surest, and the greatest share of a quote type; null without one.
+
+    Of several quotes around one span the surest counts, then the earliest.
+    """
+
+    def around(s):
+        touching = lambda q: (s["start"] < q["end"]) & (q["start"] < s["end"])
+        sure = lambda q: F.when((s["start"] >= q["start"]) & (s["end"] <= q["end"]), -q["less"]).otherwise(-q["less"] * 0.8)
+        rated = lambda q: F.struct(sure(q).alias("quotation"), (-q["start"]).alias("early"), q["quote_type"].alias("quote_type"))
+        return lambda quotes: F.array_max(F.transform(F.filter(quotes, touching), rated))
+
+    best = lambda quotes: F.filter(F.transform(spans, lambda s: around(s)(quotes)), lambda b: b.isNotNull())
+    share = weighted(QUOTE_SHARE)
+    totals = lambda b: F.struct(F.array_max(F.transform(b, lambda x: x["quotation"])).alias("quotation"), F.array_max(F.transform(b, lambda x: share[x["quote_type"]])).alias("most"))
+    return let(resolved_of(all_quotes_of(text)), lambda quotes: let(best(quotes), lambda b: F.when(F.size(b) > 0, totals(b))))
 
 
 def quoted_spans(spans: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -108,14 +183,29 @@ def quoted_spans(spans: DataFrame, quotes: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "start", "end").agg(best.alias("b")).select("doc_id", "start", "end", "b.quotation", "b.quote_type")
 
 
+def words_pattern(words) -> str:
+    return r"(?<![\p{L}\p{N}_])(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + r")(?![\p{L}\p{N}_])"
+
+
+def safe_contexts_of(low: Column, vocab: dict = K.SAFE_CONTEXTS) -> Column:
+    """Array of (context_type, hits, confidence) of a lower-cased text: 0.3 and 0.2 a hit, at most 0.9."""
+    everything = words_pattern(dict.fromkeys(w for words in vocab.values() for w in words))
+    found = F.array(*[F.struct(F.lit(t).alias("context_type"), F.regexp_count(low, F.lit(words_pattern(w))).alias("hits")) for t, w in vocab.items()])
+    sure = lambda f: F.struct(f["context_type"].alias("context_type"), f["hits"].alias("hits"), F.least(F.lit(0.9), 0.3 + 0.2 * f["hits"]).alias("confidence"))
+    return F.when(low.rlike(everything), F.transform(F.filter(found, lambda f: f["hits"] > 0), sure))
+
+
+def safe_of(contexts: Column) -> Column:
+    """Of one text's contexts: mean confidence weighted by how much each context counts; null without any."""
+    total = lambda f: F.aggregate(contexts, F.lit(0.0), lambda a, c: a + f(c))
+    w = lambda c: weighted(K.SAFE_WEIGHTS)[c["context_type"]]
+    return F.when(F.size(contexts) > 0, total(lambda c: c["confidence"] * w(c)) / total(w))
+
+
 def safe_contexts(docs: DataFrame, vocab: dict = K.SAFE_CONTEXTS) -> DataFrame:
     """(doc_id, context_type, hits, confidence): contexts whose words occur; 0.3 and 0.2 a hit, at most 0.9."""
     rows = docs.select("doc_id", F.lower("text").alias("low"))
-    pattern = lambda words: r"(?<![\p{L}\p{N}_])(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + r")(?![\p{L}\p{N}_])"
-    everything = pattern(dict.fromkeys(w for words in vocab.values() for w in words))
-    found = F.array(*[F.struct(F.lit(t).alias("context_type"), F.regexp_count("low", F.lit(pattern(w))).alias("hits")) for t, w in vocab.items()])
-    rows = rows.where(F.col("low").rlike(everything)).select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*").where("hits > 0")
-    return rows.withColumn("confidence", F.least(F.lit(0.9), 0.3 + 0.2 * F.col("hits")))
+    return rows.select("doc_id", F.explode(safe_contexts_of(F.col("low"), vocab)).alias("f")).select("doc_id", "f.*")
 
 
 def weighted(names: dict[str, float]):
@@ -131,16 +221,20 @@ def safe_context_modifiers(contexts: DataFrame) -> DataFrame:
 QUOTE_SHARE = {"direct": 0.6, "indirect": 0.4, "reported": 0.5}
 
 
+def modifier_of(category: Column, negation: Column, quotation: Column, most: Column, safe: Column) -> Column:
+    """What negation, quotation and context leave of a category's score: at least 0.1."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    safe_ = F.when(category != "spam/scam", zero(safe)).otherwise(0.0)
+    return F.greatest(F.lit(0.1), (1 - 0.7 * zero(negation)) * (1 - zero(most) * zero(quotation)) * (1 - 0.8 * safe_))
+
+
 def context_modifiers(scores: DataFrame, spans: DataFrame, negated: DataFrame, quoted: DataFrame, safe: DataFrame) -> DataFrame:
     """(doc_id, category, modifier), at least 0.1: what negation, quotation and context leave of a score."""
     per_neg = negated.groupBy("doc_id").agg(F.max("negation").alias("neg"))
     share = weighted(QUOTE_SHARE)[F.col("quote_type")]
     per_quote = quoted.groupBy("doc_id").agg(F.max("quotation").alias("quote"), F.max(share).alias("most"))
     rows = scores.select("doc_id", "category").join(per_neg, "doc_id", "left").join(per_quote, "doc_id", "left").join(safe, "doc_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    safe_ = F.when(F.col("category") != "spam/scam", zero("safe")).otherwise(0.0)
-    m = (1 - 0.7 * zero("neg")) * (1 - zero("most") * zero("quote")) * (1 - 0.8 * safe_)
-    return rows.select("doc_id", "category", F.greatest(F.lit(0.1), m).alias("modifier"))
+    return rows.select("doc_id", "category", modifier_of(*map(F.col, ("category", "neg", "quote", "most", "safe"))).alias("modifier"))
 
 
 def context_flags(docs: DataFrame, negated: DataFrame, quoted: DataFrame, contexts: DataFrame) -> DataFrame:

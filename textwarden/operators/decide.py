@@ -44,23 +44,33 @@ def combine_scores(scores: DataFrame, weights: dict[str, float] = WEIGHTS) -> Da
     return scores.groupBy("doc_id", "category").agg((F.sum(F.col("score") * w) / F.sum(w)).alias("score"))
 
 
+def features_of(text: Column) -> list[Column]:
+    """length, code_mixed and obfuscated of a text."""
+    mixed = text.rlike("[A-Za-z]") & text.rlike(r"[\p{L}&&[^\p{IsLatin}]]")
+    return [F.length(text).alias("length"), mixed.alias("code_mixed"), text.rlike(r"[A-Za-z][@!$+0134578]+[A-Za-z]").alias("obfuscated")]
+
+
 def decision_features(docs: DataFrame, languages: DataFrame | None = None) -> DataFrame:
     """(doc_id, length, language_confidence, code_mixed, obfuscated)."""
-    text = F.col("text")
-    mixed = text.rlike("[A-Za-z]") & text.rlike(r"[\p{L}&&[^\p{IsLatin}]]")
-    out = docs.select("doc_id", F.length(text).alias("length"), mixed.alias("code_mixed"), text.rlike(r"[A-Za-z][@!$+0134578]+[A-Za-z]").alias("obfuscated"))
+    out = docs.select("doc_id", *features_of(F.col("text")))
     if languages is None:
         return out.withColumn("language_confidence", F.lit(1.0))
     return out.join(languages.select("doc_id", F.col("confidence").alias("language_confidence")), "doc_id", "left").fillna(0.5, ["language_confidence"])
 
 
-def adapt_scores(scores: DataFrame, features: DataFrame) -> DataFrame:
+def adapted_of(score: Column) -> Column:
+    """A score under the features language_confidence, obfuscated and code_mixed of its row."""
     c = F.col("language_confidence")
     factor = F.when(c < 0.8, 1 - (0.8 - c) * 0.2).otherwise(1.0) * F.when(F.col("obfuscated"), 1.1).otherwise(1.0) * F.when(F.col("code_mixed"), 0.95).otherwise(1.0)
-    return scores.join(features, "doc_id").select("doc_id", "category", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") * factor)).alias("score"))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score * factor))
+
+
+def adapt_scores(scores: DataFrame, features: DataFrame) -> DataFrame:
+    return scores.join(features, "doc_id").select("doc_id", "category", adapted_of(F.col("score")).alias("score"))
 
 
 def adapt_thresholds(features: DataFrame, review: float = REVIEW, block: float = BLOCK) -> DataFrame:
+    """Adds block_at and review_at, which follow the row's language_confidence and length."""
     c, n = F.col("language_confidence"), F.col("length")
     low = F.when(c < 0.8, (0.8 - c) * 0.1).otherwise(0.0)
     b = block - low + F.when(n < 50, 0.05).when(n > 500, -0.03).otherwise(0.0)
@@ -68,15 +78,19 @@ def adapt_thresholds(features: DataFrame, review: float = REVIEW, block: float =
     return features.withColumn("block_at", b).withColumn("review_at", r)
 
 
-def decide(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(doc_id, decision, confidence, max_score) under thresholds that follow each document."""
-    top = scores.groupBy("doc_id").agg(F.round(F.max("score"), 9).alias("m"))
-    rows = top.join(thresholds, "doc_id")
-    m, b, r = F.col("m"), F.round("block_at", 9), F.round("review_at", 9)
+def decision_of(m: Column) -> list[Column]:
+    """decision and confidence of a largest score, under the thresholds and features of its row."""
+    b, r = F.round("block_at", 9), F.round("review_at", 9)
     decision = F.when(m >= b, "block").when(m >= r, "review").otherwise("allow")
     base = F.when(m >= b, F.least(F.lit(1.0), 0.7 + (m - b) * 2)).when(m >= r, 0.5 + (m - r) / (b - r) * 0.3).otherwise(F.least(F.lit(1.0), 0.6 + (r - m) * 1.5))
     lower = F.when(F.col("language_confidence") < 0.8, 0.9).otherwise(1.0) * F.when(F.col("obfuscated"), 0.95).otherwise(1.0) * F.when(F.col("code_mixed"), 0.92).otherwise(1.0)
-    return rows.select("doc_id", decision.alias("decision"), F.greatest(F.lit(0.1), F.least(F.lit(1.0), base * lower)).alias("confidence"), m.alias("max_score"))
+    return [decision.alias("decision"), F.greatest(F.lit(0.1), F.least(F.lit(1.0), base * lower)).alias("confidence")]
+
+
+def decide(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(doc_id, decision, confidence, max_score) under thresholds that follow each document."""
+    top = scores.groupBy("doc_id").agg(F.round(F.max("score"), 9).alias("m"))
+    return top.join(thresholds, "doc_id").select("doc_id", *decision_of(F.col("m")), F.col("m").alias("max_score"))
 
 
 def decide_static(scores: DataFrame, review: float = REVIEW, block: float = BLOCK, floor: float = FLOOR) -> DataFrame:
@@ -88,12 +102,17 @@ def decide_static(scores: DataFrame, review: float = REVIEW, block: float = BLOC
     return top.select("doc_id", decision.alias("decision"), F.greatest(F.lit(floor), c).alias("confidence"))
 
 
+def grade_of(score: Column, category: Column) -> Column:
+    return (
+        F.when((score >= 0.9) | (category.isin(*K.CRITICAL_CATEGORIES) & (score >= 0.7)), "critical")
+        .when(score >= 0.8, "high").when(score >= 0.6, "medium").otherwise("low")
+    )
+
+
 def severity(scores: DataFrame) -> DataFrame:
     """(doc_id, top_category, severity); of equal scores the alphabetically last category counts."""
     top = scores.groupBy("doc_id").agg(F.max(F.struct(F.round("score", 9).alias("score"), "category")).alias("t"))
-    s, c = F.col("t.score"), F.col("t.category")
-    grade = F.when((s >= 0.9) | (c.isin(*K.CRITICAL_CATEGORIES) & (s >= 0.7)), "critical").when(s >= 0.8, "high").when(s >= 0.6, "medium").otherwise("low")
-    return top.select("doc_id", c.alias("top_category"), grade.alias("severity"))
+    return top.select("doc_id", F.col("t.category").alias("top_category"), grade_of(F.col("t.score"), F.col("t.category")).alias("severity"))
 
 
 def consolidate_spans(spans: DataFrame, overlap: float = 0.3, most: int = 10) -> DataFrame:

@@ -1,18 +1,26 @@
 """Lexicon, pattern and emoji matching over a corpus, and folding of the spans found.
 
 Lexicons are dimension tables of bounded size: they are built from the fixed values or
-from tables the caller gives, and joined by broadcast only up to ``MOST_BROADCAST`` rows.
+from tables the caller gives, and joined by broadcast only up to ``MOST_BROADCAST`` rows;
+up to ``MOST_INLINE`` terms are a constant of the plan and need no join.
 Spans are long tables (doc_id, start, end, text, category, confidence, rule_source).
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
+from textwarden.operators.normalize import let
 
 MOST_BROADCAST = 50_000
+#: Terms that are tried on each text one by one; a longer lexicon is joined by its terms' first letters.
+MOST_INLINE = 1_000
+FIRST = 3
+FOUND = "array<struct<m:string,start:int,end:int>>"
 SPAN = ("doc_id", "start", "end", "text", "category", "severity", "confidence", "rule_source")
 
 
@@ -60,34 +68,99 @@ def starts_of(text: Column, term: Column) -> Column:
         (acc["at"] + F.length(p) + F.length(term)).alias("at"),
         F.concat(acc["out"], F.array(acc["at"] + F.length(p))).alias("out"),
     )
-    folded = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
-    return F.slice(folded, 1, F.size(parts) - 1)
+    folded = lambda ps: F.aggregate(ps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: F.slice(acc["out"], 1, F.size(ps) - 1))
+    return let(parts, folded)
+
+
+def found_in(text: Column, pattern: str, keep=None) -> Column:
+    """Array of (m, start, end): a text's matches of a pattern with their code-point offsets.
+
+    The matches and the gaps between them are walked once; ``keep`` says of a match
+    whether it is wanted.
+    """
+    none = F.array().cast(FOUND)
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["m"])
+        grown = F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), start.alias("start"), end.alias("end"))))
+        return F.struct(end.alias("at"), (grown if keep is None else F.when(keep(x["m"]), grown).otherwise(acc["out"])).alias("out"))
+
+    def walked(all_: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(all_))
+        pairs = F.zip_with(all_, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap")))
+        return F.when(F.size(all_) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walked)
+
+
+def span_of(start: Column, end: Column, text: Column, category: Column, severity: Column, confidence: Column, rule_source: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in zip(SPAN[1:], (start, end, text, category, severity, confidence, rule_source), strict=True)])
+
+
+def inline_terms(lexicon: DataFrame) -> Column | None:
+    """The lexicon as a constant array, or null if it has more than MOST_INLINE terms."""
+    names = ("lang", "term", "category", "severity", "weight")
+    rows = lexicon.select(*names).where("term <> ''").limit(MOST_INLINE + 1).collect()
+    if len(rows) > MOST_INLINE:
+        return None
+    return F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), "array<struct<lang:string,term:string,category:string,severity:string,weight:double>>")
+
+
+def term_spans_of(text: Column, low: Column, terms: Column, lang: Column | None = None, whole_word: bool = False) -> Column:
+    """Array of spans of one text (``low``: lower-cased) for every term it holds."""
+    held = lambda low: F.filter(terms, lambda t: F.contains(low, t["term"]) if lang is None else (t["lang"] == lang) & F.contains(low, t["term"]))
+
+    def starts(t: Column) -> Column:
+        every = starts_of(low, t["term"])
+        if not whole_word:
+            return every
+        before = lambda s: F.substring(low, s, F.lit(1))
+        after = lambda s: F.substring(low, s + F.length(t["term"]) + 1, F.lit(1))
+        word = r"[\p{L}\p{N}]"
+        return F.filter(every, lambda s: ~((s > 0) & before(s).rlike(word)) & ~after(s).rlike(word))
+
+    def spans(t: Column) -> Column:
+        n = F.length(t["term"])
+        source = F.concat(F.lit("lexicon:"), t["lang"], F.lit(":"), t["term"])
+        return F.transform(starts(t), lambda s: span_of(s, s + n, F.substring(text, s + 1, n), t["category"], t["severity"], t["weight"], source))
+
+    return F.flatten(F.transform(let(low, held), spans))
+
+
+def first_letters(low: Column, sizes: list[int]) -> Column:
+    """Every run of so many characters in a text, once."""
+    runs = [F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    return F.array_distinct(F.concat(*runs))
+
+
+def term_candidates(docs: DataFrame, low: Column, lexicon: DataFrame) -> DataFrame:
+    """(docs' columns, low, terms): the terms whose first letters occur in a text, by an equi-join.
+
+    The work for a text follows its own length and the terms that begin as it does
+    somewhere, not the length of the lexicon.
+    """
+    terms = lexicon.where("term <> ''").select("lang", "term", "category", "severity", "weight", F.substring("term", 1, FIRST).alias("first"))
+    sizes = sorted(r[0] for r in terms.select(F.length("first")).distinct().collect())  # at most FIRST rows
+    t = F.struct("lang", "term", "category", "severity", "weight").alias("t")
+    per_key = terms.groupBy("first").agg(F.collect_list(t).alias("ts"))
+    rows = docs.withColumn("low", low)
+    rows = rows.select("*", F.explode(first_letters(F.col("low"), sizes)).alias("first")).join(bounded(per_key), "first")
+    held = F.filter("ts", lambda x: F.contains(F.col("low"), x["term"])).alias("terms")
+    return rows.select(*docs.columns, "low", held).where("size(terms) > 0")
 
 
 def match_terms(docs: DataFrame, lexicon: DataFrame, whole_word: bool = False, lang_scoped: bool = False) -> DataFrame:
     """Every occurrence of every term as a case-insensitive substring, as spans."""
-    low = docs.select("doc_id", "lang", "text", F.lower("text").alias("low"))
-    terms = lexicon.select(F.col("lang").alias("term_lang"), "term", "category", "severity", "weight")
-    on = F.contains(F.col("low"), F.col("term"))
-    if lang_scoped:
-        on = on & (F.col("lang") == F.col("term_lang"))
-    hits = low.join(bounded(terms), on)
-    rows = hits.withColumn("start", F.explode(starts_of(F.col("low"), F.col("term"))))
-    out = rows.select(
-        "doc_id",
-        "start",
-        (F.col("start") + F.length("term")).alias("end"),
-        F.expr("substring(text, start + 1, length(term))").alias("text"),
-        "category",
-        "severity",
-        F.col("weight").alias("confidence"),
-        F.concat(F.lit("lexicon:"), "term_lang", F.lit(":"), "term").alias("rule_source"),
-        F.expr("substring(low, start, 1)").alias("before"),
-        F.expr("substring(low, start + length(term) + 1, 1)").alias("after"),
-    )
-    if whole_word:
-        out = out.where(~((F.col("start") > 0) & F.col("before").rlike(r"[\p{L}\p{N}]")) & ~F.col("after").rlike(r"[\p{L}\p{N}]"))
-    return out.select(*SPAN)
+    rows, low = docs.select("doc_id", "lang", "text"), F.lower("text")
+    terms = inline_terms(lexicon)
+    if terms is None:
+        rows = term_candidates(rows, low, lexicon)
+        terms = F.col("terms")
+    else:
+        rows = rows.withColumn("low", low)
+    found = term_spans_of(F.col("text"), F.col("low"), terms, F.col("lang") if lang_scoped else None, whole_word)
+    return rows.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
 
 
 def pattern_counts(docs: DataFrame, patterns: tuple = K.LEXICON_PATTERNS) -> DataFrame:
@@ -103,26 +176,27 @@ def pattern_counts(docs: DataFrame, patterns: tuple = K.LEXICON_PATTERNS) -> Dat
     return rows.select("doc_id", F.explode(F.array(*found)).alias("f")).select("doc_id", "f.*").where("n > 0")
 
 
+def pattern_spans_of(text: Column, patterns: tuple = K.LEXICON_PATTERNS) -> Column:
+    """Array of spans of one text for every match of every pattern; offsets follow the matches through the text."""
+    span = lambda lang, p, c, s, w: lambda m: span_of(m["start"], m["end"], m["m"], F.lit(c), F.lit(s), F.lit(w), F.lit(f"pattern:{lang}:{p}"))
+    return F.concat(*[F.transform(found_in(text, "(?i)" + p), span(lang, p, c, s, w)) for lang, p, c, s, w in patterns])
+
+
 def match_patterns(docs: DataFrame, patterns: tuple = K.LEXICON_PATTERNS) -> DataFrame:
-    """Every match of every pattern as a span; offsets follow the matches through the text."""
-    parts = []
-    for lang, p, c, s, w in patterns:
-        rows = docs.where(F.col("text").rlike("(?i)" + p))
-        found = F.regexp_extract_all("text", F.lit("(?i)" + p), F.lit(0))
-        rows = rows.select("doc_id", "text", F.posexplode(found).alias("k", "m"), F.split("text", "(?i)" + p, -1).alias("parts"), found.alias("all"))
-        start = F.aggregate(F.slice("parts", 1, F.col("k") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(
-            F.slice("all", 1, F.col("k")), F.lit(0), lambda a, x: a + F.length(x)
-        )
-        parts.append(
-            rows.select(
-                "doc_id", start.alias("start"), (start + F.length("m")).alias("end"), F.col("m").alias("text"), F.lit(c).alias("category"),
-                F.lit(s).alias("severity"), F.lit(w).alias("confidence"), F.lit(f"pattern:{lang}:{p}").alias("rule_source"),
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every match of every pattern as a span."""
+    rows = docs.where(F.col("text").rlike("(?i)" + "|".join(p for _, p, *_ in patterns)))
+    return rows.select("doc_id", F.explode(pattern_spans_of(F.col("text"), patterns)).alias("s")).select("doc_id", "s.*")
+
+
+def category_scores_of(spans: Column) -> Column:
+    """Array of (category, score): mean weight of a category's spans, at most 1."""
+
+    def one(c: Column) -> Column:
+        own = F.filter(spans, lambda s: s["category"] == c)
+        total = F.aggregate(own, F.lit(0.0), lambda a, s: a + s["confidence"])
+        return F.struct(c.alias("category"), F.least(total / F.size(own), F.lit(1.0)).alias("score"))
+
+    return F.transform(F.array_distinct(F.transform(spans, lambda s: s["category"])), one)
 
 
 def match_fuzzy(docs: DataFrame, lexicon: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -133,15 +207,16 @@ def match_fuzzy(docs: DataFrame, lexicon: DataFrame, threshold: float = 0.8) ->
     """
     words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("length(word) >= 3")
     per_doc = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    letters = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+    letters = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)))
     # (jaccard + ratio) / 2 >= t needs a ratio of at least 2t - 1
     ratio = 2 * threshold - 1
-    terms = lexicon.where("length(term) >= 3").select("term", "category", "severity", "weight", F.length("term").alias("m"))
+    terms = lexicon.where("length(term) >= 3").select("term", "category", "severity", "weight", F.length("term").alias("m"), letters("term").alias("b"))
     lengths = F.explode(F.sequence(F.ceil(F.col("m") * ratio - 1e-9).cast("int"), F.floor(F.col("m") / ratio + 1e-9).cast("int")))
     terms = terms.withColumn("len", lengths)
-    unique = per_doc.select("word").distinct().withColumn("len", F.length("word"))
-    both = unique.join(bounded(terms), "len").withColumn("a", letters("word")).withColumn("b", letters("term"))
-    jaccard = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
+    # letters are found once for a word and once for a term; a pair costs one intersection
+    unique = per_doc.select("word").distinct().select("word", F.length("word").alias("len"), letters("word").alias("a"))
+    both = unique.join(bounded(terms), "len").withColumn("common", F.size(F.array_intersect("a", "b")))
+    jaccard = F.col("common") / (F.size("a") + F.size("b") - F.col("common"))
     both = both.withColumn("similarity", (jaccard + F.least("len", "m") / F.greatest("len", "m")) / 2)
     near = both.where((F.col("similarity") >= threshold) & (F.col("word") != F.col("term")))
     out = per_doc.join(near, "word")
@@ -160,9 +235,14 @@ def match_emoji(docs: DataFrame, emoji: DataFrame, split_runs: bool = False) ->
 
 
 def match_kaomoji(docs: DataFrame, emoji: DataFrame) -> DataFrame:
-    signs = emoji.where("kind = 'kaomoji'").select("sign", "category", "severity", F.col("weight").alias("confidence"))
-    hits = docs.join(bounded(signs), F.contains(F.col("text"), F.col("sign")))
-    return hits.select("doc_id", "sign", "category", "severity", "confidence", F.explode(starts_of(F.col("text"), F.col("sign"))).alias("start"))
+    """(doc_id, sign, category, severity, confidence, start) of every kaomoji of the table, matched as literal terms."""
+    signs = emoji.where("kind = 'kaomoji'").select(F.lit("kaomoji").alias("lang"), F.col("sign").alias("term"), "category", "severity", "weight")
+    rows, terms, text = docs.select("doc_id", "text"), inline_terms(signs), F.col("text")
+    if terms is None:
+        rows = term_candidates(rows, text, signs)
+        terms = F.col("terms")
+    found = rows.select("doc_id", F.explode(term_spans_of(text, text, terms)).alias("s"))
+    return found.select("doc_id", F.col("s.text").alias("sign"), "s.category", "s.severity", "s.confidence", "s.start")
 
 
 def match_emoji_combinations(docs: DataFrame) -> DataFrame:
@@ -243,7 +323,11 @@ def emoji_context(matches: DataFrame, docs: DataFrame, window: int = 10) -> Data
 
 def match_transliterated(native: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, roman, term, category, severity, confidence, rule_source): lexicon terms in transliterated words (doc_id, roman, native)."""
-    terms = lexicon.select(F.col("lang").alias("term_lang"), "term", "category", "severity", F.col("weight").alias("confidence"))
-    hits = native.join(bounded(terms), F.contains(F.col("native"), F.col("term")))
+    rows, terms = native.select("doc_id", "roman", "native"), inline_terms(lexicon)
+    if terms is None:
+        rows = term_candidates(rows, F.col("native"), lexicon)
+        terms = F.col("terms")
+    held = F.filter(terms, lambda t: F.contains(F.col("native"), t["term"]))
+    hits = rows.select("doc_id", "roman", F.explode(held).alias("t")).select("doc_id", "roman", F.col("t.lang").alias("term_lang"), "t.term", "t.category", "t.severity", F.col("t.weight").alias("confidence"))
     source = F.concat(F.lit("lexicon:"), "term_lang", F.lit(":"), "term", F.lit(":transliterated:"), "roman")
     return hits.select("doc_id", "roman", "term", "category", "severity", "confidence", source.alias("rule_source"))

@@ -9,6 +9,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over all cores if its files make fewer tasks than there are cores.
+
+    One file of one row group is one task, however costly the work on its rows is.  A
+    large input has more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def sql_text(value: object) -> str:
     """A Python value as a SQL literal."""
     if value is None:

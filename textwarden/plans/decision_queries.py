@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from textwarden import constants as K
 from textwarden.operators import decide, matching, scores
 from textwarden.plans.common import sql_text, table, values
-from textwarden.plans.match_queries import SCORES, SPANS, docs, terms
+from textwarden.operators.context import QUOTE_SHARE
+from textwarden.plans.match_queries import PARTS as CUE_PARTS
+from textwarden.plans.match_queries import QUOTED, SAFE, SCORES, SPANS, SQL_SAFE, SQL_SAFE_DOC, TOUCHED, docs, located, sql_quotes, terms
 from textwarden.plans.moderate import moderate_corpus
 
 Q: dict = {}
@@ -204,14 +206,23 @@ SELECT doc_id, CASE WHEN m >= 0.85 THEN 'block' WHEN m >= 0.7 THEN 'review' ELSE
 SEVERITY = f"""sev AS (SELECT doc_id, c AS top_category, CASE WHEN s >= 0.9 OR (c IN ({', '.join(map(sql_text, K.CRITICAL_CATEGORIES))}) AND s >= 0.7) THEN 'critical' WHEN s >= 0.8 THEN 'high' WHEN s >= 0.6 THEN 'medium' ELSE 'low' END AS severity
   FROM (SELECT doc_id, max(round(score, 9)) AS s, arg_max(category, (round(score, 9), category)) AS c FROM scores GROUP BY doc_id))"""
 Q["h9_severity"] = (lambda s, d: decide.severity(lexical(s, d)), f"WITH {SCORES}, {SEVERITY} SELECT * FROM sev")
-Q["h10_consolidate_spans"] = (lambda s, d: decide.consolidate_spans(terms(s, d)), None)
+MERGED = f"""{SPANS}, folded AS (SELECT doc_id, unnest(list_reduce(list_transform(list_sort(l), lambda x: [x]), lambda acc, x: CASE
+  WHEN (least(acc[-1].fin, x[1].fin) - greatest(acc[-1].start, x[1].start))::DOUBLE / least(acc[-1].fin - acc[-1].start, x[1].fin - x[1].start) >= 0.3
+  THEN acc[:-2] || [{{'start': least(acc[-1].start, x[1].start), 'fin': greatest(acc[-1].fin, x[1].fin), 'text': CASE WHEN length(x[1].text) > length(acc[-1].text) THEN x[1].text ELSE acc[-1].text END,
+    'category': CASE WHEN x[1].confidence > acc[-1].confidence THEN x[1].category ELSE acc[-1].category END, 'confidence': (acc[-1].confidence + x[1].confidence) / 2}}]
+  ELSE acc || x END)) AS s FROM (SELECT doc_id, list({{'start': start, 'fin': "end", 'text': text, 'category': category, 'confidence': confidence}}) AS l FROM spans GROUP BY doc_id))"""
+Q["h10_consolidate_spans"] = (
+    lambda s, d: rounded(decide.consolidate_spans(terms(s, d)), "confidence"),
+    f"""WITH {MERGED} SELECT doc_id, s.start, s.fin AS "end", s.text, s.category, round(s.confidence, 6) AS confidence FROM folded
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s.confidence DESC, s.start, s.fin, s.text, s.category) <= 10""",
+)
 lengths = lambda s, d: docs(s, d).select("doc_id", F.length("text").alias("length"))
 HYBRID = "confidence * (0.7 + 0.3 * coalesce(w, 0.5)) * (1 + 0.05 * (1 - start / nullif(length(d.text), 0))) * least(1.2, 1 + (\"end\" - start - 5) * 0.01)"
 CATW = values([(c, v[2]) for c, v in K.CATEGORY_HEAD.items()], "category", "w")
 Q["h11_rank_spans"] = (
-    lambda s, d: decide.rank_spans(terms(s, d), lengths(s, d), "hybrid").where("rank <= 3").select("doc_id", "start", "end", "rule_source", "rank"),
+    lambda s, d: decide.rank_spans(terms(s, d), lengths(s, d), "hybrid").select("doc_id", "start", "end", "rule_source", "rank"),
     f"""WITH {SPANS} SELECT doc_id, start, "end", rule_source, rank FROM (SELECT s.doc_id, start, "end", rule_source, row_number() OVER (PARTITION BY s.doc_id ORDER BY round({HYBRID}, 9) DESC, start, "end", rule_source)::INTEGER AS rank
-FROM spans s JOIN documents d USING (doc_id) LEFT JOIN (SELECT * FROM {CATW}) USING (category)) WHERE rank <= 3""",
+FROM spans s JOIN documents d USING (doc_id) LEFT JOIN (SELECT * FROM {CATW}) USING (category))""",
 )
 
 
@@ -270,4 +281,24 @@ Q["h21_build_response"] = (
     f"""WITH {DECIDED}, {SEVERITY}, c AS (SELECT doc_id, string_agg(category, ',' ORDER BY category) AS categories FROM scores WHERE score > 0.5 GROUP BY doc_id)
 SELECT doc_id, decision, round(confidence, 6) AS confidence, severity, coalesce(categories, '') AS categories FROM dec JOIN sev USING (doc_id) LEFT JOIN c USING (doc_id)""",
 )
-Q["h22_moderate_corpus"] = (lambda s, d: rounded(moderate_corpus(s, docs(s, d)), "confidence", "max_score"), None)
+#: Every step of the flagship, as joins of long tables: terms and patterns, cues, quotes, contexts, scores, thresholds.
+ALL_SPANS = SPANS.replace("spans AS (", "term_spans AS (", 1) + ", spans AS (SELECT doc_id, start, \"end\", category, confidence FROM term_spans" + "".join(
+    f" UNION ALL SELECT doc_id, start, \"end\", {sql_text(c)}, {w}::DOUBLE FROM {located('(?i)' + p)}" for _, p, c, _, w in K.LEXICON_PATTERNS
+) + "), scores AS (SELECT doc_id, category, least(avg(confidence), 1.0) AS score FROM spans GROUP BY ALL)"
+SHARE = "CASE b[3] " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in QUOTE_SHARE.items()) + " END"
+MODERATED = f"""{ALL_SPANS}, {CUE_PARTS}, {TOUCHED}, {sql_quotes('documents')}, {QUOTED}, {SAFE}, {SQL_SAFE}, {SQL_SAFE_DOC},
+quote_doc AS (SELECT doc_id, max(b[1]) AS quotation, max({SHARE}) AS most FROM quoted GROUP BY doc_id),
+kept AS (SELECT doc_id, category, score * greatest(0.1, (1 - 0.7 * coalesce(neg, 0)) * (1 - coalesce(most, 0) * coalesce(quotation, 0)) * (1 - 0.8 * CASE WHEN category <> 'spam/scam' THEN coalesce(safe, 0) ELSE 0 END)) AS score
+  FROM scores LEFT JOIN neg USING (doc_id) LEFT JOIN quote_doc USING (doc_id) LEFT JOIN safe_doc USING (doc_id)),
+grid AS (SELECT doc_id, unnest({NAMES['category']}) AS category FROM documents),
+{FEATURES.replace("CASE WHEN lang = 'en' THEN 0.9 ELSE 0.6 END AS lc", "1.0 AS lc")},
+cat AS (SELECT doc_id, category, round(greatest(0, least(1, least(1, coalesce(score, 0)) * CASE WHEN obfuscated THEN 1.1 ELSE 1 END * CASE WHEN code_mixed THEN 0.95 ELSE 1 END)), 9) AS score
+  FROM grid LEFT JOIN kept USING (doc_id, category) JOIN feat USING (doc_id)),
+top AS (SELECT doc_id, max(score) AS m, arg_max(category, (score, category)) AS c FROM cat GROUP BY doc_id)"""
+Q["h22_moderate_corpus"] = (
+    lambda s, d: rounded(moderate_corpus(s, docs(s, d)), "confidence", "max_score"),
+    f"""WITH {MODERATED} SELECT doc_id, CASE WHEN m >= round(b, 9) THEN 'block' WHEN m >= round(r, 9) THEN 'review' ELSE 'allow' END AS decision,
+  round(greatest(0.1, least(1, ({ZONE}) * CASE WHEN obfuscated THEN 0.95 ELSE 1 END * CASE WHEN code_mixed THEN 0.92 ELSE 1 END)), 6) AS confidence, round(m, 6) AS max_score, c AS top_category,
+  CASE WHEN m >= 0.9 OR (c IN ({', '.join(map(sql_text, K.CRITICAL_CATEGORIES))}) AND m >= 0.7) THEN 'critical' WHEN m >= 0.8 THEN 'high' WHEN m >= 0.6 THEN 'medium' ELSE 'low' END AS severity
+FROM top JOIN thr USING (doc_id)""",
+)

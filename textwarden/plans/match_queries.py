@@ -6,20 +6,29 @@ from pyspark.sql import functions as F
 
 from textwarden import constants as K
 from textwarden.operators import context, matching
-from textwarden.plans.common import sql_text, table, values
+from textwarden.plans.common import spread, sql_text, table, values
 
 Q: dict = {}
 LEX = values(matching.lexicon_rows(), "lang", "kind", "term", "category", "severity", "weight", "script", "context_required")
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
 
 
 def terms(spark, sf):
     return matching.match_terms(docs(spark, sf), matching.load_lexicon(spark))
 
 
+def located(pattern: str, of: str = "documents") -> str:
+    """SQL: (doc_id, m, gap, start, "end") of a pattern's matches, by running sums over matches and the gaps before them."""
+    p = sql_text(pattern)
+    return f"""(SELECT doc_id, m, g AS gap, (upto - length(m))::INTEGER AS start, upto::INTEGER AS "end" FROM (
+  SELECT doc_id, m, g, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM (
+    SELECT doc_id, unnest(a) AS m, unnest(p[1:len(a)]) AS g, unnest(range(1, len(a) + 1)) AS k FROM (
+      SELECT doc_id, regexp_extract_all(text, {p}) AS a, string_split_regex(text, {p}) AS p FROM {of}))))"""
+
+
 #: The same spans in SQL, as a common table expression.
 SPANS = f"""
 lex AS (SELECT * FROM {LEX}),
@@ -93,7 +102,15 @@ Q["e6_match_emoji_combinations"] = (
     lambda spark, sf: matching.match_emoji_combinations(with_emoji(spark, sf)).select("doc_id", "pattern", "category", "weight"),
     f"WITH {EMOJI_DOCS}, em AS (SELECT * FROM {SQL_EMOJI}) SELECT doc_id, sign AS pattern, category, weight FROM ed JOIN em ON kind = 'combination' AND regexp_matches(text, '(?i)' || sign)",
 )
-Q["e8_dedupe_spans"] = (lambda spark, sf: matching.dedupe_spans(terms(spark, sf)), None)
+DEDUPED = f"""{SPANS}, listed AS (SELECT doc_id, list({{'start': start, 'fin': "end", 'lighter': -confidence, 'text': text, 'category': category, 'severity': severity, 'rule_source': rule_source}}) AS l FROM spans GROUP BY doc_id),
+deduped AS (SELECT doc_id, unnest(list_reduce(list_transform(list_sort(l), lambda x: [x]), lambda acc, x: CASE
+  WHEN len(list_filter(acc, lambda k: k.start < x[1].fin AND x[1].start < k.fin)) = 0 THEN acc || x
+  WHEN x[1].lighter < list_filter(acc, lambda k: k.start < x[1].fin AND x[1].start < k.fin)[1].lighter
+  THEN list_transform(acc, lambda k: CASE WHEN k = list_filter(acc, lambda j: j.start < x[1].fin AND x[1].start < j.fin)[1] THEN x[1] ELSE k END) ELSE acc END)) AS s FROM listed)"""
+Q["e8_dedupe_spans"] = (
+    lambda spark, sf: matching.dedupe_spans(terms(spark, sf)),
+    f"""WITH {DEDUPED} SELECT doc_id, s.start, s.fin AS "end", s.text, s.category, s.severity, -s.lighter AS confidence, s.rule_source FROM deduped""",
+)
 Q["e9_dedupe_exact_spans"] = (
     lambda spark, sf: matching.dedupe_exact_spans(terms(spark, sf)),
     f"""WITH {SPANS} SELECT doc_id, start, "end", text, category, severity, confidence, rule_source FROM (
@@ -109,7 +126,28 @@ Q["e12_rule_traces"] = (
     f"""WITH {SPANS} SELECT doc_id, string_agg(t, chr(10) ORDER BY t) AS traces FROM (
   SELECT DISTINCT doc_id, 'Rule: ' || rule_source || ' -> Category: ' || category || ' -> Weight: ' || format('{{:.2f}}', confidence) AS t FROM spans) GROUP BY doc_id""",
 )
-Q["e13_scan_lexicon_engine"] = (lambda spark, sf: matching.scan_lexicon_engine(docs(spark, sf), matching.load_lexicon(spark))[0], None)
+
+
+def e13(spark, sf):
+    """All three results of the engine, a row for each document that has any."""
+    spans, scores, traces = matching.scan_lexicon_engine(docs(spark, sf), matching.load_lexicon(spark))
+    per_span = spans.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+    line = F.format_string("%s=%.6f", "category", F.round("score", 6))
+    per_score = scores.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("scores"))
+    return per_span.join(per_score, "doc_id").join(traces.select("doc_id", F.array_join("traces", "\n").alias("traces")), "doc_id")
+
+
+PATTERN_SPANS = "".join(f"""
+  UNION ALL SELECT doc_id, start, "end", m, {sql_text(c)}, {sql_text(s)}, {w}::DOUBLE, {sql_text(f'pattern:{lang}:{p}')} FROM {located('(?i)' + p)}""" for lang, p, c, s, w in K.LEXICON_PATTERNS)
+ENGINE = DEDUPED.replace("spans AS (", "term_spans AS (", 1).replace(", listed AS", f', spans AS (SELECT doc_id, start, "end", text, category, severity, confidence, rule_source FROM term_spans{PATTERN_SPANS}), listed AS', 1)
+Q["e13_scan_lexicon_engine"] = (
+    e13,
+    f"""WITH {ENGINE}, a AS (SELECT doc_id, count(*) AS n_spans, sum(s.fin - s.start)::BIGINT AS chars FROM deduped GROUP BY doc_id),
+b AS (SELECT doc_id, string_agg(l, ',' ORDER BY l) AS scores FROM (SELECT doc_id, category || '=' || format('{{:.6f}}', round(least(avg(confidence), 1.0), 6)) AS l FROM spans GROUP BY doc_id, category) GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY t) AS traces FROM (
+  SELECT DISTINCT doc_id, 'Rule: ' || rule_source || ' -> Category: ' || category || ' -> Weight: ' || format('{{:.2f}}', confidence) AS t FROM spans) GROUP BY doc_id)
+SELECT * FROM a JOIN b USING (doc_id) JOIN c USING (doc_id)""",
+)
 Q["e14_search_lexicon"] = (
     lambda spark, sf: terms(spark, sf).join(matching.bounded(matching.search_lexicon(matching.load_lexicon(spark), category="threat/violence", langs=["en"])), "category", "left_semi")
     .groupBy("category", "severity").agg(F.count_distinct("doc_id").alias("n_docs")),
@@ -125,31 +163,40 @@ Q["e16_emoji_statistics"] = (
     f"WITH {EMOJI_MATCHES} SELECT category, sum(n)::BIGINT AS total, sum(n) FILTER (kind = 'offensive')::BIGINT AS offensive, 0::BIGINT + coalesce(sum(n) FILTER (kind = 'anger'), 0)::BIGINT AS anger, coalesce(sum(n) FILTER (severity = 'high'), 0)::BIGINT AS high FROM m GROUP BY category".replace("sum(n) FILTER (kind = 'offensive')::BIGINT", "coalesce(sum(n) FILTER (kind = 'offensive'), 0)::BIGINT"),
 )
 
-CUE_ONE = {k: p for k, (p, _) in context.CUES.items() if k in ("english", "contraction")}
-Q["f1_negation_cues"] = (
-    lambda spark, sf: context.negation_cues(docs(spark, sf).where("lang = 'en'"), morphological=False).where("kind = 'english'").groupBy("doc_id", F.lower("cue").alias("cue")).agg(F.count("*").alias("n")),
-    f"SELECT doc_id, lower(cue) AS cue, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, {sql_text(CUE_ONE['english'])})) AS cue FROM documents WHERE lang = 'en') GROUP BY ALL",
-)
+NOT_WORD = r"[^\p{L}\p{M}\p{N}_]"
+WORDS = f"(SELECT *, lead(m) OVER w AS next, lead(gap) OVER w AS next_gap, lead(\"end\") OVER w AS next_end FROM {located(context.WORD + '+')} WINDOW w AS (PARTITION BY doc_id ORDER BY start))"
+one_of = lambda words: "(" + ", ".join(sql_text(w) for w in words if " " not in w) + ")"
+#: Cues by the words of a text; the Hindi phrases of several words are left to the tests.
+CUES = f"""
+words AS {WORDS},
+cues AS (
+  SELECT doc_id, 'english' AS kind, m AS cue, start, "end", 0.9::DOUBLE AS confidence FROM words WHERE lower(m) IN {one_of(K.NEGATIONS)}
+  UNION ALL SELECT doc_id, 'hindi', m, start, "end", 0.9::DOUBLE FROM words WHERE lower(m) IN {one_of(K.HINDI_NEGATIONS)}
+  UNION ALL SELECT doc_id, 'contraction', m || next_gap || next, start, next_end, 0.95::DOUBLE FROM words WHERE length(m) > 1 AND lower(m) LIKE '%n' AND next_gap = {sql_text("'")} AND lower(next) = 't'
+  UNION ALL SELECT doc_id, 'prefix', m, start, "end", 0.7::DOUBLE FROM words WHERE regexp_matches(m, '^(?i)(?:{'|'.join(K.NEGATION_PREFIXES)})(?s:.)+$')
+  UNION ALL SELECT doc_id, 'suffix', m, start, "end", 0.7::DOUBLE FROM words WHERE regexp_matches(m, '^(?i)(?s:.)+(?:{'|'.join(K.NEGATION_SUFFIXES)})$'))"""
+PARTS = f"""{CUES},
+scope AS (SELECT doc_id, kind, cue, start AS scope_start, ("end" + least(length(regexp_extract(substring(text, "end" + 1), '^(?:{NOT_WORD}*{context.WORD}+){{0,8}}')),
+          length(regexp_extract(substring(text, "end" + 1), '^[^.!?;,]*'))))::INTEGER AS scope_end, confidence FROM cues JOIN documents USING (doc_id))"""
+TOUCHED = f"""negated AS (SELECT s.doc_id, s.start, s."end", max(c.confidence) AS negation FROM (SELECT DISTINCT doc_id, start, "end" FROM spans) s JOIN scope c ON s.doc_id = c.doc_id AND start <= scope_end AND "end" >= scope_start GROUP BY ALL),
+neg AS (SELECT doc_id, max(negation) AS neg FROM negated GROUP BY doc_id)"""
 
 
 def scopes(spark, sf):
-    return context.negation_scopes(context.negation_cues(docs(spark, sf).where("lang = 'en'"), morphological=False)).where("kind = 'english'")
+    return context.negation_scopes(context.negation_cues(docs(spark, sf)))
 
 
-PARTS = f"""
-cue0 AS (SELECT doc_id, text, regexp_extract_all(text, {sql_text(CUE_ONE['english'])}) AS a, string_split_regex(text, {sql_text(CUE_ONE['english'])}) AS p FROM documents WHERE lang = 'en'),
-cue1 AS (SELECT *, unnest(range(1, len(a) + 1)) AS k FROM cue0),
-cue2 AS (SELECT doc_id, text, a[k] AS cue, (list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(a[1:k-1], lambda x: length(x))), 0))::INTEGER AS start FROM cue1),
-cues AS (SELECT *, start + length(cue) AS "end" FROM cue2),
-scope AS (SELECT doc_id, cue, start AS scope_start, "end" + least(length(regexp_extract(substring(text, "end" + 1), '^(?:\\W*\\w+){{0,8}}')),
-          length(regexp_extract(substring(text, "end" + 1), '^[^.!?;,]*'))) AS scope_end FROM cues)"""
+Q["f1_negation_cues"] = (
+    lambda spark, sf: context.negation_cues(docs(spark, sf)).groupBy("doc_id", "kind", F.lower("cue").alias("cue")).agg(F.count("*").alias("n")),
+    f"WITH {CUES} SELECT doc_id, kind, lower(cue) AS cue, count(*) AS n FROM cues GROUP BY ALL",
+)
 Q["f2_negation_scopes"] = (
-    lambda spark, sf: scopes(spark, sf).select("doc_id", "cue", "scope_start", "scope_end"),
-    f"WITH {PARTS} SELECT doc_id, cue, scope_start, scope_end::INTEGER AS scope_end FROM scope",
+    lambda spark, sf: scopes(spark, sf).select("doc_id", "kind", "cue", "scope_start", "scope_end"),
+    f"WITH {PARTS} SELECT doc_id, kind, cue, scope_start, scope_end FROM scope",
 )
 Q["f3_negated_spans"] = (
     lambda spark, sf: context.negated_spans(terms(spark, sf), scopes(spark, sf)),
-    f'WITH {SPANS}, {PARTS} SELECT DISTINCT s.doc_id, start, "end", 0.9::DOUBLE AS negation FROM spans s JOIN scope c ON s.doc_id = c.doc_id AND start <= scope_end AND "end" >= scope_start',
+    f'WITH {SPANS}, {PARTS}, {TOUCHED} SELECT doc_id, start, "end", negation FROM negated',
 )
 QUOTES = ("\"[^\"]*\"", "'[^']*'", "«[^»]*»", "“[^”]*”")
 Q["f4_direct_quotes"] = (
@@ -174,8 +221,40 @@ def quotes(spark, sf):
     return context.direct_quotes(d).unionByName(context.indirect_quotes(d)).unionByName(context.third_party_references(d))
 
 
-Q["f7_resolve_quotes"] = (lambda spark, sf: context.resolve_quotes(quotes(spark, sf)), None)
-Q["f8_quoted_spans"] = (lambda spark, sf: context.quoted_spans(terms(spark, sf), context.resolve_quotes(quotes(spark, sf))), None)
+def sql_quotes(of: str) -> str:
+    """All quotes of a table of texts, and those that stay when two overlap, folded in order of start."""
+    found = [f"SELECT doc_id, start, \"end\", 'direct' AS quote_type, 0.95::DOUBLE AS confidence FROM {located('(?s)' + q, of)}" for q in QUOTES]
+    for pattern, kind, c in ((REPORTS, "indirect", 0.7), ("(?i)" + "|".join(K.THIRD_PARTY), "reported", 0.6)):
+        found.append(f"SELECT doc_id, start, \"end\", '{kind}', {c}::DOUBLE FROM {located('[^.!?]+', of)} WHERE trim(m) <> '' AND regexp_matches(m, {sql_text(pattern)})")
+    return f"""quotes AS ({' UNION ALL '.join(found)}),
+sorted AS (SELECT doc_id, list(DISTINCT {{'start': start, 'less': -confidence, 'fin': "end", 'quote_type': quote_type}}) AS l FROM quotes GROUP BY doc_id),
+resolved AS (SELECT doc_id, q.start, q.fin AS "end", q.quote_type, -q.less AS confidence FROM (
+  SELECT doc_id, unnest(list_reduce(list_transform(list_sort(l), lambda x: [x]), lambda acc, x: CASE
+    WHEN x[1].start >= acc[-1].fin THEN acc || x WHEN x[1].less < acc[-1].less THEN acc[:-2] || x ELSE acc END)) AS q FROM sorted))"""
+
+
+QUOTED = """quoted AS (SELECT doc_id, start, "end", max((quotation, -qs, quote_type)) AS b FROM (
+  SELECT s.doc_id, s.start, s."end", q.start AS qs, q.quote_type, q.confidence * CASE WHEN s.start >= q.start AND s."end" <= q."end" THEN 1 ELSE 0.8 END AS quotation
+  FROM spans s JOIN resolved q ON s.doc_id = q.doc_id AND s.start < q."end" AND q.start < s."end") GROUP BY ALL)"""
+Q["f7_resolve_quotes"] = (lambda spark, sf: context.resolve_quotes(quotes(spark, sf)), f'WITH {sql_quotes("documents")} SELECT doc_id, start, "end", quote_type, confidence FROM resolved')
+
+
+def with_quotes(spark, sf):
+    """The corpus with a quoted lexicon term put at the end of each text, as it holds hardly any of its own."""
+    return docs(spark, sf).withColumn("text", F.concat("text", F.lit('. He said "you idiot" and left.')))
+
+
+def f8(spark, sf):
+    d = with_quotes(spark, sf)
+    every = context.exploded_quotes(d, context.all_quotes_of)
+    return context.quoted_spans(matching.match_terms(d, matching.load_lexicon(spark)), context.resolve_quotes(every))
+
+
+Q["f8_quoted_spans"] = (
+    f8,
+    f"""WITH qd AS (SELECT * REPLACE (text || '. He said "you idiot" and left.' AS text) FROM documents), {SPANS.replace('FROM documents', 'FROM qd')}, {sql_quotes('qd')}, {QUOTED}
+SELECT doc_id, start, "end", round(b[1], 9) AS quotation, b[3] AS quote_type FROM quoted""",
+)
 
 
 def vocabulary(t):
@@ -207,7 +286,7 @@ def modifiers(spark, sf):
 
 
 MODIFIERS = f"""{SCORES}, {PARTS}, {SAFE}, {SQL_SAFE}, {SQL_SAFE_DOC},
-neg AS (SELECT DISTINCT s.doc_id, 0.9 AS neg FROM spans s JOIN scope c ON s.doc_id = c.doc_id AND start <= scope_end AND "end" >= scope_start),
+{TOUCHED},
 modifiers AS (SELECT doc_id, category, score, greatest(0.1, (1 - 0.7 * coalesce(neg, 0)) * (1 - 0.8 * CASE WHEN category <> 'spam/scam' THEN coalesce(safe, 0) ELSE 0 END)) AS modifier
               FROM scores LEFT JOIN neg USING (doc_id) LEFT JOIN safe_doc USING (doc_id))"""
 Q["f11_context_modifiers"] = (

@@ -2,35 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textwarden import constants as K
 from textwarden.operators import context, decide, matching
+from textwarden.operators.normalize import let
+
+SCORES = "array<struct<category:string,score:double>>"
+
+
+def with_spans(spark: SparkSession, docs: DataFrame, lexicon: DataFrame | None) -> DataFrame:
+    """docs' columns, low and the array ``spans`` of term and pattern matches.
+
+    Spans of a lexicon that is too long for a constant come from a table of matches,
+    gathered by document.
+    """
+    lexicon = lexicon if lexicon is not None else matching.load_lexicon(spark)
+    rows, terms = docs.withColumn("low", F.lower("text")), matching.inline_terms(lexicon)
+    by_pattern = matching.pattern_spans_of(F.col("text"))
+    if terms is not None:
+        return rows.withColumn("spans", F.concat(matching.term_spans_of(F.col("text"), F.col("low"), terms), by_pattern))
+    found = matching.match_terms(docs, lexicon).groupBy("doc_id").agg(F.collect_list(F.struct(*matching.SPAN[1:])).alias("by_term"))
+    rows = rows.join(found, "doc_id", "left")
+    return rows.withColumn("spans", F.concat(F.coalesce("by_term", F.slice(by_pattern, 1, 0)), by_pattern)).drop("by_term")
+
 
+def score_in(scores: Column, category: Column) -> Column:
+    """A category's score in an array of (category, score); 0 if it isn't there."""
+    return F.coalesce(F.get(F.filter(scores, lambda s: s["category"] == category), F.lit(0))["score"], F.lit(0.0))
 
-def moderate_corpus(spark: SparkSession, docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """(doc_id, decision, confidence, severity, top_category, max_score).
+
+def moderate_corpus(spark: SparkSession, docs: DataFrame, lexicon: DataFrame | None = None, classifier: DataFrame | None = None) -> DataFrame:
+    """(doc_id, decision, confidence, severity, top_category, max_score), one row for each row of ``docs``.
 
     Lexicon spans give category scores; negation, quotation and legitimate contexts
-    modify them; text length, script mixing and disguised spelling set the thresholds.
-    ``docs``: (doc_id, text, lang).  All steps are one lazy plan; what is exploded has
-    matched something first.
+    modify them; a classifier's (doc_id, category, score) are weighed in if given; text
+    length, script mixing and disguised spelling set the thresholds.  ``docs``:
+    (doc_id, text, lang).  A document's spans, cues, quotes and scores are arrays of its
+    own row, so without a classifier nothing is shuffled and the corpus is read once.  A
+    null text has no spans and scores 0.
     """
-    docs = docs.select("doc_id", "text", "lang")
-    spans = matching.match_terms(docs, lexicon if lexicon is not None else matching.load_lexicon(spark))
-    spans = spans.unionByName(matching.match_patterns(docs))
-    scores = matching.lpe_category_scores(spans)
-    touched = docs.join(scores.select("doc_id").distinct(), "doc_id", "left_semi")
-    scopes = context.negation_scopes(context.negation_cues(touched, morphological=False))
-    quotes = context.direct_quotes(touched).unionByName(context.indirect_quotes(touched))
-    modifiers = context.context_modifiers(
-        scores,
-        spans,
-        context.negated_spans(spans, scopes),
-        context.quoted_spans(spans, context.resolve_quotes(quotes)),
-        context.safe_context_modifiers(context.safe_contexts(touched)),
+    rows = with_spans(spark, docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang"), lexicon)
+    text, spans = F.col("text"), F.col("spans")
+    touched = lambda c: F.when(F.size(spans) > 0, c)
+    around = F.struct(
+        matching.category_scores_of(spans).alias("lpe"),
+        touched(context.negation_of(text, spans)).alias("negation"),
+        touched(context.quotation_of(text, spans)).alias("quoted"),
+        touched(let(context.safe_contexts_of(F.col("low")), context.safe_of)).alias("safe"),
+    )
+    names = ["doc_id", *decide.features_of(text), F.lit(1.0).alias("language_confidence"), around.alias("around")]
+    parts = ["lpe"]
+    if classifier is None:
+        rows = rows.select(*names)
+    else:
+        own = classifier.groupBy("doc_id").agg(F.collect_list(F.struct("category", "score")).alias("classifier"))
+        rows = rows.select(*names).join(own, "doc_id", "left")
+        parts.append("classifier")
+    weight = sum(decide.WEIGHTS[p] for p in parts)
+
+    def scored(c: Column) -> Column:
+        """The scores of all categories; ``c`` is the row's context, bound once for them."""
+
+        def one(category: Column) -> Column:
+            modifier = context.modifier_of(category, c["negation"], c["quoted"]["quotation"], c["quoted"]["most"], c["safe"])
+            kept = F.when(F.exists(c["lpe"], lambda s: s["category"] == category), modifier).otherwise(1.0)
+            of = {"lpe": c["lpe"], "classifier": F.coalesce("classifier", F.array().cast(SCORES)) if "classifier" in parts else None}
+            total = reduce(Column.__add__, [F.least(F.lit(1.0), score_in(of[p], category) * kept) * decide.WEIGHTS[p] for p in parts])
+            return F.struct(F.round(decide.adapted_of(total / weight), 9).alias("score"), category.alias("category"))
+
+        return F.transform(F.array(*map(F.lit, K.CATEGORIES)), one)
+
+    top = F.array_max(let(F.col("around"), scored)).alias("top")
+    rows = decide.adapt_thresholds(rows.withColumn("top", top))
+    score, category = F.col("top.score"), F.col("top.category")
+    return rows.select(
+        "doc_id",
+        *decide.decision_of(score),
+        score.alias("max_score"),
+        category.alias("top_category"),
+        decide.grade_of(score, category).alias("severity"),
     )
-    parts = decide.apply_modifiers(decide.component_scores(docs, scores), modifiers)
-    combined = decide.combine_scores(parts)
-    thresholds = decide.adapt_thresholds(decide.decision_features(docs))
-    adapted = decide.adapt_scores(combined, decide.decision_features(docs))
-    return decide.decide(adapted, thresholds).join(decide.severity(adapted), "doc_id")

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from textwarden import constants as K
 from textwarden.operators import language, normalize, pii
-from textwarden.plans.common import sql_text, table, values
+from textwarden.plans.common import spread, sql_text, table, values
 
 Q: dict = {}
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
 
 
 def step(name, operator, expression):
