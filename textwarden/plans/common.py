@@ -9,6 +9,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; on a local master without one, a folder of this machine, which is set as such."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if known:
+        return known
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir("/tmp/checkpoints/textwarden")
+    return spark.sparkContext.getCheckpointDir()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt over all cores if its files make fewer tasks than there are cores.
 

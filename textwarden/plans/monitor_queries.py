@@ -37,7 +37,7 @@ FROM documents WHERE trim(text) = '' OR length(trim(text)) > 10000 OR lang NOT I
 
 
 def shared(s):
-    return s.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return shared_folder(s)
 
 
 def a6(s, d):
