@@ -77,6 +77,57 @@ def test_token_files_by_brute_force(spark, library):
     assert token_files.read_documents(token_files.write_segments(df.limit(0))).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 50), min_size=1, max_size=900), st.data())
+def test_reading_some_ids_of_a_segment(values, data):
+    ids = np.array(values, "u4")
+    at = data.draw(st.integers(0, len(ids)))
+    n = data.draw(st.integers(0, len(ids) - at))
+    assert (token_files.unpack(token_files.pack(ids), at, n) == ids[at : at + n]).all()
+
+
+def test_documents_by_the_block_index(spark, library, monkeypatch):
+    rows = [(i % 40, f"{t} {i}") for i, t in enumerate(TEXTS * 3)] + [(None, "no id")]
+    segments = token_files.write_segments(spark.createDataFrame(rows, "doc_id long, text string"))
+    wanted = spark.createDataFrame([(3,), (3,), (17,), (999,), (None,)], "doc_id long")
+    got = sorted((r.doc_id, bytes(r.ids)) for r in token_files.fetch_documents(segments, wanted).collect())
+    want = [(i, np.array([*truth(library, t)[0], 0], "<u4").tobytes()) for i, t in rows if i in (3, 17)]
+    assert got == sorted(want)
+    monkeypatch.setattr(token_files, "MOST_BROADCAST", 0)  # starts are shuffled then
+    again = token_files.read_documents(segments).select("doc_id", "start").collect()
+    monkeypatch.undo()
+    assert sorted(map(str, again)) == sorted(map(str, token_files.read_documents(segments).select("doc_id", "start").collect()))
+
+
+def test_pieces_outlive_a_full_table(library, monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 20)
+    one = token_files.LibraryEncoder(PATH)
+    for k in range(30):
+        for text in [*TEXTS, f"word{k} again, and 'twas \u00e9t\u00e9-{k}!\n\nso"]:
+            assert np.frombuffer(one.encode([text])[0], "<u4").tolist() == truth(library, text)[0]
+
+
+def sums(spark, ledger):
+    return sorted((r.n_docs, r.n_tokens) for r in rollups.totals(spark, ledger).collect())
+
+
+def test_replays_after_folding_and_empty_batches(spark, tmp_path):
+    ledger, small = str(tmp_path / "ledger"), str(tmp_path / "small")
+    batch = lambda b, n: spark.createDataFrame([("s", "en", "t", 1, n, b)], "source string, lang string, tokenizer string, sign long, n_tokens long, batch_id long")
+    rollups.commit(batch(1, 10), ledger)
+    rollups.commit(batch(2, 100), ledger)
+    rollups.compacted(spark, ledger, small, 2)
+    for b, n in ((2, 100), (1, 10)):
+        rollups.commit(batch(b, n), small)
+        assert sums(spark, small) == [(2, 110)]
+    with pytest.raises(Exception, match="folded beyond"):
+        rollups.commit(batch(0, 7), small)
+    rollups.commit(batch(3, 5), small)
+    assert sums(spark, small) == [(3, 115)]
+    rollups.commit(batch(2, 100).where("false"), ledger, [2])
+    assert sums(spark, ledger) == [(1, 10)]
+
+
 def test_rollups_follow_signed_batches(spark, library, tmp_path):
     ledger = str(tmp_path / "ledger")
     rows = [(1, "a b", "s", "en"), (2, "c", None, "en"), (3, None, "s", None), (3, None, "s", None)]

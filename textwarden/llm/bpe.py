@@ -26,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import table
+from textwarden.llm.common import corpus
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces, and pre-tokens, that a Python worker remembers at most.
@@ -250,4 +250,4 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text of ``documents``."""
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(corpus(spark, sf_dir, "documents"))

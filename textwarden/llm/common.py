@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textwarden.plans.common import shared_folder, spread
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -14,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, dealt over all cores where its files make too few tasks for them."""
+    return spread(table(spark, sf_dir, name), {"documents": "doc_id", "pages": "page_id"}[name])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only, as the contracts ask."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -22,17 +29,10 @@ def ascii_lower(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset, as in
-    tests on one machine, a folder of the local machine serves.
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset, and all of
+    Spark runs in one process of this machine, a folder of the local machine serves.
     """
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/textwarden")
-        known = spark.sparkContext.getCheckpointDir()
-    return known
+    return shared_folder(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

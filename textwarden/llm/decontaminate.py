@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import ascii_lower, table, written
+from textwarden.llm.common import ascii_lower, corpus, table, written
 
 WINDOW = 10
 MOST_BROADCAST = 200_000
@@ -192,7 +192,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of all ``documents`` stand in passages of ``benchmark``."""
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(corpus(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 ORACLE = r"""

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import table, written
+from textwarden.llm.common import corpus, written
 
 BANDS, ROWS = 24, 5
 BLOCK, HUBS = 512, 6
@@ -379,7 +379,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicates among all ``documents``."""
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates(corpus(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 ORACLE = r"""

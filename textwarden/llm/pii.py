@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import table
+from textwarden.llm.common import corpus
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -183,4 +183,4 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds personal data in every whole text of ``documents``."""
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(corpus(spark, sf_dir, "documents"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import labelled_sample, table
+from textwarden.llm.common import corpus, labelled_sample, table
 
 MOST_DOCS, MOST_CHARS, AXES, NEAREST = 4_000, 32_000_000, 32, 15
 GOOD = 0.5
@@ -146,7 +146,7 @@ def held_out():
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document; labels of one crc32 class in three are never learned."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = corpus(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs.select("doc_id", "text"), train(docs, labels, ~held_out()))
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")

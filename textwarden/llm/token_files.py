@@ -1,8 +1,8 @@
 """Token ids in files of patched frame-of-reference blocks.
 
-Documents are put in ascending order of doc_id by a range partitioning; each task
-encodes its texts with the tokenizers library, appends the end id to each and writes
-segments of about ``SEGMENT`` ids.  A segment is one binary value in a row of a
+Texts are encoded with the tokenizers library where they are read, with the end id
+after each; their ids are put in ascending order of doc_id by a range partitioning, and
+each task of it writes segments of about ``SEGMENT`` ids.  A segment is one binary value in a row of a
 Parquet file in the shared folder, beside the ids and lengths of its documents, so
 Spark's own commit protocol covers lost executors and any store that Spark reaches
 will do.  Its layout, all little-endian:
@@ -18,17 +18,18 @@ will do.  Its layout, all little-endian:
 
 In each block of 128 ids the minimum is subtracted and the rest is packed at the width
 that ``PERCENTILE`` of the ids need; the ids that need more are in the exception list.
-``starts`` gives random access to blocks.
+``starts`` gives random access to blocks, which ``fetch_documents`` uses.
 
 Defined results: a null text counts as an empty one, which has the end id alone; rows
-of equal doc_id follow each other in the order of their texts; null ids come first;
+of equal doc_id follow each other in the order of their ids; null ids come first;
 other columns don't take part.  An empty table gives no segment and no row.
 """
 
 from __future__ import annotations
 
 import os
-import zlib
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,16 +40,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textwarden.llm.bpe import BLANK_BEFORE_SPACE, VOCABULARY, split_pieces
-from textwarden.llm.common import table, written
+from textwarden.llm.bpe import BLANK_BEFORE_SPACE, VOCABULARY, Encoder, split_pieces
+from textwarden.llm.common import corpus, written
 
 BLOCK, SEGMENT, PERCENTILE, END = 128, 1 << 20, 98, 0
 MAGIC = 0x31524650
-#: Pieces that a Python worker remembers at most, and segments whose places are broadcast at most.
-REMEMBERED, MOST_BROADCAST = 400_000, 1_000_000
+#: Pieces, and pre-tokens, of one generation that a Python worker remembers; segments whose places are broadcast at most.
+REMEMBERED, MOST_BROADCAST = 200_000, 1_000_000
 SEGMENTS = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, segment binary"
 
 
+def little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class LibraryEncoder:
     """The tokenizers library, asked once for each piece of text that comes again and again."""
 
@@ -60,30 +68,56 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        #: Ids of pieces and of pre-tokens, each with the generation before: what is asked for again outlives a full table.
+        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def ask(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [little_endian(e.ids) for e in found]
+
+    @staticmethod
+    def settled(tables: tuple[dict, dict], found: dict[str, bytes]) -> tuple[dict, dict]:
+        """The two generations with ``found`` added; a full young one becomes the old one."""
+        tables[0].update((k, ids) for k, ids in found.items() if len(k) < 64)
+        return ({}, tables[0]) if len(tables[0]) > REMEMBERED else tables
+
+    def pretokens(self, piece: str) -> list[str]:
+        """The pre-tokens of a piece if a plain pattern tells them; else the piece itself."""
+        plain = (piece.isascii() or max(piece) < "\u0180") and not Encoder.ODD_SPACE.search(piece)
+        return Encoder.LATIN.findall(piece) if plain and not any(s in piece for s in self.special) else [piece]
+
+    def ask_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces never met, by their pre-tokens, which repeat more often than pieces do."""
+        cut = list(map(self.pretokens, pieces))
+        young, old = self.words
+        words = dict.fromkeys(w for c in cut for w in c if w not in young)
+        found = {w: old[w] for w in words if w in old}
+        new = [w for w in words if w not in found]
+        found.update(zip(new, self.ask(new), strict=True))
+        ids = [b"".join([found[w] if w in found else young[w] for w in c]) for c in cut]
+        self.words = self.settled(self.words, found)
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, cut, out, gaps, new = self.known, [], [], [], {}
+        young, old = self.pieces
+        cut, out, gaps, new = [], [], [], {}
         for text in texts:
             keys = self.keys(text)
-            got = list(map(known.get, keys))
+            got = list(map(young.get, keys))
             gap = [i for i, ids in enumerate(got) if ids is None] if None in got else ()
             new.update((keys[i], None) for i in gap)
             cut.append(keys)
             out.append(got)
             gaps.append(gap)
-        found = dict(zip(new, self.ask([k[1:] if k[0] == "\n" else " " + k for k in new]), strict=True))
+        found = {k: old[k] for k in new if k in old}
+        asked = [k for k in new if k not in found]
+        found.update(zip(asked, self.ask_pieces([k[1:] if k[0] == "\n" else " " + k for k in asked]), strict=True))
         for keys, got, gap in zip(cut, out, gaps, strict=True):
             for i in gap:
                 got[i] = found[keys[i]]
-        known.update((k, ids) for k, ids in found.items() if len(k) < 64)
+        self.pieces = self.settled(self.pieces, found)
         return [b"".join(got) for got in out]
 
     def keys(self, text: str) -> list[str]:
@@ -146,28 +180,39 @@ def pack(ids: np.ndarray) -> bytes:
     return body + b"\0" * (-len(body) % 8) + words.astype("<u8").tobytes()
 
 
-def unpack(segment: bytes) -> np.ndarray:
-    """The ids of a segment."""
+def unpack(segment: bytes, at: int = 0, count: int | None = None) -> np.ndarray:
+    """``count`` ids of a segment from the one at place ``at`` on; all, unless told otherwise.
+
+    The index of block starts leads to the blocks that hold them; no other is touched.
+    """
     magic, size, n, blocks, patched = np.frombuffer(segment, "<u4", 5).tolist()
     if magic != MAGIC:
         raise ValueError("not a segment of packed ids")
-    at = 20
-
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(segment, kind, count, at)
-        at += out.nbytes
+    count = n - at if count is None else count
+    if at < 0 or count < 0 or at + count > n:
+        raise IndexError("the segment does not hold these ids")
+    low, high = at // size, -(-(at + count) // size)
+    here = 20
+
+    def take(kind: str, total: int, a: int, b: int) -> np.ndarray:
+        nonlocal here
+        item = np.dtype(kind).itemsize
+        out = np.frombuffer(segment, kind, b - a, here + item * a)
+        here += item * total
         return out
 
-    starts, patches, minima = take("<u4", blocks + 1), take("<u4", blocks + 1), take("<u4", blocks)
-    values, widths, places = take("<u4", patched), take("u1", blocks), take("u1", patched)
-    words = np.frombuffer(segment, "<u8", int(starts[-1]), at + -at % 8)
-    rest = np.zeros((blocks, size), "u4")
+    starts, patches = take("<u4", blocks + 1, low, high + 1), take("<u4", blocks + 1, low, high + 1)
+    minima = take("<u4", blocks, low, high)
+    first, last = (int(patches[0]), int(patches[-1])) if len(patches) else (0, 0)
+    values, widths, places = take("<u4", patched, first, last), take("u1", blocks, low, high), take("u1", patched, first, last)
+    base = int(starts[0]) if len(starts) else 0
+    words = np.frombuffer(segment, "<u8", int(starts[-1]) - base if len(starts) else 0, here + -here % 8 + 8 * base)
+    rest = np.zeros((high - low, size), "u4")
     for w in np.unique(widths).tolist():
         if not w:
             continue
         which = np.flatnonzero(widths == w)
-        packed = np.ascontiguousarray(words[starts[:-1][which][:, None] + np.arange(size // 64 * w, dtype="u4")].T)
+        packed = np.ascontiguousarray(words[starts[:-1][which][:, None] - np.uint32(base) + np.arange(size // 64 * w, dtype="u4")].T)
         out = np.empty((size, len(which)), "u4")
         mask = np.uint64((1 << w) - 1)
         for j in range(size):
@@ -177,39 +222,67 @@ def unpack(segment: bytes) -> np.ndarray:
                 v = v | packed[word + 1] << np.uint64(64 - shift)
             out[j] = v & mask
         rest[which] = out.T
-    rest[np.repeat(np.arange(blocks), np.diff(patches.astype("i8"))), places] = values
-    return (rest + minima[:, None]).reshape(-1)[:n]
+    rest[np.repeat(np.arange(high - low), np.diff(patches.astype("i8"))), places] = values
+    return (rest + minima[:, None]).reshape(-1)[at - low * size : at - low * size + count]
+
+
+def encoded(docs: DataFrame, where: str, end_id: int) -> DataFrame:
+    """(doc_id, ids): each text's ids and the end id, in the order of the scan.
+
+    Ids are 16 bits wide if the vocabulary allows it, so that what is shuffled later is
+    small; ``pack`` reads either.
+    """
+    kind = id_type(where, end_id)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one, tail = library_encoder(where), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            ids = []
+            for at in range(0, len(batch), 256):
+                ids += [np.frombuffer(got + tail, "<u4").astype(kind).tobytes() for got in one.encode(batch["text"].iloc[at : at + 256].tolist())]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, ids binary")
+
+
+def id_type(where: str, end_id: int) -> str:
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(where).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
 
 
 def write_segments(docs: DataFrame, path: str | None = None, end_id: int = END) -> DataFrame:
-    """Encodes texts in ascending order of doc_id and writes the files; returns them, read back."""
+    """Encodes texts, puts them in ascending order of doc_id and writes the files; returns them, read back.
+
+    Texts are encoded where they are read and their ids written first, so that neither
+    the sampling of ranges nor a lost shuffle file encodes a text again.
+    """
     where = path or public_tokenizers.path(VOCABULARY)
+    kind = id_type(where, end_id)
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, part = library_encoder(where), TaskContext.get().partitionId()
-        tail = np.array([end_id], "<u4").tobytes()
+        part = TaskContext.get().partitionId()
         ids, docs_, lengths, held, seq = [], [], [], 0, 0
 
         def segment() -> pd.DataFrame:
-            packed = pack(np.frombuffer(b"".join(ids), "<u4"))
+            packed = pack(np.frombuffer(b"".join(ids), kind).astype("u4"))
             return pd.DataFrame({"part": [part], "seq": [seq], "n_ids": [held], "doc_ids": [docs_], "lengths": [lengths], "segment": [packed]})
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.iloc[at : at + 256]
-                for doc, got in zip(some["doc_id"], one.encode(some["text"].tolist()), strict=True):
-                    ids.append(got + tail)
-                    docs_.append(None if pd.isna(doc) else int(doc))
-                    lengths.append(len(got) // 4 + 1)
-                    held += lengths[-1]
-                    if held >= SEGMENT:
-                        yield segment()
-                        ids, docs_, lengths, held, seq = [], [], [], 0, seq + 1
+            for doc, got in zip(batch["doc_id"], batch["ids"], strict=True):
+                ids.append(got)
+                docs_.append(None if pd.isna(doc) else int(doc))
+                lengths.append(len(got) // width)
+                held += lengths[-1]
+                if held >= SEGMENT:
+                    yield segment()
+                    ids, docs_, lengths, held, seq = [], [], [], 0, seq + 1
         if docs_:
             yield segment()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    placed = written(encoded(docs, where, end_id), "token_ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     return written(placed.mapInPandas(run, SEGMENTS), "token_segments")
 
 
@@ -246,7 +319,33 @@ def read_documents(segments: DataFrame) -> DataFrame:
     )
 
 
+def fetch_documents(segments: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents whose ids are in ``wanted`` (doc_id), by the block index.
+
+    Only places of documents are looked through; of a segment only the blocks that hold
+    a wanted document are unpacked.  Repeated rows of a doc_id come back each.
+    """
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in batch.itertuples(index=False):
+                n = np.asarray(s.lengths, "i8")
+                docs = pd.array([None if d is None or d != d else int(d) for d in s.doc_ids], "Int64")
+                yield pd.DataFrame({"part": s.part, "seq": s.seq, "doc_id": docs, "at": np.cumsum(n) - n, "n": n})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in batch.itertuples(index=False):
+                ids = [unpack(s.segment, p["at"], p["n"]).astype("<u4").tobytes() for p in s.found]
+                yield pd.DataFrame({"doc_id": [p["doc_id"] for p in s.found], "ids": ids})
+
+    every = segments.select("part", "seq", "doc_ids", "lengths").mapInPandas(places, "part int, seq int, doc_id long, at long, n long")
+    found = every.join(wanted.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
+    by_segment = found.groupBy("part", "seq").agg(F.collect_list(F.struct("doc_id", "at", "n")).alias("found"))
+    return segments.select("part", "seq", "segment").join(by_segment, ["part", "seq"]).select("segment", "found").mapInPandas(read, "doc_id long, ids binary")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of all ``documents`` and says where each document's ids are in the files."""
-    back = read_documents(write_segments(table(spark, sf_dir, "documents")))
+    back = read_documents(write_segments(corpus(spark, sf_dir, "documents")))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import labelled_sample, table
+from textwarden.llm.common import corpus, labelled_sample, table
 
 MOST_DOCS, MOST_CHARS, MOST_FEATURES, LEAST_DOCS = 12_000, 64_000_000, 20_000, 4
 STEPS, RATE, SHRINK = 150, 0.15, 2e-4
@@ -202,7 +202,7 @@ def offending_sentences(docs: DataFrame, model: Model, least: float = FLAGGED) -
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document; labels of one crc32 class in four are never learned."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = corpus(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     scored = score(docs.select("doc_id", "text"), train(docs, labels, ~held))
     return scored.select(
