@@ -86,6 +86,22 @@ def test_reading_some_ids_of_a_segment(values, data):
     assert (token_files.unpack(token_files.pack(ids), at, n) == ids[at : at + n]).all()
 
 
+def test_files_of_several_ranges(spark, library, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE", 400)
+    monkeypatch.setattr(token_files, "SEGMENT", 60)
+    rows = [(i * 37 % 101, f"text number {i} of many") for i in range(150)] + [(None, "x"), (None, None), (5, "again")]
+    segments = token_files.write_segments(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    assert segments.select("part").distinct().count() > 4 and segments.where("seq > 0").count()
+    got = [(r.doc_id, r.start, zlib.crc32(r.ids)) for r in token_files.read_documents(segments).orderBy("start").collect()]
+    at, want = 0, []
+    own = [(-1 if i is None else i, np.array([*truth(library, t or "")[0], 0], "<u2").tobytes()) for i, t in rows]
+    for doc, ids in sorted(own):
+        want.append((None if doc < 0 else doc, at, zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())))
+        at += len(ids) // 2
+    assert got == want
+    segments.unpersist()
+
+
 def test_documents_by_the_block_index(spark, library, monkeypatch):
     rows = [(i % 40, f"{t} {i}") for i, t in enumerate(TEXTS * 3)] + [(None, "no id")]
     segments = token_files.write_segments(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -99,7 +115,7 @@ def test_documents_by_the_block_index(spark, library, monkeypatch):
     assert sorted(map(str, again)) == sorted(map(str, token_files.read_documents(segments).select("doc_id", "start").collect()))
 
 
-def test_pieces_outlive_a_full_table(library, monkeypatch):
+def test_pretokens_outlive_a_full_table(library, monkeypatch):
     monkeypatch.setattr(token_files, "REMEMBERED", 20)
     one = token_files.LibraryEncoder(PATH)
     for k in range(30):

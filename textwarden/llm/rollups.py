@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from textwarden.llm.bpe import VOCABULARY
 from textwarden.llm.common import corpus, shared_dir, written
-from textwarden.llm.token_files import library_encoder
+from textwarden.llm.token_files import library_encoder, uncollected
 
 KEYS = ("source", "lang", "tokenizer")
 COUNTED = "doc_id long, source string, lang string, tokenizer string, n_tokens long"
@@ -46,9 +46,10 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     @F.pandas_udf("long")
     def bpe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = library_encoder(where)
-        for texts in batches:
-            sizes = [len(ids) // 4 for at in range(0, len(texts), 256) for ids in one.encode(texts.iloc[at : at + 256].tolist())]
-            yield pd.Series(sizes, dtype="i8")
+        with uncollected():
+            for texts in batches:
+                sizes = [len(ids) // 4 for at in range(0, len(texts), 256) for ids in one.encode(texts.iloc[at : at + 256].tolist())]
+                yield pd.Series(sizes, dtype="i8")
 
     text = F.coalesce("text", F.lit(""))
     words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")

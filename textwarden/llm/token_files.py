@@ -1,8 +1,8 @@
 """Token ids in files of patched frame-of-reference blocks.
 
 Texts are encoded with the tokenizers library where they are read, with the end id
-after each; their ids are put in ascending order of doc_id by a range partitioning, and
-each task of it writes segments of about ``SEGMENT`` ids.  A segment is one binary value in a row of a
+after each; the ids are dealt to ranges of doc_id whose bounds are known beforehand and
+sorted, and each task of that shuffle writes segments of about ``SEGMENT`` ids.  A segment is one binary value in a row of a
 Parquet file in the shared folder, beside the ids and lengths of its documents, so
 Spark's own commit protocol covers lost executors and any store that Spark reaches
 will do.  Its layout, all little-endian:
@@ -27,26 +27,29 @@ other columns don't take part.  An empty table gives no segment and no row.
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textwarden.llm.bpe import BLANK_BEFORE_SPACE, VOCABULARY, Encoder, split_pieces
+from textwarden.llm.bpe import VOCABULARY, Encoder, split_pieces
 from textwarden.llm.common import corpus, written
 
 BLOCK, SEGMENT, PERCENTILE, END = 128, 1 << 20, 98, 0
 MAGIC = 0x31524650
-#: Pieces, and pre-tokens, of one generation that a Python worker remembers; segments whose places are broadcast at most.
-REMEMBERED, MOST_BROADCAST = 200_000, 1_000_000
+#: Pre-tokens of one generation that a Python worker remembers; segments whose places are broadcast at most.
+REMEMBERED, MOST_BROADCAST = 400_000, 1_000_000
+#: Bytes of text that one range of documents is to hold.
+RANGE = 32 << 20
 SEGMENTS = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, segment binary"
 
 
@@ -68,74 +71,49 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        #: Ids of pieces and of pre-tokens, each with the generation before: what is asked for again outlives a full table.
-        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        #: Ids of pre-tokens, and of those of the generation before: what is asked for again outlives a full table.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ask(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [little_endian(e.ids) for e in found]
 
-    @staticmethod
-    def settled(tables: tuple[dict, dict], found: dict[str, bytes]) -> tuple[dict, dict]:
-        """The two generations with ``found`` added; a full young one becomes the old one."""
-        tables[0].update((k, ids) for k, ids in found.items() if len(k) < 64)
-        return ({}, tables[0]) if len(tables[0]) > REMEMBERED else tables
-
-    def pretokens(self, piece: str) -> list[str]:
-        """The pre-tokens of a piece if a plain pattern tells them; else the piece itself."""
-        plain = (piece.isascii() or max(piece) < "\u0180") and not Encoder.ODD_SPACE.search(piece)
-        return Encoder.LATIN.findall(piece) if plain and not any(s in piece for s in self.special) else [piece]
-
-    def ask_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces never met, by their pre-tokens, which repeat more often than pieces do."""
-        cut = list(map(self.pretokens, pieces))
-        young, old = self.words
-        words = dict.fromkeys(w for c in cut for w in c if w not in young)
-        found = {w: old[w] for w in words if w in old}
-        new = [w for w in words if w not in found]
-        found.update(zip(new, self.ask(new), strict=True))
-        ids = [b"".join([found[w] if w in found else young[w] for w in c]) for c in cut]
-        self.words = self.settled(self.words, found)
-        return ids
+    def pretokens(self, text: str) -> list[str]:
+        """The pre-tokens of a text if a plain pattern tells them, else pieces, or the text itself."""
+        if any(s in text for s in self.special):
+            return [text]  # the library itself finds the special tokens of the text
+        if (text.isascii() or max(text) < "\u0180") and not Encoder.ODD_SPACE.search(text):
+            return Encoder.LATIN.findall(text)
+        return split_pieces(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        young, old = self.pieces
-        cut, out, gaps, new = [], [], [], {}
-        for text in texts:
-            keys = self.keys(text)
-            got = list(map(young.get, keys))
-            gap = [i for i, ids in enumerate(got) if ids is None] if None in got else ()
-            new.update((keys[i], None) for i in gap)
-            cut.append(keys)
-            out.append(got)
-            gaps.append(gap)
-        found = {k: old[k] for k in new if k in old}
-        asked = [k for k in new if k not in found]
-        found.update(zip(asked, self.ask_pieces([k[1:] if k[0] == "\n" else " " + k for k in asked]), strict=True))
-        for keys, got, gap in zip(cut, out, gaps, strict=True):
-            for i in gap:
-                got[i] = found[keys[i]]
-        self.pieces = self.settled(self.pieces, found)
-        return [b"".join(got) for got in out]
-
-    def keys(self, text: str) -> list[str]:
-        """The pieces of a text, as keys: without their blank, or after a line end if they have none.
-
-        A piece with a blank goes on with a non-space character, so no two pieces share a key.
-        """
-        if any(s in text for s in self.special):
-            return ["\n" + text]  # the library itself finds the special tokens of the text
-        if not text:
-            return []
-        if BLANK_BEFORE_SPACE.search(text):
-            return [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else "\n" + p for p in split_pieces(text)]
-        keys = text.split(" ")
-        if keys[0]:
-            keys[0] = "\n" + keys[0]
-            return keys
-        return keys[1:]
+        young, old, new = self.young, self.old, {}
+        cut = [self.pretokens(text) if text else [] for text in texts]
+        out = [list(map(young.get, words)) for words in cut]
+        for words, got in zip(cut, out, strict=True):
+            if None in got:
+                new.update((w, None) for w, ids in zip(words, got, strict=True) if ids is None)
+        found = {w: old[w] for w in new if w in old}
+        asked = [w for w in new if w not in found]
+        found.update(zip(asked, self.ask(asked), strict=True))
+        young.update((w, ids) for w, ids in found.items() if len(w) < 64)
+        if len(young) > REMEMBERED:
+            self.young, self.old = {}, young
+        return [b"".join([found[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]) for words, got in zip(cut, out, strict=True)]
+
+
+@contextmanager
+def uncollected():
+    """No cyclic garbage arises while texts are encoded; the collector would only walk the tables over and over."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 @lru_cache(maxsize=2)
@@ -236,14 +214,33 @@ def encoded(docs: DataFrame, where: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, tail = library_encoder(where), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids = []
-            for at in range(0, len(batch), 256):
-                ids += [np.frombuffer(got + tail, "<u4").astype(kind).tobytes() for got in one.encode(batch["text"].iloc[at : at + 256].tolist())]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
+        with uncollected():
+            for batch in batches:
+                ids = []
+                for at in range(0, len(batch), 256):
+                    ids += [np.frombuffer(got + tail, "<u4").astype(kind).tobytes() for got in one.encode(batch["text"].iloc[at : at + 256].tolist())]
+                yield pd.DataFrame({"part": batch["part"], "doc_id": batch["doc_id"], "ids": ids})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, ids binary")
+    return in_ranges(rows).mapInPandas(run, "part int, doc_id long, ids binary")
+
+
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """Adds ``part``: the number of the range of doc_ids, of about RANGE bytes of text each, that a row is in.
+
+    The bounds come from one aggregation over the table, so the texts needn't be
+    encoded, or shuffled, to find them; there are at most four ranges for each shuffle
+    partition.
+    """
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(most, -(-size // RANGE)))
+    shares = F.array(*[F.lit(k / n) for k in range(1, n)])
+    bounds = (rows.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or []) if n > 1 else []
+    below = F.array(*map(F.lit, sorted(set(bounds)))).cast("array<long>")
+    part = F.size(F.filter(below, lambda b: b < F.col("doc_id"))) if len(bounds) else F.lit(0)
+    return rows.select(F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int").alias("part"), "doc_id", "text")
 
 
 def id_type(where: str, end_id: int) -> str:
@@ -255,34 +252,35 @@ def id_type(where: str, end_id: int) -> str:
 def write_segments(docs: DataFrame, path: str | None = None, end_id: int = END) -> DataFrame:
     """Encodes texts, puts them in ascending order of doc_id and writes the files; returns them, read back.
 
-    Texts are encoded where they are read and their ids written first, so that neither
-    the sampling of ranges nor a lost shuffle file encodes a text again.
+    Texts are encoded where they are read; what is shuffled, once, is ids.  A segment
+    holds ids of one range of documents, whichever task gets that range.
     """
     where = path or public_tokenizers.path(VOCABULARY)
     kind = id_type(where, end_id)
     width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        ids, docs_, lengths, held, seq = [], [], [], 0, 0
+        ids, docs_, lengths, held, part, seq = [], [], [], 0, None, 0
 
         def segment() -> pd.DataFrame:
             packed = pack(np.frombuffer(b"".join(ids), kind).astype("u4"))
             return pd.DataFrame({"part": [part], "seq": [seq], "n_ids": [held], "doc_ids": [docs_], "lengths": [lengths], "segment": [packed]})
 
         for batch in batches:
-            for doc, got in zip(batch["doc_id"], batch["ids"], strict=True):
+            for own, doc, got in zip(batch["part"], batch["doc_id"], batch["ids"], strict=True):
+                if own != part or held >= SEGMENT:
+                    if docs_:
+                        yield segment()
+                    seq = seq + 1 if own == part else 0
+                    ids, docs_, lengths, held, part = [], [], [], 0, own
                 ids.append(got)
                 docs_.append(None if pd.isna(doc) else int(doc))
                 lengths.append(len(got) // width)
                 held += lengths[-1]
-                if held >= SEGMENT:
-                    yield segment()
-                    ids, docs_, lengths, held, seq = [], [], [], 0, seq + 1
         if docs_:
             yield segment()
 
-    placed = written(encoded(docs, where, end_id), "token_ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    placed = encoded(docs, where, end_id).repartition("part").sortWithinPartitions("part", "doc_id", "ids")
     return written(placed.mapInPandas(run, SEGMENTS), "token_segments")
 
 
