@@ -17,6 +17,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +28,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import corpus
+from textwarden.llm.common import corpus, uncollected
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces, and pre-tokens, that a Python worker remembers at most.
@@ -38,6 +40,13 @@ ROWS = 256
 CODED = "ids binary, n_tokens long, decoded string"
 
 
+def little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -99,7 +108,9 @@ class Encoder:
         for token, i in self.special.items():
             self.strings[i] = token.encode()
         self.pieces: dict[str, bytes] = {}
+        #: Ids of pre-tokens, and of those of the generation before.
         self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
         self._pretokenizer = None
 
     def merge(self, word: bytes) -> list[int]:
@@ -158,10 +169,10 @@ class Encoder:
         for word in self.pretokens(piece):
             ids = self.words.get(word)
             if ids is None:
-                ids = np.array(self.merge(word), "<u4").tobytes()
+                ids = self.old_words.get(word) or little_endian(self.merge(word))
                 if len(word) < 64:
                     if len(self.words) >= REMEMBERED:
-                        self.words.clear()
+                        self.words, self.old_words = {}, self.words
                     self.words[word] = ids
             out.append(ids)
         return b"".join(out)
@@ -213,14 +224,15 @@ def codec(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = encoder(where)
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                some = batch.iloc[at : at + ROWS]
-                ids = [one.encode(t) for t in some["text"]]
-                out = some.drop(columns="text")
-                out["ids"], out["n_tokens"] = ids, [len(i) // 4 for i in ids]
-                out["decoded"] = [one.decode(i) for i in ids] if decoded else None
-                yield out
+        with uncollected():
+            for batch in batches:
+                for at in range(0, len(batch), ROWS):
+                    some = batch.iloc[at : at + ROWS]
+                    ids = [one.encode(t) for t in some["text"]]
+                    out = some.drop(columns="text")
+                    out["ids"], out["n_tokens"] = ids, [len(i) // 4 for i in ids]
+                    out["decoded"] = [one.decode(i) for i in ids] if decoded else None
+                    yield out
 
     out = rows.mapInPandas(run, ", ".join([*kept, CODED]))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", "n_tokens", "decoded")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
+@contextmanager
+def uncollected():
+    """No cyclic garbage arises while texts are encoded; the collector would only walk the tables over and over."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` in the shared folder and reads it back.
 

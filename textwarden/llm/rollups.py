@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.llm.bpe import VOCABULARY
-from textwarden.llm.common import corpus, shared_dir, written
-from textwarden.llm.token_files import library_encoder, uncollected
+from textwarden.llm.common import corpus, shared_dir, uncollected, written
+from textwarden.llm.token_files import library_encoder
 
 KEYS = ("source", "lang", "tokenizer")
 COUNTED = "doc_id long, source string, lang string, tokenizer string, n_tokens long"

@@ -27,12 +27,8 @@ other columns don't take part.  An empty table gives no segment and no row.
 
 from __future__ import annotations
 
-import gc
 import os
-import sys
-from array import array
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -41,8 +37,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textwarden.llm.bpe import VOCABULARY, Encoder, split_pieces
-from textwarden.llm.common import corpus, written
+from textwarden.llm.bpe import VOCABULARY, Encoder, little_endian, split_pieces
+from textwarden.llm.common import corpus, uncollected, written
 
 BLOCK, SEGMENT, PERCENTILE, END = 128, 1 << 20, 98, 0
 MAGIC = 0x31524650
@@ -53,13 +49,6 @@ RANGE = 32 << 20
 SEGMENTS = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, segment binary"
 
 
-def little_endian(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
 class LibraryEncoder:
     """The tokenizers library, asked once for each piece of text that comes again and again."""
 
@@ -104,18 +93,6 @@ class LibraryEncoder:
         return [b"".join([found[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]) for words, got in zip(cut, out, strict=True)]
 
 
-@contextmanager
-def uncollected():
-    """No cyclic garbage arises while texts are encoded; the collector would only walk the tables over and over."""
-    was = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if was:
-            gc.enable()
-
-
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
