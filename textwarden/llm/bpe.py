@@ -224,15 +224,15 @@ def codec(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = encoder(where)
-        with uncollected():
-            for batch in batches:
-                for at in range(0, len(batch), ROWS):
-                    some = batch.iloc[at : at + ROWS]
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                some = batch.iloc[at : at + ROWS]
+                with uncollected():
                     ids = [one.encode(t) for t in some["text"]]
-                    out = some.drop(columns="text")
-                    out["ids"], out["n_tokens"] = ids, [len(i) // 4 for i in ids]
-                    out["decoded"] = [one.decode(i) for i in ids] if decoded else None
-                    yield out
+                    back = [one.decode(i) for i in ids] if decoded else None
+                out = some.drop(columns="text")
+                out["ids"], out["n_tokens"], out["decoded"] = ids, [len(i) // 4 for i in ids], back
+                yield out
 
     out = rows.mapInPandas(run, ", ".join([*kept, CODED]))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", "n_tokens", "decoded")

@@ -46,10 +46,12 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     @F.pandas_udf("long")
     def bpe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = library_encoder(where)
-        with uncollected():
-            for texts in batches:
-                sizes = [len(ids) // 4 for at in range(0, len(texts), 256) for ids in one.encode(texts.iloc[at : at + 256].tolist())]
-                yield pd.Series(sizes, dtype="i8")
+        for texts in batches:
+            sizes, every = [], texts.tolist()
+            for at in range(0, len(every), 256):
+                with uncollected():
+                    sizes += [len(ids) // 4 for ids in one.encode(every[at : at + 256])]
+            yield pd.Series(sizes, dtype="i8")
 
     text = F.coalesce("text", F.lit(""))
     words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")

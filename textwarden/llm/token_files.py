@@ -43,7 +43,7 @@ from textwarden.llm.common import corpus, uncollected, written
 BLOCK, SEGMENT, PERCENTILE, END = 128, 1 << 20, 98, 0
 MAGIC = 0x31524650
 #: Pre-tokens of one generation that a Python worker remembers; segments whose places are broadcast at most.
-REMEMBERED, MOST_BROADCAST = 400_000, 1_000_000
+REMEMBERED, MOST_BROADCAST = 250_000, 1_000_000
 #: Bytes of text that one range of documents is to hold.
 RANGE = 32 << 20
 SEGMENTS = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, segment binary"
@@ -191,12 +191,12 @@ def encoded(docs: DataFrame, where: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, tail = library_encoder(where), np.array([end_id], "<u4").tobytes()
-        with uncollected():
-            for batch in batches:
-                ids = []
-                for at in range(0, len(batch), 256):
-                    ids += [np.frombuffer(got + tail, "<u4").astype(kind).tobytes() for got in one.encode(batch["text"].iloc[at : at + 256].tolist())]
-                yield pd.DataFrame({"part": batch["part"], "doc_id": batch["doc_id"], "ids": ids})
+        for batch in batches:
+            ids, texts = [], batch["text"].tolist()
+            for at in range(0, len(texts), 256):
+                with uncollected():
+                    ids += [np.frombuffer(got + tail, "<u4").astype(kind).tobytes() for got in one.encode(texts[at : at + 256])]
+            yield pd.DataFrame({"part": batch["part"], "doc_id": batch["doc_id"], "ids": ids})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return in_ranges(rows).mapInPandas(run, "part int, doc_id long, ids binary")
