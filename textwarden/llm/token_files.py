@@ -45,7 +45,7 @@ MAGIC = 0x31524650
 #: Pre-tokens of one generation that a Python worker remembers; segments whose places are broadcast at most.
 REMEMBERED, MOST_BROADCAST = 250_000, 1_000_000
 #: Bytes of text that one range of documents is to hold.
-RANGE = 32 << 20
+RANGE = 16 << 20
 SEGMENTS = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, segment binary"
 
 
@@ -182,7 +182,7 @@ def unpack(segment: bytes, at: int = 0, count: int | None = None) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, where: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): each text's ids and the end id, in the order of the scan.
+    """(part, doc_id, ids): each text's ids and the end id, one partition for each range of doc_ids.
 
     Ids are 16 bits wide if the vocabulary allows it, so that what is shuffled later is
     small; ``pack`` reads either.
@@ -192,18 +192,20 @@ def encoded(docs: DataFrame, where: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, tail = library_encoder(where), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts = [], batch["text"].tolist()
+            texts = batch["text"].tolist()
             for at in range(0, len(texts), 256):
                 with uncollected():
-                    ids += [np.frombuffer(got + tail, "<u4").astype(kind).tobytes() for got in one.encode(texts[at : at + 256])]
-            yield pd.DataFrame({"part": batch["part"], "doc_id": batch["doc_id"], "ids": ids})
+                    ids = [np.frombuffer(got + tail, "<u4").astype(kind).tobytes() for got in one.encode(texts[at : at + 256])]
+                some = batch.iloc[at : at + 256]
+                yield pd.DataFrame({"part": some["part"], "doc_id": some["doc_id"], "ids": ids})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return in_ranges(rows).mapInPandas(run, "part int, doc_id long, ids binary")
+    ranged, n = in_ranges(rows)
+    return ranged.mapInPandas(run, "part int, doc_id long, ids binary").repartitionById(n, F.col("part"))
 
 
-def in_ranges(rows: DataFrame) -> DataFrame:
-    """Adds ``part``: the number of the range of doc_ids, of about RANGE bytes of text each, that a row is in.
+def in_ranges(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with their range, and how many ranges there are.  Adds ``part``: the number of the range of doc_ids, of about RANGE bytes of text each, that a row is in.
 
     The bounds come from one aggregation over the table, so the texts needn't be
     encoded, or shuffled, to find them; there are at most four ranges for each shuffle
@@ -217,7 +219,7 @@ def in_ranges(rows: DataFrame) -> DataFrame:
     bounds = (rows.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or []) if n > 1 else []
     below = F.array(*map(F.lit, sorted(set(bounds)))).cast("array<long>")
     part = F.size(F.filter(below, lambda b: b < F.col("doc_id"))) if len(bounds) else F.lit(0)
-    return rows.select(F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int").alias("part"), "doc_id", "text")
+    return rows.select(F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int").alias("part"), "doc_id", "text"), n
 
 
 def id_type(where: str, end_id: int) -> str:
@@ -257,7 +259,7 @@ def write_segments(docs: DataFrame, path: str | None = None, end_id: int = END)
         if docs_:
             yield segment()
 
-    placed = encoded(docs, where, end_id).repartition("part").sortWithinPartitions("part", "doc_id", "ids")
+    placed = encoded(docs, where, end_id).sortWithinPartitions("part", "doc_id", "ids")
     return written(placed.mapInPandas(run, SEGMENTS), "token_segments")
 
 
