@@ -28,12 +28,14 @@ A sketch holds one byte of each coordinate.  Pairs whose sketches agree in fewer
 threshold makes likely, aren't fetched for the exact test (chance of losing a link at
 the threshold: 2e-8).
 
-Chance of missing a pair of similarity s: (1 - s^ROWS)^BANDS, under 1e-6 at 0.85.
+Chance of missing a pair of similarity s: (1 - s^ROWS)^BANDS, under 1e-6 at 0.85 and
+7e-5 at 0.8, where the pipeline runs.
 
 Defined results: rows with a null or blank text have an empty set (n_shingles 0),
 link with nothing and are kept.  Rows with a null doc_id can't be linked either; they
-come back with a null component_id and are kept.  Repeated rows of a doc_id come back
-as often as they came in.  Other columns, whatever their names, don't take part.
+come back with a null component_id and are kept.  Rows of one doc_id are one document and
+come back as often as they came in; if their texts differ, the greatest text is the
+document's.  Other columns, whatever their names, don't take part.
 """
 
 from __future__ import annotations
@@ -53,6 +55,8 @@ BLOCK, HUBS = 512, 6
 COORDINATES = BANDS * ROWS
 #: Ids that are broadcast at most to pick texts.
 MOST_BROADCAST = 1_000_000
+#: Rows of a bucket summary that are broadcast at most; pairs from which on a centre is crowded; shares it is dealt in.
+MOST_SUMMARIES, CROWD, SALTS = 200_000, 500, 32
 #: Odd multiplier of the polynomial hash over a shingle's bytes, and its inverse mod 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
@@ -177,11 +181,42 @@ def alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         one, two = (np.frombuffer(b"".join(v), "u1").reshape(-1, COORDINATES) for v in (x, y))
         return pd.Series((one == two).mean(axis=1))
 
-    both = pairs.join(side("b"), "b").where("a <> b").join(side("a"), "a")
+    both = on_centre(pairs.where("a <> b").join(side("b"), "b"), side("a"))
     both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return both.where(share("sa", "sb") >= least_share(percent)).select("a", "b")
 
 
+def by_bucket(rows: DataFrame, summary: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row for each bucket; no task gets all rows of a large bucket.
+
+    Up to MOST_SUMMARIES rows the table is broadcast; a longer one is joined in SALTS
+    copies, with each bucket's rows dealt over them.
+    """
+    if summary.limit(MOST_SUMMARIES + 1).count() <= MOST_SUMMARIES:
+        return rows.join(F.broadcast(summary), "bucket", how)
+    dealt_ = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = summary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt_.join(copies, ["bucket", "salt"], how).drop("salt")
+
+
+def on_centre(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) joined with ``side`` on a, where a star's centre may be in a great many pairs.
+
+    The pairs of a crowded centre are dealt over SALTS copies of its row.
+    """
+    crowded = written(pairs.groupBy("a").count().where(F.col("count") > CROWD).select("a"), "crowded")
+    n = crowded.limit(MOST_SUMMARIES + 1).count()
+    if not n:
+        return pairs.join(side, "a")
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    copies = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if n > MOST_SUMMARIES:
+        return salted(pairs).join(copies(side), ["a", "salt"]).drop("salt")
+    mark = F.broadcast(crowded)
+    hot = salted(pairs.join(mark, "a", "left_semi")).join(copies(side.join(mark, "a", "left_semi")), ["a", "salt"]).drop("salt")
+    return pairs.join(mark, "a", "left_anti").join(side, "a").unionByName(hot)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, component) of every document in ``links`` (a, b): the least id reachable.
 
@@ -221,7 +256,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     both = (F.size("sa") + F.size("sb")).cast("long")
-    return pairs.join(two, "b").join(one, "a").where(100 * common >= percent * (both - common)).select("a", "b")
+    return on_centre(pairs, one).join(two, "b").where(100 * common >= percent * (both - common)).select("a", "b")
 
 
 def dealt(open_members: DataFrame) -> DataFrame:
@@ -238,7 +273,7 @@ def dealt(open_members: DataFrame) -> DataFrame:
         F.ceil(F.col("all") / BLOCK).cast("int").alias("mb"),
         F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("sb"),
     )
-    rows = open_members.join(sizes, "bucket")
+    rows = by_bucket(open_members, written(sizes, "sizes"))
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     strays = rows.where("component <> main").select("*", block("sb").alias("i"), every("mb").alias("j"), F.lit(True).alias("stray"))
@@ -313,7 +348,7 @@ def unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     placed = members.where("doc_id <> first").join(found, "doc_id", "left")
     placed = placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return placed.join(apart.select("bucket"), "bucket", "left_semi")
+    return by_bucket(placed, written(apart.select("bucket"), "apart"), "left_semi")
 
 
 def hub_pairs(open_members: DataFrame) -> DataFrame:
@@ -322,7 +357,7 @@ def hub_pairs(open_members: DataFrame) -> DataFrame:
     hubs = open_members.groupBy("bucket").agg(F.array_distinct(F.array(*draw)).alias("hubs"))
     parts = open_members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"))
-    rows = open_members.join(main, "bucket").where("component <> top.component").join(hubs, "bucket")
+    rows = by_bucket(open_members, written(main.join(hubs, "bucket"), "hubs")).where("component <> top.component")
     pairs = rows.select("doc_id", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
     return pairs.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
 
@@ -335,15 +370,19 @@ def confirmed_of(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, width:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = written(signatures(docs, width), "signatures")
+    texts = docs
+    if not signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # rows of one doc_id are one document: its set and its signature come from the same, the greatest, text
+        rows, nameless = signed.where("doc_id is not null").select("doc_id"), signed.where("doc_id is null")
+        texts = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+        again = written(signatures(texts, width), "signatures")
+        signed = written(rows.join(again, "doc_id").unionByName(nameless), "rows")
     full = signed.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     # equal sets have equal buckets, so the least row of a key brings its buckets along
     copies = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "buckets")).alias("r"))
     reps = copies.select("set_key", "r.*")
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    if not full.groupBy("doc_id").count().where("count > 1").isEmpty():
-        texts = texts.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
-        reps = reps.dropDuplicates(["doc_id"])
     sketches = reps.select("doc_id", "n_shingles", "sketch")
     buckets = reps.select("doc_id", F.explode("buckets").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(
@@ -351,7 +390,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     # buckets of equal members need but one test
     distinct = shared.where("size > 1").groupBy("first", "size", "who").agg(F.min("bucket").alias("bucket"))
-    members = written(buckets.join(distinct, "bucket").select("bucket", "doc_id", "first"), "members")
+    members = written(by_bucket(buckets, written(distinct.select("bucket", "first"), "shared")).select("bucket", "doc_id", "first"), "members")
     sketches = written(sketches.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "sketches")
 
     stars = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
