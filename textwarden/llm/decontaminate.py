@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from textwarden.llm.common import ascii_lower, corpus, table, written
 
 WINDOW = 10
-MOST_BROADCAST = 200_000
+#: Rows, and bytes of their words or names, that are broadcast at most.
+MOST_BROADCAST, MOST_BYTES = 200_000, 64 << 20
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a document that are joined together with their surroundings, as one row.
@@ -80,24 +81,28 @@ def tokens(rows: DataFrame, single: bool) -> DataFrame:
     return out.select(*rows.columns, (F.col("own") + F.col("at_own")).alias("pos"), "shingle")
 
 
-def bounded_broadcast(df: DataFrame, most: int = MOST_BROADCAST) -> tuple[DataFrame, bool]:
-    """``df`` with a broadcast hint if it has at most ``most`` rows."""
-    small = df.limit(most + 1).count() <= most
+def bounded_broadcast(df: DataFrame, most: int = MOST_BROADCAST, *, size: Column | None = None, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` with a broadcast hint if it has at most ``most`` rows and ``size`` adds up to at most ``most_bytes`` over them."""
+    some = df.select((F.lit(8) if size is None else size).cast("long").alias("size")).limit(most + 1)
+    n, held = some.agg(F.count("*"), F.sum("size")).first()
+    small = n <= most and (held or 0) <= most_bytes
     return (F.broadcast(df) if small else df), small
 
 
 def prefixes(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """(shingle, item, at, item_words): for each window its rarest shingle, once for each place.
+    """(shingle, item, m, at, near): for each window its rarest shingle, once for each place.
 
-    ``at`` is the place of the shingle in the item, ``item`` the item's row number key.
+    ``at`` is the place of the shingle in the item of ``m`` words, ``item`` the item's
+    row number key; ``near`` are the item's words that windows over that place can hold,
+    so a row is as long as two windows, however long the item is.
     """
     m = F.size("words")
-    pairs = F.posexplode(F.arrays_zip(F.col("words").alias("w"), F.expr("slice(words, 2, greatest(size(words) - 1, 1))").alias("x")))
-    places = items.select("item", m.alias("m"), pairs.alias("pos", "p"))
-    places = places.withColumn(
-        "shingle", F.when(F.col("m") == 1, shingle(F.col("p.w"))).otherwise(shingle(F.col("p.w"), F.col("p.x")))
-    ).where("m = 1 or p.x is not null")
-    places = written(places.select("item", "m", "pos", "shingle"), "places")
+    word = lambda i: F.get("words", i)
+    place = lambda i: F.struct(i.alias("pos"), word(i).alias("w"), word(i + 1).alias("x"), F.slice("words", near_from(i, window) + 1, 2 * window).alias("near"))
+    places = items.select("item", m.alias("m"), F.explode(F.transform(F.sequence(F.lit(0), m - 1), place)).alias("p"))
+    pair = F.when(F.col("m") == 1, shingle(F.col("p.w"))).otherwise(shingle(F.col("p.w"), F.col("p.x")))
+    places = places.where("m = 1 or p.x is not null").select("item", "m", "p.pos", "p.near", pair.alias("shingle"))
+    places = written(places, "places")
     counts = None
     for single in (False, True):
         wanted = places.where(F.col("m") == 1 if single else F.col("m") > 1).select("shingle").distinct()
@@ -116,26 +121,30 @@ def prefixes(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
         ranked.where(F.greatest(F.col("pos") - span + 1, F.lit(0)) <= F.least(F.col("pos"), last))
         .withColumn("begin", begins)
         .groupBy("item", "begin")
-        .agg(F.min(F.struct("n", "shingle", "pos")).alias("r"))
-        .select("item", F.col("r.shingle").alias("shingle"), F.col("r.pos").alias("at"))
+        .agg(F.min(F.struct("n", "shingle", "pos", "m", "near")).alias("r"))
+        .select("item", F.col("r.shingle").alias("shingle"), F.col("r.pos").alias("at"), "r.m", "r.near")
         .distinct()
     )
-    texts = items.select("item", F.col("words").alias("item_words"))
-    return written(rarest.join(texts, "item"), "prefixes")
+    return written(rarest, "prefixes")
+
+
+def near_from(at: Column, window: int) -> Column:
+    """The item's word that ``near`` begins with."""
+    return F.greatest(at - (window - 1), F.lit(0))
 
 
 def verified(candidates: DataFrame, window: int) -> DataFrame:
     """(key, item, lo, hi): the document words that the windows around a candidate cover.
 
-    Needs begin, context, pos, item_words, at; keeps rows with at least one window.
+    Needs begin, context, pos, m, near, at; keeps rows with at least one window.
     """
-    base, m = F.col("pos") - F.col("at"), F.size("item_words")
+    base, m = F.col("pos") - F.col("at"), F.col("m")
     size = F.least(m, F.lit(window))
     overlap = F.when(m == 1, F.lit(0)).otherwise(F.lit(1))
     first = F.greatest(F.col("at") + overlap - size + 1, F.lit(0), -base)
     final = F.least(F.col("at"), m - size, F.size("context") - size - base)
     rows = candidates.where(first <= final)
-    same = lambda t: F.transform(F.slice("context", base + t + 1, size), lowered) == F.slice("item_words", t + 1, size)
+    same = lambda t: F.transform(F.slice("context", base + t + 1, size), lowered) == F.slice("near", t - near_from(F.col("at"), window) + 1, size)
     rows = rows.withColumn("there", F.filter(F.sequence(first, final), same)).where(F.size("there") > 0)
     lo = F.col("begin") + base + F.array_min("there")
     return rows.select("key", "item", lo.alias("lo"), (F.col("begin") + base + F.array_max("there") + size - 1).alias("hi"))
@@ -146,17 +155,21 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     prefix = prefixes(docs, items, window)
     out = None
     for single in (False, True):
-        side = prefix.where(F.size("item_words") == 1 if single else F.size("item_words") > 1)
+        side = prefix.where("m = 1" if single else "m > 1")
         if single and side.isEmpty():
             continue
-        near, _ = bounded_broadcast(side)
+        near, _ = bounded_broadcast(side, size=F.octet_length(F.array_join("near", " ")))
         found = verified(tokens(chunks(docs, window), single).join(near, "shingle"), window)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row for each document."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash), a row for each document.
+
+    A row is told by its doc_id and the hash of its text together, either of which may
+    be null or repeated.
+    """
     keyed = docs.select("doc_id", "text", F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"))
     lower = F.transform(words_of(F.col("text")), lowered)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), lower.alias("words"))
@@ -165,7 +178,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     hits = occurrences(keyed, items.select("item", "words").dropDuplicates(["item"]), window)
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["lo"], s["hi"]))))
     names = items.select("item", "item_id")
-    named, _ = bounded_broadcast(names)
+    named, _ = bounded_broadcast(names, size=F.coalesce(F.octet_length("item_id"), F.lit(1)))
     per_doc = (
         hits.distinct()
         .join(named, "item")
@@ -177,7 +190,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         )
         .select("key", F.size(covered).cast("long").alias("n_hit"), "n_items", "ids")
     )
-    sizes = keyed.select("doc_id", "key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    sizes = keyed.select("doc_id", "key", F.col("key.h").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = sizes.join(per_doc, sizes["key"].eqNullSafe(per_doc["key"]), "left")
     ids = F.coalesce(F.array_join(F.array_sort("ids"), ","), F.lit(""))
     return out.select(
@@ -187,12 +200,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.encode(ids, "utf-8"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        "text_hash",
     )
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of all ``documents`` stand in passages of ``benchmark``."""
-    return decontaminate(corpus(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(corpus(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 ORACLE = r"""
