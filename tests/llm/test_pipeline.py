@@ -51,3 +51,14 @@ def test_stages_take_odd_and_empty_documents(spark, sf):
         out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
         ids = [r.doc_id for r in out.collect()]
         assert len(ids) == len(set(ids))
+
+
+def test_stages_tell_rows_without_or_with_equal_ids_by_their_texts(spark, sf):
+    passage = max((r.text for r in table(spark, sf, "benchmark").collect()), key=lambda t: len(t.split()))
+    copy = "a line that stands twice in this corpus under one id and another, word for word"
+    rows = [(None, passage), (1, passage + " x"), (1, "clean words under the same id"), (2, copy), (2, "a different text of the same id"), (None, copy), (3, copy), (None, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(str((r.doc_id, r.text)) for r in corpus_pipeline.decontamination_stage(spark, df, sf).collect())
+    assert left == sorted(str(r) for r in rows[2:])
+    left = sorted(str((r.doc_id, r.text)) for r in corpus_pipeline.dedup_stage(spark, df, sf).collect())
+    assert left == sorted(str(r) for r in [*rows[1:5], *rows[7:]])

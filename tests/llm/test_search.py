@@ -179,3 +179,33 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
     assert ann.nearest(df.limit(0), df, 10).count() == 0
     few = df.where("vec_id IN (0, 1)")
     assert [(g.query_id, g.vec_id) for g in ann.nearest(few.where("vec_id = 0"), few, 10).collect()] == [(0, 1)]
+
+
+def test_one_id_with_several_texts(spark):
+    text = "some words that stand in this order and no other one at all"
+    rows = [(1, text), (2, text + " " * 3), (2, "a text that is less"), (3, "a text that is less"), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df, 3, 85).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (None, None)}
+
+
+def test_crowded_buckets_and_centres(spark, monkeypatch):
+    """Every way of joining large buckets and centres gives the classes of brute force."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base.replace(f"w{i % 50} ", f"x{i} ")) for i in range(80)] + [(100 + i, f"other text {i} with words of its own {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, _ = classes(rows, 3, 85)
+    for summaries, crowd in ((200_000, 5), (0, 5), (0, 10**9)):
+        monkeypatch.setattr(near_dedup, "MOST_SUMMARIES", summaries)
+        monkeypatch.setattr(near_dedup, "CROWD", crowd)
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 3, 85).collect()} == want
+
+
+def test_a_very_long_item(spark):
+    """Rows of a window's surroundings are as long as two windows, however long the item."""
+    words = [f"w{i}" for i in range(20_000)]
+    items = spark.createDataFrame([("long", " ".join(words))], "item_id string, text string")
+    docs = [(1, "before " + " ".join(words[7_000:7_040]) + " after"), (2, " ".join(words[-9:])), (3, " ".join(words[-10:])), (4, "w1 " * 50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.decontaminate(df, items).collect()}
+    assert got == {1: (40, 1), 2: (0, 0), 3: (10, 1), 4: (0, 0)}

@@ -25,6 +25,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,9 +76,18 @@ def terms(text: str) -> np.ndarray:
     return np.sqrt(out)
 
 
+def hashes_of(texts: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], "u8")
+
+
 class Model:
-    def __init__(self, idf: np.ndarray, axes: np.ndarray, vectors: np.ndarray, labels: np.ndarray, prior: float):
-        self.idf, self.axes, self.vectors, self.labels, self.prior = idf, axes, vectors, labels, prior
+    """Latent axes, and the labelled vectors with the hashes of their texts.
+
+    A text never votes on itself: labelled vectors of the very same text are left out.
+    """
+
+    def __init__(self, idf: np.ndarray, axes: np.ndarray, vectors: np.ndarray, labels: np.ndarray, prior: float, hashes: np.ndarray):
+        self.idf, self.axes, self.vectors, self.labels, self.prior, self.hashes = idf, axes, vectors, labels, prior, hashes
 
     def project(self, texts: list[str]) -> np.ndarray:
         x = np.stack([terms(t) for t in texts]) * self.idf
@@ -91,6 +101,7 @@ class Model:
         for at in range(0, len(texts) if k else 0, ROWS):
             z = self.project(texts[at : at + ROWS])
             cosine = z @ self.vectors.T
+            cosine[hashes_of(texts[at : at + ROWS])[:, None] == self.hashes] = -1
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
             weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype("f8") ** SHARPNESS
             total = weight.sum(axis=1)
@@ -105,7 +116,7 @@ def fit(docs: list[tuple[str, int]]) -> Model:
     labels = np.array([y for _, y in docs], "f8")
     if not docs:
         none = np.zeros((0, 0), "f4")
-        return Model(np.ones(TERMS, "f4"), none, none, labels, 1.0)
+        return Model(np.ones(TERMS, "f4"), none, none, labels, 1.0, np.zeros(0, "u8"))
     x = np.stack([terms(t) for t, _ in docs])
     share = (x > 0).mean(axis=0)
     idf = (1 + np.log(1 / np.maximum(share, 1 / len(docs)))).astype("f4")
@@ -116,7 +127,7 @@ def fit(docs: list[tuple[str, int]]) -> Model:
     values, vectors = np.linalg.eigh(x[:, seen].T.astype("f8") @ x[:, seen])
     axes = np.zeros((TERMS, min(AXES, len(seen))), "f4")
     axes[seen] = vectors[:, ::-1][:, : axes.shape[1]]
-    model = Model(idf, axes, np.zeros((0, 0), "f4"), labels, float(labels.mean()))
+    model = Model(idf, axes, np.zeros((0, 0), "f4"), labels, float(labels.mean()), hashes_of([t for t, _ in docs]))
     model.vectors = np.concatenate([model.project([t for t, _ in docs[at : at + ROWS]]) for at in range(0, len(docs), ROWS)])
     return model
 
@@ -129,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, fold=None) -> Model:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds ``score``: how far a document's neighbours are good ones."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.axes, model.vectors, model.labels, model.prior))
+    shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.axes, model.vectors, model.labels, model.prior, model.hashes))
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

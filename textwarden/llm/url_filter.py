@@ -22,11 +22,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import ascii_lower, table
+from textwarden.llm.common import ascii_lower, corpus
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 MOST_URLS, MOST_SUFFIXES = 20_000, 100_000
-TREES, DEPTH = 20, 4
+TREES, DEPTH, FOLDS = 20, 4, 5
 FEATURES = (
     "url_length", "host_length", "path_length", "host_labels", "path_depth", "digit_ratio", "entropy",
     "parameters", "hyphens", "secure", "suffix_rate", "suffix_support",
@@ -77,13 +77,20 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 def with_suffixes(urls: DataFrame) -> DataFrame:
-    """Adds how often labelled URLs of the same suffix are blocked, smoothed, and how many there are."""
+    """Adds how often labelled URLs of the same suffix are blocked, smoothed, and how many there are.
+
+    For a labelled URL only those of other folds count, so its own label is never in
+    its features.  Folds go by a hash of the URL, and equal URLs share one.
+    """
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
     blocked = F.sum((F.col("ruled") == "block").cast("long"))
-    known = urls.where("ruled is not null").groupBy("suffix").agg(F.count("*").alias("n"), blocked.alias("blocked"))
-    known = known.select("suffix", ((F.col("blocked") + 1) / (F.col("n") + 2)).alias("suffix_rate"), F.log1p("n").alias("suffix_support"))
+    per_fold = urls.where("ruled is not null").groupBy("suffix", fold.alias("fold")).agg(F.count("*").alias("n"), blocked.alias("b"))
+    known = per_fold.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "b")))).alias("folds"))
     small = known.limit(MOST_SUFFIXES + 1).count() <= MOST_SUFFIXES
     out = urls.join(F.broadcast(known) if small else known, "suffix", "left")
-    return out.fillna({"suffix_rate": 0.5, "suffix_support": 0.0})
+    own = F.when(F.col("ruled").isNotNull(), F.col("folds")[fold])
+    n, b = (F.coalesce(F.col(c), F.lit(0)) - F.coalesce(own[c], F.lit(0)) for c in ("n", "b"))
+    return out.withColumn("suffix_rate", (b + 1) / (n + 2)).withColumn("suffix_support", F.log1p(n.cast("double"))).drop("n", "b", "folds")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -110,4 +117,4 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judges every url of ``pages``."""
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judge(corpus(spark, sf_dir, "pages").select("page_id", "url"))
