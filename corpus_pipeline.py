@@ -23,22 +23,42 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model).where(F.col("score") >= quality.GOOD).select(*COLUMNS)
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text) of the distinct rows, with keys that rise with doc_id; null ids come last."""
+    order = (F.col("doc_id").asc_nulls_last(), F.col("text").asc())
+    ranged = docs.select("doc_id", "text").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ranged.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "row_keys")
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each class of near-duplicates (5 words, similarity 0.8)."""
-    classes = written(near_dedup.near_duplicates(docs, width=5, percent=80).select("doc_id", "kept"), "classes")
-    kept = docs.join(classes.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-    several = classes.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if several.isEmpty():
-        return kept
-    once = kept.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(several, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    """Keeps the row of least doc_id of each class of near-duplicates (5 words, similarity 0.8).
+
+    Where ids are null or repeated, rows are told apart by id and text together: each
+    distinct text is a document of its own, whatever its id, and exact copies of a row
+    are one.  Rows without words are linked with nothing and stay.
+    """
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if odd.isEmpty():
+        classes = near_dedup.near_duplicates(docs, width=5, percent=80)
+        return docs.join(classes.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    keys = row_keys(docs)
+    classes = near_dedup.near_duplicates(keys.select(F.col("key").alias("doc_id"), "text"), width=5, percent=80)
+    gone = written(keys.join(classes.where("not kept").select(F.col("doc_id").alias("key")), "key", "left_semi").select(F.col("doc_id").alias("i"), F.col("text").alias("t")), "gone")
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["i"]) & docs["text"].eqNullSafe(gone["t"]), "left_anti")
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    return kept.where(blank).unionByName(kept.where(~blank).dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item."""
+    """Drops documents that hold ten consecutive words of a benchmark item.
+
+    A row goes by its own text: rows are told by id and text together, so one without
+    an id goes too, and a clean row that shares an id stays.
+    """
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    found = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    found = found.where("contaminated").select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).distinct()
+    rows = docs.withColumn("text_hash_", F.xxhash64("text"))
+    return rows.join(found, rows["doc_id"].eqNullSafe(found["i"]) & rows["text_hash_"].eqNullSafe(found["h"]), "left_anti").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
