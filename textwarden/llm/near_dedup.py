@@ -186,17 +186,17 @@ def alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.where(share("sa", "sb") >= least_share(percent)).select("a", "b")
 
 
-def by_bucket(rows: DataFrame, summary: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` joined with a table of one row for each bucket; no task gets all rows of a large bucket.
+def by_bucket(rows: DataFrame, summary: DataFrame, how: str = "inner", key: str = "bucket") -> DataFrame:
+    """``rows`` joined with a table of one row for each bucket (or ``key``); no task gets all rows of a large one.
 
     Up to MOST_SUMMARIES rows the table is broadcast; a longer one is joined in SALTS
     copies, with each bucket's rows dealt over them.
     """
     if summary.limit(MOST_SUMMARIES + 1).count() <= MOST_SUMMARIES:
-        return rows.join(F.broadcast(summary), "bucket", how)
+        return rows.join(F.broadcast(summary), key, how)
     dealt_ = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     copies = summary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt_.join(copies, ["bucket", "salt"], how).drop("salt")
+    return dealt_.join(copies, [key, "salt"], how).drop("salt")
 
 
 def on_centre(pairs: DataFrame, side: DataFrame) -> DataFrame:
@@ -381,7 +381,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         signed = written(rows.join(again, "doc_id").unionByName(nameless), "rows")
     full = signed.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     # equal sets have equal buckets, so the least row of a key brings its buckets along
-    copies = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "buckets")).alias("r"))
+    copies = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "buckets")).alias("r"), F.count("*").alias("n"))
     reps = copies.select("set_key", "r.*")
     sketches = reps.select("doc_id", "n_shingles", "sketch")
     buckets = reps.select("doc_id", F.explode("buckets").alias("bucket"))
@@ -405,7 +405,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         left = written(with_partners(again, sketches, percent), "partners")
         sets = sets_of(texts, left.select("doc_id").distinct(), width)
         links = links.unionByName(written(between_components(left, sets, percent), "last_links"))
-    copied = full.select("set_key", "doc_id").join(copies.select("set_key", F.col("r.doc_id").alias("rep")), "set_key")
+    several = written(copies.where("n > 1").select("set_key", F.col("r.doc_id").alias("rep")), "copied")
+    copied = by_bucket(full.select("set_key", "doc_id"), several, key="set_key")
     copied = copied.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(links.unionByName(copied))
     return (
