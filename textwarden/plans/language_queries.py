@@ -10,7 +10,7 @@ from textwarden import constants as K
 from textwarden.operators import context, language, matching, policy, preprocess
 from textwarden.plans.common import sql_text, table, values
 from textwarden.plans.decision_queries import rounded
-from textwarden.plans.match_queries import EMOJI_DOCS, LEX, SPANS, SQL_EMOJI, docs, modifiers, scopes, terms, with_emoji
+from textwarden.plans.match_queries import EMOJI_DOCS, LEX, SPANS, SQL_EMOJI, docs, located, modifiers, scopes, terms, with_emoji
 from textwarden.plans.policy_queries import BASE, applied
 
 Q: dict = {}
@@ -24,7 +24,7 @@ Q["b17_preprocess_corpus"] = (b17, None)
 GRAMS = values([(lang, g, math.log(w + 1e-10)) for lang, grams in K.NGRAMS.items() for g, w in grams.items()], "lang", "g", "w")
 Q["c2_ngram_language_scores"] = (
     lambda s, d: rounded(language.ngram_language_scores(docs(s, d)), "score"),
-    f"""WITH t AS (SELECT doc_id, '<' || lower(text) || '>' AS t FROM documents WHERE length(text) < 300 AND length(trim(text)) >= 10),
+    f"""WITH t AS (SELECT doc_id, '<' || lower(text) || '>' AS t FROM documents WHERE length(trim(text)) >= 10),
 p AS (SELECT doc_id, substring(t, i, n) AS g FROM (SELECT doc_id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM t, (VALUES (2), (3), (4), (5)) v(n))),
 tot AS (SELECT doc_id, count(*) AS total FROM p GROUP BY doc_id),
 grams AS (SELECT * FROM {GRAMS}), langs AS (SELECT DISTINCT lang FROM grams),
@@ -39,10 +39,7 @@ Q["c4_detect_languages"] = (
 Q["c5_detect_per_segment"] = (lambda s, d: language.detect_per_segment(docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("n_segments")), None)
 Q["c9_token_offsets"] = (
     lambda s, d: language.token_offsets(docs(s, d).withColumn("tokens", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))), "tokens"),
-    """WITH a AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS a, string_split_regex(text, '[A-Za-z]+') AS p FROM documents WHERE length(text) < 2000),
-k AS (SELECT *, unnest(range(1, len(a) + 1)) AS k FROM a)
-SELECT doc_id, (k - 1)::INTEGER AS pos, (list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(a[1:k-1], lambda x: length(x))), 0))::INTEGER AS start,
- (list_sum(list_transform(p[1:k], lambda x: length(x))) + list_sum(list_transform(a[1:k], lambda x: length(x))))::INTEGER AS "end" FROM k""",
+    f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INTEGER AS pos, start, "end" FROM {located('[A-Za-z]+')}""",
 )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textwarden import sources
 from textwarden.operators import matching, monitoring
-from textwarden.plans.common import table
+from textwarden.plans.common import shared_folder, table
 from textwarden.plans.decision_queries import rounded
 from textwarden.plans.match_queries import SCORES, docs, terms
 from textwarden.plans.policy_queries import AUDIT, BASE, FLAGS, audit, base

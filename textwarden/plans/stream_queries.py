@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from textwarden import streaming
+from textwarden.plans.decision_queries import Q as DECISIONS
 from textwarden.plans.decision_queries import rounded
 from textwarden.plans.moderate import moderate_corpus
 from textwarden.plans.monitor_queries import LOG, shared
 
 Q: dict = {}
+FLAGSHIP_SQL = DECISIONS["h22_moderate_corpus"][1]
 
 
 def place(s):
@@ -30,7 +32,7 @@ def m1(s, d):
     return s.read.parquet(f"{path}/out").drop("batch")
 
 
-Q["m1_stream_moderate"] = (m1, None)
+Q["m1_stream_moderate"] = (m1, FLAGSHIP_SQL)  # a stream of the corpus is decided as the corpus is
 CLOSED = f"""{LOG}, last AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM lg),
 w AS (SELECT tenant, time_bucket(INTERVAL 1 HOUR, ts) AS win, count(*) AS total, avg(confidence) AS c, avg(processing_ms) AS m FROM lg GROUP BY ALL),
 closed AS (SELECT w.* FROM w, last WHERE win + INTERVAL 1 HOUR <= mark)"""

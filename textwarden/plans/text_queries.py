@@ -90,7 +90,7 @@ SQL_SOUND = " UNION ALL ".join(
 Q["b16_expand_lexicon_variants"] = (
     lambda spark, sf: normalize.expand_lexicon_variants(words_of_labels(spark, sf)),
     f"""
-WITH t AS (SELECT DISTINCT term FROM (SELECT unnest(string_split_regex(text, '[^a-z]+')) AS term FROM documents) WHERE length(term) BETWEEN 3 AND 5),
+WITH t AS (SELECT DISTINCT term FROM (SELECT unnest(string_split_regex(text, '[^a-z]+')) AS term FROM documents) WHERE term <> ''),
 p AS (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM t)
 SELECT DISTINCT * FROM (
   SELECT term, term AS variant, 'same' AS kind FROM t
@@ -120,10 +120,10 @@ FROM (SELECT doc_id, {SQL_SHARES} FROM k WHERE length(k) > 0)""",
 SQL_HITS = " + ".join(f"len(regexp_extract_all(low, '{p}'))" for p in K.HINGLISH)
 SQL_ROMAN = " + ".join(f"len(regexp_extract_all(low, '{p}'))" for p in K.ROMANIZED)
 Q["c3_hinglish_score"] = (
-    lambda spark, sf: language.hinglish_score(docs(spark, sf).where("lang = 'en'")).select("doc_id", F.round("hinglish", 6).alias("hinglish")),
+    lambda spark, sf: language.hinglish_score(docs(spark, sf)).select("doc_id", F.round("hinglish", 6).alias("hinglish")),
     rf"""
 WITH d AS (SELECT doc_id, lower(text) AS low, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS words
-           FROM documents WHERE lang = 'en'),
+           FROM documents),
 s AS (SELECT doc_id, least(({SQL_HITS} + ({SQL_ROMAN}) * 0.1) / words, 1.0) AS raw FROM d)
 SELECT doc_id, round(CASE WHEN raw > 0.1 THEN raw ELSE 0.0 END, 6) AS hinglish FROM s""",
 )
