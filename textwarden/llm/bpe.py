@@ -76,16 +76,36 @@ def split_pieces(text: str) -> list[str]:
     return out if out[0] else out[1:]
 
 
+def pretoken_pattern(letters: str, numbers: str) -> re.Pattern:
+    """The pre-token pattern with its letters and numbers spelt out.
+
+    No contraction begins with a letter or a blank, so words, the most frequent, are
+    looked for first.
+    """
+    return re.compile(rf" ?[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+")
+
+
+LETTERS, NUMBERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+#: For texts below U+0100, and below U+0180; the first is the faster one.
+LATIN_1, LATIN = pretoken_pattern(LETTERS, NUMBERS), pretoken_pattern(LETTERS + r"\u0100-\u017f", NUMBERS)
+#: What Python takes for a space and the tokenizer does not.
+ODD_SPACES = "\x1c\x1d\x1e\x1f"
+
+
+def latin_pretokens(text: str) -> list[str] | None:
+    """The pre-tokens of a text that stays below U+0180 and has no odd spaces, else None."""
+    if any(s in text for s in ODD_SPACES):
+        return None
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return LATIN.findall(text) if max(text) < "\u0180" else None
+    return LATIN_1.findall(text)
+
+
 class Encoder:
     """The vocabulary and merge ranks of one tokenizer file, and what was encoded so far."""
 
-    #: The pre-token pattern with the letters and numbers below U+0180 spelt out, for texts that stay below.
-    LETTER, NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-    LATIN = re.compile(
-        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+"
-    )
-    ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -156,8 +176,9 @@ class Encoder:
         return [s for s in sym if s >= 0]
 
     def pretokens(self, piece: str) -> list[bytes]:
-        if (piece.isascii() or max(piece) < "\u0180") and not self.ODD_SPACE.search(piece):
-            return [w.encode() for w in self.LATIN.findall(piece)]
+        words = latin_pretokens(piece)
+        if words is not None:
+            return [w.encode() for w in words]
         if self._pretokenizer is None:
             from tokenizers.pre_tokenizers import ByteLevel
 

@@ -47,10 +47,8 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     def bpe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = library_encoder(where)
         for texts in batches:
-            sizes, every = [], texts.tolist()
-            for at in range(0, len(every), 256):
-                with uncollected():
-                    sizes += [len(ids) // 4 for ids in one.encode(every[at : at + 256])]
+            with uncollected():
+                sizes = [len(one.encode(text)) // 4 for text in texts]
             yield pd.Series(sizes, dtype="i8")
 
     text = F.coalesce("text", F.lit(""))

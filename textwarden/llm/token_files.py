@@ -28,7 +28,7 @@ other columns don't take part.  An empty table gives no segment and no row.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,7 +37,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textwarden.llm.bpe import VOCABULARY, Encoder, little_endian, split_pieces
+from textwarden.llm.bpe import VOCABULARY, byte_alphabet, latin_pretokens, little_endian, split_pieces
 from textwarden.llm.common import corpus, uncollected, written
 
 BLOCK, SEGMENT, PERCENTILE, END = 128, 1 << 20, 98, 0
@@ -49,8 +49,30 @@ RANGE = 16 << 20
 SEGMENTS = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, segment binary"
 
 
+class Remembered(dict):
+    """Ids of strings that come again and again; ``ask`` gives those that aren't known.
+
+    What is asked for again outlives a full table by a generation; long strings aren't kept.
+    """
+
+    def __init__(self, ask: Callable[[str], bytes], before: dict[str, bytes]):
+        self.ask, self.before = ask, before
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.before.get(key)
+        if ids is None:
+            ids = self.ask(key)
+        if len(key) < 64:
+            self[key] = ids
+        return ids
+
+    def renewed(self) -> Remembered:
+        """This table, or the next generation's if it is full."""
+        return self if len(self) < REMEMBERED else Remembered(self.ask, dict(self))
+
+
 class LibraryEncoder:
-    """The tokenizers library, asked once for each piece of text that comes again and again."""
+    """The tokenizers library, asked once for each pre-token that comes again and again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,38 +81,29 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        #: Ids of pre-tokens, and of those of the generation before: what is asked for again outlives a full table.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        #: The printable character that stands for each byte, by the byte.
+        self.printable = byte_alphabet()
+        self.words, self.pieces = Remembered(self.ask_word, {}), Remembered(self.ask_piece, {})
+
+    def ask_word(self, word: str) -> bytes:
+        """Ids of a whole pre-token, which the library's model merges without looking for pre-tokens again."""
+        return little_endian([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.printable))])
 
-    def ask(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [little_endian(e.ids) for e in found]
+    def ask_piece(self, piece: str) -> bytes:
+        return little_endian(self.library.encode_batch_fast([piece], add_special_tokens=False)[0].ids)
 
-    def pretokens(self, text: str) -> list[str]:
-        """The pre-tokens of a text if a plain pattern tells them, else pieces, or the text itself."""
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
-            return [text]  # the library itself finds the special tokens of the text
-        if (text.isascii() or max(text) < "\u0180") and not Encoder.ODD_SPACE.search(text):
-            return Encoder.LATIN.findall(text)
-        return split_pieces(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        young, old, new = self.young, self.old, {}
-        cut = [self.pretokens(text) if text else [] for text in texts]
-        out = [list(map(young.get, words)) for words in cut]
-        for words, got in zip(cut, out, strict=True):
-            if None in got:
-                new.update((w, None) for w, ids in zip(words, got, strict=True) if ids is None)
-        found = {w: old[w] for w in new if w in old}
-        asked = [w for w in new if w not in found]
-        found.update(zip(asked, self.ask(asked), strict=True))
-        young.update((w, ids) for w, ids in found.items() if len(w) < 64)
-        if len(young) > REMEMBERED:
-            self.young, self.old = {}, young
-        return [b"".join([found[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]) for words, got in zip(cut, out, strict=True)]
+            return self.ask_piece(text)  # the library itself finds the special tokens of the text
+        words = latin_pretokens(text)
+        if words is None:
+            self.pieces = self.pieces.renewed()
+            return b"".join(map(self.pieces.__getitem__, split_pieces(text)))
+        self.words = self.words.renewed()
+        return b"".join(map(self.words.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -195,7 +208,7 @@ def encoded(docs: DataFrame, where: str, end_id: int) -> DataFrame:
             texts = batch["text"].tolist()
             for at in range(0, len(texts), 256):
                 with uncollected():
-                    ids = [np.frombuffer(got + tail, "<u4").astype(kind).tobytes() for got in one.encode(texts[at : at + 256])]
+                    ids = [np.frombuffer(got + tail, "<u4").astype(kind).tobytes() for got in map(one.encode, texts[at : at + 256])]
                 some = batch.iloc[at : at + 256]
                 yield pd.DataFrame({"part": some["part"], "doc_id": some["doc_id"], "ids": ids})
 
