@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from textwarden.operators import context, decide, feedback, matching, monitoring
 from textwarden.plans.moderate import moderate_corpus
@@ -101,3 +102,37 @@ def test_health_counts_failures_at_the_end(spark):
     rows = [("a", at + dt.timedelta(minutes=k), k, ok) for k, ok in enumerate([True, False, False, False])] + [("b", at, 9, True)]
     out = {r.component: (r.failures, r.status) for r in monitoring.health_rollup(spark.createDataFrame(rows, "component string, ts timestamp, check_id long, ok boolean")).collect()}
     assert out == {"a": (3, "unhealthy"), "b": (0, "healthy")}
+
+
+def test_slices_of_hot_tenants_equal_whole_windows(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import Window
+
+    rng, begin = random.Random(4), datetime(2024, 1, 1)
+    ts = [None if i % 97 == 0 else begin + timedelta(seconds=rng.randrange(900)) for i in range(600)]
+    rows = [(i, t, "hot" if i % 3 else "cold", rng.random(), 1.0) for i, t in enumerate(ts)]
+    log = spark.createDataFrame(rows, "event_id long, ts timestamp, tenant string, confidence double, processing_ms double")
+    whole = Window.partitionBy("tenant").orderBy("ts", "event_id")
+    want = log.withColumn("win", F.floor((F.row_number().over(whole) - 1) / 50)).groupBy("tenant", "win").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
+    got = monitoring.prediction_windows(log, None, 50).select("tenant", "win", F.col("total").alias("n"), "first_ts")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+    at = Window.partitionBy("tenant").orderBy(F.unix_micros("ts")).rangeBetween(-60_000_000, 0)
+    want = log.withColumn("offered", F.count("*").over(at)).where("offered > 20").select("event_id", "offered")
+    got = monitoring.rate_limit_violations(log, 20).select("event_id", "offered")
+    assert want.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_ks_of_values_within_one(spark):
+    import bisect
+    import random
+
+    rng = random.Random(7)
+    a, b = [rng.random() for _ in range(700)] + [0.5] * 300, [rng.random() ** 1.3 for _ in range(800)]
+    frame = lambda v: spark.createDataFrame([(x,) for x in v], "x double")
+    share = lambda v, x: bisect.bisect_right(v, x) / len(v)
+    sa, sb = sorted(a), sorted(b)
+    want = max(abs(share(sa, x) - share(sb, x)) for x in a + b)
+    assert abs(monitoring.ks_drift(frame(a), frame(b), "x").first().statistic - want) < 1e-12

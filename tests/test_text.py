@@ -67,3 +67,17 @@ def test_tokens_have_offsets(spark):
     rows = language.tokenize_corpus(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("pos").collect()
     assert [(r.token, r.token_type) for r in rows] == [("Don't", "word"), ("pay", "word"), ("3.50", "number"), ("now", "word"), ("😀😀", "emoji"), ("!", "punctuation")]
     assert all(text[r.start : r.end] == r.token for r in rows)
+
+
+def test_log_masks_of_every_kind(spark):
+    cases = {
+        "a b@c.io": "a *@c.io",
+        "call +91-987-654-3210 now": "call +91" + "*" * 11 + "10 now",
+        "id 123-45-6789.": "id " + "*" * 11 + ".",
+        "pan ABCDE1234F": "pan " + "*" * 10,
+        "aadhaar 1234 5678 9012": "aadhaar " + "*" * 14,
+        "see https://a.b/c?d=1 there": "see " + "*" * 17 + " there",
+        "k " + "a1" * 16: "k " + "*" * 32,
+    }
+    for text, want in cases.items():
+        assert one(spark, pii.mask_partial, text) == want

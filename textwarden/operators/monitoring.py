@@ -13,18 +13,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textwarden.operators.matching import bounded
+
+#: Seconds of the slices inside which predictions are numbered; ranges of values that K6 is dealt to.
+SLICE, RANGES = 60, 64
+
 
 def prediction_windows(log: DataFrame, seconds: int | None = 3600, n: int | None = None) -> DataFrame:
     """(by tenant) windows of a prediction log (event_id, ts, tenant, confidence, processing_ms).
 
-    Time windows if ``seconds`` is given, else windows of n consecutive predictions.
+    Time windows if ``seconds`` is given, else windows of n consecutive predictions.  Those
+    are numbered inside short slices of time, from the totals of a tenant's slices before,
+    so no task sorts a tenant's whole log.
     """
     if seconds:
         key = F.window("ts", f"{seconds} seconds")["start"]
     else:
-        w = Window.partitionBy("tenant").orderBy("ts", "event_id")
-        log = log.withColumn("_k", F.floor((F.row_number().over(w) - 1) / n))
-        key = F.col("_k")
+        log = log.withColumn("_s", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (SLICE * 1_000_000)))
+        before = Window.partitionBy("tenant").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = log.groupBy("tenant", "_s").agg(F.count("*").alias("_n"))
+        bases = sizes.select(F.col("tenant").alias("_t"), F.col("_s").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+        w = Window.partitionBy("tenant", "_s").orderBy("ts", "event_id")
+        log = log.withColumn("_i", F.row_number().over(w)).join(bases, F.col("tenant").eqNullSafe(F.col("_t")) & F.col("_s").eqNullSafe(F.col("_b")))
+        key = F.floor((F.col("_base") + F.col("_i") - 1) / n)
     return log.groupBy("tenant", key.alias("win")).agg(
         F.count("*").alias("total"), F.min("ts").alias("first_ts"), F.avg("confidence").alias("avg_confidence"), F.avg("processing_ms").alias("avg_processing"),
     )
@@ -41,7 +52,7 @@ def window_baseline(windows: DataFrame, n: int = 5) -> DataFrame:
 
 def zscore_drift(windows: DataFrame, baseline: DataFrame, threshold: float = 0.05, n: int = 5) -> DataFrame:
     """(tenant, win, metric, score, severity): later windows against the baseline of the first."""
-    rows = numbered(windows).where(F.col("k") > n).join(F.broadcast(baseline) if baseline.limit(100_001).count() <= 100_000 else baseline, "tenant")
+    rows = numbered(windows).where(F.col("k") > n).join(bounded(baseline), "tenant")
     z = lambda c: F.abs(F.col(c) - F.col(f"{c}_mean")) / (F.col(f"{c}_std") + 1e-8)
     parts = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), z(c).alias("score")) for c in ("avg_confidence", "avg_processing")])).alias("x")
     s = F.round("x.score", 6)
@@ -127,12 +138,15 @@ def variance_drift(baseline: DataFrame, current: DataFrame, col: str) -> DataFra
 def ks_drift(baseline: DataFrame, current: DataFrame, col: str, alpha: float = 0.05) -> DataFrame:
     """(statistic, p, drift): two-sample Kolmogorov-Smirnov, on distinct values with their counts.
 
-    Running counts are kept by ranges of the value: each range is one task and begins
-    at the totals of those before it, so no task sees all values.
+    Running counts are kept by ranges of the value that hold about as many rows each: a
+    range begins at the totals of those before it, so no task sees all values.
     """
     rows = baseline.select(F.col(col).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(current.select(F.col(col).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     per = rows.where("x is not null").groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    cut = per.withColumn("r", F.floor(F.col("x")))
+    shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    bounds = sorted(set(rows.agg(F.percentile_approx("x", shares, 10_000)).first()[0] or []))
+    below = F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("x"))
+    cut = per.withColumn("r", F.size(below) if bounds else F.lit(0))
     sums = cut.groupBy("r").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"))
     before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -218,17 +232,26 @@ def precision_recall(predicted: DataFrame, by: list[str]) -> DataFrame:
 
 
 def rate_limit_violations(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
-    """Events whose tenant offered more than ``limit`` in the trailing seconds, themselves included."""
-    w = Window.partitionBy("tenant").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("offered", F.count("*").over(w)).where(F.col("offered") > limit)
+    """Events whose tenant offered more than ``limit`` in the trailing seconds, themselves included.
+
+    A tenant's log is cut into slices as long as the limit's time; each event also stands
+    in the next slice, where it is only counted.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = seconds * 1_000_000
+    lags = F.when(F.col("ts").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    rows = events.select("*", at.alias("_at"), F.explode(lags).alias("_lag")).withColumn("_s", F.floor(F.col("_at") / span) + F.col("_lag"))
+    w = Window.partitionBy("tenant", "_s").orderBy("_at").rangeBetween(-span, 0)
+    counted = rows.withColumn("offered", F.count("*").over(w)).where("_lag = 0")
+    return counted.where(F.col("offered") > limit).drop("_at", "_lag", "_s")
 
 
 def health_rollup(checks: DataFrame, degraded: int = 2, unhealthy: int = 3) -> DataFrame:
     """(component, status, failures in a row at the end, success rate) from (component, ts, check_id, ok)."""
-    w = Window.partitionBy("component").orderBy("ts", "check_id")
-    rows = checks.withColumn("good", F.sum(F.col("ok").cast("long")).over(w))
-    last = rows.groupBy("component").agg(F.max("good").alias("g"), F.avg(F.col("ok").cast("double")).alias("success_rate"), F.count("*").alias("n"))
-    tail = rows.join(last, "component").where("good = g AND NOT ok").groupBy("component").agg(F.count("*").alias("failures"))
+    at = F.struct("ts", "check_id")
+    last = checks.groupBy("component").agg(F.max(F.when(F.col("ok"), at)).alias("good"), F.avg(F.col("ok").cast("double")).alias("success_rate"), F.count("*").alias("n"))
+    later = checks.where("NOT ok").join(bounded(last.select("component", "good")), "component").where(F.col("good").isNull() | (at > F.col("good")))
+    tail = later.groupBy("component").agg(F.count("*").alias("failures"))
     out = last.join(tail, "component", "left").fillna(0, ["failures"])
     status = F.when(F.col("failures") >= unhealthy, "unhealthy").when(F.col("failures") >= degraded, "degraded").otherwise("healthy")
     return out.select("component", "failures", "success_rate", "n", status.alias("status"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textwarden.constants import PII_PATTERNS
+from textwarden.constants import LOG_PATTERNS, PII_PATTERNS
 
 KINDS = tuple(dict.fromkeys(kind for kind, _, _ in PII_PATTERNS))
 SWITCHES = {"emails": "emails", "phones": "phones", "ids": "ids"}
@@ -65,32 +65,28 @@ def hash_text(df: DataFrame, col: str = "text", prefix: int | None = None) -> Da
     return df.withColumn("text_hash", F.substring(digest, 1, prefix) if prefix else digest)
 
 
-#: name: pattern; the kind decides how much of a match stays readable
-LOG_PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"(?<![\d.])(?:\+?\d{1,3}[-.\s]?)?(?:\(\d{3}\)|\d{3})[-.\s]\d{3}[-.\s]\d{4}(?!\d)",
-    "card": r"(?<!\d)(?:\d{4}[- ]?){3}\d{4}(?!\d)",
-    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])",
-    "key": r"\b[A-Za-z0-9]{32,}\b",
-}
-
-
 def mask_partial(df: DataFrame, col: str = "text", patterns: dict[str, str] | None = None, mask_char: str = "*", preserve_length: bool = True) -> DataFrame:
-    """Log-style masks that keep a little: an address's first letter and domain, a phone number's ends."""
-    rules = dict(LOG_PATTERNS if patterns is None else patterns)
+    """Log-style masks that keep a little: an address's first letter and domain, a phone number's ends.
+
+    ``patterns`` adds to the ten of ``LOG_PATTERNS``, or replaces those of the same name.
+    Without ``preserve_length`` a covered part is four signs, whatever its length, and
+    shows no first letter.
+    """
+    rules = LOG_PATTERNS | (patterns or {})
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         import re
 
         def stars(n: int) -> str:
-            return mask_char * (n if preserve_length else 4)
+            return mask_char * (n if preserve_length or not n else 4)
 
         def cover(name: str, s: str) -> str:
             if name == "email":
                 local, _, domain = s.partition("@")
-                return local[:1] + stars(len(local) - 1) + "@" + domain
-            if name == "phone" and len(s) > 5:
+                shown = 1 if preserve_length and len(local) > 1 else 0
+                return local[:shown] + stars(len(local) - shown) + "@" + domain
+            if name in ("phone", "indian_phone") and len(s) > 6:
                 return s[:3] + stars(len(s) - 5) + s[-2:]
             return stars(len(s))
 

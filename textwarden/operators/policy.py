@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
+from textwarden.operators.matching import bounded
 
 CONTEXT_SHIFT = -0.2
 REVIEW_ALL, BLOCK_ALL, LOW_THRESHOLD = 0.7, 0.9, 0.9
@@ -37,8 +38,8 @@ def resolve_policy(tenants: DataFrame, tables: dict[str, DataFrame]) -> dict[str
     """Each tenant's own policy: thresholds and departments replaced one by one, contexts and rules united."""
 
     def overlay(table: DataFrame, keys: list[str]) -> DataFrame:
-        base = tenants.select("tenant").distinct().join(F.broadcast(table.where("tenant = '*'").drop("tenant")), F.lit(True))
-        own = tenants.select("tenant").distinct().join(F.broadcast(table.where("tenant <> '*'")), "tenant")
+        base = tenants.select("tenant").distinct().join(bounded(table.where("tenant = '*'").drop("tenant")), F.lit(True))
+        own = tenants.select("tenant").distinct().join(bounded(table.where("tenant <> '*'")), "tenant")
         return own.unionByName(base.join(own.select("tenant", *keys), ["tenant", *keys], "left_anti"))
 
     return {
@@ -54,7 +55,7 @@ def hard_rules(decisions: DataFrame, scores: DataFrame, rules: DataFrame) -> Dat
     rows = decisions.select("doc_id", "tenant", "severity").join(scores.where("score > 0.5"), "doc_id")
     on = ["tenant", "category"]
     r = rules.select("tenant", "category", F.col("severity").alias("least"), "ord")
-    hit = rows.join(F.broadcast(r), on).where(rank_of(F.col("severity")) >= rank_of(F.col("least")))
+    hit = rows.join(bounded(r), on).where(rank_of(F.col("severity")) >= rank_of(F.col("least")))
     name = F.concat("category", F.lit(":"), "least")
     return hit.groupBy("doc_id").agg(F.min(F.struct("ord", name.alias("rule"))).alias("m")).select("doc_id", "m.rule")
 
@@ -71,7 +72,7 @@ def policy_safe_context(docs: DataFrame) -> DataFrame:
 def department_overrides(decisions: DataFrame, scores: DataFrame, departments: DataFrame, contexts: DataFrame) -> DataFrame:
     """(doc_id, adjustment): the department's shift and what its flags add."""
     top = scores.where("score > 0.5").groupBy("doc_id").agg(F.collect_set("category").alias("cats"))
-    rows = decisions.select("doc_id", "tenant", "department").join(F.broadcast(departments), ["tenant", "department"]).join(top, "doc_id", "left").join(contexts, "doc_id", "left")
+    rows = decisions.select("doc_id", "tenant", "department").join(bounded(departments), ["tenant", "department"]).join(top, "doc_id", "left").join(contexts, "doc_id", "left")
     flag = lambda f: F.array_contains("flags", f)
     sensitive = F.coalesce(F.arrays_overlap("cats", F.array(F.lit("sexual content"), F.lit("insult/harassment"))), F.lit(False))
     threat = F.coalesce(F.array_contains("cats", "threat/violence"), F.lit(False))
@@ -86,7 +87,7 @@ def department_overrides(decisions: DataFrame, scores: DataFrame, departments: D
 def threshold_rules(decisions: DataFrame, scores: DataFrame, thresholds: DataFrame, adjustments: DataFrame) -> DataFrame:
     """(doc_id, decision, n_rules) from adjusted category scores against the tenant's thresholds for the severity."""
     rows = decisions.select("doc_id", "tenant", "severity", "confidence").join(adjustments, "doc_id", "left").fillna(0.0, ["adjustment"])
-    rows = rows.join(scores.select("doc_id", "category", "score"), "doc_id").join(F.broadcast(thresholds), ["tenant", "category", "severity"], "left")
+    rows = rows.join(scores.select("doc_id", "category", "score"), "doc_id").join(bounded(thresholds), ["tenant", "category", "severity"], "left")
     s = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + F.col("adjustment"))), 9)
     at = F.coalesce("threshold", F.lit(LOW_THRESHOLD))
     over = s >= at

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
+from textwarden.operators.matching import bounded
 
 HEADS = {"category": K.CATEGORIES, "decision": K.DECISIONS, "severity": K.SEVERITIES}
 
@@ -118,7 +119,7 @@ def temperature_scale(scores: DataFrame, temperatures: dict[str, float]) -> Data
 
 def language_calibration_factor(languages: DataFrame, factors: DataFrame) -> DataFrame:
     """(doc_id, head, factor): mean factor of a document's languages (doc_id, code) in (code, head, factor)."""
-    return languages.join(F.broadcast(factors), "code").groupBy("doc_id", "head").agg(F.avg("factor").alias("factor"))
+    return languages.join(bounded(factors), "code").groupBy("doc_id", "head").agg(F.avg("factor").alias("factor"))
 
 
 def entropy_share(by: list[str], scores: DataFrame) -> DataFrame:

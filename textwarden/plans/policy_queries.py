@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textwarden import constants as K
 from textwarden.operators import feedback, policy
 from textwarden.operators.decide import severity
+from textwarden.operators.matching import bounded
 from textwarden.plans.common import sql_text, table, values
 from textwarden.plans.decision_queries import DECIDED, SEVERITY, decided, docs, lpe, rounded
 
@@ -71,7 +72,7 @@ applied AS (SELECT base.*, CASE WHEN rule IS NOT NULL THEN 'block' ELSE (['allow
 
 def i1(s, d):
     t = policies(s, d)["thresholds"]
-    rows = base(s, d).select("doc_id", "tenant").join(lpe(s, d), "doc_id").join(F.broadcast(t), ["tenant", "category"])
+    rows = base(s, d).select("doc_id", "tenant").join(lpe(s, d), "doc_id").join(bounded(t), ["tenant", "category"])
     return rows.groupBy("tenant", "category", "severity", "threshold").agg(F.sum((F.round("score", 9) >= F.col("threshold")).cast("long")).alias("n_over"))
 
 
