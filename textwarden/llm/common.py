@@ -6,7 +6,7 @@ import gc
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden.plans.common import shared_folder, spread
@@ -87,10 +87,31 @@ def labelled_sample(
     )
     rows = docs.join(F.broadcast(written(ids, "sampled_ids")), "doc_id")
     # ids are at most ``limit``, so this window sorts at most so many rows
-    from pyspark.sql import Window
-
     rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
     share = F.lit(max(1, max_chars * 10 // limit))
     order = Window.orderBy(F.greatest("n", share), F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     sized = rows.select("doc_id", F.length("text").alias("n")).withColumn("upto", F.sum("n").over(order))
     return rows.join(F.broadcast(sized.where(F.col("upto") <= max_chars).select("doc_id")), "doc_id")
+
+
+ROW_BITS = 33  # monotonically_increasing_id() counts rows in the lower bits, tasks above them
+
+
+def numbered(rows: DataFrame, by: str, *order: Column, name: str) -> DataFrame:
+    """``rows`` with ``pos``, a row's place from 0 among those of equal ``by`` in the given order, and ``n``, their number.
+
+    Rows are dealt by ranges of (by, order), so a value of ``by`` that a great many rows
+    have is spread over as many tasks as it needs; the places come from the counts of the
+    ranges.  Null is a value of ``by`` like others, and comes first.  Rows equal in
+    ``order`` are put in any order.
+    """
+    keys = (F.col(by).asc_nulls_first(), *order)
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    marked = written(ranged.withColumn("row_", F.monotonically_increasing_id()), name)
+    part = F.shiftright("row_", ROW_BITS).alias("part_")
+    runs = marked.groupBy(by, part).agg(F.count("*").alias("k_"), F.min("row_").alias("first_"))
+    own = Window.partitionBy(by)
+    before = F.coalesce(F.sum("k_").over(own.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(F.col(by).alias("by_"), "part_", (before - F.col("first_")).alias("shift_"), F.sum("k_").over(own).alias("n"))
+    same = F.col(by).eqNullSafe(F.col("by_")) & (F.shiftright("row_", ROW_BITS) == F.col("part_"))
+    return marked.join(runs, same).select(*rows.columns, (F.col("row_") + F.col("shift_")).alias("pos"), "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textwarden.llm import ann, bpe, decontaminate, near_dedup, pii, quality, rollups, token_files, toxicity, url_filter
+from textwarden.llm import ann, bpe, decontaminate, merkle, near_dedup, pii, quality, rollups, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_nearest": ann.op1_nearest,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_token_counts": rollups.op8_token_counts,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op13_merkle": merkle.op13_merkle,
 }
 ORACLES = {
     "op1_nearest": ann.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op9_near_dedup": near_dedup.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
