@@ -81,7 +81,7 @@ def test_manifest_equals_plain_trees(spark):
 
 def test_odd_rows(spark):
     docs = [(None, None, None, None, None), (1, None, "en", None, None), (1, "", "en", "a", 0), (2, "Same", "en", "a", 4), (2, "Same", "en", "a", 4)]
-    docs += [(None, "No Id", "en", "a", 5), (7, "Long " * 200_000, "en", "é", 10**6), (8, "x", "en", "", 1)]
+    docs += [(None, "No Id", "en", "a", 5), (7, "Long " * 200_000, "en", "é", 10**6), (8, "x", "en", "", 1), (2**63 - 1, "big id", "en", "a", 6)]
     assert run(spark, docs, extra=True) == plain(docs)
 
 

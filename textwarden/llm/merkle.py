@@ -169,13 +169,16 @@ def folded(leaves: DataFrame, above: DataFrame) -> DataFrame:
             roots.append(now.decode())
         root = top["root"].iloc[0]
         return pd.DataFrame({
-            "doc_id": group["doc_id"].astype("Int64"), "leaf": group["digest"], "subroot": top["subroot"].iloc[0], "root": root,
+            "doc_id": group["doc_id"], "leaf": group["digest"], "subroot": top["subroot"].iloc[0], "root": root,
             "proof_sha256": proofs, "folded_root": roots, "verified": [r == root for r in roots],
         })
 
     tops = above.select("tree", F.col("pos").alias("block"), "path", "subroot", "root")
-    out = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    return block_of(leaves).groupBy("tree", "block").cogroup(tops.groupBy("tree", "block")).applyInPandas(run, out)
+    # ids go through as text: a null among them would turn the others into floats
+    out = "doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
+    own = block_of(leaves.withColumn("doc_id", F.col("doc_id").cast("string"))).groupBy("tree", "block")
+    found = own.cogroup(tops.groupBy("tree", "block")).applyInPandas(run, out)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def manifest(leaves: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textwarden.llm import ann, bpe, decontaminate, merkle, near_dedup, pii, quality, rollups, token_files, toxicity, url_filter
+from textwarden.llm import ann, bpe, decontaminate, merkle, near_dedup, pii, quality, rollups, token_files, toxicity, url_filter, winnowing
 
 QUERIES = {
     "op1_nearest": ann.op1_nearest,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": rollups.op8_token_counts,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op12_fingerprints": winnowing.op12_fingerprints,
     "op13_merkle": merkle.op13_merkle,
 }
 ORACLES = {
