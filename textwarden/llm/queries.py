@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textwarden.llm import ann, bpe, decontaminate, merkle, near_dedup, pii, quality, rollups, token_files, toxicity, url_filter, winnowing
+from textwarden.llm import ann, bpe, decontaminate, merkle, near_dedup, pii, prefix_trie, quality, rollups, token_files, toxicity, url_filter, winnowing
 
 QUERIES = {
     "op1_nearest": ann.op1_nearest,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": rollups.op8_token_counts,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_fingerprints": winnowing.op12_fingerprints,
     "op13_merkle": merkle.op13_merkle,
 }
@@ -22,5 +23,6 @@ ORACLES = {
     "op1_nearest": ann.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op9_near_dedup": near_dedup.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op13_merkle": merkle.ORACLE,
 }
