@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textwarden import constants as K
 from textwarden.operators.matching import FOUND, found_in
 from textwarden.operators.normalize import let
+from textwarden.operators.sweep import counts_upto, running, swept, touched
 
 WORD = r"[\p{L}\p{M}\p{N}_]"
 
@@ -31,61 +32,77 @@ THIRD = "(?i)" + "|".join(K.THIRD_PARTY)
 QUOTES = "array<struct<start:int,end:int,quote_type:string,confidence:double>>"
 
 
-def cues_of(text: Column, morphological: bool = True) -> Column:
-    """Array of (kind, cue, start, end, confidence)."""
+#: What a scope is made of: words and what may stand between them.
+STEP = rf"[^\p{{L}}\p{{M}}\p{{N}}_.!?;,]*{WORD}+"
+#: After a cue: so many words, or all up to one of .!?;, or as many words as there are.
+SCOPE = "((?:{step}){{{n}}}|[^.!?;,]*(?=[.!?;,])|(?:{step})*)"
+
+
+def cues_of(text: Column, morphological: bool = True, max_words: int = SCOPE_WORDS) -> Column:
+    """Array of (kind, cue, start, end, confidence, scope_end) of one text, in time linear in its length.
+
+    A scope goes from the cue to the eighth word after it, or to .!?;, if one comes first; it
+    is found along with the cue, by looking ahead.
+    """
     kinds = [(k, *v) for k, v in CUES.items() if morphological or k not in ("prefix", "suffix")]
-    named = lambda kind, c: lambda m: F.struct(F.lit(kind).alias("kind"), m["m"].alias("cue"), m["start"].alias("start"), m["end"].alias("end"), F.lit(c).alias("confidence"))
-    return F.concat(*[F.transform(found_in(text, p), named(kind, c)) for kind, p, c in kinds])
+    scope = SCOPE.format(step=STEP, n=max_words)
+
+    def of(kind: str, pattern: str, c: float) -> Column:
+        def placed(all_: Column) -> Column:
+            tails = F.regexp_extract_all(text, F.lit(f"{pattern}(?={scope})"), F.lit(1))
+            gaps = F.slice(F.split(text, pattern, -1), 1, F.size(all_))
+            ends = running(F.zip_with(all_, gaps, lambda m, g: F.length(g) + F.length(m)))
+            cue = lambda m, e, n: F.struct(F.lit(kind).alias("kind"), m.alias("cue"), (e - F.length(m)).alias("start"), e.alias("end"), F.lit(c).alias("confidence"), (e + n).alias("scope_end"))
+            both = F.zip_with(all_, ends, lambda m, e: F.struct(m.alias("m"), e.alias("e")))
+            return F.zip_with(both, tails, lambda b, t: cue(b["m"], b["e"], F.length(t)))
 
+        found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+        return F.when(text.rlike(pattern), found).otherwise(F.array().cast(CUE))
 
-def scope_end_of(text: Column, end: Column, max_words: int = SCOPE_WORDS) -> Column:
-    """Where the scope of a cue that ends at ``end`` stops: after ``max_words`` words, or at .!?;, before that."""
-    rest = F.substring(text, end + 1, F.length(text))
-    words = F.length(F.regexp_extract(rest, rf"^(?:[^\p{{L}}\p{{M}}\p{{N}}_]*{WORD}+){{0,{max_words}}}", 0))
-    return end + F.least(words, F.length(F.regexp_extract(rest, r"^[^.!?;,]*", 0)))
+    return F.concat(*[of(*k) for k in kinds])
 
 
-def clause_of(text: Column, span: Column) -> Column:
-    """(at, clause): the text around a span from the .!?;, before it to the one after it."""
-    flat = lambda t: F.translate(t, "!?;,", "....")
-    before, after = F.substring(text, F.lit(1), span["start"]), F.substring(text, span["end"] + 1, F.length(text))
-    lead = F.length(F.substring_index(flat(before), ".", -1))
-    tail = F.length(F.substring_index(flat(after), ".", 1))
-    cut = lambda n: F.struct((span["start"] - n).alias("at"), F.substring(text, span["start"] - n + 1, n + span["end"] - span["start"] + tail).alias("clause"))
-    return let(lead, cut)
+CUE = "array<struct<kind:string,cue:string,start:int,end:int,confidence:double,scope_end:int>>"
 
 
 def negation_of(text: Column, spans: Column, morphological: bool = True) -> Column:
-    """Of one text: the confidence of the surest cue whose scope a span touches, else null.
+    """Of one text: the confidence of the surest cue whose scope a span touches, else null."""
+    scopes = F.transform(cues_of(text, morphological), lambda c: F.struct(c["start"].alias("start"), c["scope_end"].alias("end"), c["confidence"].alias("confidence")))
+    return let(scopes, lambda x: touched(spans, x))
 
-    A scope never passes .!?;, so cues are looked for in the clauses of the spans alone.
-    """
 
-    def surest(c: Column) -> Column:
-        # a value used inside a lambda is computed for each element, so ends are bound first
-        start, end = lambda cue: c["at"] + cue["start"], lambda cue: scope_end_of(text, c["at"] + cue["end"])
-        scoped = lambda cue: let(F.struct(start(cue).alias("a"), end(cue).alias("b")), lambda x: F.exists(spans, lambda s: (s["start"] <= x["b"]) & (s["end"] >= x["a"])))
-        return F.array_max(F.transform(F.filter(cues_of(c["clause"], morphological), scoped), lambda cue: cue["confidence"]))
+def negation_cues(docs: DataFrame, morphological: bool = True, max_words: int = SCOPE_WORDS) -> DataFrame:
+    """(doc_id, kind, cue, start, end, confidence, scope_end)."""
+    return docs.select("doc_id", F.explode(cues_of(F.col("text"), morphological, max_words)).alias("c")).select("doc_id", "c.*")
 
-    return F.array_max(F.transform(F.array_distinct(F.transform(spans, lambda s: clause_of(text, s))), surest))
 
+def negation_scopes(cues: DataFrame) -> DataFrame:
+    """Adds scope_start: a scope goes from its cue to scope_end."""
+    return cues.withColumn("scope_start", F.col("start"))
 
-def negation_cues(docs: DataFrame, morphological: bool = True) -> DataFrame:
-    """(doc_id, text, kind, cue, start, end, confidence)."""
-    return docs.select("doc_id", "text", F.explode(cues_of(F.col("text"), morphological)).alias("c")).select("doc_id", "text", "c.*")
 
+def negated_spans(spans: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(doc_id, start, end, negation): spans that touch a scope, with the most confident cue.
 
-def negation_scopes(cues: DataFrame, max_words: int = SCOPE_WORDS) -> DataFrame:
-    """Adds scope_start and scope_end: from the cue to the eighth word after it, cut at .!?;, if one comes first."""
-    return cues.withColumn("scope_start", F.col("start")).withColumn("scope_end", scope_end_of(F.col("text"), F.col("end"), max_words))
+    Spans and scopes of a document meet in its row, one span's scopes by two counts: of
+    those that begin up to its end, as many as end before its start don't touch it.
+    """
+    per_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    s = scopes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("scope_start").alias("start"), F.col("scope_end").alias("end"), "confidence"))).alias("scopes"))
+    both = per_doc.join(s, "doc_id")
+    levels = sorted({c for _, c in CUES.values()}, reverse=True)
 
+    def touching(level: float) -> Column:
+        """For each span whether a scope of this confidence touches it."""
+        own = F.filter("scopes", lambda x: x["confidence"] == level)
+        begun = counts_upto(F.transform(own, lambda x: x["start"]), F.transform("spans", lambda x: x["end"]))
+        gone = counts_upto(F.transform(own, lambda x: x["end"] + 1), F.transform("spans", lambda x: x["start"]))
+        return F.zip_with(begun, gone, lambda a, b: F.when(a > b, F.lit(level)))
 
-def negated_spans(spans: DataFrame, scopes: DataFrame) -> DataFrame:
-    """(doc_id, start, end, negation): spans that touch a scope, with the most confident cue."""
-    s = scopes.select("doc_id", "scope_start", "scope_end", F.col("confidence").alias("c"))
-    touch = (spans["start"] <= s["scope_end"]) & (spans["end"] >= s["scope_start"])
-    rows = spans.join(s, (spans["doc_id"] == s["doc_id"]) & touch).select(spans["doc_id"], spans["start"], spans["end"], "c")
-    return rows.groupBy("doc_id", "start", "end").agg(F.max("c").alias("negation"))
+    best = F.arrays_zip(*[touching(v).alias(f"l{k}") for k, v in enumerate(levels)])
+    surest = F.transform(best, lambda x: F.coalesce(*[x[f"l{k}"] for k in range(len(levels))]))
+    found = both.select("doc_id", F.explode(F.zip_with("spans", surest, lambda x, c: F.struct(x["start"].alias("start"), x["end"].alias("end"), c.alias("negation")))).alias("x"))
+    return found.select("doc_id", "x.*").where("negation is not null")
 
 
 def quote(kind: str, confidence: float):
@@ -134,19 +151,16 @@ def resolved_of(quotes: Column) -> Column:
     """Greedy by start: of two that overlap the more confident stays.  Array of (start, less, end, quote_type), less = -confidence."""
     item = lambda q: F.struct(q["start"].alias("start"), (-q["confidence"]).alias("less"), q["end"].alias("end"), q["quote_type"].alias("quote_type"))
 
-    def step(kept, q):
-        last = F.element_at(kept, -1)
-        return (
-            F.when(F.size(kept) == 0, F.array(q))
-            .when(q["start"] >= last["end"], F.concat(kept, F.array(q)))
-            .when(q["less"] < last["less"], F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(q)))
-            .otherwise(kept)
-        )
+    def step(live: Column, q: Column) -> Column:
+        last = F.get(live, F.lit(0))
+        apart = (F.size(live) == 0) | (q["start"] >= last["end"])
+        better = apart | (q["less"] < last["less"])
+        return F.struct(F.when(better, F.array(q)).otherwise(live).alias("live"), F.when(apart, live).otherwise(F.slice(live, 1, 0)).alias("out"))
 
-    def folded(every):
-        return F.aggregate(every, F.slice(every, 1, 0), step)
+    return let(F.array_sort(F.array_distinct(F.transform(quotes, item))), lambda every: swept(every, F.slice(every, 1, 0), RESOLVED, step))
 
-    return let(F.array_sort(F.array_distinct(F.transform(quotes, item))), folded)
+
+RESOLVED = "array<struct<start:int,less:double,end:int,quote_type:string>>"
 
 
 def resolve_quotes(quotes: DataFrame) -> DataFrame:
@@ -162,25 +176,40 @@ def quotation_of(text: Column, spans: Column) -> Column:
     Of several quotes around one span the surest counts, then the earliest.
     """
 
-    def around(s):
-        touching = lambda q: (s["start"] < q["end"]) & (q["start"] < s["end"])
+    share = weighted(QUOTE_SHARE)
+    totals = lambda b: F.struct(F.array_max(F.transform(b, lambda x: x["quotation"])).alias("quotation"), F.array_max(F.transform(b, lambda x: share[x["quote_type"]])).alias("most"))
+    found = lambda quotes: F.when((F.size(spans) > 0) & (F.size(quotes) > 0), F.filter(best_quotes(spans, quotes), lambda b: b.isNotNull()))
+    return let(resolved_of(all_quotes_of(text)), lambda quotes: let(found(quotes), lambda b: F.when(F.size(b) > 0, totals(b))))
+
+
+def best_quotes(spans: Column, quotes: Column) -> Column:
+    """For each span (quotation, early, quote_type) of the quote around it, or null.
+
+    Quotes come by their start and don't overlap, so the ones that a span overlaps stand
+    together: after those that end up to its start, before those that start at its end.
+    """
+    gone = counts_upto(F.transform(quotes, lambda q: q["end"]), F.transform(spans, lambda s: s["start"]))
+    begun = counts_upto(F.transform(quotes, lambda q: q["start"]), F.transform(spans, lambda s: s["end"] - 1))
+
+    def around(s: Column, a: Column, b: Column) -> Column:
         sure = lambda q: F.when((s["start"] >= q["start"]) & (s["end"] <= q["end"]), -q["less"]).otherwise(-q["less"] * 0.8)
         rated = lambda q: F.struct(sure(q).alias("quotation"), (-q["start"]).alias("early"), q["quote_type"].alias("quote_type"))
-        return lambda quotes: F.array_max(F.transform(F.filter(quotes, touching), rated))
+        return F.when(b > a, F.array_max(F.transform(F.slice(quotes, a + 1, F.greatest(b - a, F.lit(0))), rated)))
 
-    best = lambda quotes: F.filter(F.transform(spans, lambda s: around(s)(quotes)), lambda b: b.isNotNull())
-    share = weighted(QUOTE_SHARE)
-    totals = lambda b: F.struct(F.array_max(F.transform(b, lambda x: x["quotation"])).alias("quotation"), F.array_max(F.transform(b, lambda x: share[x["quote_type"]])).alias("most"))
-    return let(resolved_of(all_quotes_of(text)), lambda quotes: let(best(quotes), lambda b: F.when(F.size(b) > 0, totals(b))))
+    placed = F.zip_with(gone, begun, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.zip_with(spans, placed, lambda s, x: around(s, x["a"], x["b"]))
 
 
 def quoted_spans(spans: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(doc_id, start, end, quotation, quote_type): inside a quote its confidence, partly inside 0.8 of it."""
-    q = quotes.select("doc_id", F.col("start").alias("qs"), F.col("end").alias("qe"), "quote_type", F.col("confidence").alias("qc"))
-    rows = spans.join(q, "doc_id").where((F.col("start") < F.col("qe")) & (F.col("qs") < F.col("end")))
-    c = F.when((F.col("start") >= F.col("qs")) & (F.col("end") <= F.col("qe")), F.col("qc")).otherwise(F.col("qc") * 0.8)
-    best = F.max(F.struct(c.alias("quotation"), (-F.col("qs")).alias("early"), "quote_type"))
-    return rows.groupBy("doc_id", "start", "end").agg(best.alias("b")).select("doc_id", "start", "end", "b.quotation", "b.quote_type")
+    """(doc_id, start, end, quotation, quote_type): inside a quote its confidence, partly inside 0.8 of it.
+
+    ``quotes`` don't overlap (``resolve_quotes``).
+    """
+    per_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    item = F.struct("start", (-F.col("confidence")).alias("less"), "end", "quote_type")
+    q = quotes.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("quotes"))
+    rows = per_doc.join(q, "doc_id").select("doc_id", F.explode(F.zip_with("spans", best_quotes(F.col("spans"), F.col("quotes")), lambda s, b: F.struct(s.alias("s"), b.alias("b")))).alias("x"))
+    return rows.where("x.b is not null").select("doc_id", "x.s.start", "x.s.end", "x.b.quotation", "x.b.quote_type")
 
 
 def words_pattern(words) -> str:

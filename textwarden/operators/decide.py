@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
+from textwarden.operators.sweep import swept
 
 WEIGHTS = {"lpe": 0.4, "classifier": 0.5, "intent": 0.1}
 REVIEW, BLOCK, FLOOR = 0.7, 0.85, 0.6
@@ -120,8 +121,8 @@ def consolidate_spans(spans: DataFrame, overlap: float = 0.3, most: int = 10) ->
     item = F.struct("start", "end", "text", "category", "confidence")
     per_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
+    def step(live: Column, s: Column) -> Column:
+        last = F.get(live, F.lit(0))
         common = F.least(last["end"], s["end"]) - F.greatest(last["start"], s["start"])
         share = common / F.least(last["end"] - last["start"], s["end"] - s["start"])
         stronger = s["confidence"] > last["confidence"]
@@ -131,10 +132,10 @@ def consolidate_spans(spans: DataFrame, overlap: float = 0.3, most: int = 10) ->
             F.when(stronger, s["category"]).otherwise(last["category"]).alias("category"),
             ((last["confidence"] + s["confidence"]) / 2).alias("confidence"),
         )
-        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))
-        return F.when(F.size(acc) == 0, F.array(s)).when(share >= overlap, joined).otherwise(F.concat(acc, F.array(s)))
+        joined = (F.size(live) > 0) & (share >= overlap)
+        return F.struct(F.when(joined, F.array(merged)).otherwise(F.array(s)).alias("live"), F.when(joined, F.slice(live, 1, 0)).otherwise(live).alias("out"))
 
-    merged = F.aggregate("all", F.slice("all", 1, 0), step)
+    merged = swept(F.col("all"), F.slice("all", 1, 0), per_doc.schema["all"].dataType.simpleString(), step)
     best = F.slice(F.array_sort(F.transform(merged, lambda s: F.struct((-s["confidence"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["category"].alias("category")))), 1, most)
     return per_doc.select("doc_id", F.explode(best).alias("s")).select("doc_id", "s.start", "s.end", "s.text", "s.category", (-F.col("s.k")).alias("confidence"))
 

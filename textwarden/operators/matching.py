@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from textwarden import constants as K
 from textwarden.operators.normalize import let
+from textwarden.operators.sweep import cut, pieces_of, running, swept
 
 MOST_BROADCAST = 50_000
 #: Terms that are tried on each text one by one; a longer lexicon is joined by its terms' first letters.
 MOST_INLINE = 1_000
 FIRST = 3
 FOUND = "array<struct<m:string,start:int,end:int>>"
+SPANS = "array<struct<start:int,end:int,text:string,category:string,severity:string,confidence:double,rule_source:string>>"
 SPAN = ("doc_id", "start", "end", "text", "category", "severity", "confidence", "rule_source")
 
 
@@ -64,34 +66,24 @@ def load_patterns(spark: SparkSession) -> DataFrame:
 def starts_of(text: Column, term: Column) -> Column:
     """Code-point offsets of all non-overlapping occurrences of a literal in a text."""
     parts = F.split(text, F.concat(F.lit("\\Q"), term, F.lit("\\E")), F.lit(-1))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p) + F.length(term)).alias("at"),
-        F.concat(acc["out"], F.array(acc["at"] + F.length(p))).alias("out"),
-    )
-    folded = lambda ps: F.aggregate(ps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: F.slice(acc["out"], 1, F.size(ps) - 1))
-    return let(parts, folded)
+    ends = lambda ps: running(F.transform(F.slice(ps, 1, F.size(ps) - 1), lambda p: F.length(p) + F.length(term)))
+    return let(parts, lambda ps: F.transform(ends(ps), lambda e: e - F.length(term)))
 
 
 def found_in(text: Column, pattern: str, keep=None) -> Column:
     """Array of (m, start, end): a text's matches of a pattern with their code-point offsets.
 
-    The matches and the gaps between them are walked once; ``keep`` says of a match
-    whether it is wanted.
+    The offsets are running sums of the lengths of matches and of the gaps between them;
+    ``keep`` says of a match whether it is wanted.
     """
-    none = F.array().cast(FOUND)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        grown = F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), start.alias("start"), end.alias("end"))))
-        return F.struct(end.alias("at"), (grown if keep is None else F.when(keep(x["m"]), grown).otherwise(acc["out"])).alias("out"))
-
-    def walked(all_: Column) -> Column:
+    def placed(all_: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), 1, F.size(all_))
-        pairs = F.zip_with(all_, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap")))
-        return F.when(F.size(all_) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none)
+        ends = running(F.zip_with(all_, gaps, lambda m, g: F.length(g) + F.length(m)))
+        found = F.zip_with(all_, ends, lambda m, e: F.struct(m.alias("m"), (e - F.length(m)).alias("start"), e.alias("end")))
+        return F.when(F.size(all_) > 0, found if keep is None else F.filter(found, lambda f: keep(f["m"]))).otherwise(F.array().cast(FOUND))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walked)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def span_of(start: Column, end: Column, text: Column, category: Column, severity: Column, confidence: Column, rule_source: Column) -> Column:
@@ -111,21 +103,29 @@ def term_spans_of(text: Column, low: Column, terms: Column, lang: Column | None
     """Array of spans of one text (``low``: lower-cased) for every term it holds."""
     held = lambda low: F.filter(terms, lambda t: F.contains(low, t["term"]) if lang is None else (t["lang"] == lang) & F.contains(low, t["term"]))
 
-    def starts(t: Column) -> Column:
+    def starts(t: Column, near: Column) -> Column:
         every = starts_of(low, t["term"])
         if not whole_word:
             return every
-        before = lambda s: F.substring(low, s, F.lit(1))
-        after = lambda s: F.substring(low, s + F.length(t["term"]) + 1, F.lit(1))
+        before = lambda s: cut(low, near, s - 1, F.lit(1))
+        after = lambda s: cut(low, near, s + F.length(t["term"]), F.lit(1))
         word = r"[\p{L}\p{N}]"
-        return F.filter(every, lambda s: ~((s > 0) & before(s).rlike(word)) & ~after(s).rlike(word))
+        return F.filter(every, lambda s: ~((s > 0) & before(s).rlike(word)) & ~F.coalesce(after(s).rlike(word), F.lit(False)))
+
+    def spans(pieces: Column, near: Column):
+        def of(t: Column) -> Column:
+            n = F.length(t["term"])
+            source = F.concat(F.lit("lexicon:"), t["lang"], F.lit(":"), t["term"])
+            return F.transform(starts(t, near), lambda s: span_of(s, s + n, cut(text, pieces, s, n), t["category"], t["severity"], t["weight"], source))
+
+        return of
 
-    def spans(t: Column) -> Column:
-        n = F.length(t["term"])
-        source = F.concat(F.lit("lexicon:"), t["lang"], F.lit(":"), t["term"])
-        return F.transform(starts(t), lambda s: span_of(s, s + n, F.substring(text, s + 1, n), t["category"], t["severity"], t["weight"], source))
+    def every(ts: Column) -> Column:
+        texts = F.struct(pieces_of(text).alias("p"), pieces_of(low if whole_word else F.lit("")).alias("near"))
+        found = let(texts, lambda x: F.flatten(F.transform(ts, spans(x["p"], x["near"]))))
+        return F.when(F.size(ts) > 0, found).otherwise(F.array().cast(SPANS))
 
-    return F.flatten(F.transform(let(low, held), spans))
+    return let(let(low, held), every)
 
 
 def first_letters(low: Column, sizes: list[int]) -> Column:
@@ -262,13 +262,20 @@ def dedupe_spans(spans: DataFrame) -> DataFrame:
     item = F.struct("start", "end", (-F.col("confidence")).alias("lighter"), *[c for c in fields if c not in ("start", "end")])
     per_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
 
-    def step(kept: Column, s: Column) -> Column:
-        clash = F.filter(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
-        first = F.element_at(clash, 1)
-        swapped = F.transform(kept, lambda k: F.when((k["start"] == first["start"]) & (k["end"] == first["end"]) & (k["lighter"] == first["lighter"]), s).otherwise(k))
-        return F.when(F.size(clash) == 0, F.concat(kept, F.array(s))).when(s["lighter"] < first["lighter"], swapped).otherwise(kept)
+    def step(live: Column, s: Column) -> Column:
+        # spans come by their start, so one that ends before it is settled
+        done, open_ = F.filter(live, lambda k: k["end"] <= s["start"]), F.filter(live, lambda k: k["end"] > s["start"])
+
+        def placed(kept: Column) -> Column:
+            clash = F.array_position(F.transform(kept, lambda k: k["start"] < s["end"]), F.lit(True)).cast("int")
+            swapped = lambda at: F.transform(kept, lambda k, i: F.when(i == at - 1, s).otherwise(k))
+            lighter = lambda at: F.get(kept, at - 1)["lighter"]
+            return let(clash, lambda at: F.when(at == 0, F.concat(kept, F.array(s))).when(s["lighter"] < lighter(at), swapped(at)).otherwise(kept))
+
+        return F.struct(let(open_, placed).alias("live"), done.alias("out"))
 
-    kept = F.aggregate("all", F.slice("all", 1, 0), step)
+    kind = per_doc.schema["all"].dataType.simpleString()
+    kept = swept(F.col("all"), F.slice("all", 1, 0), kind, step)
     return per_doc.select("doc_id", F.explode(kept).alias("s")).select("doc_id", *[f"s.{c}" for c in fields])
 
 
