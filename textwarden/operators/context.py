@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textwarden import constants as K
 from textwarden.operators.matching import FOUND, found_in
 from textwarden.operators.normalize import let
-from textwarden.operators.sweep import counts_upto, running, swept, touched
+from textwarden.operators.sweep import counts_upto, distinct_of, running, swept, touched
 
 WORD = r"[\p{L}\p{M}\p{N}_]"
 
@@ -157,7 +157,7 @@ def resolved_of(quotes: Column) -> Column:
         better = apart | (q["less"] < last["less"])
         return F.struct(F.when(better, F.array(q)).otherwise(live).alias("live"), F.when(apart, live).otherwise(F.slice(live, 1, 0)).alias("out"))
 
-    return let(F.array_sort(F.array_distinct(F.transform(quotes, item))), lambda every: swept(every, F.slice(every, 1, 0), RESOLVED, step))
+    return let(distinct_of(F.transform(quotes, item)), lambda every: swept(every, F.slice(every, 1, 0), RESOLVED, step))
 
 
 RESOLVED = "array<struct<start:int,less:double,end:int,quote_type:string>>"

@@ -16,19 +16,23 @@ from textwarden.operators.normalize import let
 LETTERS_AND_DIGITS = r"[^\p{L}\p{N}]"
 
 
-def script_class(script: str) -> str:
+def script_class(script: str, outside: bool = True) -> str:
     lo, hi = K.SCRIPTS[script]
-    return f"[^\\x{{{lo:x}}}-\\x{{{hi:x}}}]"
+    return f"[{'^' if outside else ''}\\x{{{lo:x}}}-\\x{{{hi:x}}}]"
 
 
 def script_shares(df: DataFrame, col: str = "text") -> DataFrame:
-    """Adds ``scripts``: script to its share of the letters and digits; absent scripts aren't listed."""
+    """Adds ``scripts``: script to its share of the letters and digits; absent scripts aren't listed.
+
+    A text without letters and digits has none.
+    """
+    lo, hi = min(a for a, _ in K.SCRIPTS.values() if a > 0x7F), max(b for _, b in K.SCRIPTS.values())
     kept = F.regexp_replace(F.col(col), LETTERS_AND_DIGITS, "")
-    rows = df.withColumn("_kept", kept)
-    n = F.length("_kept")
-    share = lambda s: F.length(F.regexp_replace("_kept", script_class(s), "")) / n
-    entries = [F.when(share(s) > 0, F.struct(F.lit(s).alias("key"), share(s).alias("value"))) for s in K.SCRIPTS]
-    return rows.withColumn("scripts", F.map_from_entries(F.array_compact(F.array(*entries)))).drop("_kept")
+    rows = df.select("*", kept.alias("_kept"), F.col(col).rlike(f"[\\x{{{lo:x}}}-\\x{{{hi:x}}}]").alias("_exotic"))  # most texts have none of these scripts
+    here = lambda s: F.col("_kept").rlike(script_class(s, False)) if s == "latin" else F.col("_exotic") & F.col("_kept").rlike(script_class(s, False))
+    share = lambda s: F.length(F.regexp_replace("_kept", script_class(s), "")) / F.nullif(F.length("_kept"), F.lit(0))
+    entries = [F.when(here(s), F.struct(F.lit(s).alias("key"), share(s).alias("value"))) for s in K.SCRIPTS]
+    return rows.withColumn("scripts", F.map_from_entries(F.array_compact(F.array(*entries)))).drop("_kept", "_exotic")
 
 
 #: A word boundary between ASCII word characters and others, whatever the Java version makes of \\b.
@@ -37,14 +41,20 @@ BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 def hinglish_score(df: DataFrame, col: str = "text") -> DataFrame:
     """Adds ``hinglish``: cues of Hindi in Latin letters for each word, at most 1; 0 up to 0.1."""
-    text, low = F.col(col), F.lower(F.col(col))
-    words = F.size(F.filter(F.split(low, r"\s+"), lambda w: w != ""))
-    hits = sum((F.regexp_count(low, F.lit(p.replace(r"\b", BOUNDARY))) for p in K.HINGLISH), F.lit(0))
+    rows = df.withColumn("_low", F.lower(col)).withColumn("_words", F.regexp_count("_low", F.lit(r"\S+")))
+    text, low, (*lists, verb, praise) = F.col(col), F.col("_low"), K.HINGLISH
+    words = F.col("_words")
+    # the lists have no word in common, so their words are counted together
+    listed = F.regexp_count(low, F.lit(r"(?<!\w)(?:" + "|".join(p.strip(r"\b").strip("()") for p in lists) + r")(?!\w)"))
+    hits = listed + F.regexp_count(low, F.lit(verb.replace(r"\b\w+", r"\w", 1).replace(r"\b", r"(?!\w)")))
+    praised = praise.replace(r"\b", BOUNDARY)
+    hits = hits + F.when(low.rlike("achha|sahi|galat|bura"), F.regexp_count(low, F.lit(praised))).otherwise(0)
     mixed = text.rlike("[A-Yy\\[-`a-x]") & text.rlike("[\\x{900}-\\x{97e}]")
-    roman = sum((F.regexp_count(low, F.lit(p.replace(r"\b", BOUNDARY))) for p in K.ROMANIZED), F.lit(0))
-    raw = (hits + F.when(mixed, words * 0.3).otherwise(0.0) + roman * 0.1) / words
-    score = F.when((words > 0) & (F.least(raw, F.lit(1.0)) > 0.1), F.least(raw, F.lit(1.0))).otherwise(0.0)
-    return df.withColumn("hinglish", F.coalesce(score, F.lit(0.0)))
+    # a word with the letters anywhere in it is found from those letters on
+    roman = sum((F.regexp_count(low, F.lit(p.replace(r"\b\w*", "", 1).replace(r"\w*\b", r"\w*"))) for p in K.ROMANIZED), F.lit(0))
+    raw = (hits + F.when(mixed, words * 0.3).otherwise(0.0) + roman * 0.1) / F.nullif(words, F.lit(0))
+    rows = rows.withColumn("_raw", F.least(raw, F.lit(1.0)))
+    return rows.withColumn("hinglish", F.when(F.col("_raw") > 0.1, F.col("_raw")).otherwise(0.0)).drop("_low", "_raw", "_words")
 
 
 def language_mix_report(df: DataFrame, by: list[str], code: str = "code", confidence: str = "confidence") -> DataFrame:
@@ -175,19 +185,14 @@ def detect_languages(df: DataFrame, col: str = "text", hints_col: str | None = N
         every = F.transform(every, lambda x: F.struct(x["code"].alias("code"), boost(x).alias("c"), x["p"].alias("p")))
     default = F.array(F.struct(F.lit("en").alias("code"), F.lit(0.5).alias("confidence"), F.lit(100.0).alias("percentage")))
 
-    def shaped(kept: Column, total: Column) -> Column:
-        row = lambda x: F.struct((-F.least(F.lit(0.95), x["c"])).alias("k"), x["code"].alias("code"), (x["p"] / total * 100).alias("percentage"))
-        back = lambda x: F.struct(x["code"].alias("code"), (-x["k"]).alias("confidence"), x["percentage"].alias("percentage"))
-        return F.transform(F.array_sort(F.transform(kept, row)), back)
-
-    def chosen(ordered: Column) -> Column:
-        sure = F.filter(ordered, lambda x: x["confidence"] >= threshold)
-        return F.when(F.size(ordered) == 0, default).otherwise(let(sure, lambda x: F.when(F.size(x) == 0, F.slice(ordered, 1, 1)).otherwise(x)))
-
-    total = lambda kept: F.aggregate(kept, F.lit(0.0), lambda a, x: a + x["p"])
-    of_kept = lambda kept: let(total(kept), lambda t: let(shaped(kept, t), chosen))
-    final = let(F.filter(every, lambda x: x["c"] > 0.1), of_kept)
-    return rows.withColumn("languages", final).drop("scripts", "hinglish")
+    rows = rows.withColumn("_kept", F.filter(every, lambda x: x["c"] > 0.1))
+    rows = rows.withColumn("_total", F.aggregate("_kept", F.lit(0.0), lambda a, x: a + x["p"]))
+    row = lambda x: F.struct((-F.least(F.lit(0.95), x["c"])).alias("k"), x["code"].alias("code"), (x["p"] / F.col("_total") * 100).alias("percentage"))
+    back = lambda x: F.struct(x["code"].alias("code"), (-x["k"]).alias("confidence"), x["percentage"].alias("percentage"))
+    rows = rows.withColumn("_kept", F.transform(F.array_sort(F.transform("_kept", row)), back))
+    rows = rows.withColumn("_sure", F.filter("_kept", lambda x: x["confidence"] >= threshold))
+    final = F.when(F.size("_kept") == 0, default).when(F.size("_sure") == 0, F.slice("_kept", 1, 1)).otherwise(F.col("_sure"))
+    return rows.withColumn("languages", final).drop("scripts", "hinglish", "_kept", "_total", "_sure")
 
 
 def detect_per_segment(df: DataFrame, col: str = "text", id_col: str = "doc_id", segment_length: int = 50) -> DataFrame:

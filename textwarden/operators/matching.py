@@ -90,13 +90,22 @@ def span_of(start: Column, end: Column, text: Column, category: Column, severity
     return F.struct(*[c.alias(n) for n, c in zip(SPAN[1:], (start, end, text, category, severity, confidence, rule_source), strict=True)])
 
 
+def inline_struct(start: Column, end: Column, text: Column, term: Column) -> Column:
+    """The span of a term (lang, term, category, severity, weight)."""
+    source = F.concat(F.lit("lexicon:"), term["lang"], F.lit(":"), term["term"])
+    return span_of(start, end, text, term["category"], term["severity"], term["weight"], source)
+
+
+def inline_rows(lexicon: DataFrame) -> list[dict] | None:
+    """The terms of a lexicon, or null if it has more than MOST_INLINE."""
+    rows = lexicon.select("lang", "term", "category", "severity", "weight").where("term <> ''").limit(MOST_INLINE + 1).collect()
+    return None if len(rows) > MOST_INLINE else [r.asDict() for r in rows]
+
+
 def inline_terms(lexicon: DataFrame) -> Column | None:
     """The lexicon as a constant array, or null if it has more than MOST_INLINE terms."""
-    names = ("lang", "term", "category", "severity", "weight")
-    rows = lexicon.select(*names).where("term <> ''").limit(MOST_INLINE + 1).collect()
-    if len(rows) > MOST_INLINE:
-        return None
-    return F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), "array<struct<lang:string,term:string,category:string,severity:string,weight:double>>")
+    rows = inline_rows(lexicon)
+    return None if rows is None else F.from_json(F.lit(json.dumps(rows)), "array<struct<lang:string,term:string,category:string,severity:string,weight:double>>")
 
 
 def term_spans_of(text: Column, low: Column, terms: Column, lang: Column | None = None, whole_word: bool = False) -> Column:
@@ -115,8 +124,7 @@ def term_spans_of(text: Column, low: Column, terms: Column, lang: Column | None
     def spans(pieces: Column, near: Column):
         def of(t: Column) -> Column:
             n = F.length(t["term"])
-            source = F.concat(F.lit("lexicon:"), t["lang"], F.lit(":"), t["term"])
-            return F.transform(starts(t, near), lambda s: span_of(s, s + n, cut(text, pieces, s, n), t["category"], t["severity"], t["weight"], source))
+            return F.transform(starts(t, near), lambda s: inline_struct(s, s + n, cut(text, pieces, s, n), t))
 
         return of
 

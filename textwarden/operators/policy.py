@@ -7,6 +7,8 @@ Decisions: (doc_id, tenant, department, decision, confidence, severity).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +64,7 @@ def hard_rules(decisions: DataFrame, scores: DataFrame, rules: DataFrame) -> Dat
 
 def policy_safe_context(docs: DataFrame) -> DataFrame:
     """(doc_id, context): the first context, in the policy's order, whose patterns match the text."""
-    out = None
-    for name, patterns in K.POLICY_CONTEXT_PATTERNS.items():
-        hit = F.col("text").rlike("(?i)" + "|".join(patterns))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return docs.select("doc_id", out.alias("context")).where("context is not null")
+    return docs.select("doc_id", context_of(F.col("text")).alias("context")).where("context is not null")
 
 
 def department_overrides(decisions: DataFrame, scores: DataFrame, departments: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -98,19 +96,120 @@ def threshold_rules(decisions: DataFrame, scores: DataFrame, thresholds: DataFra
     return per.select("doc_id", F.element_at(F.array(*map(F.lit, K.DECISIONS)), (level + 1).cast("int")).alias("decision"), "n_rules")
 
 
+#: A tenant's whole policy as one value; thresholds are by category and severity, joined by a bar.
+POLICY = "struct<thresholds:map<string,double>,departments:map<string,struct<flags:array<string>,shift:double>>,hard_rules:array<struct<ord:int,category:string,severity:string,action:string>>>"
+MOST_TENANTS = 1_000
+
+
+def policy_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """(tenant, policy): one row for each tenant that the tables name, and ``*`` for all others."""
+    own = {k: t.select("tenant") for k, t in tables.items()}
+    tenants = own["thresholds"].unionByName(own["departments"]).unionByName(own["hard_rules"]).distinct()
+    t = resolve_policy(tenants, tables)
+    pairs = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key.alias("key"), value.alias("value"))))
+    thresholds = t["thresholds"].groupBy("tenant").agg(pairs(F.concat_ws("|", "category", "severity"), F.col("threshold")).alias("thresholds"))
+    departments = t["departments"].groupBy("tenant").agg(pairs(F.col("department"), F.struct("flags", "shift")).alias("departments"))
+    rules = t["hard_rules"].groupBy("tenant").agg(F.array_sort(F.collect_list(F.struct("ord", "category", "severity", "action"))).alias("hard_rules"))
+    rows = tenants.join(thresholds, "tenant", "left").join(departments, "tenant", "left").join(rules, "tenant", "left")
+    return rows.select("tenant", F.struct("thresholds", "departments", "hard_rules").alias("policy"))
+
+
+def builtin_policies() -> dict[str, dict]:
+    """The built-in policies, by tenant."""
+    out = {}
+    for t in {"*", *K.POLICY_THRESHOLDS, *[r[0] for r in (*K.POLICY_DEPARTMENTS, *K.POLICY_HARD_RULES)]}:
+        levels = K.POLICY_THRESHOLDS["*"] | K.POLICY_THRESHOLDS.get(t, {})
+        thresholds = {f"{c}|{s}": x for c, xs in levels.items() for s, x in zip(("medium", "high", "critical"), xs, strict=True)}
+        departments = {d: {"flags": list(f), "shift": s} for who in ("*", t) for w, d, f, s in K.POLICY_DEPARTMENTS if w == who}
+        rules = {r[1:3]: {"ord": k, "category": r[1], "severity": r[2], "action": r[3]} for who in ("*", t) for k, r in enumerate(K.POLICY_HARD_RULES) if r[0] == who}
+        out[t] = {"thresholds": thresholds, "departments": departments, "hard_rules": sorted(rules.values(), key=lambda r: r["ord"])}
+    return out
+
+
+def with_own_policy(rows: DataFrame, policies: DataFrame | dict) -> DataFrame:
+    """Adds ``policy``: that of the row's tenant, or of ``*``.
+
+    Policies of up to MOST_TENANTS tenants are a constant of the plan; more of them are joined.
+    """
+    few = [] if isinstance(policies, dict) else policies.limit(MOST_TENANTS + 1).select("tenant", F.to_json("policy").alias("p")).collect()
+    if len(few) <= MOST_TENANTS:
+        known = policies if isinstance(policies, dict) else {r["tenant"]: json.loads(r["p"]) for r in few}
+        by_tenant = F.from_json(F.lit(json.dumps(known)), f"map<string,{POLICY}>")
+        return rows.withColumn("policy", F.coalesce(by_tenant[F.col("tenant")], by_tenant["*"]))
+    every = policies.where("tenant = '*'").select(F.col("policy").alias("base_policy"))
+    joined = rows.join(bounded(policies), "tenant", "left").crossJoin(F.broadcast(every))  # one row
+    return joined.withColumn("policy", F.coalesce("policy", "base_policy")).drop("base_policy")
+
+
+def context_of(text: Column) -> Column:
+    """The first context, in the policies' order, whose patterns match a text."""
+    out = None
+    for name, patterns in K.POLICY_CONTEXT_PATTERNS.items():
+        hit = text.rlike("(?i)" + "|".join(patterns))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out
+
+
+def with_policy(rows: DataFrame, policies: DataFrame | dict, risk: str = "confidence") -> DataFrame:
+    """Adds policy_decision, policy_confidence, adjustment, hard_rule, override_reason and applied_rules to decisions.
+
+    ``rows``: decision, confidence, severity, tenant, department, context and ``scores``, an
+    array of (category, score), which may be null; ``policies``: ``policy_rows`` or
+    ``builtin_policies``.  Everything
+    is an expression on the row.  A hard rule ends the matter; otherwise the department's shift and
+    the context move the scores, which meet the thresholds of the severity; ``risk`` meets the
+    thresholds for a whole document.
+    """
+    had = rows.columns
+    scores = F.coalesce("scores", F.array().cast("array<struct<score:double,category:string>>"))
+    strong = F.transform(F.filter(scores, lambda s: s["score"] > 0.5), lambda s: s["category"])
+    rows = with_own_policy(rows, policies).withColumn("strong", strong)
+    reached = lambda r: F.array_contains("strong", r["category"]) & (rank_of(F.col("severity")) >= rank_of(r["severity"]))
+    own = F.col("policy.departments")[F.col("department")]
+    rows = rows.select("*", F.get(F.filter("policy.hard_rules", reached), F.lit(0)).alias("hard"), own.alias("own"))
+    flag = lambda f: F.coalesce(F.array_contains("own.flags", f), F.lit(False))
+    sensitive = flag("allow_sensitive_discussions") & F.arrays_overlap("strong", F.array(F.lit("sexual content"), F.lit("insult/harassment")))
+    legal = flag("allow_policy_examples") & F.coalesce(F.col("context").isin("legal_documentation", "policy_discussion"), F.lit(False))
+    threat = flag("allow_threat_analysis") & F.array_contains("strong", "threat/violence")
+    rows = rows.select("*", sensitive.alias("sensitive"), legal.alias("legal"), threat.alias("threat"))
+    eased = lambda c, by: F.when(F.col(c), by).otherwise(0.0)
+    shift = F.coalesce("own.shift", F.lit(0.0)) + eased("sensitive", -0.15) + eased("legal", -0.2) + eased("threat", -0.25)
+    rows = rows.withColumn("adjustment", shift + F.when(F.col("context").isNotNull(), CONTEXT_SHIFT).otherwise(0.0))
+
+    def met(s: Column) -> Column:
+        moved = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s["score"] + F.col("adjustment"))), 9)
+        at = F.coalesce(F.col("policy.thresholds")[F.concat(s["category"], F.lit("|"), F.col("severity"))], F.lit(LOW_THRESHOLD))
+        return F.struct(s["category"].alias("category"), moved.alias("score"), at.alias("at"))
+
+    over = F.filter(F.transform(scores, met), lambda s: s["score"] >= s["at"])
+    rows = rows.select("*", over.alias("over"), F.round(F.col(risk) + F.col("adjustment"), 9).alias("overall"))
+    level = F.when(F.col("overall") >= BLOCK_ALL, 2).when(F.col("overall") >= REVIEW_ALL, 1).otherwise(0)
+    hit = F.coalesce(F.array_max(F.transform("over", lambda s: F.when(s["at"] <= 0.5, 2).otherwise(1))), F.lit(0))
+    hard = F.col("hard").isNotNull()
+    ruled = F.element_at(F.array(*map(F.lit, K.DECISIONS)), (F.greatest(hit, level) + 1).cast("int"))
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") + F.col("adjustment")))
+    exceeded = lambda s: F.format_string("%s threshold exceeded: %s (%.3f >= %s)", F.when(s["at"] <= 0.5, "Block").otherwise("Review"), s["category"], s["score"], s["at"].cast("string"))
+    allows = lambda c, what: F.when(F.col(c), F.concat(F.lit("Department override: "), "department", F.lit(f" allows {what}")))
+    lines = F.array(
+        F.concat(F.lit("Safe context detected: "), "context"), allows("sensitive", "sensitive discussions"),
+        allows("legal", "policy examples"), allows("threat", "threat analysis"),
+    )
+    total = F.when(level == 2, F.format_string("Overall confidence threshold exceeded (%.3f >= 0.9)", "overall"))
+    total = total.when((level == 1) & (hit == 0), F.format_string("Overall confidence review threshold exceeded (%.3f >= 0.7)", "overall"))
+    soft = F.array_compact(F.concat(lines, F.transform("over", exceeded), F.array(total)))
+    named = F.array(F.concat(F.lit("Hard rule: "), "hard.category", F.lit(" at "), "hard.severity", F.lit(" severity -> "), "hard.action"))
+    reason = F.when(hard, "Hard rule violation - cannot be overridden").when(F.col("threat"), "Security department threat analysis allowance").when(F.col("legal"), "Legal department policy example allowance")
+    return rows.select(
+        *had, F.when(hard, "block").otherwise(ruled).alias("policy_decision"), F.when(hard, F.col("confidence")).otherwise(confidence).alias("policy_confidence"),
+        "adjustment", F.when(hard, F.concat_ws(":", "hard.category", "hard.severity")).alias("hard_rule"), reason.alias("override_reason"), F.when(hard, named).otherwise(soft).alias("applied_rules"),
+    )
+
+
 def apply_policy(docs: DataFrame, decisions: DataFrame, scores: DataFrame, policies: dict[str, DataFrame]) -> DataFrame:
-    """Decisions with policy_decision, adjustment and hard_rule; a hard rule ends the matter."""
-    contexts = policy_safe_context(docs)
-    adjust = department_overrides(decisions, scores, policies["departments"], contexts)
-    eased = decisions.select("doc_id").join(contexts, "doc_id", "left").join(adjust, "doc_id", "left")
-    total = F.coalesce("adjustment", F.lit(0.0)) + F.when(F.col("context").isNotNull(), CONTEXT_SHIFT).otherwise(0.0)
-    eased = eased.select("doc_id", total.alias("adjustment"))
-    ruled = threshold_rules(decisions, scores, policies["thresholds"], eased).withColumnRenamed("decision", "by_threshold")
-    hard = hard_rules(decisions, scores, policies["hard_rules"])
-    rows = decisions.join(eased, "doc_id").join(ruled, "doc_id", "left").join(hard, "doc_id", "left")
-    final = F.when(F.col("rule").isNotNull(), "block").otherwise(F.coalesce("by_threshold", F.lit("allow")))
-    c = F.when(F.col("rule").isNotNull(), F.col("confidence")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") + F.col("adjustment"))))
-    return rows.select(*decisions.columns, final.alias("policy_decision"), c.alias("policy_confidence"), "adjustment", F.col("rule").alias("hard_rule"))
+    """``with_policy`` for decisions and long tables of scores and texts, which are gathered by document first."""
+    per_doc = scores.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("score", "category"))).alias("scores"))
+    rows = decisions.join(per_doc, "doc_id", "left").join(policy_safe_context(docs), "doc_id", "left")
+    return with_policy(rows, policy_rows(policies)).drop("scores", "context")
 
 
 def policy_impact(applied: DataFrame, by: list[str]) -> DataFrame:

@@ -18,9 +18,13 @@ PIECE = 1024
 
 def chunks_of(items: Column) -> Column:
     """An array as an array of arrays of CHUNK items."""
-    n = F.size(items)
-    begins = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
-    return F.transform(begins, lambda b: F.slice(items, b, F.lit(CHUNK)))
+
+    def sliced(xs: Column) -> Column:
+        n = F.size(xs)
+        begins = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+        return F.transform(begins, lambda b: F.slice(xs, b, F.lit(CHUNK)))
+
+    return let(items, sliced)
 
 
 def running(values: Column, greatest: bool = False) -> Column:
@@ -37,7 +41,7 @@ def running(values: Column, greatest: bool = False) -> Column:
         before = lambda upto, k: F.when(k == 0, zero).otherwise(F.get(upto, k - 1))
         return let(folded(bases), lambda upto: F.flatten(F.transform(parts, lambda p, k: let(before(upto, k), lambda b: F.transform(p, lambda x: join(b, x))))))
 
-    return F.when(F.size(values) > 0, let(F.transform(chunks_of(values), folded), joined)).otherwise(F.array().cast("array<int>"))
+    return let(F.transform(chunks_of(values), folded), joined)
 
 
 def counts_upto(values: Column, points: Column) -> Column:
@@ -104,3 +108,8 @@ def cut(text: Column, pieces: Column, start: Column, n: Column) -> Column:
     k = F.floor(start / PIECE).cast("int")
     near = F.concat(F.get(pieces, k), F.coalesce(F.get(pieces, k + 1), F.lit("")))
     return F.when(n <= PIECE, F.substring(near, start % PIECE + 1, n)).otherwise(F.substring(text, start + 1, n))
+
+
+def distinct_of(items: Column) -> Column:
+    """Sorted items without repetitions, by comparing neighbours."""
+    return let(F.array_sort(items), lambda s: F.filter(s, lambda x, k: (k == 0) | (x != F.get(s, k - 1))))

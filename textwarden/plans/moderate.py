@@ -8,26 +8,47 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
-from textwarden.operators import context, decide, matching
+from textwarden.operators import align, context, decide, language, matching, policy
 from textwarden.operators.normalize import let
 
 SCORES = "array<struct<category:string,score:double>>"
 
 
-def with_spans(spark: SparkSession, docs: DataFrame, lexicon: DataFrame | None) -> DataFrame:
-    """docs' columns, low and the array ``spans`` of term and pattern matches.
+def engine_terms(lexicon: list[dict], signs: list[dict]) -> list[dict]:
+    """All that is matched literally, with ``source``: lexicon terms, words that sound like a term of another script, emoji and kaomoji."""
+    out = [r | {"source": f"lexicon:{r['lang']}"} for r in lexicon]
+    for lang, words in K.TRANSLITERATION.items():
+        for roman, native in words.items():
+            out += [r | {"term": roman, "source": f"lexicon:{lang}:{r['term']}:transliterated"} for r in lexicon if r["lang"] == lang and r["term"] in native]
+    return out + [r | {"source": r["lang"]} for r in signs]
 
-    Spans of a lexicon that is too long for a constant come from a table of matches,
-    gathered by document.
+
+FIELDS = ("lang", "term", "category", "severity", "weight")
+
+
+def with_spans(rows: DataFrame, lexicon: DataFrame | None, emoji: DataFrame | None) -> DataFrame:
+    """Replaces ``text`` and ``low`` by spans, negation, quotation and most; the other columns stay.
+
+    A lexicon of the caller's that is too long for a constant is matched as a table, in the
+    texts as they are, and gathered by document; signs and patterns are placed as always.
     """
-    lexicon = lexicon if lexicon is not None else matching.load_lexicon(spark)
-    rows, terms = docs.withColumn("low", F.lower("text")), matching.inline_terms(lexicon)
-    by_pattern = matching.pattern_spans_of(F.col("text"))
-    if terms is not None:
-        return rows.withColumn("spans", F.concat(matching.term_spans_of(F.col("text"), F.col("low"), terms), by_pattern))
-    found = matching.match_terms(docs, lexicon).groupBy("doc_id").agg(F.collect_list(F.struct(*matching.SPAN[1:])).alias("by_term"))
-    rows = rows.join(found, "doc_id", "left")
-    return rows.withColumn("spans", F.concat(F.coalesce("by_term", F.slice(by_pattern, 1, 0)), by_pattern)).drop("by_term")
+    terms = [dict(zip(FIELDS, (r[0], *r[2:6]), strict=True)) for r in matching.lexicon_rows()] if lexicon is None else matching.inline_rows(lexicon)
+    signs = [dict(zip(FIELDS, r[:5], strict=True)) for r in K.EMOJI if r[0] != "combination"]
+    if emoji is not None:
+        named = emoji.where("kind <> 'combination'").select(F.col("kind").alias("lang"), F.col("sign").alias("term"), "category", "severity", "weight")
+        signs = matching.inline_rows(named) or []
+    far = terms is None
+    if far:
+        found = matching.match_terms(rows.select("doc_id", "text", F.lit(None).cast("string").alias("lang")), lexicon)
+        found = found.groupBy("doc_id").agg(F.collect_list(F.struct(*matching.SPAN[1:])).alias("by_term"))
+        rows = rows.join(found, "doc_id", "left")
+    words = engine_terms(terms or [], signs)
+    patterns = [*K.LEXICON_PATTERNS, *[("emoji", *r[1:5]) for r in K.EMOJI if r[0] == "combination"]]
+    numbers = F.array_compact(F.array(*[F.when(F.col("text").rlike("(?i)" + p), k) for k, (_, p, *_) in enumerate(patterns)]))
+    any_of = "(?i)" + "|".join(f"(?:{p})" for _, p, *_ in patterns)
+    rows = rows.select("*", align.held_in(F.col("low"), [w["term"] for w in words]).alias("plain"), F.when(F.col("text").rlike(any_of), numbers).alias("matched"))
+    rows = align.placed(rows.drop("low"), words, patterns)
+    return rows.withColumn("spans", F.concat("spans", F.coalesce("by_term", F.slice("spans", 1, 0)))).drop("by_term") if far else rows
 
 
 def score_in(scores: Column, category: Column) -> Column:
@@ -35,54 +56,60 @@ def score_in(scores: Column, category: Column) -> Column:
     return F.coalesce(F.get(F.filter(scores, lambda s: s["category"] == category), F.lit(0))["score"], F.lit(0.0))
 
 
-def moderate_corpus(spark: SparkSession, docs: DataFrame, lexicon: DataFrame | None = None, classifier: DataFrame | None = None) -> DataFrame:
-    """(doc_id, decision, confidence, severity, top_category, max_score), one row for each row of ``docs``.
+def moderate_corpus(
+    spark: SparkSession, docs: DataFrame, lexicon: DataFrame | None = None, classifier: DataFrame | None = None,
+    emoji: DataFrame | None = None, policies: DataFrame | None = None, details: bool = False,
+) -> DataFrame:
+    """(doc_id, decision, confidence, severity, top_category, max_score, language, policy_decision, policy_confidence, n_rules), one row for each row of ``docs``.
 
-    Lexicon spans give category scores; negation, quotation and legitimate contexts
-    modify them; a classifier's (doc_id, category, score) are weighed in if given; text
-    length, script mixing and disguised spelling set the thresholds.  ``docs``:
-    (doc_id, text, lang).  A document's spans, cues, quotes and scores are arrays of its
-    own row, so without a classifier nothing is shuffled and the corpus is read once.  A
-    null text has no spans and scores 0.
+    Lexicon terms, patterns and signs, in the text and in its matchable form, give category
+    scores; negation, quotation and legitimate contexts modify them; a classifier's (doc_id,
+    category, score) are weighed in if given; text length, script mixing, disguised spelling
+    and how sure the language is set the thresholds; the tenant's policy has the last word.  What its
+    thresholds for a whole document meet is the largest score, not how sure an ``allow`` is.
+
+    ``docs``: (doc_id, text), and tenant, department and context if there are any; ``policies``:
+    ``policy.policy_rows``, the built-in ones if not given.  A document's spans, scores and
+    policy are columns of its own row: the corpus is read once and, without a classifier,
+    nothing is shuffled.  ``details`` adds the raw spans.  A null text has no spans, scores 0
+    and has no top category.
     """
-    rows = with_spans(spark, docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang"), lexicon)
-    text, spans = F.col("text"), F.col("spans")
-    touched = lambda c: F.when(F.size(spans) > 0, c)
-    around = F.struct(
-        matching.category_scores_of(spans).alias("lpe"),
-        touched(context.negation_of(text, spans)).alias("negation"),
-        touched(context.quotation_of(text, spans)).alias("quoted"),
-        touched(let(context.safe_contexts_of(F.col("low")), context.safe_of)).alias("safe"),
-    )
-    names = ["doc_id", *decide.features_of(text), F.lit(1.0).alias("language_confidence"), around.alias("around")]
+    optional = [c for c in ("tenant", "department", "context") if c in docs.columns]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *optional)
+    for c in ("tenant", "department", "context"):
+        rows = rows if c in optional else rows.withColumn(c, F.lit(None).cast("string"))
+    rows = language.detect_languages(rows).withColumn("language", F.get("languages", F.lit(0))).withColumn("low", F.lower("text"))
+    text = F.col("text")
+    around = [let(context.safe_contexts_of(F.col("low")), context.safe_of).alias("safe"), F.coalesce("context", policy.context_of(text)).alias("context")]
+    language_ = [F.col("language.code").alias("language"), F.col("language.confidence").alias("language_confidence")]
+    rows = with_spans(rows.select("doc_id", "text", "low", "tenant", "department", *around, *language_, *decide.features_of(text)), lexicon, emoji)
+    rows = rows.withColumn("lpe", matching.category_scores_of(F.col("spans")))
     parts = ["lpe"]
-    if classifier is None:
-        rows = rows.select(*names)
-    else:
+    if classifier is not None:
         own = classifier.groupBy("doc_id").agg(F.collect_list(F.struct("category", "score")).alias("classifier"))
-        rows = rows.select(*names).join(own, "doc_id", "left")
+        rows = rows.join(own, "doc_id", "left")
         parts.append("classifier")
     weight = sum(decide.WEIGHTS[p] for p in parts)
 
-    def scored(c: Column) -> Column:
-        """The scores of all categories; ``c`` is the row's context, bound once for them."""
-
-        def one(category: Column) -> Column:
-            modifier = context.modifier_of(category, c["negation"], c["quoted"]["quotation"], c["quoted"]["most"], c["safe"])
-            kept = F.when(F.exists(c["lpe"], lambda s: s["category"] == category), modifier).otherwise(1.0)
-            of = {"lpe": c["lpe"], "classifier": F.coalesce("classifier", F.array().cast(SCORES)) if "classifier" in parts else None}
-            total = reduce(Column.__add__, [F.least(F.lit(1.0), score_in(of[p], category) * kept) * decide.WEIGHTS[p] for p in parts])
-            return F.struct(F.round(decide.adapted_of(total / weight), 9).alias("score"), category.alias("category"))
-
-        return F.transform(F.array(*map(F.lit, K.CATEGORIES)), one)
-
-    top = F.array_max(let(F.col("around"), scored)).alias("top")
-    rows = decide.adapt_thresholds(rows.withColumn("top", top))
-    score, category = F.col("top.score"), F.col("top.category")
-    return rows.select(
-        "doc_id",
-        *decide.decision_of(score),
-        score.alias("max_score"),
-        category.alias("top_category"),
-        decide.grade_of(score, category).alias("severity"),
-    )
+    def one(category: Column) -> Column:
+        modifier = context.modifier_of(category, *map(F.col, ("negation", "quotation", "most", "safe")))
+        kept = F.when(F.exists("lpe", lambda s: s["category"] == category), modifier).otherwise(1.0)
+        of = {"lpe": F.col("lpe"), "classifier": F.coalesce("classifier", F.array().cast(SCORES)) if classifier is not None else None}
+        total = reduce(Column.__add__, [F.least(F.lit(1.0), score_in(of[p], category) * kept) * decide.WEIGHTS[p] for p in parts])
+        return F.struct(F.round(decide.adapted_of(total / weight), 9).alias("score"), category.alias("category"))
+
+    nothing = F.transform(F.array(*map(F.lit, K.CATEGORIES)), lambda c: F.struct(F.lit(0.0).alias("score"), c.alias("category")))
+    every = F.transform(F.array(*map(F.lit, K.CATEGORIES)), one)
+    if classifier is None:
+        every = F.when(F.size("lpe") > 0, every).otherwise(nothing)
+    rows = rows.withColumn("scores", every).withColumn("top", F.array_max("scores"))
+    rows = decide.adapt_thresholds(rows)
+    score, category = F.col("top.score"), F.when(F.col("top.score") > 0, F.col("top.category"))
+    decided = rows.select(
+        "doc_id", "tenant", "department", "context", "scores", "language", "spans", *decide.decision_of(score), score.alias("max_score"), category.alias("top_category"),
+        decide.grade_of(score, F.coalesce(category, F.lit(""))).alias("severity"),
+    )
+    ruled = policy.with_policy(decided, policies if policies is not None else policy.builtin_policies(), risk="max_score")
+    shown = ["doc_id", "decision", "confidence", "max_score", "top_category", "severity", "language", "policy_decision", "policy_confidence", F.size("applied_rules").alias("n_rules")]
+    more = ["tenant", "department", "scores", "applied_rules", "override_reason", "spans"] if details else []
+    return ruled.select(*shown, *more)
