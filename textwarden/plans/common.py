@@ -20,14 +20,19 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """``df`` dealt over all cores if its files make fewer tasks than there are cores.
 
     One file of one row group is one task, however costly the work on its rows is.  A
     large input has more splits than cores and is left as it is, without a shuffle.
+    Without a key rows are dealt in turn: a union of tables that are each dealt by a key
+    claims to be dealt by it as well (Spark 4.1.2), yet isn't, and a grouping by the key
+    would then see a group in several tasks.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)
 
 
 def sql_text(value: object) -> str:

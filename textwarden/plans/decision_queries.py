@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
-from textwarden.operators import decide, matching, scores
+from textwarden.operators import align, decide, matching, policy, scores
+from textwarden.operators.language import script_class
 from textwarden.plans.common import sql_text, table, values
 from textwarden.operators.context import QUOTE_SHARE
 from textwarden.plans.match_queries import PARTS as CUE_PARTS
 from textwarden.plans.match_queries import QUOTED, SAFE, SCORES, SPANS, SQL_SAFE, SQL_SAFE_DOC, TOUCHED, docs, located, sql_quotes, terms
-from textwarden.plans.moderate import moderate_corpus
+from textwarden.plans.moderate import FIELDS, engine_terms, moderate_corpus
+from textwarden.plans.text_queries import SQL_HITS, SQL_ROMAN
 
 Q: dict = {}
 
@@ -281,24 +283,123 @@ Q["h21_build_response"] = (
     f"""WITH {DECIDED}, {SEVERITY}, c AS (SELECT doc_id, string_agg(category, ',' ORDER BY category) AS categories FROM scores WHERE score > 0.5 GROUP BY doc_id)
 SELECT doc_id, decision, round(confidence, 6) AS confidence, severity, coalesce(categories, '') AS categories FROM dec JOIN sev USING (doc_id) LEFT JOIN c USING (doc_id)""",
 )
-#: Every step of the flagship, as joins of long tables: terms and patterns, cues, quotes, contexts, scores, thresholds.
-ALL_SPANS = SPANS.replace("spans AS (", "term_spans AS (", 1) + ", spans AS (SELECT doc_id, start, \"end\", category, confidence FROM term_spans" + "".join(
-    f" UNION ALL SELECT doc_id, start, \"end\", {sql_text(c)}, {w}::DOUBLE FROM {located('(?i)' + p)}" for _, p, c, _, w in K.LEXICON_PATTERNS
-) + "), scores AS (SELECT doc_id, category, least(avg(confidence), 1.0) AS score FROM spans GROUP BY ALL)"
+#: What makes texts hold disguises and signs, as the corpus has none of its own; one for each document in turn.
+DISGUISED = ("you 1d1ot", "an id​iot", "idiоt and idiiiiot", "f*ck this", "phuck |-|ell", "\U0001f595 you", "kill \U0001f480", "saala", "455 a55hole", "not a stüpid one", "ಠ_ಠ", "nothing")
+WORDS_ = [dict(zip(FIELDS, (r[0], *r[2:6]), strict=True)) for r in matching.lexicon_rows()]
+SIGNS_ = [dict(zip(FIELDS, r[:5], strict=True)) for r in K.EMOJI if r[0] != "combination"]
+ENGINE_TERMS = values([(t["term"], align.form_of(t["term"]), t["category"], t["weight"], f"{t['source']}:{t['term']}") for t in engine_terms(WORDS_, SIGNS_)], "term", "form", "category", "weight", "source")
+ENGINE_PATTERNS = [*K.LEXICON_PATTERNS, *[("emoji", *r[1:5]) for r in K.EMOJI if r[0] == "combination"]]
+
+
+def nested(text, pairs):
+    for old, new in pairs:
+        text = f"replace({text}, {sql_text(old)}, {sql_text(new)})"
+    return text
+
+
+HIDDEN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in K.ZERO_WIDTH) + r"\x{300}-\x{36f}]"
+DRAWN = "|".join(f"{chr(c)}{{3,}}" for c in range(97, 123))
+MARKS = {s: chr(0xE000 + k) for k, s in enumerate(align.SOUNDS)}  # in whose place the sounds' outcomes are put at the end
+SOUND_ALTERNATIVES = "|".join("".join(f"\\x{{{ord(c):x}}}" for c in s) for s in align.SOUNDS)
+FOLDED = nested(f"lower(translate(translate(bared, {sql_text(K.HOMOGLYPHS_FROM + K.FULLWIDTH_FROM)}, {sql_text(K.HOMOGLYPHS_TO + K.FULLWIDTH_TO)}), {sql_text(K.DIACRITICS_FROM)}, {sql_text(K.DIACRITICS_TO)}))", K.LEET_PATTERNS.items())
+FOLDED = f"translate({FOLDED}, {sql_text(''.join(K.LEET_CHARS))}, {sql_text(''.join(K.LEET_CHARS.values()))})"
+SOUNDED = nested(nested("text", MARKS.items()), [(m, align.SOUNDS[s]) for s, m in MARKS.items()])
+
+
+def edits_sql(of: str, pattern: str, length: str) -> str:
+    """SQL: a step's edits, by running sums of how much they shift what follows."""
+    return f"""(SELECT doc_id, start AS old, "end" AS old_end, "end" + shift - n AS new, "end" + shift AS new_end FROM (
+      SELECT *, sum(n - length(m)) OVER (PARTITION BY doc_id ORDER BY start) AS shift FROM (SELECT *, ({length}) AS n FROM {located(pattern, of)})))"""
+
+
+def back_sql(of: str, edits: str) -> str:
+    """SQL: ranges of a step's new text as ranges of its old one, by the last edit before each end."""
+    return f"""(SELECT r.* EXCLUDE (s, e), CASE WHEN a.new IS NULL THEN s WHEN s < a.new_end THEN a.old ELSE s - a.new_end + a.old_end END AS s,
+      CASE WHEN b.new IS NULL THEN e WHEN e - 1 < b.new_end THEN b.old_end ELSE e - b.new_end + b.old_end END AS e
+    FROM {of} r ASOF LEFT JOIN {edits} a ON a.doc_id = r.doc_id AND r.s >= a.new ASOF LEFT JOIN {edits} b ON b.doc_id = r.doc_id AND r.e - 1 >= b.new)"""
+
+
+def form_sql(k: int) -> str:
+    """SQL: terms found in one of the matchable forms, with the raw places."""
+    text = "text"
+    for c in map(chr, range(97, 123)):
+        text = f"regexp_replace({text}, '{c}{{3,}}', '{c * k}', 'g')"
+    sound_n = "CASE m " + " ".join(f"WHEN {sql_text(s)} THEN {len(v)}" for s, v in align.SOUNDS.items()) + " END"
+    return f"""short{k} AS MATERIALIZED (SELECT doc_id, {text} AS text FROM folded{"" if k == 2 else f" WHERE regexp_matches(text, '{DRAWN}')"}),
+form{k} AS MATERIALIZED (SELECT doc_id, {SOUNDED} AS text FROM short{k}),
+sound{k} AS MATERIALIZED {edits_sql(f"short{k}", SOUND_ALTERNATIVES, sound_n)},
+drawn{k} AS MATERIALIZED {edits_sql("folded", DRAWN, str(k))},
+at{k} AS (SELECT doc_id, category, weight, source, (list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * length(form))::INTEGER AS s, length(form) AS n FROM (
+  SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, form, category, weight, source, string_split(text, form) AS parts FROM form{k} JOIN eng ON contains(text, form)))),
+back{k} AS (SELECT doc_id, s AS start, e AS "end", category, weight AS confidence, source FROM {back_sql(back_sql(back_sql(f"(SELECT * EXCLUDE (n), s + n AS e FROM at{k})", f"sound{k}"), f"drawn{k}"), "hidden")})"""
+
+
 SHARE = "CASE b[3] " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in QUOTE_SHARE.items()) + " END"
-MODERATED = f"""{ALL_SPANS}, {CUE_PARTS}, {TOUCHED}, {sql_quotes('documents')}, {QUOTED}, {SAFE}, {SQL_SAFE}, {SQL_SAFE_DOC},
+LANGUAGE_PARTS = [(code, f"coalesce(length(regexp_replace(k, '{script_class(script)}', '', 'g'))::DOUBLE / nullif(length(k), 0), 0) * {weight} * 0.7") for script, codes in K.SCRIPT_LANGUAGES.items() for code, weight in codes]
+LATIN = f"coalesce(length(regexp_replace(k, '{script_class('latin')}', '', 'g'))::DOUBLE / nullif(length(k), 0), 0) > 0.05"
+LANGUAGES = rf"""
+hing AS (SELECT doc_id, CASE WHEN raw > 0.1 THEN raw ELSE 0.0 END AS h FROM (SELECT doc_id, least(({SQL_HITS} + ({SQL_ROMAN}) * 0.1) / words, 1.0) AS raw
+  FROM (SELECT doc_id, lower(text) AS low, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS words FROM documents))),
+k AS (SELECT doc_id, h, regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g') AS k FROM documents JOIN hing USING (doc_id)),
+cand AS ({' UNION ALL '.join(f"SELECT doc_id, '{code}' AS code, {c} AS c FROM k" for code, c in LANGUAGE_PARTS)}
+  UNION ALL SELECT doc_id, 'hi-Latn', CASE WHEN {LATIN} AND h > 0.15 THEN least(0.9, 0.3 + h) * 0.8 ELSE 0 END FROM k UNION ALL SELECT doc_id, 'en', CASE WHEN {LATIN} AND h <= 0.15 THEN 0.9 * 0.8 ELSE 0 END FROM k),
+lang AS (SELECT doc_id, coalesce(arg_min(code, (-least(0.95, c), code)) FILTER (c > 0.1), 'en') AS language, coalesce(max(least(0.95, c)) FILTER (c > 0.1), 0.5) AS lc FROM cand GROUP BY doc_id)"""
+#: Every step of the flagship, as joins of long tables: forms and places, terms and patterns, cues, quotes, contexts, languages, scores, thresholds.
+MODERATED = rf"""{LANGUAGES}, eng AS (SELECT * FROM {ENGINE_TERMS}),
+bared AS (SELECT doc_id, {nested(f"regexp_replace(text, '{HIDDEN}', '', 'g')", K.LIGATURES.items())} AS bared FROM documents),
+folded AS MATERIALIZED (SELECT doc_id, {FOLDED} AS text FROM bared),
+hidden AS MATERIALIZED {edits_sql("documents", HIDDEN + "+|" + "|".join(K.LIGATURES), f"CASE WHEN m IN ({', '.join(map(sql_text, K.LIGATURES))}) THEN 2 ELSE 0 END")},
+{form_sql(2)}, {form_sql(1)},
+plain AS (SELECT doc_id, (list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * length(term))::INTEGER AS s, term, category, weight, source FROM (
+  SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, term, category, weight, source, string_split(lower(text), term) AS parts FROM documents JOIN eng ON contains(lower(text), term)))),
+spans AS (SELECT doc_id, s AS start, s + length(term) AS "end", category, weight AS confidence, source FROM plain
+  UNION SELECT b.doc_id, b.start, b."end", category, confidence, source FROM (SELECT * FROM back2 UNION ALL SELECT * FROM back1) b JOIN documents d ON d.doc_id = b.doc_id WHERE regexp_matches(substring(text, b.start::INTEGER + 1, (b."end" - b.start)::INTEGER), '\p{{L}}')
+  {"".join(f" UNION SELECT doc_id, start, \"end\", {sql_text(c)}, {w}::DOUBLE, {sql_text(f'pattern:{g}:{p}')} FROM {located('(?i)' + p)}" for g, p, c, _, w in ENGINE_PATTERNS)}),
+scores AS (SELECT doc_id, category, least(avg(confidence), 1.0) AS score FROM spans GROUP BY doc_id, category),
+{CUE_PARTS}, {TOUCHED}, {sql_quotes('documents')}, {QUOTED}, {SAFE}, {SQL_SAFE}, {SQL_SAFE_DOC},
 quote_doc AS (SELECT doc_id, max(b[1]) AS quotation, max({SHARE}) AS most FROM quoted GROUP BY doc_id),
 kept AS (SELECT doc_id, category, score * greatest(0.1, (1 - 0.7 * coalesce(neg, 0)) * (1 - coalesce(most, 0) * coalesce(quotation, 0)) * (1 - 0.8 * CASE WHEN category <> 'spam/scam' THEN coalesce(safe, 0) ELSE 0 END)) AS score
   FROM scores LEFT JOIN neg USING (doc_id) LEFT JOIN quote_doc USING (doc_id) LEFT JOIN safe_doc USING (doc_id)),
 grid AS (SELECT doc_id, unnest({NAMES['category']}) AS category FROM documents),
-{FEATURES.replace("CASE WHEN lang = 'en' THEN 0.9 ELSE 0.6 END AS lc", "1.0 AS lc")},
-cat AS (SELECT doc_id, category, round(greatest(0, least(1, least(1, coalesce(score, 0)) * CASE WHEN obfuscated THEN 1.1 ELSE 1 END * CASE WHEN code_mixed THEN 0.95 ELSE 1 END)), 9) AS score
+{FEATURES.replace("CASE WHEN lang = 'en' THEN 0.9 ELSE 0.6 END AS lc FROM documents", "lc FROM documents JOIN lang USING (doc_id)")},
+cat AS (SELECT doc_id, category, round(greatest(0, least(1, least(1, coalesce(score, 0)) * CASE WHEN lc < 0.8 THEN 1 - (0.8 - lc) * 0.2 ELSE 1 END * CASE WHEN obfuscated THEN 1.1 ELSE 1 END * CASE WHEN code_mixed THEN 0.95 ELSE 1 END)), 9) AS score
   FROM grid LEFT JOIN kept USING (doc_id, category) JOIN feat USING (doc_id)),
-top AS (SELECT doc_id, max(score) AS m, arg_max(category, (score, category)) AS c FROM cat GROUP BY doc_id)"""
-Q["h22_moderate_corpus"] = (
-    lambda s, d: rounded(moderate_corpus(s, docs(s, d)), "confidence", "max_score"),
-    f"""WITH {MODERATED} SELECT doc_id, CASE WHEN m >= round(b, 9) THEN 'block' WHEN m >= round(r, 9) THEN 'review' ELSE 'allow' END AS decision,
-  round(greatest(0.1, least(1, ({ZONE}) * CASE WHEN obfuscated THEN 0.95 ELSE 1 END * CASE WHEN code_mixed THEN 0.92 ELSE 1 END)), 6) AS confidence, round(m, 6) AS max_score, c AS top_category,
-  CASE WHEN m >= 0.9 OR (c IN ({', '.join(map(sql_text, K.CRITICAL_CATEGORIES))}) AND m >= 0.7) THEN 'critical' WHEN m >= 0.8 THEN 'high' WHEN m >= 0.6 THEN 'medium' ELSE 'low' END AS severity
-FROM top JOIN thr USING (doc_id)""",
+top AS (SELECT doc_id, max(score) AS m, arg_max(category, (score, category)) AS c FROM cat GROUP BY doc_id),
+graded AS (SELECT doc_id, m, CASE WHEN m > 0 THEN c END AS c, CASE WHEN m >= round(b, 9) THEN 'block' WHEN m >= round(r, 9) THEN 'review' ELSE 'allow' END AS decision,
+  greatest(0.1, least(1, ({ZONE}) * CASE WHEN lc < 0.8 THEN 0.9 ELSE 1 END * CASE WHEN obfuscated THEN 0.95 ELSE 1 END * CASE WHEN code_mixed THEN 0.92 ELSE 1 END)) AS confidence,
+  CASE WHEN m >= 0.9 OR (c IN ({', '.join(map(sql_text, K.CRITICAL_CATEGORIES))}) AND m >= 0.7) THEN 'critical' WHEN m >= 0.8 THEN 'high' WHEN m >= 0.6 THEN 'medium' ELSE 'low' END AS severity FROM top JOIN thr USING (doc_id))"""
+BASE_POLICY = policy.builtin_policies()["*"]
+CONTEXTS = "CASE " + " ".join(f"WHEN regexp_matches(text, {sql_text('(?i)' + '|'.join(p))}) THEN '{n}'" for n, p in K.POLICY_CONTEXT_PATTERNS.items()) + " END"
+LEVELS = "CASE {} WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END"
+RULED = f"""bthr AS (SELECT * FROM {values([(*k.split('|'), v) for k, v in BASE_POLICY['thresholds'].items()], 'category', 'severity', 'lim')}),
+brule AS (SELECT * FROM {values([(r['category'], r['severity']) for r in BASE_POLICY['hard_rules']], 'category', 'least_')}),
+eased AS (SELECT doc_id, CASE WHEN {CONTEXTS} IS NOT NULL THEN -0.2 ELSE 0 END AS adj FROM documents),
+hardened AS (SELECT DISTINCT doc_id FROM graded JOIN cat USING (doc_id) JOIN brule USING (category) WHERE score > 0.5 AND {LEVELS.format('severity')} >= {LEVELS.format('least_')}),
+met AS (SELECT doc_id, coalesce(lim, 0.9) AS lim FROM graded JOIN eased USING (doc_id) JOIN cat USING (doc_id) LEFT JOIN bthr USING (category, severity) WHERE round(greatest(0, least(1, score + adj)), 9) >= coalesce(lim, 0.9)),
+met_doc AS (SELECT doc_id, max(CASE WHEN lim <= 0.5 THEN 2 ELSE 1 END) AS hit, count(*) AS n FROM met GROUP BY doc_id),
+ruled AS (SELECT doc_id, h.doc_id IS NOT NULL AS hard, coalesce(hit, 0) AS hit, coalesce(n, 0) AS n, adj, CASE WHEN round(m + adj, 9) >= 0.9 THEN 2 WHEN round(m + adj, 9) >= 0.7 THEN 1 ELSE 0 END AS lvl
+  FROM graded JOIN eased USING (doc_id) LEFT JOIN met_doc USING (doc_id) LEFT JOIN hardened h USING (doc_id))"""
+
+
+def moderated_sql(texts: str) -> str:
+    """SQL of the flagship over a table of (doc_id, text), given as a query."""
+    body = f"""{MODERATED}, {RULED}
+SELECT doc_id, decision, round(confidence, 6) AS confidence, round(m, 6) AS max_score, c AS top_category, severity, language,
+  CASE WHEN hard THEN 'block' ELSE (['allow', 'review', 'block'])[greatest(hit, lvl) + 1] END AS policy_decision,
+  round(CASE WHEN hard THEN confidence ELSE greatest(0, least(1, confidence + adj)) END, 6) AS policy_confidence,
+  (CASE WHEN hard THEN 1 ELSE n + CASE WHEN adj < 0 THEN 1 ELSE 0 END + CASE WHEN lvl = 2 OR (lvl = 1 AND hit = 0) THEN 1 ELSE 0 END END)::INTEGER AS n_rules
+FROM graded JOIN lang USING (doc_id) JOIN ruled USING (doc_id)"""
+    return f"WITH texts AS ({texts}),{body.replace(' documents', ' texts')}"
+
+
+def disguised(s, d):
+    put = F.element_at(F.array(*map(F.lit, DISGUISED)), (F.pmod("doc_id", F.lit(len(DISGUISED))) + 1).cast("int"))
+    return docs(s, d).withColumn("text", F.concat("text", F.lit(". "), put))
+
+
+H22_ROUNDED = ("confidence", "max_score", "policy_confidence")
+Q["h22_moderate_corpus"] = (lambda s, d: rounded(moderate_corpus(s, docs(s, d)), *H22_ROUNDED), moderated_sql("SELECT doc_id, text FROM documents"))
+Q["h22_moderate_disguised"] = (
+    lambda s, d: rounded(moderate_corpus(s, disguised(s, d)), *H22_ROUNDED),
+    moderated_sql(f"SELECT doc_id, text || '. ' || ([{', '.join(map(sql_text, DISGUISED))}])[doc_id % {len(DISGUISED)} + 1] AS text FROM documents"),
 )

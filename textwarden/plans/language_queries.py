@@ -86,7 +86,7 @@ FROM nat JOIN lex ON contains(native, term)""",
 
 
 def e17(s, d):
-    own = docs(s, d).where("doc_id % 50 = 0").select(
+    own = docs(s, d).select(
         F.concat(F.lit("t"), F.col("doc_id") % 3).alias("tenant"), F.lit("en").alias("lang"), F.lit("term").alias("kind"), F.lower(F.substring_index("text", " ", 1)).alias("term"),
         F.lit("spam/scam").alias("category"), F.lit("low").alias("severity"), F.lit(0.5).alias("weight"), F.lit(None).cast("string").alias("script"), F.lit(False).alias("context_required"),
     )
@@ -95,7 +95,7 @@ def e17(s, d):
 
 Q["e17_overlay_lexicon"] = (
     e17,
-    f"""WITH lex AS (SELECT * FROM {LEX}), own AS (SELECT DISTINCT 't' || (doc_id % 3) AS tenant, 'en' AS lang, lower(split_part(text, ' ', 1)) AS term, 'spam/scam' AS category FROM documents WHERE doc_id % 50 = 0),
+    f"""WITH lex AS (SELECT * FROM {LEX}), own AS (SELECT DISTINCT 't' || (doc_id % 3) AS tenant, 'en' AS lang, lower(split_part(text, ' ', 1)) AS term, 'spam/scam' AS category FROM documents),
 every AS (SELECT DISTINCT tenant, lex.lang, lex.term, lex.category FROM (SELECT DISTINCT tenant FROM own), lex UNION SELECT * FROM own)
 SELECT tenant, category, count(*) AS n FROM every GROUP BY ALL""",
 )

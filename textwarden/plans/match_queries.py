@@ -13,11 +13,30 @@ LEX = values(matching.lexicon_rows(), "lang", "kind", "term", "category", "sever
 
 
 def docs(spark, sf):
-    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
 
 
-def terms(spark, sf):
-    return matching.match_terms(docs(spark, sf), matching.load_lexicon(spark))
+def terms(spark, sf, texts=docs):
+    return matching.match_terms(texts(spark, sf), matching.load_lexicon(spark))
+
+
+#: Sentences with what the corpus has none of, one put at the end of each text in turn.
+SPOKEN = (
+    '. He said "you idiot" and left', ". According to them it was fuuck and shiiit, a b!tch", ". This training material on a harassment complaint is not for a stupid fool",
+    ". A press release on the court filing and the policy review: 'die', she told us", ". कभी नहीं stupid", ". The legal brief is no incident report, moron",
+)
+
+
+def spoken(spark, sf):
+    put = F.element_at(F.array(*map(F.lit, SPOKEN)), (F.pmod("doc_id", F.lit(len(SPOKEN))) + 1).cast("int"))
+    return docs(spark, sf).withColumn("text", F.concat("text", put))
+
+
+def over_spoken(sql: str) -> str:
+    """SQL of a query, over those texts."""
+    texts = f"SELECT * REPLACE (text || ([{', '.join(map(sql_text, SPOKEN))}])[doc_id % {len(SPOKEN)} + 1] AS text) FROM documents"
+    body = sql.strip().removeprefix("WITH ").replace(" documents", " texts").replace("(documents", "(texts")
+    return f"WITH texts AS ({texts})" + (", " if sql.strip().startswith("WITH ") else " ") + body
 
 
 def located(pattern: str, of: str = "documents") -> str:
@@ -62,12 +81,14 @@ SQL_PATTERNS = " UNION ALL ".join(
     f"SELECT doc_id, {sql_text(p)} AS pattern, {sql_text(c)} AS category, {sql_text(s)} AS severity, {w}::DOUBLE AS weight, len(regexp_extract_all(text, {sql_text('(?i)' + p)})) AS n FROM documents"
     for _, p, c, s, w in K.LEXICON_PATTERNS
 )
-Q["e2_match_patterns"] = (lambda spark, sf: matching.pattern_counts(docs(spark, sf)), f"SELECT * FROM ({SQL_PATTERNS}) WHERE n > 0")
+Q["e2_match_patterns"] = (lambda spark, sf: matching.pattern_counts(spoken(spark, sf)), over_spoken(f"SELECT * FROM ({SQL_PATTERNS}) WHERE n > 0"))
 Q["e2_pattern_spans"] = (
-    lambda spark, sf: matching.match_patterns(docs(spark, sf)).groupBy("category").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars")),
-    "SELECT category, count(*) AS n, sum(length(m))::BIGINT AS chars FROM ("
-    + " UNION ALL ".join(f"SELECT {sql_text(c)} AS category, unnest(regexp_extract_all(text, {sql_text('(?i)' + p)})) AS m FROM documents" for _, p, c, _, _ in K.LEXICON_PATTERNS)
-    + ") GROUP BY category",
+    lambda spark, sf: matching.match_patterns(spoken(spark, sf)).groupBy("category").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars")),
+    over_spoken(
+        "SELECT category, count(*) AS n, sum(length(m))::BIGINT AS chars FROM ("
+        + " UNION ALL ".join(f"SELECT {sql_text(c)} AS category, unnest(regexp_extract_all(text, {sql_text('(?i)' + p)})) AS m FROM documents" for _, p, c, _, _ in K.LEXICON_PATTERNS)
+        + ") GROUP BY category"
+    ),
 )
 Q["e3_match_fuzzy"] = (
     lambda spark, sf: matching.match_fuzzy(docs(spark, sf), matching.load_lexicon(spark)).select("doc_id", "word", "term", F.round("similarity", 6).alias("similarity"), "n"),
@@ -130,7 +151,7 @@ Q["e12_rule_traces"] = (
 
 def e13(spark, sf):
     """All three results of the engine, a row for each document that has any."""
-    spans, scores, traces = matching.scan_lexicon_engine(docs(spark, sf), matching.load_lexicon(spark))
+    spans, scores, traces = matching.scan_lexicon_engine(spoken(spark, sf), matching.load_lexicon(spark))
     per_span = spans.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("chars"))
     line = F.format_string("%s=%.6f", "category", F.round("score", 6))
     per_score = scores.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("scores"))
@@ -142,11 +163,11 @@ PATTERN_SPANS = "".join(f"""
 ENGINE = DEDUPED.replace("spans AS (", "term_spans AS (", 1).replace(", listed AS", f', spans AS (SELECT doc_id, start, "end", text, category, severity, confidence, rule_source FROM term_spans{PATTERN_SPANS}), listed AS', 1)
 Q["e13_scan_lexicon_engine"] = (
     e13,
-    f"""WITH {ENGINE}, a AS (SELECT doc_id, count(*) AS n_spans, sum(s.fin - s.start)::BIGINT AS chars FROM deduped GROUP BY doc_id),
+    over_spoken(f"""WITH {ENGINE}, a AS (SELECT doc_id, count(*) AS n_spans, sum(s.fin - s.start)::BIGINT AS chars FROM deduped GROUP BY doc_id),
 b AS (SELECT doc_id, string_agg(l, ',' ORDER BY l) AS scores FROM (SELECT doc_id, category || '=' || format('{{:.6f}}', round(least(avg(confidence), 1.0), 6)) AS l FROM spans GROUP BY doc_id, category) GROUP BY doc_id),
 c AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY t) AS traces FROM (
   SELECT DISTINCT doc_id, 'Rule: ' || rule_source || ' -> Category: ' || category || ' -> Weight: ' || format('{{:.2f}}', confidence) AS t FROM spans) GROUP BY doc_id)
-SELECT * FROM a JOIN b USING (doc_id) JOIN c USING (doc_id)""",
+SELECT * FROM a JOIN b USING (doc_id) JOIN c USING (doc_id)"""),
 )
 Q["e14_search_lexicon"] = (
     lambda spark, sf: terms(spark, sf).join(matching.bounded(matching.search_lexicon(matching.load_lexicon(spark), category="threat/violence", langs=["en"])), "category", "left_semi")
@@ -211,14 +232,13 @@ Q["f5_indirect_quotes"] = (
     f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]+')) AS s FROM documents) WHERE regexp_matches(s, {sql_text(REPORTS)}) GROUP BY doc_id",
 )
 Q["f6_third_party_references"] = (
-    lambda spark, sf: context.third_party_references(docs(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n")),
-    f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]+')) AS s FROM documents) WHERE regexp_matches(s, {sql_text('(?i)' + '|'.join(K.THIRD_PARTY))}) GROUP BY doc_id",
+    lambda spark, sf: context.third_party_references(spoken(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n")),
+    over_spoken(f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]+')) AS s FROM documents) WHERE regexp_matches(s, {sql_text('(?i)' + '|'.join(K.THIRD_PARTY))}) GROUP BY doc_id"),
 )
 
 
 def quotes(spark, sf):
-    d = docs(spark, sf)
-    return context.direct_quotes(d).unionByName(context.indirect_quotes(d)).unionByName(context.third_party_references(d))
+    return context.exploded_quotes(spoken(spark, sf), context.all_quotes_of)
 
 
 def sql_quotes(of: str) -> str:
@@ -236,7 +256,7 @@ resolved AS (SELECT doc_id, q.start, q.fin AS "end", q.quote_type, -q.less AS co
 QUOTED = """quoted AS (SELECT doc_id, start, "end", max((quotation, -qs, quote_type)) AS b FROM (
   SELECT s.doc_id, s.start, s."end", q.start AS qs, q.quote_type, q.confidence * CASE WHEN s.start >= q.start AND s."end" <= q."end" THEN 1 ELSE 0.8 END AS quotation
   FROM spans s JOIN resolved q ON s.doc_id = q.doc_id AND s.start < q."end" AND q.start < s."end") GROUP BY ALL)"""
-Q["f7_resolve_quotes"] = (lambda spark, sf: context.resolve_quotes(quotes(spark, sf)), f'WITH {sql_quotes("documents")} SELECT doc_id, start, "end", quote_type, confidence FROM resolved')
+Q["f7_resolve_quotes"] = (lambda spark, sf: context.resolve_quotes(quotes(spark, sf)), over_spoken(f'WITH {sql_quotes("documents")} SELECT doc_id, start, "end", quote_type, confidence FROM resolved'))
 
 
 def with_quotes(spark, sf):
@@ -267,76 +287,90 @@ SQL_SAFE = "safe AS (SELECT doc_id, t AS context_type, hits, least(0.9, 0.3 + 0.
     f"SELECT doc_id, '{t}' AS t, len(regexp_extract_all(low0, {sql_text(vocabulary(t).replace(' ', '  '))})) AS hits FROM doubled" for t in K.SAFE_CONTEXTS
 ) + ") WHERE hits > 0)"
 Q["f9_safe_contexts"] = (
-    lambda spark, sf: context.safe_contexts(docs(spark, sf)).withColumn("confidence", F.round("confidence", 6)),
-    f"WITH {SAFE}, {SQL_SAFE} SELECT doc_id, context_type, hits, round(confidence, 6)::DOUBLE AS confidence FROM safe",
+    lambda spark, sf: context.safe_contexts(spoken(spark, sf)).withColumn("confidence", F.round("confidence", 6)),
+    over_spoken(f"WITH {SAFE}, {SQL_SAFE} SELECT doc_id, context_type, hits, round(confidence, 6)::DOUBLE AS confidence FROM safe"),
 )
 W = "CASE context_type " + " ".join(f"WHEN '{t}' THEN {w}" for t, w in K.SAFE_WEIGHTS.items()) + " END"
 SQL_SAFE_DOC = f"safe_doc AS (SELECT doc_id, sum(confidence * {W}) / sum({W}) AS safe FROM safe GROUP BY doc_id)"
 Q["f10_safe_context_modifiers"] = (
-    lambda spark, sf: context.safe_context_modifiers(context.safe_contexts(docs(spark, sf))).withColumn("safe", F.round("safe", 6)),
-    f"WITH {SAFE}, {SQL_SAFE}, {SQL_SAFE_DOC} SELECT doc_id, round(safe, 6) AS safe FROM safe_doc",
+    lambda spark, sf: context.safe_context_modifiers(context.safe_contexts(spoken(spark, sf))).withColumn("safe", F.round("safe", 6)),
+    over_spoken(f"WITH {SAFE}, {SQL_SAFE}, {SQL_SAFE_DOC} SELECT doc_id, round(safe, 6) AS safe FROM safe_doc"),
 )
 
 
+def quoted(spark, sf):
+    return context.quoted_spans(terms(spark, sf, spoken), context.resolve_quotes(quotes(spark, sf)))
+
+
+def negated(spark, sf):
+    return context.negated_spans(terms(spark, sf, spoken), context.negation_scopes(context.negation_cues(spoken(spark, sf))))
+
+
 def modifiers(spark, sf):
-    d, spans = docs(spark, sf), terms(spark, sf)
-    none = context.quoted_spans(spans, context.direct_quotes(d).where("false"))
-    safe = context.safe_context_modifiers(context.safe_contexts(d))
-    return context.context_modifiers(matching.lpe_category_scores(spans), spans, context.negated_spans(spans, scopes(spark, sf)), none, safe)
+    spans = terms(spark, sf, spoken)
+    safe = context.safe_context_modifiers(context.safe_contexts(spoken(spark, sf)))
+    return context.context_modifiers(matching.lpe_category_scores(spans), spans, negated(spark, sf), quoted(spark, sf), safe)
 
 
-MODIFIERS = f"""{SCORES}, {PARTS}, {SAFE}, {SQL_SAFE}, {SQL_SAFE_DOC},
-{TOUCHED},
-modifiers AS (SELECT doc_id, category, score, greatest(0.1, (1 - 0.7 * coalesce(neg, 0)) * (1 - 0.8 * CASE WHEN category <> 'spam/scam' THEN coalesce(safe, 0) ELSE 0 END)) AS modifier
-              FROM scores LEFT JOIN neg USING (doc_id) LEFT JOIN safe_doc USING (doc_id))"""
+SHARE = "CASE b[3] " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in context.QUOTE_SHARE.items()) + " END"
+MODIFIERS = f"""{SCORES}, {PARTS}, {SAFE}, {SQL_SAFE}, {SQL_SAFE_DOC}, {sql_quotes('documents')}, {QUOTED}, {TOUCHED},
+quote_doc AS (SELECT doc_id, max(b[1]) AS quotation, max({SHARE}) AS most FROM quoted GROUP BY doc_id),
+modifiers AS (SELECT doc_id, category, score, greatest(0.1, (1 - 0.7 * coalesce(neg, 0)) * (1 - coalesce(most, 0) * coalesce(quotation, 0)) * (1 - 0.8 * CASE WHEN category <> 'spam/scam' THEN coalesce(safe, 0) ELSE 0 END)) AS modifier
+              FROM scores LEFT JOIN neg USING (doc_id) LEFT JOIN quote_doc USING (doc_id) LEFT JOIN safe_doc USING (doc_id))"""
 Q["f11_context_modifiers"] = (
     lambda spark, sf: modifiers(spark, sf).withColumn("modifier", F.round("modifier", 6)),
-    f"WITH {MODIFIERS} SELECT doc_id, category, round(modifier, 6) AS modifier FROM modifiers",
+    over_spoken(f"WITH {MODIFIERS} SELECT doc_id, category, round(modifier, 6) AS modifier FROM modifiers"),
 )
+def flags(spark, sf):
+    return context.context_flags(spoken(spark, sf), negated(spark, sf), quotes(spark, sf), context.safe_contexts(spoken(spark, sf)))
+
+
 Q["f12_context_flags"] = (
-    lambda spark, sf: context.context_flags(docs(spark, sf), context.negated_spans(terms(spark, sf), scopes(spark, sf)), context.direct_quotes(docs(spark, sf)), context.safe_contexts(docs(spark, sf)))
-    .select("doc_id", "has_negation", "is_safe_context", *K.SAFE_CONTEXTS),
-    f"WITH {MODIFIERS} SELECT d.doc_id, neg.neg IS NOT NULL AS has_negation, coalesce(max(confidence) >= 0.5, false) AS is_safe_context, "
-    + ", ".join(f"coalesce(bool_or(context_type = '{t}'), false) AS {t}" for t in K.SAFE_CONTEXTS)
-    + " FROM documents d LEFT JOIN neg USING (doc_id) LEFT JOIN safe USING (doc_id) GROUP BY d.doc_id, neg.neg",
+    lambda spark, sf: flags(spark, sf).select("doc_id", "has_negation", "has_quotation", "is_safe_context", *K.SAFE_CONTEXTS),
+    over_spoken(
+        f"WITH {MODIFIERS} SELECT d.doc_id, neg.neg IS NOT NULL AS has_negation, d.doc_id IN (SELECT doc_id FROM quotes) AS has_quotation, coalesce(max(confidence) >= 0.5, false) AS is_safe_context, "
+        + ", ".join(f"coalesce(bool_or(context_type = '{t}'), false) AS {t}" for t in K.SAFE_CONTEXTS)
+        + " FROM documents d LEFT JOIN neg USING (doc_id) LEFT JOIN safe USING (doc_id) GROUP BY d.doc_id, neg.neg"
+    ),
 )
 ACTION = "CASE WHEN m < 0.3 THEN 'allow' WHEN m < 0.7 THEN 'review' WHEN s > 0.8 THEN 'block' WHEN s > 0.5 THEN 'review' ELSE 'allow' END"
 Q["f13_recommended_action"] = (
-    lambda spark, sf: context.recommended_action(modifiers(spark, sf), matching.lpe_category_scores(terms(spark, sf))),
-    f"WITH {MODIFIERS} SELECT doc_id, {ACTION} AS action FROM (SELECT doc_id, round(avg(modifier), 9) AS m, round(max(score), 9) AS s FROM modifiers GROUP BY doc_id)",
+    lambda spark, sf: context.recommended_action(modifiers(spark, sf), matching.lpe_category_scores(terms(spark, sf, spoken))),
+    over_spoken(f"WITH {MODIFIERS} SELECT doc_id, {ACTION} AS action FROM (SELECT doc_id, round(avg(modifier), 9) AS m, round(max(score), 9) AS s FROM modifiers GROUP BY doc_id)"),
 )
 
 
 def adjusted(spark, sf):
-    spans = terms(spark, sf)
-    neg = context.negated_spans(spans, scopes(spark, sf)).groupBy("doc_id").agg(F.max("negation").alias("negation"))
-    safe = context.safe_context_modifiers(context.safe_contexts(docs(spark, sf)))
-    flags = neg.join(safe, "doc_id", "full").withColumn("quotation", F.lit(0.0))
-    return context.adjust_confidence(matching.lpe_category_scores(spans), flags)
+    spans = terms(spark, sf, spoken)
+    neg = negated(spark, sf).groupBy("doc_id").agg(F.max("negation").alias("negation"))
+    quote = quoted(spark, sf).groupBy("doc_id").agg(F.max("quotation").alias("quotation"))
+    safe = context.safe_context_modifiers(context.safe_contexts(spoken(spark, sf)))
+    return context.adjust_confidence(matching.lpe_category_scores(spans), neg.join(safe, "doc_id", "full").join(quote, "doc_id", "full"))
 
 
+N, Q_, S = K.DEFAULT_SENSITIVITY
 SENS = values([(c, *v) for c, v in K.SENSITIVITY.items()], "category", "sn", "sq", "ss")
 ADJUSTED = f"""{MODIFIERS}, sens AS (SELECT * FROM {SENS}),
-c AS (SELECT doc_id, category, score, score * (1 - coalesce(neg, 0) * coalesce(sn, 0.6)) * (1 - coalesce(safe, 0) * coalesce(ss, 0.7)) AS c
-      FROM scores LEFT JOIN sens USING (category) LEFT JOIN neg USING (doc_id) LEFT JOIN safe_doc USING (doc_id)),
+c AS (SELECT doc_id, category, score, score * (1 - coalesce(neg, 0) * coalesce(sn, {N})) * (1 - coalesce(quotation, 0) * coalesce(sq, {Q_})) * (1 - coalesce(safe, 0) * coalesce(ss, {S})) AS c
+      FROM scores LEFT JOIN sens USING (category) LEFT JOIN neg USING (doc_id) LEFT JOIN quote_doc USING (doc_id) LEFT JOIN safe_doc USING (doc_id)),
 adj AS (SELECT doc_id, category, score AS original, least(1, greatest(0, CASE WHEN c < 0.1 THEN c * 1.1 WHEN c > 0.9 THEN c * 0.95 ELSE 1 / (1 + exp(-5 * (c - 0.5))) END)) AS adjusted FROM c)"""
 Q["f14_adjust_confidence"] = (
     lambda spark, sf: adjusted(spark, sf).select("doc_id", "category", F.round("adjusted", 6).alias("adjusted"), F.round("factor", 6).alias("factor")),
-    f"WITH {ADJUSTED} SELECT doc_id, category, round(adjusted, 6) AS adjusted, round(CASE WHEN original > 0 THEN adjusted / original ELSE 1 END, 6) AS factor FROM adj",
+    over_spoken(f"WITH {ADJUSTED} SELECT doc_id, category, round(adjusted, 6) AS adjusted, round(CASE WHEN original > 0 THEN adjusted / original ELSE 1 END, 6) AS factor FROM adj"),
 )
 SHIFT = values([(c, float(a), float(b)) for c, (a, b) in context.ACTION_SHIFTS.items()], "category", "b", "r")
 ACTIONS = f"""{ADJUSTED}, act AS (SELECT doc_id, category, adjusted, CASE WHEN adjusted >= 0.8 + coalesce(b, 0) THEN 'block' WHEN adjusted >= 0.5 + coalesce(r, 0) THEN 'review' ELSE 'allow' END AS action
   FROM adj LEFT JOIN (SELECT * FROM {SHIFT}) USING (category))"""
 Q["f15_category_actions"] = (
     lambda spark, sf: context.category_actions(adjusted(spark, sf)).select("doc_id", "category", "action"),
-    f"WITH {ACTIONS} SELECT doc_id, category, action FROM act",
+    over_spoken(f"WITH {ACTIONS} SELECT doc_id, category, action FROM act"),
 )
 Q["f16_contextual_decision"] = (
     lambda spark, sf: context.contextual_decision(context.category_actions(adjusted(spark, sf))).select("doc_id", "decision", F.round("confidence", 6).alias("confidence")),
-    f"WITH {ACTIONS} SELECT doc_id, max_by(action, (round(adjusted, 12), category)) AS decision, round(max(adjusted), 6) AS confidence FROM act GROUP BY doc_id",
+    over_spoken(f"WITH {ACTIONS} SELECT doc_id, max_by(action, (round(adjusted, 12), category)) AS decision, round(max(adjusted), 6) AS confidence FROM act GROUP BY doc_id"),
 )
 Q["f17_adjustment_summary"] = (
     lambda spark, sf: context.adjustment_summary(adjusted(spark, sf)).select("category", "n", "n_adjusted", *[F.round(c, 6).alias(c) for c in ("mean_factor", "min_factor", "max_factor")]),
-    f"""WITH {ADJUSTED}, f AS (SELECT *, CASE WHEN original > 0 THEN adjusted / original ELSE 1 END AS factor FROM adj)
-SELECT category, count(*) AS n, count(*) FILTER (abs(adjusted - original) > 0.01) AS n_adjusted, round(avg(factor), 6) AS mean_factor, round(min(factor), 6) AS min_factor, round(max(factor), 6) AS max_factor FROM f GROUP BY category""",
+    over_spoken(f"""WITH {ADJUSTED}, f AS (SELECT *, CASE WHEN original > 0 THEN adjusted / original ELSE 1 END AS factor FROM adj)
+SELECT category, count(*) AS n, count(*) FILTER (abs(adjusted - original) > 0.01) AS n_adjusted, round(avg(factor), 6) AS mean_factor, round(min(factor), 6) AS min_factor, round(max(factor), 6) AS max_factor FROM f GROUP BY category"""),
 )

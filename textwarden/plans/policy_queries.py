@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
-from textwarden.operators import feedback, policy
+from textwarden.operators import decide, feedback, matching, policy
 from textwarden.operators.decide import severity
 from textwarden.operators.matching import bounded
 from textwarden.plans.common import sql_text, table, values
+from textwarden.plans.match_queries import over_spoken, spoken
 from textwarden.plans.decision_queries import DECIDED, SEVERITY, decided, docs, lpe, rounded
 
 Q: dict = {}
@@ -81,7 +82,7 @@ Q["i1_resolve_policy"] = (
     f"WITH {BASE} SELECT b.tenant, s.category, p.severity, threshold, count(*) FILTER (round(score, 9) >= threshold) AS n_over FROM base b JOIN scores s USING (doc_id) JOIN pthr p ON p.tenant = b.tenant AND p.category = s.category GROUP BY ALL",
 )
 Q["i2_hard_rules"] = (lambda s, d: policy.hard_rules(base(s, d), lpe(s, d), policies(s, d)["hard_rules"]), f"WITH {BASE} SELECT doc_id, rule FROM hard")
-Q["i3_policy_safe_context"] = (lambda s, d: policy.policy_safe_context(docs(s, d)), f"WITH {BASE} SELECT doc_id, context FROM ctx WHERE context IS NOT NULL")
+Q["i3_policy_safe_context"] = (lambda s, d: policy.policy_safe_context(spoken(s, d)), over_spoken(f"SELECT * FROM (SELECT doc_id, {CONTEXT_CASE} AS context FROM documents) WHERE context IS NOT NULL"))
 Q["i4_department_overrides"] = (
     lambda s, d: rounded(policy.department_overrides(base(s, d), lpe(s, d), policies(s, d)["departments"], policy.policy_safe_context(docs(s, d))), "adjustment"),
     f"WITH {BASE} SELECT doc_id, round(adjustment, 6) AS adjustment FROM adj0",
@@ -90,21 +91,58 @@ Q["i5_threshold_rules"] = (
     lambda s, d: policy.threshold_rules(base(s, d), lpe(s, d), policies(s, d)["thresholds"], policy.department_overrides(base(s, d), lpe(s, d), policies(s, d)["departments"], policy.policy_safe_context(docs(s, d)))),
     f"WITH {BASE} SELECT doc_id, (['allow', 'review', 'block'])[lvl + 1] AS decision, n_rules FROM thr2",
 )
-applied = lambda s, d: policy.apply_policy(docs(s, d), base(s, d), lpe(s, d), policies(s, d))
+
+
+def applied(s, d):
+    """Lexicon scores, features, decision and policy of the documents that hold a term, all in a document's own row."""
+    rows, terms_ = docs(s, d).withColumn("low", F.lower("text")), matching.inline_terms(matching.load_lexicon(s))
+    sure = F.when(F.col("lang") == "en", 0.9).otherwise(0.6).alias("language_confidence")
+    names = ["doc_id", sure, policy.context_of(F.col("text")).alias("context"), *decide.features_of(F.col("text"))]
+    rows = rows.select(*names, matching.term_spans_of(F.col("text"), F.col("low"), terms_).alias("spans")).where("size(spans) > 0")
+    scores = F.transform(matching.category_scores_of(F.col("spans")), lambda c: F.struct(c["score"].alias("score"), c["category"].alias("category")))
+    rows = decide.adapt_thresholds(rows.withColumn("scores", scores))
+    top = F.array_max(F.transform("scores", lambda c: F.struct(F.round(c["score"], 9).alias("score"), c["category"].alias("category"))))
+    rows = rows.withColumn("top", top).select("*", *decide.decision_of(F.col("top.score")), decide.grade_of(F.col("top.score"), F.col("top.category")).alias("severity"))
+    dept = F.element_at(F.array(*map(F.lit, DEPARTMENTS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    tenant = F.when(F.col("doc_id") % 2 == 0, "tech_corp").otherwise("acme")
+    rows = rows.select("doc_id", "decision", F.round("confidence", 9).alias("confidence"), "severity", tenant.alias("tenant"), dept.alias("department"), "context", "scores")
+    return policy.with_policy(rows, policy.builtin_policies()).drop("context", "scores")
+
+
+SHOWN = ("doc_id", "decision", "confidence", "severity", "tenant", "department", "policy_decision", "policy_confidence", "adjustment", "hard_rule")
 Q["i6_apply_policy"] = (
-    lambda s, d: rounded(applied(s, d), "confidence", "policy_confidence", "adjustment"),
-    f"WITH {BASE} SELECT doc_id, decision, round(confidence, 6) AS confidence, severity, tenant, department, policy_decision, round(policy_confidence, 6) AS policy_confidence, round(adjustment, 6) AS adjustment, hard_rule FROM applied",
+    lambda s, d: rounded(applied(s, d).select(*SHOWN, F.size("applied_rules").alias("n_rules")), "confidence", "policy_confidence", "adjustment"),
+    f"""WITH {BASE}, eased AS (SELECT base.doc_id, CASE WHEN context IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN contains(coalesce(flags, ''), 'allow_sensitive_discussions') AND coalesce(sensitive, false) THEN 1 ELSE 0 END
+   + CASE WHEN contains(coalesce(flags, ''), 'allow_policy_examples') AND coalesce(context IN ('legal_documentation', 'policy_discussion'), false) THEN 1 ELSE 0 END
+   + CASE WHEN contains(coalesce(flags, ''), 'allow_threat_analysis') AND coalesce(threat, false) THEN 1 ELSE 0 END AS n
+   FROM base LEFT JOIN pdept USING (tenant, department) LEFT JOIN cats USING (doc_id) LEFT JOIN ctx USING (doc_id)),
+hits AS (SELECT doc_id, max(CASE WHEN over_ AND lim <= 0.5 THEN 2 WHEN over_ THEN 1 ELSE 0 END) AS hit, max(CASE WHEN overall >= 0.9 THEN 2 WHEN overall >= 0.7 THEN 1 ELSE 0 END) AS lvl FROM thr1 GROUP BY doc_id)
+SELECT a.doc_id, decision, round(confidence, 6) AS confidence, severity, tenant, department, policy_decision, round(policy_confidence, 6) AS policy_confidence, round(adjustment, 6) AS adjustment, hard_rule,
+  (CASE WHEN hard_rule IS NOT NULL THEN 1 ELSE eased.n + n_rules + CASE WHEN hits.lvl = 2 OR (hits.lvl = 1 AND hit = 0) THEN 1 ELSE 0 END END)::INTEGER AS n_rules
+FROM applied a JOIN eased USING (doc_id) JOIN hits USING (doc_id) JOIN thr2 USING (doc_id)""",
 )
 CNT = ", ".join([f"count(*) FILTER (decision = '{x}') AS before_{x}" for x in K.DECISIONS] + [f"count(*) FILTER (policy_decision = '{x}') AS after_{x}" for x in K.DECISIONS])
 Q["i7_policy_impact"] = (
     lambda s, d: policy.policy_impact(applied(s, d), ["tenant", "department"]),
     f"WITH {BASE} SELECT tenant, department, {CNT}, count(*) FILTER (decision <> policy_decision) AS changed FROM applied GROUP BY ALL",
 )
+#: A threshold and a shift that validation objects to, put into one tenant's policy.
+ODD_THRESHOLD, ODD_SHIFT = ("acme", "threat/violence", "high", 0.9), ("acme", "sales", 0.5)
+
+
+def odd_policies(s, d):
+    tables = policy.policy_tables(s)
+    tables["thresholds"] = tables["thresholds"].unionByName(s.createDataFrame([ODD_THRESHOLD], tables["thresholds"].schema))
+    tables["departments"] = tables["departments"].unionByName(s.createDataFrame([(*ODD_SHIFT[:2], [], ODD_SHIFT[2])], tables["departments"].schema))
+    return policy.resolve_policy(base(s, d).select("tenant").distinct(), tables)
+
+
 Q["i8_validate_policies"] = (
-    lambda s, d: policy.validate_policies(policies(s, d)),
-    f"""WITH {BASE}, p AS (SELECT tenant, category, max(threshold) FILTER (severity = 'medium') m, max(threshold) FILTER (severity = 'high') h, max(threshold) FILTER (severity = 'critical') c FROM pthr GROUP BY ALL)
+    lambda s, d: policy.validate_policies(odd_policies(s, d)),
+    f"""WITH {BASE}, odd AS (SELECT tenant, category, severity, CASE WHEN tenant = '{ODD_THRESHOLD[0]}' AND category = '{ODD_THRESHOLD[1]}' AND severity = '{ODD_THRESHOLD[2]}' THEN {ODD_THRESHOLD[3]} ELSE threshold END AS threshold FROM pthr),
+p AS (SELECT tenant, category, max(threshold) FILTER (severity = 'medium') m, max(threshold) FILTER (severity = 'high') h, max(threshold) FILTER (severity = 'critical') c FROM odd GROUP BY ALL)
 SELECT tenant, 'thresholds out of order: ' || category AS warning FROM p WHERE NOT (c <= h AND h <= m) AND tenant IN (SELECT tenant FROM base)
-UNION ALL SELECT tenant, 'shift out of range: ' || department FROM pdept WHERE (shift > 0.3 OR shift < -0.5) AND tenant IN (SELECT tenant FROM base)""",
+UNION ALL SELECT tenant, 'shift out of range: ' || department FROM (SELECT tenant, department, shift FROM pdept UNION ALL VALUES ('{ODD_SHIFT[0]}', '{ODD_SHIFT[1]}', {ODD_SHIFT[2]})) WHERE (shift > 0.3 OR shift < -0.5) AND tenant IN (SELECT tenant FROM base)""",
 )
 Q["i9_policy_summary"] = (
     lambda s, d: policy.policy_summary(policies(s, d)).join(base(s, d).groupBy("tenant").agg(F.count("*").alias("n_docs")), "tenant"),

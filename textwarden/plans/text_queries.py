@@ -14,7 +14,7 @@ Q: dict = {}
 
 
 def docs(spark, sf):
-    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def step(name, operator, expression):
@@ -58,18 +58,15 @@ Q["b14_obfuscation_map"] = (
 )
 
 
-def b15(spark, sf):
-    rows = normalize.obfuscation_prevalence(docs(spark, sf), ["lang"])
-    return rows.where("technique <> 'elongation'")
-
-
 Q["b15_obfuscation_prevalence"] = (
-    b15,
+    lambda spark, sf: normalize.obfuscation_prevalence(docs(spark, sf), ["lang"]),
     """
 SELECT lang, technique, count(*) AS n_docs FROM (
   SELECT lang, 'leet_speak' AS technique FROM documents WHERE regexp_matches(text, '[@!$+0135478]')
   UNION ALL SELECT lang, 'character_substitution' FROM documents WHERE regexp_matches(text, '[@!$+0135478]')
-  UNION ALL SELECT lang, 'phonetic' FROM documents WHERE regexp_matches(lower(text), 'ph|ck|qu|x'))
+  UNION ALL SELECT lang, 'phonetic' FROM documents WHERE regexp_matches(lower(text), 'ph|ck|qu|x')
+  UNION ALL SELECT lang, 'elongation' FROM (SELECT lang, string_split(text, '') AS l FROM documents)
+    WHERE len(list_filter(range(1, len(l) - 1), lambda i: l[i] = l[i + 1] AND l[i] = l[i + 2] AND l[i] NOT IN (chr(10), chr(13), chr(133), chr(8232), chr(8233)))) > 0)
 GROUP BY ALL""",
 )
 
@@ -152,12 +149,12 @@ Q["c8_regex_tokenize"] = (
 SELECT doc_id, count(*) AS n, count(DISTINCT token) AS n_distinct
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, {sql_text(language.TOKEN)})) AS token FROM documents) GROUP BY doc_id""",
 )
+SQL_SCRIPT = "CASE " + " ".join(f"WHEN regexp_matches(token, '^{'[A-Za-z]' if s == 'latin' else language.script_class(s, False)}') THEN '{s}'" for s in K.SCRIPTS) + " ELSE 'other' END"
 Q["c10_tokens_by_script"] = (
-    lambda spark, sf: language.tokens_by_script(language.regex_tokenize(docs(spark, sf)), ["doc_id"]).where("script = 'latin'"),
+    lambda spark, sf: language.tokens_by_script(language.regex_tokenize(docs(spark, sf)), ["doc_id"]),
     f"""
-SELECT doc_id, 'latin' AS script, count(*) AS n, count(DISTINCT token) AS distinct_tokens
-FROM (SELECT doc_id, unnest(regexp_extract_all(text, {sql_text(language.TOKEN)})) AS token FROM documents)
-WHERE regexp_matches(token, '^[A-Za-z]') GROUP BY doc_id""",
+SELECT doc_id, {SQL_SCRIPT} AS script, count(*) AS n, count(DISTINCT token) AS distinct_tokens
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, {sql_text(language.TOKEN)})) AS token FROM documents) GROUP BY ALL""",
 )
 
 SQL_MASKED = reduce(lambda t, p: f"regexp_replace({t}, {sql_text(p[2])}, {sql_text(p[1])}, 'g')", K.PII_PATTERNS, "text")
