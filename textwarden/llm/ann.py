@@ -31,6 +31,8 @@ from textwarden.llm.common import table
 QUERY_BLOCK, BLOCK, TILE, FAN = 2048, 8192, 1024, 32
 #: int8 products of this many components are exact sums in single precision.
 EXACT = 1024
+#: What squares that underflow may add to a distance between vectors of components up to 1.
+LEAST = 1e-150
 FOUND = "qblock int, cblock int, query_id long, vec_id long, score double"
 
 
@@ -56,14 +58,20 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows, summed from the first component to the last."""
-    return np.sqrt(np.cumsum((x - y) ** 2, axis=1)[:, -1])
+    """Euclidean distances of rows, summed from the first component to the last.
+
+    Where squares would leave the range of doubles, a row is scaled by a power of two,
+    which is exact, and its distance scaled back.
+    """
+    apart = x - y
+    exponent = np.frexp(np.abs(apart).max(axis=1))[1]
+    exponent[np.abs(exponent) < 400] = 0
+    apart = np.ldexp(apart, -exponent[:, None])
+    return np.ldexp(np.sqrt(np.cumsum(apart**2, axis=1)[:, -1]), exponent)
 
 
 def rows_of(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    group = group.sort_values("id", kind="stable")
-    if group["id"].duplicated().any():
-        group = group.assign(v=group["vector"].map(tuple)).sort_values(["id", "v"]).drop_duplicates("id")
+    group = group.sort_values("id")
     return group["id"].to_numpy("i8"), np.stack(group["vector"].to_numpy()).astype("f8")
 
 
@@ -77,7 +85,10 @@ def best_of_blocks(k: int):
     return run
 
 
-def best(key: tuple, qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
+def best(key: tuple, qid: np.ndarray, whole_q: np.ndarray, cid: np.ndarray, whole_c: np.ndarray, k: int) -> pd.DataFrame:
+    # bounds are found on vectors scaled by a power of two, so that no square overflows
+    scaling = int(np.frexp(max(np.abs(whole_q).max(), np.abs(whole_c).max()))[1])
+    q, c = np.ldexp(whole_q, -scaling), np.ldexp(whole_c, -scaling)
     qcode, qscale, qerr = quantised(q)
     qnorm = np.sqrt((q**2).sum(axis=1))
     qsize = (qcode.astype("f8") ** 2).sum(axis=1) * qscale**2
@@ -87,18 +98,17 @@ def best(key: tuple, qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndar
         ids, tile = cid[at : at + TILE], c[at : at + TILE]
         code, scale, err = quantised(tile)
         size = (code.astype("f8") ** 2).sum(axis=1) * scale**2
-        off = qerr[:, None] + err + 1e-7 * (qnorm[:, None] + np.sqrt((tile**2).sum(axis=1)))
+        off = LEAST + qerr[:, None] + err + 1e-7 * (qnorm[:, None] + np.sqrt((tile**2).sum(axis=1)))
         seen = np.sqrt(np.maximum(qsize[:, None] + size - 2 * qscale[:, None] * scale * products(qcode, code), 0))
         upper = seen + off
         lower = np.maximum(seen - off, 0)
         own = qid[:, None] == ids
         upper[own] = lower[own] = np.inf
         reach = np.partition(upper, k - 1, axis=1)[:, k - 1] if len(ids) >= k else np.full(len(qid), np.inf)
-        # candidates come by rising id, so one that only ties with the k-th best can't replace it
-        rows, cols = np.nonzero((lower <= reach[:, None]) & (lower < kth[:, None]) & ~own)
+        rows, cols = np.nonzero((lower <= reach[:, None]) & (lower <= kth[:, None]) & ~own)
         for part in range(0, len(rows), 65536):
             r, s = rows[part : part + 65536], cols[part : part + 65536]
-            for i, j, d in zip(r.tolist(), ids[s].tolist(), distances(tile[s], q[r]).tolist(), strict=True):
+            for i, j, d in zip(r.tolist(), ids[s].tolist(), distances(whole_c[at + s], whole_q[r]).tolist(), strict=True):
                 heap = heaps[i]
                 if len(heap) < k:
                     heapq.heappush(heap, (-d, -j))
@@ -106,7 +116,7 @@ def best(key: tuple, qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndar
                     heapq.heapreplace(heap, (-d, -j))
         for i, heap in enumerate(heaps):
             if len(heap) == k:
-                kth[i] = -heap[0][0]
+                kth[i] = np.ldexp(-heap[0][0], -scaling)
     found = [(key[0], key[1], i, -j, -d) for i, heap in zip(qid.tolist(), heaps, strict=True) for d, j in heap]
     return pd.DataFrame(found, columns=["qblock", "cblock", "query_id", "vec_id", "score"])
 
@@ -124,6 +134,13 @@ def merged(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("qblock", "cblock").applyInPandas(run, FOUND)
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """Rows of (id, vector, dim) with one vector for each id, the smallest: the least in the first component that differs, or the shorter one."""
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest candidates by Euclidean distance.
 
@@ -133,7 +150,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame
     clean = lambda df: df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"), F.size("embedding").alias("dim")
     )
-    q, c = clean(queries), clean(candidates)
+    q, c = (one_of_each(clean(df)) for df in (queries, candidates))
     qblocks = max(1, -(-q.count() // QUERY_BLOCK))
     cblocks = max(1, -(-c.count() // BLOCK))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
