@@ -178,6 +178,7 @@ def digests(docs: DataFrame) -> DataFrame:
         *[count(kind).alias(f"n_{kind}") for kind in BASE],
         F.sha2(F.encode(joined(base), "utf-8"), 256).alias("base_sha256"),
         joined(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: F.format_string("%.3f", s["score"])), ",").alias("scores"),
     )
 
 
