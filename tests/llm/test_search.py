@@ -1,6 +1,7 @@
 """Near-duplicates, decontamination and nearest neighbours against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -209,3 +210,53 @@ def test_a_very_long_item(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.decontaminate(df, items).collect()}
     assert got == {1: (40, 1), 2: (0, 0), 3: (10, 1), 4: (0, 0)}
+
+
+def test_repeated_ids_count_once_whatever_their_lengths(spark):
+    """Of rows that repeat an id the smallest vector counts, before anything is dealt by length."""
+    rows = [(100, [0.0, 1.0]), (1, [0.5, 0.5, 0.5]), (1, [0.25, 0.5]), (2, [0.0, 2.0]), (200, [1.0, 1.0, 1.0]), (3, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df.where("vec_id % 100 = 0"), df, 10).collect()}
+    assert got == {(100, 1), (100, 2), (200, 3)}
+
+
+def test_vectors_of_any_magnitude(spark):
+    """Squares that would overflow or vanish lose no neighbour."""
+    r = np.random.default_rng(4)
+    rows = [(i, (r.normal(size=6) * s).tolist()) for i, s in enumerate([1e160, 1e-170, 1.0, 1e300, 1e-5] * 8)]
+    rows = [(i * 50, v) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x.rank, x.vec_id) for x in ann.nearest(df.where("vec_id % 100 = 0"), df, 5).collect())
+    want = []
+    for i, q in rows:
+        if i % 100 == 0:
+            far = sorted((math.dist(q, v), j) for j, v in rows if j != i)
+            want += [(i, k + 1, j) for k, (_, j) in enumerate(far[:5])]
+    assert got == sorted(want)
+
+
+def test_pipeline_settings_lose_no_link(spark):
+    """Five words and 0.8, as the pipeline has them, against exact similarities over the whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs, width=5, percent=80).collect()}
+    rows = [tuple(x) for x in docs.collect()]
+    sets = {i: shingles(t, 5) for i, t in rows}
+    holders, common = {}, {}
+    for i, s in sets.items():
+        for x in s:
+            for j in holders.setdefault(x, []):
+                common[j, i] = common.get((j, i), 0) + 1
+            holders[x].append(i)
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    links = [p for p, n in common.items() if 100 * n >= 80 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        top[b] = a
+    assert len(links) > 50
+    assert got == {i: find(i) for i in sets}

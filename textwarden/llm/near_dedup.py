@@ -21,7 +21,7 @@ The steps, each a Spark job whose work follows the input:
    partner left at all; a second confirms links between those on full sets and emits
    at most one link for each two components.  So no link is lost, and neither tasks
    nor row counts grow with the square of a group.
-4. Components again, over all links.
+4. Components again, over all links between representatives; copies follow theirs.
 
 A sketch holds one byte of each coordinate.  Pairs whose sketches agree in fewer than
 ``LEAST_SHARE`` of the bytes, five and a half standard deviations below what the
@@ -405,13 +405,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         left = written(with_partners(again, sketches, percent), "partners")
         sets = sets_of(texts, left.select("doc_id").distinct(), width)
         links = links.unionByName(written(between_components(left, sets, percent), "last_links"))
-    several = written(copies.where("n > 1").select("set_key", F.col("r.doc_id").alias("rep")), "copied")
-    copied = by_bucket(full.select("set_key", "doc_id"), several, key="set_key")
-    copied = copied.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    final = components(links.unionByName(copied))
+    # components are those of the representatives; copies get theirs by their key, however many they are
+    final = written(components(links), "components")
+    several = copies.where("n > 1").select("set_key", F.col("r.doc_id").alias("rep"))
+    several = several.join(final.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
+    several = written(several.select("set_key", "rep", F.coalesce("component", "rep").alias("component")), "copied")
+    copied = by_bucket(full.select("set_key", "doc_id"), several.select("set_key", "component"), key="set_key").select("doc_id", "component")
+    single = final.join(several.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "component")
     return (
         signed.select("doc_id", "n_shingles")
-        .join(final, "doc_id", "left")
+        .join(copied.distinct().unionByName(single), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
