@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from textwarden import sources
-from textwarden.operators import matching, monitoring
+from textwarden.operators import drift, matching, monitoring
 from textwarden.plans.common import shared_folder, table
 from textwarden.plans.decision_queries import rounded
 from textwarden.plans.match_queries import SCORES, docs, terms
@@ -213,4 +213,92 @@ Q["k24_error_rates"] = (
     lambda s, d: monitoring.error_rates(log(s, d), ["tenant"]),
     f"WITH {LOG}, e AS (SELECT tenant, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM lg GROUP BY tenant) SELECT tenant, n, errors, round(errors / n, 6) AS share, round(errors / n, 6) > 0.05 AS alert FROM e",
 )
+GRADE = "CASE WHEN score > {2} THEN 'critical' WHEN score > {1} THEN 'high' WHEN score > {0} THEN 'medium' ELSE 'low' END"
+RECENT = "ts >= TIMESTAMP '2024-01-24'"
+#: By tenant, with thresholds low enough for the log of the tables to have alerts of every kind.
+EVERY_ALERT = f"""{LOG},
+cb AS (SELECT tenant, (least(floor(confidence * 5), 4) + 0.5) / 5 AS x, count(*) FILTER ({RECENT}) AS a, count(*) AS b FROM lg GROUP BY ALL),
+cg AS (SELECT *, abs(sum(a) OVER w / nullif(sum(a) OVER t, 0) - sum(b) OVER w / sum(b) OVER t) AS gap FROM cb WINDOW w AS (PARTITION BY tenant ORDER BY x ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY tenant)),
+cs AS (SELECT tenant, sum(x * a) / nullif(sum(a), 0) AS current, sum(x * b) / sum(b) AS baseline, sqrt(sum(a) * sum(b) / (sum(a) + sum(b))) * max(gap) AS e, sum(a) AS na, sum(b) AS nb FROM cg GROUP BY tenant),
+c1 AS (SELECT *, round(abs(current - baseline), 9) AS score FROM cs WHERE na >= 10 AND nb >= 10 AND greatest(0, least(1, list_sum(list_transform(range(1, 30), lambda k: 2.0 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * e * e))))) < 0.9),
+dk AS (SELECT tenant, event_type, count(*) FILTER ({RECENT}) AS a, count(*) AS b FROM lg GROUP BY ALL),
+dg AS (SELECT *, abs(a / nullif(sum(a) OVER t, 0) - b / sum(b) OVER t) AS gap FROM dk WINDOW t AS (PARTITION BY tenant)),
+d1 AS (SELECT tenant, sum(gap) AS current, 0.0::DOUBLE AS baseline, round(sum(gap), 9) AS score FROM dg GROUP BY tenant HAVING round(sum(gap), 9) > 0.01 AND sum(a) >= 10 AND sum(b) >= 10),
+p1 AS (SELECT *, round(baseline - current, 9) AS score FROM (SELECT tenant, avg((event_type = 'view')::INT) FILTER ({RECENT}) AS current, avg((event_type = 'view')::INT) AS baseline FROM lg GROUP BY tenant) WHERE round(baseline - current, 9) > 0.001),
+f1 AS (SELECT * EXCLUDE (n), round(current - baseline, 9) AS score FROM (SELECT tenant, avg((event_type = 'error')::INT) FILTER ({RECENT}) AS current, avg((event_type = 'error')::INT) AS baseline, count(*) FILTER ({RECENT}) AS n FROM lg GROUP BY tenant) WHERE n >= 10 AND round(current - baseline, 9) > 0.001),
+every AS (SELECT tenant, 'prediction_drift' AS drift_type, 'confidence_distribution' AS metric, current, baseline, score, {GRADE.format(0.1, 0.15, 0.2)} AS severity FROM c1
+  UNION ALL SELECT tenant, 'prediction_drift', 'decision_distribution', current, baseline, score, {GRADE.format(0.2, 0.25, 0.3)} FROM d1
+  UNION ALL SELECT tenant, 'performance_drift', 'f1', current, baseline, score, {GRADE.format(0.075, 0.1, 0.15)} FROM p1
+  UNION ALL SELECT tenant, 'concept_drift', 'feedback_correction_rate', current, baseline, score, {GRADE.format(0.25, 0.3, 0.4)} FROM f1)"""
+
+
+def every_alert(s, d):
+    rows = log(s, d)
+    of = rows.withColumn("f1", (F.col("event_type") == "view").cast("double")).withColumn("corrected", F.col("event_type") == "error")
+    found = [drift.confidence_alerts(rows, late(), alpha=0.9), drift.decision_alerts(rows, late(), "event_type", 0.01, 10), drift.performance_alerts(of, late(), threshold=0.001), drift.feedback_alerts(of, late(), 0.001)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+Q["k13_every_alert"] = (lambda s, d: rounded(every_alert(s, d), "current", "baseline", "score"), f"WITH {EVERY_ALERT} SELECT tenant, drift_type, metric, round(current, 6) AS current, round(baseline, 6) AS baseline, round(score, 6) AS score, severity FROM every")
+REPORT = f"""{EVERY_ALERT}, report AS (SELECT tenant, CASE WHEN n_recent >= 5 AND n_all >= 10 THEN 'completed' ELSE 'insufficient_data' END AS status, coalesce(n_alerts, 0) AS n_alerts, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low
+  FROM (SELECT tenant, count(*) FILTER ({RECENT}) AS n_recent, count(*) AS n_all FROM lg GROUP BY tenant) LEFT JOIN (SELECT tenant, count(*) AS n_alerts, {SEV} FROM every GROUP BY tenant) USING (tenant))"""
+report = lambda s, d: drift.drift_report(every_alert(s, d), log(s, d), late())
+Q["k13_full_report"] = (
+    lambda s, d: report(s, d).select("tenant", "status", "n_alerts", "critical", "high", "medium", "low"),
+    f"WITH {REPORT} SELECT * FROM report",
+)
+
+
+def ledger(s, d):
+    """Jobs so far: those that errors of the log called for, by tenant and day, moved on by what clicks report."""
+    e = log(s, d).where("event_type = 'error'").groupBy("tenant", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    job = F.concat_ws("-", "tenant", F.col("day").cast("string"))
+    jobs_ = e.select(job.alias("job_id"), "tenant", F.lit("drift_detected").alias("trigger"), F.lit("pending").alias("status"), F.col("day").cast("timestamp").alias("created_at"))
+    state = F.when(F.col("value") < 100, "running").when(F.col("value") < 300, "completed").otherwise("failed")
+    told = log(s, d).where("event_type = 'click'").select(F.concat_ws("-", "tenant", F.to_date("ts").cast("string")).alias("job_id"), "ts", state.alias("state"))
+    return drift.advanced_jobs(jobs_, told)
+
+
+FOLD = "list_reduce(list_prepend(['pending'], list_transform(l, lambda x: [x.state])), lambda a, x: CASE WHEN a[1] = 'pending' AND x[1] = 'running' THEN x WHEN a[1] = 'running' AND x[1] IN ('completed', 'failed') THEN x ELSE a END)[1]"
+LEDGER = f"""{LOG}, told AS (SELECT tenant || '-' || ts::DATE::VARCHAR AS job_id, list_sort(list(DISTINCT {{'ts': ts, 'state': CASE WHEN value < 100 THEN 'running' WHEN value < 300 THEN 'completed' ELSE 'failed' END}})) AS l FROM lg WHERE event_type = 'click' GROUP BY 1),
+jobs AS (SELECT job_id, tenant, created_at, CASE WHEN l IS NULL THEN 'pending' ELSE {FOLD} END AS status FROM (SELECT DISTINCT tenant || '-' || ts::DATE::VARCHAR AS job_id, tenant, ts::DATE AS created_at FROM lg WHERE event_type = 'error') LEFT JOIN told USING (job_id))"""
+Q["k15_job_ledger"] = (lambda s, d: ledger(s, d).select("job_id", "tenant", "status"), f"WITH {LEDGER} SELECT job_id, tenant, status FROM jobs")
+Q["k15_new_jobs"] = (
+    lambda s, d: drift.new_jobs(report(s, d), fed(s, d), ledger(s, d).where("created_at < timestamp '2024-01-20 00:00:00' and status in ('completed', 'failed')"), "2024-01-31 00:00:00", feedback=20).select("tenant", "trigger", "status"),
+    f"""WITH {REPORT}, fed AS (SELECT tenant, count(*) AS n FROM lg WHERE event_type = 'click' GROUP BY tenant), t AS (SELECT tenant, CASE WHEN critical >= 1 THEN 'drift_detected' WHEN high >= 3 THEN 'performance_degradation' WHEN coalesce(n, 0) >= 20 THEN 'feedback_threshold' END AS trigger FROM report LEFT JOIN fed USING (tenant) WHERE status = 'completed')
+SELECT tenant, trigger, 'pending' AS status FROM t WHERE trigger IS NOT NULL""",
+)
+Q["k16_job_status"] = (
+    lambda s, d: drift.retraining_status(ledger(s, d)).select("tenant", F.array_join(F.col("recent_jobs.job_id"), ",").alias("jobs"), "total_jobs", "pending_jobs", "running_jobs"),
+    f"""WITH {LEDGER}, r AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY created_at DESC, job_id) AS k FROM jobs)
+SELECT tenant, string_agg(job_id, ',' ORDER BY k) AS jobs, count(*) AS total_jobs, count(*) FILTER (status = 'pending') AS pending_jobs, count(*) FILTER (status = 'running') AS running_jobs FROM r WHERE k <= 10 GROUP BY tenant""",
+)
+
+
+def keyed_windows(s, d):
+    p = F.create_map(F.lit("spam/scam"), F.col("confidence"), F.lit("threat/violence"), 1 - F.col("confidence") / 2, F.lit("sexual content"), F.when(F.col("event_id") % 2 == 0, F.col("value") / 1000))
+    rows = log(s, d).withColumn("probabilities", p).withColumn("language", F.element_at(F.array(*map(F.lit, ("en", "hi", "bn"))), (F.col("event_id") % 3 + 1).cast("int")))
+    return drift.windows_by_key(rows, F.window("ts", "1 day")["start"])
+
+
+KEYED = f"""{LOG}, pr AS (SELECT tenant, time_bucket(INTERVAL 1 DAY, ts) AS win, event_id, unnest(['spam/scam', 'threat/violence', 'sexual content']) AS category, unnest([confidence, 1 - confidence / 2, CASE WHEN event_id % 2 = 0 THEN value / 1000 END]) AS p FROM lg),
+cw AS (SELECT tenant, win, category, avg(p) AS v FROM pr GROUP BY ALL), kn AS (SELECT *, dense_rank() OVER (PARTITION BY tenant ORDER BY win) AS k FROM cw),
+kb AS (SELECT tenant, category, avg(v) AS mean, stddev_pop(v) AS std FROM kn WHERE k <= 5 GROUP BY ALL)"""
+Q["k1_windows_by_category"] = (
+    lambda s, d: rounded(keyed_windows(s, d).select("tenant", "win", F.explode("by_category").alias("category", "mean")), "mean"),
+    f"WITH {KEYED} SELECT tenant, win, category, round(v, 6) AS mean FROM cw",
+)
+Q["k1_windows_by_language"] = (
+    lambda s, d: keyed_windows(s, d).select("tenant", "win", F.explode("languages").alias("language", "n")),
+    f"WITH {LOG} SELECT tenant, time_bucket(INTERVAL 1 DAY, ts) AS win, (['en', 'hi', 'bn'])[event_id % 3 + 1] AS language, count(*) AS n FROM lg GROUP BY ALL",
+)
+Q["k2_category_baseline"] = (
+    lambda s, d: rounded(drift.category_baseline(keyed_windows(s, d)), "mean", "std"),
+    f"WITH {KEYED} SELECT tenant, category, round(mean, 6) AS mean, round(std, 6) AS std FROM kb",
+)
+Q["k3_category_drift"] = (
+    lambda s, d: drift.category_drift(keyed_windows(s, d), drift.category_baseline(keyed_windows(s, d))),
+    f"""WITH {KEYED}, z AS (SELECT tenant, win, category, round(abs(v - mean) / (std + 1e-8), 6) AS score FROM kn JOIN kb USING (tenant, category) WHERE k > 5)
+SELECT tenant, win, category, score, {GRADE.format(1, 2, 3)} AS severity FROM z WHERE score > 0.05""",
+)
 __all__ = ["Q", "matching"]
