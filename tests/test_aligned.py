@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textwarden.operators import align, context, drift, matching, policy, sweep
-from textwarden.plans.moderate import FIELDS, engine_terms, moderate_corpus
+from textwarden.operators.engine import FIELDS, engine_terms, scan_lexicon_engine
+from textwarden.plans.moderate import moderate_corpus
 
 TERMS = [dict(zip(FIELDS, (r[0], *r[2:6]), strict=True)) for r in matching.lexicon_rows()]
 
@@ -135,3 +136,11 @@ def test_jobs_are_not_emitted_twice(spark):
     assert {r.status for r in done.collect()} == {"completed"}
     assert drift.new_jobs(report, fed, done, "2024-02-01 09:00:00").count() == 0  # still resting
     assert drift.new_jobs(report, fed, done, "2024-02-02 11:00:00").count() == 3
+
+
+def test_engine_with_edited_words(spark):
+    docs = spark.createDataFrame([(1, "You idoit, a stupidd thing"), (2, "a morn walk"), (3, None)], "doc_id long, text string")
+    spans, scores, _ = scan_lexicon_engine(docs, fuzzy=1)
+    assert {(r.doc_id, r.text) for r in spans.collect()} == {(1, "stupid"), (2, "morn")}  # of "stupid" and "stupidd" the surer stays
+    two, _, _ = scan_lexicon_engine(docs, fuzzy=2)
+    assert (1, "idoit") in {(r.doc_id, r.text) for r in two.collect()}

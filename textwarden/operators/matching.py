@@ -231,6 +231,38 @@ def match_fuzzy(docs: DataFrame, lexicon: DataFrame, threshold: float = 0.8) ->
     return out.select("doc_id", "word", "term", "category", "severity", "similarity", (F.col("weight") * F.col("similarity")).alias("confidence"), "n")
 
 
+def deletions(word: Column, most: int) -> Column:
+    """A word and what is left of it without up to ``most`` of its letters, each once."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    out = last = F.array(word)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda w: F.when(F.length(w) > 0, less(w)).otherwise(F.array(w)))))
+        out = F.concat(out, last)
+    return F.array_distinct(out)
+
+
+def match_edited(docs: DataFrame, lexicon: DataFrame, distance: int = 1) -> DataFrame:
+    """(doc_id, word, term, category, severity, distance, similarity, confidence, n): words up to ``distance`` edits away from a term.
+
+    Two words that near have a deletion neighbourhood in common: without up to ``distance``
+    letters of each something equal is left.  So distinct words and terms meet by an
+    equi-join on what is left, and only those pairs are measured.  Words that are longer than
+    all terms by more than the distance aren't taken apart.
+    """
+    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("length(word) >= 3")
+    per_doc = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    terms = lexicon.where("length(term) >= 3").select("term", "category", "severity", "weight").distinct()
+    longest = terms.agg(F.max(F.length("term"))).first()[0] or 0
+    unique = per_doc.select("word").distinct().where(F.length("word") <= longest + distance)
+    left = unique.select("word", F.explode(deletions(F.col("word"), distance)).alias("rest"))
+    right = terms.select("term").distinct().select("term", F.explode(deletions(F.col("term"), distance)).alias("rest"))
+    pairs = left.join(bounded(right), "rest").select("word", "term").distinct().withColumn("distance", F.levenshtein("word", "term"))
+    near = pairs.where((F.col("distance") <= distance) & (F.col("word") != F.col("term"))).join(bounded(terms), "term")
+    similarity = 1 - F.col("distance") / F.greatest(F.length("word"), F.length("term"))
+    out = per_doc.join(near.withColumn("similarity", similarity), "word")
+    return out.select("doc_id", "word", "term", "category", "severity", "distance", "similarity", (F.col("weight") * F.col("similarity")).alias("confidence"), "n")
+
+
 EMOJI_RUN = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]+"
 
 
@@ -297,12 +329,6 @@ def rule_traces(matches: DataFrame) -> DataFrame:
     return matches.select("doc_id", line.alias("trace")).groupBy("doc_id").agg(F.array_sort(F.collect_set("trace")).alias("traces"))
 
 
-def scan_lexicon_engine(docs: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(spans, scores, traces) of term and pattern matches."""
-    matches = match_terms(docs, lexicon).unionByName(match_patterns(docs))
-    return dedupe_spans(matches), lpe_category_scores(matches), rule_traces(matches)
-
-
 def search_lexicon(lexicon: DataFrame, term: str | None = None, category: str | None = None, severity: str | None = None, langs: list[str] | None = None) -> DataFrame:
     out = lexicon
     for name, value in (("term", term and term.lower()), ("category", category), ("severity", severity)):

@@ -10,8 +10,9 @@ from textwarden.operators.language import script_class
 from textwarden.plans.common import sql_text, table, values
 from textwarden.operators.context import QUOTE_SHARE
 from textwarden.plans.match_queries import PARTS as CUE_PARTS
-from textwarden.plans.match_queries import QUOTED, SAFE, SCORES, SPANS, SQL_SAFE, SQL_SAFE_DOC, TOUCHED, docs, located, sql_quotes, terms
-from textwarden.plans.moderate import FIELDS, engine_terms, moderate_corpus
+from textwarden.plans.match_queries import DEDUPED, QUOTED, SAFE, SCORES, SPANS, SQL_SAFE, SQL_SAFE_DOC, TOUCHED, docs, located, sql_quotes, terms
+from textwarden.operators.engine import FIELDS, engine_terms, scan_lexicon_engine
+from textwarden.plans.moderate import moderate_corpus
 from textwarden.plans.text_queries import SQL_HITS, SQL_ROMAN
 
 Q: dict = {}
@@ -287,7 +288,7 @@ SELECT doc_id, decision, round(confidence, 6) AS confidence, severity, coalesce(
 DISGUISED = ("you 1d1ot", "an id​iot", "idiоt and idiiiiot", "f*ck this", "phuck |-|ell", "\U0001f595 you", "kill \U0001f480", "saala", "455 a55hole", "not a stüpid one", "ಠ_ಠ", "nothing")
 WORDS_ = [dict(zip(FIELDS, (r[0], *r[2:6]), strict=True)) for r in matching.lexicon_rows()]
 SIGNS_ = [dict(zip(FIELDS, r[:5], strict=True)) for r in K.EMOJI if r[0] != "combination"]
-ENGINE_TERMS = values([(t["term"], align.form_of(t["term"]), t["category"], t["weight"], f"{t['source']}:{t['term']}") for t in engine_terms(WORDS_, SIGNS_)], "term", "form", "category", "weight", "source")
+ENGINE_TERMS = values([(t["term"], align.form_of(t["term"]), t["category"], t["severity"], t["weight"], f"{t['source']}:{t['term']}") for t in engine_terms(WORDS_, SIGNS_)], "term", "form", "category", "severity", "weight", "source")
 ENGINE_PATTERNS = [*K.LEXICON_PATTERNS, *[("emoji", *r[1:5]) for r in K.EMOJI if r[0] == "combination"]]
 
 
@@ -329,9 +330,9 @@ def form_sql(k: int) -> str:
 form{k} AS MATERIALIZED (SELECT doc_id, {SOUNDED} AS text FROM short{k}),
 sound{k} AS MATERIALIZED {edits_sql(f"short{k}", SOUND_ALTERNATIVES, sound_n)},
 drawn{k} AS MATERIALIZED {edits_sql("folded", DRAWN, str(k))},
-at{k} AS (SELECT doc_id, category, weight, source, (list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * length(form))::INTEGER AS s, length(form) AS n FROM (
-  SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, form, category, weight, source, string_split(text, form) AS parts FROM form{k} JOIN eng ON contains(text, form)))),
-back{k} AS (SELECT doc_id, s AS start, e AS "end", category, weight AS confidence, source FROM {back_sql(back_sql(back_sql(f"(SELECT * EXCLUDE (n), s + n AS e FROM at{k})", f"sound{k}"), f"drawn{k}"), "hidden")})"""
+at{k} AS (SELECT doc_id, category, severity, weight, source, (list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * length(form))::INTEGER AS s, length(form) AS n FROM (
+  SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, form, category, severity, weight, source, string_split(text, form) AS parts FROM form{k} JOIN eng ON contains(text, form)))),
+back{k} AS (SELECT doc_id, s AS start, e AS "end", category, severity, weight AS confidence, source FROM {back_sql(back_sql(back_sql(f"(SELECT * EXCLUDE (n), s + n AS e FROM at{k})", f"sound{k}"), f"drawn{k}"), "hidden")})"""
 
 
 SHARE = "CASE b[3] " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in QUOTE_SHARE.items()) + " END"
@@ -345,16 +346,18 @@ cand AS ({' UNION ALL '.join(f"SELECT doc_id, '{code}' AS code, {c} AS c FROM k"
   UNION ALL SELECT doc_id, 'hi-Latn', CASE WHEN {LATIN} AND h > 0.15 THEN least(0.9, 0.3 + h) * 0.8 ELSE 0 END FROM k UNION ALL SELECT doc_id, 'en', CASE WHEN {LATIN} AND h <= 0.15 THEN 0.9 * 0.8 ELSE 0 END FROM k),
 lang AS (SELECT doc_id, coalesce(arg_min(code, (-least(0.95, c), code)) FILTER (c > 0.1), 'en') AS language, coalesce(max(least(0.95, c)) FILTER (c > 0.1), 0.5) AS lc FROM cand GROUP BY doc_id)"""
 #: Every step of the flagship, as joins of long tables: forms and places, terms and patterns, cues, quotes, contexts, languages, scores, thresholds.
-MODERATED = rf"""{LANGUAGES}, eng AS (SELECT * FROM {ENGINE_TERMS}),
+ENGINE_SPANS = rf"""eng AS (SELECT * FROM {ENGINE_TERMS}),
 bared AS (SELECT doc_id, {nested(f"regexp_replace(text, '{HIDDEN}', '', 'g')", K.LIGATURES.items())} AS bared FROM documents),
 folded AS MATERIALIZED (SELECT doc_id, {FOLDED} AS text FROM bared),
 hidden AS MATERIALIZED {edits_sql("documents", HIDDEN + "+|" + "|".join(K.LIGATURES), f"CASE WHEN m IN ({', '.join(map(sql_text, K.LIGATURES))}) THEN 2 ELSE 0 END")},
 {form_sql(2)}, {form_sql(1)},
-plain AS (SELECT doc_id, (list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * length(term))::INTEGER AS s, term, category, weight, source FROM (
-  SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, term, category, weight, source, string_split(lower(text), term) AS parts FROM documents JOIN eng ON contains(lower(text), term)))),
-spans AS (SELECT doc_id, s AS start, s + length(term) AS "end", category, weight AS confidence, source FROM plain
-  UNION SELECT b.doc_id, b.start, b."end", category, confidence, source FROM (SELECT * FROM back2 UNION ALL SELECT * FROM back1) b JOIN documents d ON d.doc_id = b.doc_id WHERE regexp_matches(substring(text, b.start::INTEGER + 1, (b."end" - b.start)::INTEGER), '\p{{L}}')
-  {"".join(f" UNION SELECT doc_id, start, \"end\", {sql_text(c)}, {w}::DOUBLE, {sql_text(f'pattern:{g}:{p}')} FROM {located('(?i)' + p)}" for g, p, c, _, w in ENGINE_PATTERNS)}),
+plain AS (SELECT doc_id, (list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * length(term))::INTEGER AS s, term, category, severity, weight, source FROM (
+  SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, term, category, severity, weight, source, string_split(lower(text), term) AS parts FROM documents JOIN eng ON contains(lower(text), term)))),
+placed AS (SELECT doc_id, s::BIGINT AS start, (s + length(term))::BIGINT AS "end", category, severity, weight AS confidence, source FROM plain
+  UNION ALL SELECT b.doc_id, b.start::BIGINT, b."end"::BIGINT, category, severity, confidence, source FROM (SELECT * FROM back2 UNION ALL SELECT * FROM back1) b JOIN documents d ON d.doc_id = b.doc_id WHERE regexp_matches(substring(text, b.start::INTEGER + 1, (b."end" - b.start)::INTEGER), '\p{{L}}')
+  {"".join(f" UNION ALL SELECT doc_id, start, \"end\", {sql_text(c)}, {sql_text(v)}, {w}::DOUBLE, {sql_text(f'pattern:{g}:{p}')} FROM {located('(?i)' + p)}" for g, p, c, v, w in ENGINE_PATTERNS)}),
+spans AS (SELECT DISTINCT p.doc_id, start::INTEGER AS start, "end"::INTEGER AS "end", substring(text, start::INTEGER + 1, ("end" - start)::INTEGER) AS text, category, severity, confidence, source AS rule_source FROM placed p JOIN documents d ON d.doc_id = p.doc_id)"""
+MODERATED = rf"""{LANGUAGES}, {ENGINE_SPANS},
 scores AS (SELECT doc_id, category, least(avg(confidence), 1.0) AS score FROM spans GROUP BY doc_id, category),
 {CUE_PARTS}, {TOUCHED}, {sql_quotes('documents')}, {QUOTED}, {SAFE}, {SQL_SAFE}, {SQL_SAFE_DOC},
 quote_doc AS (SELECT doc_id, max(b[1]) AS quotation, max({SHARE}) AS most FROM quoted GROUP BY doc_id),
@@ -397,9 +400,27 @@ def disguised(s, d):
     return docs(s, d).withColumn("text", F.concat("text", F.lit(". "), put))
 
 
+def e13(s, d):
+    """All three results of the engine, a row for each document that has any."""
+    spans, scores_, traces = scan_lexicon_engine(disguised(s, d))
+    per_span = spans.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+    line = F.format_string("%s=%.6f", "category", F.round("score", 6))
+    per_score = scores_.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("scores"))
+    return per_span.join(per_score, "doc_id").join(traces.select("doc_id", F.array_join("traces", "\n").alias("traces")), "doc_id")
+
+
+DISGUISED_TEXTS = f"SELECT doc_id, text || '. ' || ([{', '.join(map(sql_text, DISGUISED))}])[doc_id % {len(DISGUISED)} + 1] AS text FROM documents"
+Q["e13_scan_lexicon_engine"] = (
+    e13,
+    f"WITH texts AS ({DISGUISED_TEXTS})," + f"""{ENGINE_SPANS}, {DEDUPED.split(', listed AS', 1)[1].join([' listed AS', ''])}, a AS (SELECT doc_id, count(*) AS n_spans, sum(s.fin - s.start)::BIGINT AS chars FROM deduped GROUP BY doc_id),
+b AS (SELECT doc_id, string_agg(l, ',' ORDER BY l) AS scores FROM (SELECT doc_id, category || '=' || format('{{:.6f}}', round(least(avg(confidence), 1.0), 6)) AS l FROM spans GROUP BY doc_id, category) GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY t) AS traces FROM (
+  SELECT DISTINCT doc_id, 'Rule: ' || rule_source || ' -> Category: ' || category || ' -> Weight: ' || format('{{:.2f}}', confidence) AS t FROM spans) GROUP BY doc_id)
+SELECT * FROM a JOIN b USING (doc_id) JOIN c USING (doc_id)""".replace(" documents", " texts"),
+)
 H22_ROUNDED = ("confidence", "max_score", "policy_confidence")
 Q["h22_moderate_corpus"] = (lambda s, d: rounded(moderate_corpus(s, docs(s, d)), *H22_ROUNDED), moderated_sql("SELECT doc_id, text FROM documents"))
 Q["h22_moderate_disguised"] = (
     lambda s, d: rounded(moderate_corpus(s, disguised(s, d)), *H22_ROUNDED),
-    moderated_sql(f"SELECT doc_id, text || '. ' || ([{', '.join(map(sql_text, DISGUISED))}])[doc_id % {len(DISGUISED)} + 1] AS text FROM documents"),
+    moderated_sql(DISGUISED_TEXTS),
 )

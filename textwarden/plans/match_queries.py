@@ -103,6 +103,18 @@ SELECT doc_id, word, term, round(similarity, 6) AS similarity, n FROM w JOIN s U
 )
 
 
+#: SQL's levenshtein counts bytes, so a letter beyond ASCII becomes one sign that no ASCII term has; Hindi terms share no letter with the corpus.
+for distance in (1, 2):
+    Q[f"e3_match_edited_{distance}"] = (
+        lambda spark, sf, distance=distance: matching.match_edited(docs(spark, sf), matching.load_lexicon(spark), distance).select("doc_id", "word", "term", "category", "distance", F.round("similarity", 6).alias("similarity"), "n"),
+        f"""
+WITH lex AS (SELECT DISTINCT term, category FROM {LEX} WHERE length(term) >= 3),
+w AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}]+')) AS word FROM documents) WHERE length(word) >= 3 GROUP BY ALL),
+s AS (SELECT word, term, category, levenshtein(regexp_replace(word, '[^\x00-\x7F]', '#', 'g'), term)::INTEGER AS distance FROM (SELECT DISTINCT word FROM w), lex WHERE regexp_full_match(term, '[\x00-\x7F]*') AND abs(length(word) - length(term)) <= {distance})
+SELECT doc_id, word, term, category, distance, round(1 - distance / greatest(length(word), length(term)), 6) AS similarity, n FROM w JOIN s USING (word) WHERE distance <= {distance} AND word <> term""",
+    )
+
+
 def with_emoji(spark, sf):
     """The corpus with signs put into some texts by rule, as it has none of its own."""
     sign = F.element_at(F.array(*[F.lit(s) for s in ("🖕", "kill 💀", "🍆 🍑", "凸", "ಠ_ಠ", "😡")]), (F.pmod("doc_id", F.lit(6)) + 1).cast("int"))
@@ -149,26 +161,6 @@ Q["e12_rule_traces"] = (
 )
 
 
-def e13(spark, sf):
-    """All three results of the engine, a row for each document that has any."""
-    spans, scores, traces = matching.scan_lexicon_engine(spoken(spark, sf), matching.load_lexicon(spark))
-    per_span = spans.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("chars"))
-    line = F.format_string("%s=%.6f", "category", F.round("score", 6))
-    per_score = scores.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("scores"))
-    return per_span.join(per_score, "doc_id").join(traces.select("doc_id", F.array_join("traces", "\n").alias("traces")), "doc_id")
-
-
-PATTERN_SPANS = "".join(f"""
-  UNION ALL SELECT doc_id, start, "end", m, {sql_text(c)}, {sql_text(s)}, {w}::DOUBLE, {sql_text(f'pattern:{lang}:{p}')} FROM {located('(?i)' + p)}""" for lang, p, c, s, w in K.LEXICON_PATTERNS)
-ENGINE = DEDUPED.replace("spans AS (", "term_spans AS (", 1).replace(", listed AS", f', spans AS (SELECT doc_id, start, "end", text, category, severity, confidence, rule_source FROM term_spans{PATTERN_SPANS}), listed AS', 1)
-Q["e13_scan_lexicon_engine"] = (
-    e13,
-    over_spoken(f"""WITH {ENGINE}, a AS (SELECT doc_id, count(*) AS n_spans, sum(s.fin - s.start)::BIGINT AS chars FROM deduped GROUP BY doc_id),
-b AS (SELECT doc_id, string_agg(l, ',' ORDER BY l) AS scores FROM (SELECT doc_id, category || '=' || format('{{:.6f}}', round(least(avg(confidence), 1.0), 6)) AS l FROM spans GROUP BY doc_id, category) GROUP BY doc_id),
-c AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY t) AS traces FROM (
-  SELECT DISTINCT doc_id, 'Rule: ' || rule_source || ' -> Category: ' || category || ' -> Weight: ' || format('{{:.2f}}', confidence) AS t FROM spans) GROUP BY doc_id)
-SELECT * FROM a JOIN b USING (doc_id) JOIN c USING (doc_id)"""),
-)
 Q["e14_search_lexicon"] = (
     lambda spark, sf: terms(spark, sf).join(matching.bounded(matching.search_lexicon(matching.load_lexicon(spark), category="threat/violence", langs=["en"])), "category", "left_semi")
     .groupBy("category", "severity").agg(F.count_distinct("doc_id").alias("n_docs")),
