@@ -220,6 +220,44 @@ def latency_percentiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"), F.avg(value).alias("mean"))
 
 
+def ranged_percentiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """(by, a column for each share, mean): exact percentiles, interpolated between neighbours, without a group's values in one task.
+
+    Distinct values are counted, and running counts are kept by ranges of the value that hold
+    about as many rows each, as in ``ks_drift``.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    per = rows.groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    cuts = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    bounds = sorted(set(rows.agg(F.percentile_approx(value, cuts, 10_000)).first()[0] or []))
+    cut = per.withColumn("r", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("x"))) if bounds else F.lit(0))
+    sums = cut.groupBy(*by, "r").agg(F.sum("n").alias("rn"))
+    own = Window.partitionBy(*by)
+    bases = sums.select(*[F.col(c).alias(f"_{c}") for c in [*by, "r"]], F.coalesce(F.sum("rn").over(own.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("rn").over(own).alias("all"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "r"]]
+    upto = F.sum("n").over(Window.partitionBy(*by, "r").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
+    placed = cut.join(bases, same).select(*by, "r", "x", "n", "base", "all").withColumn("first", F.col("base") + F.coalesce(upto, F.lit(0)))
+    held = lambda rank: (F.col("first") <= rank) & (rank < F.col("first") + F.col("n"))
+    at = {name: share * (F.col("all") - 1) for name, share in shares.items()}
+    found = placed.groupBy(*by).agg(
+        *[F.max(F.when(held(f(p)), F.col("x"))).alias(f"{name}_{k}") for name, p in at.items() for k, f in (("lo", F.floor), ("hi", F.ceil))],
+        F.max("all").alias("all"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
+    )
+    between = lambda name, p: F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (p - F.floor(p))
+    return found.select(*by, *[between(name, p).alias(name) for name, p in at.items()], "mean")
+
+
+def percentile_sketches(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, sketch, n, total): KLL sketches, which can be stored and merged over any coarser grouping."""
+    return df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double")).alias("sketch"), F.count(value).alias("n"), F.sum(F.col(value).cast("double")).alias("total"))
+
+
+def merged_percentiles(sketches: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """(by, a column for each share, mean, n) of sketches of finer groups; a quantile's rank is off by 1.7 % or less in 99 of 100 cases."""
+    rows = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
+    return rows.select(*by, *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in shares.items()], "mean", "n")
+
+
 def precision_recall(predicted: DataFrame, by: list[str]) -> DataFrame:
     """(by, tp, fp, fn, precision, recall, f1) from (predicted, label) as 0 or 1."""
     p, y = F.col("predicted") == 1, F.col("label") == 1

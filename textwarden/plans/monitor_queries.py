@@ -170,6 +170,12 @@ Q["k19_latency_percentiles"] = (
 )
 
 
+Q["k19_ranged_percentiles"] = (
+    lambda s, d: rounded(monitoring.ranged_percentiles(log(s, d), "value", ["event_type"], {"p50": 0.5, "p95": 0.95}), "p50", "p95", "mean"),
+    Q["k19_latency_percentiles"][1],
+)
+
+
 def judged(s, d):
     hit = terms(s, d).where("category = 'insult/harassment'").select("doc_id").distinct().withColumn("predicted", F.lit(1))
     rows = table(s, d, "labels").select("doc_id", F.col("toxic").alias("label")).join(docs(s, d).select("doc_id", "lang"), "doc_id").join(hit, "doc_id", "left")

@@ -55,7 +55,15 @@ Q["m3_stream_drift"] = (
 b AS (SELECT tenant, avg(c) AS m, stddev_pop(c) AS s FROM k WHERE k <= 5 GROUP BY tenant)
 SELECT tenant, epoch_us(win) AS win_us, round(abs(c - m) / (s + 1e-8), 6) AS score FROM k JOIN b USING (tenant) WHERE k > 5 AND abs(c - m) / (s + 1e-8) > 0.05""",
 )
-Q["m4_stream_rate_limit"] = (lambda s, d: streaming.run_to_end(streaming.stream_rate_limit(events(s, d), 3, 1800), place(s)), None)
+RECENT_ADMITTED = "list_filter(a.kept, lambda t: t > x.us - 1800000000)"
+Q["m4_stream_rate_limit"] = (
+    lambda s, d: streaming.run_to_end(streaming.stream_rate_limit(events(s, d), 3, 1800), place(s)),
+    f"""WITH {LOG}, e AS (SELECT tenant, list_sort(list({{'us': epoch_us(ts), 'id': event_id, 'kept': []::BIGINT[], 'done': []::STRUCT(event_id BIGINT, us BIGINT, admitted BOOLEAN)[]}})) AS l FROM lg GROUP BY tenant),
+r AS (SELECT tenant, list_reduce(list_prepend({{'us': 0::BIGINT, 'id': 0::BIGINT, 'kept': []::BIGINT[], 'done': []::STRUCT(event_id BIGINT, us BIGINT, admitted BOOLEAN)[]}}, l), lambda a, x: {{
+  'us': x.us, 'id': x.id, 'kept': CASE WHEN len({RECENT_ADMITTED}) < 3 THEN list_append({RECENT_ADMITTED}, x.us) ELSE {RECENT_ADMITTED} END,
+  'done': list_append(a.done, {{'event_id': x.id, 'us': x.us, 'admitted': len({RECENT_ADMITTED}) < 3}})}}) AS r FROM e)
+SELECT tenant, d.event_id, d.us, d.admitted FROM (SELECT tenant, unnest(r.done) AS d FROM r)""",
+)
 
 
 def m5(s, d):
@@ -92,16 +100,18 @@ SELECT request_id, CASE WHEN decision = 'block' AND c < 0.6 THEN 'critical' WHEN
 def m7(s, d):
     kind = F.element_at(F.array(*[F.lit(c) for c in ("lpe", "classifier", "intent")]), (F.col("event_id") % 3 + 1).cast("int"))
     outcomes = events(s, d).select(F.col("event_id").alias("outcome_id"), kind.alias("component"), "ts", (F.col("event_type") != "error").alias("correct"), "confidence")
-    out = streaming.run_to_end(streaming.stream_adaptive_weights(outcomes), place(s))
-    last = out.groupBy("component").agg(F.max(F.struct("seen", "performance")).alias("l"))
-    return rounded(last.select("component", "l.seen", "l.performance"), "performance")
+    out = streaming.updates_to_end(streaming.stream_adaptive_weights(outcomes), place(s))
+    last = out.groupBy("component").agg(F.max(F.struct("seen", "performance", "weight")).alias("l"))
+    return rounded(last.select("component", "l.seen", "l.performance", "l.weight"), "performance", "weight")
 
 
 Q["m7_stream_adaptive_weights"] = (
     m7,
     """WITH o AS (SELECT event_id, (['lpe', 'classifier', 'intent'])[event_id % 3 + 1] AS component, ts, CASE WHEN event_type <> 'error' THEN value / 500 ELSE 1 - value / 500 END AS x FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY component) AS seen FROM o)
-SELECT component, max(seen) AS seen, round(avg(x), 6) AS performance FROM r WHERE k <= 100 GROUP BY component""",
+r AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER () AS seen FROM o),
+p AS (SELECT component, max(seen) AS seen, avg(x) AS s FROM r WHERE k <= 100 GROUP BY component),
+w AS (SELECT *, greatest(0.05, CASE component WHEN 'lpe' THEN 0.4 WHEN 'classifier' THEN 0.5 ELSE 0.1 END * (0.8 + 0.4 * s / avg(s) OVER ())) AS w FROM p)
+SELECT component, seen, round(s, 6) AS performance, round(w / sum(w) OVER (), 6) AS weight FROM w""",
 )
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from textwarden.operators import feedback, monitoring
+from textwarden.operators import decide, feedback, monitoring
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -27,6 +27,16 @@ def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def updates_to_end(stream: DataFrame, path: str) -> DataFrame:
+    """As ``run_to_end`` for a stream of updates: each batch replaces its own folder, so a replay changes nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
 def stream_moderate(stream: DataFrame, moderate, path: str):
     """Each micro-batch goes through ``moderate`` and replaces its own folder, so replays change nothing."""
 
@@ -66,68 +76,129 @@ def stream_audit(decisions: DataFrame, path: str):
     return rows.writeStream.format("json").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").partitionBy("event_date").trigger(availableNow=True).start()
 
 
-def stream_rate_limit(stream: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
-    """(tenant, event_id, us, admitted): only admitted events count in the trailing seconds.
+class RateLimit(StatefulProcessor):
+    """Admits up to ``limit`` events of a tenant in the trailing span; the state is the times of those, and goes when they are over."""
 
-    State of a tenant: the times of its admitted events in that span, at most ``limit``.
-    Events of one batch are taken in order of time; the span is kept in event time.
-    """
+    def __init__(self, limit: int, span: int):
+        self.limit, self.span = limit, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.kept = handle, handle.getListState("kept", "us long")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        out = []
-        for us, event in zip(rows["us"].tolist(), rows["event_id"].tolist(), strict=True):
-            kept = [t for t in kept if t > us - seconds * 1_000_000]
-            ok = len(kept) < limit
-            if ok:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = [t[0] for t in self.kept.get()]
+        for us, event in sorted((r["us"], r["event_id"]) for r in rows):
+            kept = [t for t in kept if t > us - self.span]
+            if ok := len(kept) < self.limit:
                 kept.append(us)
-            out.append((key[0], event, us, ok))
-        state.update((kept,))
-        yield pd.DataFrame(out, columns=["tenant", "event_id", "us", "admitted"])
+            yield Row(tenant=key[0], event_id=event, us=us, admitted=ok)
+        self.kept.clear()
+        if kept:
+            self.kept.put([(t,) for t in kept])
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            # behind the watermark already if the batch was late; then the state goes with the next batch
+            self.handle.registerTimer(max((kept[-1] + self.span) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
 
-    rows = stream.select("tenant", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("tenant").applyInPandasWithState(run, "tenant string, event_id long, us long, admitted boolean", "kept array<long>", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.kept.clear()
+        return iter(())
 
+    def close(self) -> None:
+        pass
 
-def stream_drift(windows: DataFrame, n: int = 5, threshold: float = 0.05) -> DataFrame:
-    """(tenant, win_us, score): each tenant's first n closed windows are its baseline, later ones are scored once.
 
-    State: the count of windows and the sums of the baseline's values and squares.
+def stream_rate_limit(stream: DataFrame, limit: int, seconds: int = 60, watermark: str = "10 minutes") -> DataFrame:
+    """(tenant, event_id, us, admitted): only admitted events count in the trailing seconds.
+
+    State of a tenant: the times of its admitted events in that span, at most ``limit``; an
+    event-time timer empties it when the watermark has passed the last one's span.  Events of
+    one batch are taken in order of time.
     """
+    rows = stream.withWatermark("ts", watermark).select("tenant", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    processor = RateLimit(limit, seconds * 1_000_000)
+    return stateful(rows).groupBy("tenant").transformWithState(processor, "tenant string, event_id long, us long, admitted boolean", "Append", "EventTime")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        k, total, squares = state.get if state.exists else (0, 0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values("win_us")
-        out = []
-        for win, x in zip(rows["win_us"].tolist(), rows["avg_confidence"].tolist(), strict=True):
-            if k < n:
-                k, total, squares = k + 1, total + x, squares + x * x
-                continue
-            mean = total / n
-            score = abs(x - mean) / (max(squares / n - mean * mean, 0.0) ** 0.5 + 1e-8)
-            if score > threshold:
-                out.append((key[0], win, score))
-        state.update((k, total, squares))
-        yield pd.DataFrame(out, columns=["tenant", "win_us", "score"])
 
-    rows = windows.select("tenant", "avg_confidence", F.unix_micros(F.col("win").cast("timestamp")).alias("win_us"))
-    return rows.groupBy("tenant").applyInPandasWithState(run, "tenant string, win_us long, score double", "k int, total double, squares double", "append", GroupStateTimeout.NoTimeout)
+def stateful(stream: DataFrame) -> DataFrame:
+    """The stream, on a session whose state store can hold lists and timers."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return stream
+
+
+class Baseline(StatefulProcessor):
+    """A tenant's first n closed windows are its baseline: their count and the sums of values and squares; later ones are scored once."""
+
+    def __init__(self, n: int, threshold: float):
+        self.n, self.threshold = n, threshold
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getValueState("sums", "k int, total double, squares double")
 
-def stream_adaptive_weights(outcomes: DataFrame, n: int = 100) -> DataFrame:
-    """(component, seen, performance): mean outcome score of the last n of each component, emitted at every trigger."""
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        k, total, squares = self.sums.get() if self.sums.exists() else (0, 0.0, 0.0)
+        for win, x in sorted((r["win_us"], r["avg_confidence"]) for r in rows):
+            if k < self.n:
+                k, total, squares = k + 1, total + x, squares + x * x
+                continue
+            mean = total / self.n
+            score = abs(x - mean) / (max(squares / self.n - mean * mean, 0.0) ** 0.5 + 1e-8)
+            if score > self.threshold:
+                yield Row(tenant=key[0], win_us=win, score=score)
+        self.sums.update((k, total, squares))
+
+    def close(self) -> None:
+        pass
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        rows = pd.concat(list(batches)).sort_values(["us", "outcome_id"])
-        scores = rows["confidence"].where(rows["correct"], 1 - rows["confidence"]).tolist()
-        last, seen = (last + scores)[-n:], seen + len(scores)
-        state.update((last, seen))
-        yield pd.DataFrame([(key[0], seen, sum(last) / len(last))], columns=["component", "seen", "performance"])
 
-    rows = outcomes.select("component", "outcome_id", "correct", "confidence", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("component").applyInPandasWithState(run, "component string, seen long, performance double", "last array<double>, seen long", "append", GroupStateTimeout.NoTimeout)
+def stream_drift(windows: DataFrame, n: int = 5, threshold: float = 0.05) -> DataFrame:
+    """(tenant, win_us, score): each tenant's first n closed windows are its baseline, later ones are scored once."""
+    rows = windows.select("tenant", "avg_confidence", F.unix_micros(F.col("win").cast("timestamp")).alias("win_us"))
+    return stateful(rows).groupBy("tenant").transformWithState(Baseline(n, threshold), "tenant string, win_us long, score double", "Append", "None")
+
+
+class Weights(StatefulProcessor):
+    """The last n outcome scores of each component, and the weights that follow from them."""
+
+    def __init__(self, base: dict[str, float], n: int):
+        self.base, self.n = base, n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getMapState("last", "component string", "scores array<double>")
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # of a batch only the last n of a component can stay, so no more are held
+        newest: dict[str, list] = {}
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        for r in rows:
+            heap, item = newest.setdefault(r["component"], []), (r["us"], r["outcome_id"], r["score"])
+            (heapq.heappush if len(heap) < self.n else heapq.heappushpop)(heap, item)
+            seen += 1
+        self.seen.update((seen,))
+        for component, heap in newest.items():
+            before = list(self.last.getValue((component,))[0]) if self.last.containsKey((component,)) else []
+            self.last.updateValue((component,), ((before + [x[2] for x in sorted(heap)])[-self.n :],))
+        means = {k[0]: sum(v[0]) / len(v[0]) for k, v in self.last.iterator()}
+        usual = sum(means.values()) / len(means)
+        raw = {c: max(0.05, self.base.get(c, 0.0) * (0.8 + 0.4 * m / usual if usual else 0.8)) for c, m in means.items()}
+        for c, w in raw.items():
+            yield Row(component=c, seen=seen, performance=means[c], weight=w / sum(raw.values()))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_adaptive_weights(outcomes: DataFrame, base: dict[str, float] | None = None, n: int = 100) -> DataFrame:
+    """(component, seen, performance, weight) of every component, emitted at every trigger.
+
+    Weights are relative to each other, so the few components' last n scores are one key's
+    state; a batch's rows are reduced to each component's last n by a heap as they come.
+    """
+    score = F.when(F.col("correct"), F.col("confidence")).otherwise(1 - F.col("confidence")).alias("score")
+    rows = outcomes.select("component", "outcome_id", score, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.lit(0).alias("all"))
+    out = "component string, seen long, performance double, weight double"
+    return stateful(rows).groupBy("all").transformWithState(Weights(base or decide.WEIGHTS, n), out, "Update", "None")
 
 
-__all__ = [name for name in dir() if name.startswith(("stream_", "run_", "read_"))] + ["monitoring"]
+__all__ = [name for name in dir() if name.startswith(("stream_", "run_", "read_", "updates_"))] + ["monitoring"]
