@@ -55,12 +55,22 @@ def load_lexicon(spark: SparkSession, paths: list[str] | None = None) -> DataFra
     ).select("lang", "kind", F.lower("t").alias("term"), "category", "severity", F.coalesce("weight", F.lit(0.8)).alias("weight"), "script", F.coalesce("context_required", F.lit(False)).alias("context_required"))
 
 
-def load_emoji_lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(K.EMOJI), "kind string, sign string, category string, severity string, weight double, context_required boolean")
+def load_emoji_lexicon(spark: SparkSession, paths: list[str] | None = None) -> DataFrame:
+    """(kind, sign, category, severity, weight, context_required): the built-in signs, or those of JSON files of one object for each."""
+    names = "kind string, sign string, category string, severity string, weight double, context_required boolean"
+    if not paths:
+        return spark.createDataFrame(list(K.EMOJI), names)
+    rows = spark.read.schema(names).json(paths).where("kind is not null and sign <> ''")
+    return rows.select("kind", "sign", "category", "severity", F.coalesce("weight", F.lit(0.5)).alias("weight"), F.coalesce("context_required", F.lit(False)).alias("context_required")).distinct()
 
 
-def load_patterns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(K.LEXICON_PATTERNS), "lang string, pattern string, category string, severity string, weight double")
+def load_patterns(spark: SparkSession, paths: list[str] | None = None) -> DataFrame:
+    """(lang, pattern, category, severity, weight): the built-in patterns, or those of JSON files of one object for each."""
+    names = "lang string, pattern string, category string, severity string, weight double"
+    if not paths:
+        return spark.createDataFrame(list(K.LEXICON_PATTERNS), names)
+    rows = spark.read.schema(names).json(paths).where("pattern <> ''")
+    return rows.withColumn("weight", F.coalesce("weight", F.lit(0.8))).distinct()
 
 
 def starts_of(text: Column, term: Column) -> Column:

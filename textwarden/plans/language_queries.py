@@ -10,7 +10,7 @@ from textwarden import constants as K
 from textwarden.operators import context, language, matching, policy, preprocess
 from textwarden.plans.common import sql_text, table, values
 from textwarden.plans.decision_queries import rounded
-from textwarden.plans.match_queries import EMOJI_DOCS, LEX, SPANS, SQL_EMOJI, docs, located, modifiers, scopes, terms, with_emoji
+from textwarden.plans.match_queries import ACTION, EMOJI_DOCS, LEX, MODIFIERS, SPANS, SQL_EMOJI, docs, flags, located, modifiers, over_spoken, spoken, terms, with_emoji
 from textwarden.plans.policy_queries import BASE, applied
 
 Q: dict = {}
@@ -102,12 +102,20 @@ SELECT tenant, category, count(*) AS n FROM every GROUP BY ALL""",
 
 
 def f18(s, d):
-    flags = context.context_flags(docs(s, d), context.negated_spans(terms(s, d), scopes(s, d)), context.direct_quotes(docs(s, d)), context.safe_contexts(docs(s, d)))
-    actions = context.recommended_action(modifiers(s, d), matching.lpe_category_scores(terms(s, d)))
-    return context.context_explanations(flags, actions).select("doc_id", F.array_join("lines", "|").alias("lines"))
-
-
-Q["f18_context_explanations"] = (f18, None)
+    actions = context.recommended_action(modifiers(s, d), matching.lpe_category_scores(terms(s, d, spoken)))
+    return context.context_explanations(flags(s, d), actions).select("doc_id", F.array_join("lines", "|").alias("lines"))
+
+
+LINES = ", ".join([f"CASE WHEN {f} THEN {sql_text(t)} END" for f, t in K.CONTEXT_SENTENCES.items()] + [f"CASE WHEN action = {sql_text(a)} THEN {sql_text(t)} END" for a, t in K.ACTION_SENTENCES.items()])
+Q["f18_context_explanations"] = (
+    f18,
+    over_spoken(
+        f"WITH {MODIFIERS}, act AS (SELECT doc_id, {ACTION} AS action FROM (SELECT doc_id, round(avg(modifier), 9) AS m, round(max(score), 9) AS s FROM modifiers GROUP BY doc_id)), "
+        "fl AS (SELECT d.doc_id, neg.neg IS NOT NULL AS has_negation, d.doc_id IN (SELECT doc_id FROM quotes) AS has_quotation, "
+        + ", ".join(f"coalesce(bool_or(context_type = '{t}'), false) AS {t}" for t in K.SAFE_CONTEXTS)
+        + f" FROM documents d LEFT JOIN neg USING (doc_id) LEFT JOIN safe USING (doc_id) GROUP BY d.doc_id, neg.neg) SELECT doc_id, concat_ws('|', {LINES}) AS lines FROM fl LEFT JOIN act USING (doc_id)"
+    ),
+)
 Q["h19_policy_trace_text"] = (
     lambda s, d: policy.policy_trace_text(applied(s, d)).select("doc_id", F.array_join("lines", "|").alias("lines")),
     f"""WITH {BASE} SELECT doc_id, concat_ws('|', 'Applied Policies:', '- ' || tenant, CASE WHEN hard_rule IS NOT NULL THEN '- hard rule ' || hard_rule END,

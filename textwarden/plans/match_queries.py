@@ -126,6 +126,20 @@ SQL_EMOJI = values([r[:5] for r in K.EMOJI], "kind", "sign", "category", "severi
 EMOJI_MATCHES = f"""{EMOJI_DOCS}, em AS (SELECT * FROM {SQL_EMOJI}),
 m AS (SELECT doc_id, emoji, kind, category, severity, weight AS confidence, count(*) AS n
       FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]+')) AS emoji FROM ed) JOIN em ON sign = emoji AND kind IN ('offensive', 'anger') GROUP BY ALL)"""
+
+
+def a5(spark, sf):
+    """Signs of the emoji lexicon with the texts that hold them."""
+    signs = matching.load_emoji_lexicon(spark).where("kind <> 'combination'")
+    lexicon = signs.select(F.col("kind").alias("lang"), F.col("sign").alias("term"), "category", "severity", "weight")
+    found = matching.match_terms(with_emoji(spark, sf), lexicon).groupBy("text").agg(F.count_distinct("doc_id").alias("n_docs"))
+    return found.join(matching.bounded(signs), found["text"] == signs["sign"]).select("kind", "sign", "category", "severity", "weight", "n_docs")
+
+
+Q["a5_load_emoji_lexicon"] = (
+    a5,
+    f"WITH {EMOJI_DOCS}, em AS (SELECT * FROM {SQL_EMOJI}) SELECT kind, sign, category, severity, weight, count(*) AS n_docs FROM ed JOIN em ON kind <> 'combination' AND contains(text, sign) GROUP BY ALL",
+)
 Q["e4_match_emoji"] = (lambda spark, sf: matching.match_emoji(with_emoji(spark, sf), matching.load_emoji_lexicon(spark)), f"WITH {EMOJI_MATCHES} SELECT * FROM m")
 Q["e5_match_kaomoji"] = (
     lambda spark, sf: matching.match_kaomoji(with_emoji(spark, sf), matching.load_emoji_lexicon(spark)),
