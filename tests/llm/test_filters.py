@@ -1,8 +1,11 @@
 """Personal data, toxicity, quality and URLs on cases, odd rows and held-out labels."""
 
 import hashlib
+import math
+import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,11 +105,67 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.Model()).count() == 0
 
 
+def auc(rows):
+    """Share of (toxic, clean) pairs in which the toxic one scores higher; ties count half."""
+    good, bad = ([s for s, y in rows if y == label] for label in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+
+
+def test_noisy_or_of_sentences(spark):
+    """A document's score is one minus the product of its sentences' complements, and a sentence's is the logistic of its words' weights."""
+    docs, labels = labelled(spark)
+    model = toxicity.train(docs, labels)
+
+    def plain(text):
+        clean = 1.0
+        for sentence in toxicity.SENTENCE.split(text):
+            words = set(toxicity.WORD.findall(sentence.lower()))
+            z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.features(w))
+            clean *= 1 - (1 / (1 + math.exp(-max(z, -60))) if z > model.bias else 0.0)
+        return 1 - clean
+
+    texts = ["you filthy scoundrel 7", "A calm day. you filthy scoundrel 3. And another.\nyou filthy scoundrel 9!", "nothing at all", "", "filthy filthy filthy. scoundrel"]
+    for text in texts:
+        assert model.score(text) == pytest.approx(plain(text), abs=1e-9)
+
+
+def test_votes_of_the_nearest(spark):
+    """A score is the mean label of the nearest labelled texts, weighted by a power of their cosines, a text's own left out."""
+    r = random.Random(5)
+    made = [(f"{r.choice(['Good', 'BAD', 'fine'])} {' '.join(r.choice(['calm words here', '!!! $$$', 'Plain text, really.', '###']) for _ in range(r.randint(3, 20)))} {k}", r.randint(0, 1)) for k in range(120)]
+    model = quality.fit(made)
+    texts = [t for t, _ in made[:15]] + ["Something new, quite plain.", "$$$ ### !!!"]
+    got = model.scores(texts)
+    z, every = (np.asarray(x, "f8") for x in (model.project(texts), model.vectors))
+    for text, vector, score in zip(texts, z, got, strict=True):
+        ranked = sorted(((float(vector @ v), y) for v, (t, y) in zip(every, made, strict=True) if t != text), key=lambda x: -x[0])
+        if ranked[quality.NEAREST - 1][0] - ranked[quality.NEAREST][0] > 1e-5:  # else either may be among the nearest
+            near = [(max(c, 0.0) ** quality.SHARPNESS, y) for c, y in ranked[: quality.NEAREST]]
+            assert score == pytest.approx(sum(w * y for w, y in near) / sum(w for w, _ in near), abs=1e-4)
+
+
+def test_url_features_equal_plain(spark):
+    urls = ["http://a.b-c.example.net/x/y/z1?q=1&r=&s=3#f", "https://h", "", "mailto:x", "ftp://é.org/ü?x", "http://" + "a" * 5000 + ".com/" + "b/" * 2000]
+    df = url_filter.lexical(url_filter.parted(spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")))
+    for row in df.collect():
+        url, n = urls[row.page_id], len(urls[row.page_id])
+        counts = [url.count(c) / n for c in set(url)]
+        host, path = row.host, row.path
+        assert row.url_length == n and row.host_length == len(host) and row.path_length == len(path)
+        assert row.host_labels == len([x for x in host.split(".") if x]) and row.path_depth == path.count("/") and row.hyphens == url.count("-")
+        assert row.digit_ratio == pytest.approx(sum(c in "0123456789" for c in url) / max(n, 1))
+        assert row.entropy == pytest.approx(-sum(x * math.log2(x) for x in counts))
+        assert row.parameters == len(re.findall("[?&][^?&#]", url)) and row.secure == url.startswith("https")
+        assert row.suffix == ".".join(host.split(".")[-2:])
+
+
 def test_held_out_toxicity_and_quality(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # the smaller tables hold out a handful of toxic documents only
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     tox = toxicity.op6_toxicity(spark, sf).join(labels, "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in tox) / len(tox) > 0.85
+    hits = sum(r.predicted and r.toxic for r in tox)
+    assert auc([(r.score, r.toxic) for r in tox]) > 0.93
+    assert hits / sum(r.toxic for r in tox) > 0.85 and hits / sum(r.predicted for r in tox) > 0.85
     good = quality.op7_quality(spark, sf).join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in good) / len(good) > 0.95
 
