@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,38 +86,55 @@ def kind_of(c: str) -> str:
     return "space" if c.isspace() else "punctuation" if c.isprintable() else "other"
 
 
-def typed_tokens(text: str) -> list[tuple[str, int, int, str]]:
-    out, i, n = [], 0, len(text)
-    while i < n:
-        kind, j = kind_of(text[i]), i + 1
-        if kind == "word":
-            while j < n and (kind_of(text[j]) in ("word", "number") or text[j] in "'-"):
-                j += 1
-        elif kind == "number":
-            while j < n and (text[j].isdigit() or text[j] in ".," and j + 1 < n and text[j + 1].isdigit()):
-                j += 1
-        elif kind == "emoji":
-            while j < n and kind_of(text[j]) == "emoji":
-                j += 1
-        if kind != "space":
-            out.append((text[i:j], i, j, kind))
-        i = j
-    return out
+#: A letter for each code point: its kind's first, but q for ' and -, d for . and , and E for an emoji that is a digit.
+class Kinds(dict):
+    def __missing__(self, o: int) -> str:
+        c = chr(o)
+        kind = "q" if c in "'-" else "d" if c in ".," else kind_of(c)[0]
+        return self.setdefault(o, "E" if kind == "e" and c.isdigit() else kind)
 
 
-def tokenize_corpus(df: DataFrame, col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, pos, token, start, end, token_type) with code-point offsets."""
+KINDS = Kinds()
+TYPED = re.compile("(?P<word>w[wnq]*)|(?P<number>n(?:[nE]|d(?=[nE]))*)|(?P<emoji>[eE]+)|(?P<punctuation>[pqd])|(?P<other>o)")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(d, k, *t) for d, text in zip(batch["id"], batch["text"], strict=True) for k, t in enumerate(typed_tokens(text or ""))]
-            yield pd.DataFrame(rows, columns=["id", "pos", "token", "start", "end", "token_type"])
 
+def typed_tokens(text: str) -> Iterator[tuple[str, int, int, str]]:
+    for m in TYPED.finditer(text.translate(KINDS)):
+        yield text[m.start() : m.end()], m.start(), m.end(), m.lastgroup
+
+
+def tokenize_corpus(df: DataFrame, col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, pos, token, start, end, token_type) with code-point offsets."""
     rows = df.select(F.col(id_col).alias("id"), F.col(col).alias("text"))
-    out = rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, pos int, token string, start int, end int, token_type string")
+    out = rows.mapInArrow(token_batches, f"id {rows.schema['id'].dataType.simpleString()}, pos int, token string, start int, end int, token_type string")
     return out.withColumnRenamed("id", id_col)
 
 
+#: Tokens that leave the Arrow pass together.
+MOST_TOKENS = 20_000
+TOKEN_TYPES = {"pos": pa.int32(), "token": pa.string(), "start": pa.int32(), "end": pa.int32(), "token_type": pa.string()}
+
+
+def token_batch(ids: pa.Array, row: list[int], tokens: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*tokens, strict=True), TOKEN_TYPES.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), *columns], ["id", *TOKEN_TYPES])
+
+
+def token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of (id, text), ``MOST_TOKENS`` at a time, however many a batch or a text has."""
+    for batch in batches:
+        ids, texts, row, tokens = batch.column(0), batch.column(1), [], []
+        for r in range(batch.num_rows):
+            for k, t in enumerate(typed_tokens(texts[r].as_py() or "")):
+                row.append(r)
+                tokens.append((k, *t))
+                if len(row) == MOST_TOKENS:
+                    yield token_batch(ids, row, tokens)
+                    row, tokens = [], []
+        if row:
+            yield token_batch(ids, row, tokens)
+
+
 def dominant_script(token: Column) -> Column:
     """The script of a token's first letter, or ``other``."""
     out = None
