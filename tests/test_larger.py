@@ -17,6 +17,11 @@ def test_tokens_leave_in_bounded_batches():
     assert [(r["id"], r["pos"], r["token"], r["start"], r["token_type"]) for r in rows[-2:]] == [(4, 0, "end", 0, "word"), (4, 1, "😀", 4, "emoji")]
 
 
+def test_hinglish_at_the_limit_is_not_beyond_it(spark):
+    rows = language.hinglish_score(spark.createDataFrame([(1, "tea see sea"), (2, "tea see tea sea khoon")], "doc_id long, text string")).orderBy("doc_id")
+    assert [r.hinglish for r in rows.collect()] == [0.0, 0.12]
+
+
 def test_typed_tokens_of_odd_characters():
     want = [("3❷,❸.4", "number"), (",", "punctuation"), ("❶😀", "emoji"), ("O'Neil-", "word"), ("'", "punctuation"), ("हि", "word"), ("\u200b", "other"), ("x٣", "word")]
     found = [(t, kind) for t, _, _, kind in language.typed_tokens("3❷,❸.4, ❶😀 O'Neil-  ' हि\u200b x٣")]

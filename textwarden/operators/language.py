@@ -52,7 +52,8 @@ def hinglish_score(df: DataFrame, col: str = "text") -> DataFrame:
     mixed = text.rlike("[A-Yy\\[-`a-x]") & text.rlike("[\\x{900}-\\x{97e}]")
     # a word with the letters anywhere in it is found from those letters on
     roman = sum((F.regexp_count(low, F.lit(p.replace(r"\b\w*", "", 1).replace(r"\w*\b", r"\w*"))) for p in K.ROMANIZED), F.lit(0))
-    raw = (hits + F.when(mixed, words * 0.3).otherwise(0.0) + roman * 0.1) / F.nullif(words, F.lit(0))
+    tenths = hits * 10 + F.when(mixed, words * 3).otherwise(0) + roman  # whole numbers, so that a text at the limit isn't beyond it by rounding
+    raw = tenths / 10 / F.nullif(words, F.lit(0))
     rows = rows.withColumn("_raw", F.least(raw, F.lit(1.0)))
     return rows.withColumn("hinglish", F.when(F.col("_raw") > 0.1, F.col("_raw")).otherwise(0.0)).drop("_low", "_raw", "_words")
 
