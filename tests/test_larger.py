@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from textwarden.operators import language
+from textwarden.operators import align, context, engine, language, matching
 
 
 def test_tokens_leave_in_bounded_batches():
@@ -26,3 +27,23 @@ def test_typed_tokens_of_odd_characters():
     want = [("3❷,❸.4", "number"), (",", "punctuation"), ("❶😀", "emoji"), ("O'Neil-", "word"), ("'", "punctuation"), ("हि", "word"), ("\u200b", "other"), ("x٣", "word")]
     found = [(t, kind) for t, _, _, kind in language.typed_tokens("3❷,❸.4, ❶😀 O'Neil-  ' हि\u200b x٣")]
     assert found == [*want[:4], *want[4:]]
+
+
+def test_contexts_of_a_document_from_one_scan(spark):
+    texts = [(1, 'He said "you idiot" and left. Not a stupid fool.'), (2, "nothing here"), (3, None), (4, "A harassment complaint: moron"), (None, "you are not an idiot")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    lexicon = matching.load_lexicon(spark)
+    found = engine.document_contexts(docs, lexicon)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    spans, contexts = matching.match_terms(docs, lexicon), context.safe_contexts(docs)
+    negated = context.negated_spans(spans, context.negation_scopes(context.negation_cues(docs)))
+    quoted = context.quoted_spans(spans, context.resolve_quotes(context.exploded_quotes(docs, context.all_quotes_of)))
+    want = context.context_modifiers(matching.lpe_category_scores(spans), spans, negated, quoted, context.safe_context_modifiers(contexts))
+    rounded = lambda df: sorted((r.doc_id or 0, r.category, round(r.modifier, 9)) for r in df.collect())
+    assert rounded(context.modifiers_of(found)) == rounded(want) != []
+    assert {r.doc_id: (r.has_negation, r.has_quotation) for r in context.flags_of(found).collect()}[1] == (True, True)
+
+
+def test_reporting_sentences_are_found_by_their_words():
+    text = "They told us. Sad! He SAID so? said.according to me"
+    assert [text[a:b] for a, b in align.reporting(text)] == ["They told us", " He SAID so", " said", "according to me"]

@@ -150,7 +150,7 @@ CUES = [(regex.compile(pattern), confidence) for pattern, confidence in context.
 SCOPE = regex.compile(context.SCOPE.format(step=context.STEP, n=context.SCOPE_WORDS))
 CLAUSE_END = re.compile("[.!?;,]")
 DIRECT = [re.compile(p) for p in context.DIRECT]
-SENTENCE = re.compile(r"[^.!?]+")
+SENTENCE_END = re.compile("[.!?]")
 #: Letters, digits and _ are what \w stands for here.
 SAID = [(re.compile(p.replace(r"[\p{L}\p{N}_]", r"\w")), kind, c) for p, kind, c in ((context.INDIRECT, "indirect", 0.7), (context.THIRD, "reported", 0.6))]
 
@@ -180,12 +180,21 @@ def negation_of(text: str, spans: list[tuple]) -> float | None:
     return found
 
 
+def reporting(text: str) -> list[tuple[int, int]]:
+    """The sentences that hold a word of reporting, wherever in it; all patterns of ``SAID`` need one."""
+    low = lowered(text)
+    places = {at for word in K.REPORTING for at in occurrences(low, word)}
+    if not places:
+        return []
+    cuts = [-1, *(m.start() for m in SENTENCE_END.finditer(text)), len(text)]
+    return [(cuts[k - 1] + 1, cuts[k]) for k in sorted({bisect_left(cuts, at) for at in places})]
+
+
 def quotes_of(text: str) -> list[tuple]:
     """(start, -confidence, end, kind) of the quotes that stay, greedily by their start."""
     every = {(*m.span(), "direct", 0.95) for p in DIRECT for m in p.finditer(text)}
-    for pattern, kind, c in SAID:
-        if pattern.search(text):
-            every |= {(*m.span(), kind, c) for m in SENTENCE.finditer(text) if m[0].strip(" ") and pattern.search(m[0])}
+    for start, end in reporting(text):
+        every |= {(start, end, kind, c) for pattern, kind, c in SAID if pattern.search(text[start:end])}
     kept: list[tuple] = []
     for q in sorted((a, -c, b, kind) for a, b, kind, c in every):
         if not kept or q[0] >= kept[-1][2]:
@@ -197,7 +206,10 @@ def quotes_of(text: str) -> list[tuple]:
 
 def quotation_of(text: str, spans: list[tuple]) -> tuple[float | None, float | None]:
     """(surest quotation, greatest share of a quote's kind) around the spans; of a span's quotes the surest counts, then the earliest."""
-    quotes = quotes_of(text)
+    return quotation_in(quotes_of(text), spans)
+
+
+def quotation_in(quotes: list[tuple], spans: list[tuple]) -> tuple[float | None, float | None]:
     starts, ends, best = [q[0] for q in quotes], [q[2] for q in quotes], []
     for start, end, *_ in spans:
         near = quotes[bisect_right(ends, start) : bisect_left(starts, end)]
@@ -206,6 +218,42 @@ def quotation_of(text: str, spans: list[tuple]) -> tuple[float | None, float | N
     return (max(b[0] for b in best), max(context.QUOTE_SHARE[b[2]] for b in best)) if best else (None, None)
 
 
+SAFE = [(t, words, re.compile(context.words_pattern(words).replace(r"[\p{L}\p{N}_]", r"\w"))) for t, words in K.SAFE_CONTEXTS.items()]
+AROUND = "spans array<struct<category:string,confidence:double>>, negation double, quotation double, most double, contexts array<struct<context_type:string,hits:int>>, quoted boolean"
+
+
+def surrounded(rows: DataFrame, terms: list[dict]) -> DataFrame:
+    """Of (doc_id, text, low) or (doc_id, text, low, found): (doc_id, spans, negation, quotation, most, contexts, quoted), a row for each.
+
+    ``low``: the text in lower case, where the terms are looked for; ``found``: spans found before.
+    """
+    category = pa.list_(pa.struct([("category", pa.string()), ("confidence", pa.float64())]))
+    hits = pa.list_(pa.struct([("context_type", pa.string()), ("hits", pa.int32())]))
+    kinds = (category, pa.float64(), pa.float64(), pa.float64(), hits, pa.bool_())
+
+    def around(text: str, low: str, found: list[dict]) -> tuple:
+        spans = [(f["start"], f["end"], f["category"], f["confidence"]) for f in found]
+        for t in terms:
+            spans += [(at, at + len(t["term"]), t["category"], t["weight"]) for at in occurrences(low, t["term"])]
+        spans.sort()
+        quotes = quotes_of(text)
+        negation, quotation = (negation_of(text, spans), quotation_in(quotes, spans)) if spans else (None, (None, None))
+        contexts = [(t, len(p.findall(low))) for t, words, p in SAFE if any(w in low for w in words)]
+        safe = [{"context_type": t, "hits": n} for t, n in contexts if n]
+        return [{"category": c, "confidence": w} for *_, c, w in spans], negation, *quotation, safe, bool(quotes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):  # few texts are Python objects at a time
+                batch = whole.slice(begin, 256)
+                text, low, *found = (batch.column(c).to_pylist() for c in range(1, batch.num_columns))
+                new = [around(t or "", w or "", f or []) for t, w, f in zip(text, low, found[0] if found else [None] * len(text), strict=True)]
+                columns = [pa.array(list(c), kind) for c, kind in zip(zip(*new, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "spans", "negation", "quotation", "most", "contexts", "quoted"])
+
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], *StructType.fromDDL(AROUND)]))
+
+
 def spanner(terms: list[dict], patterns: list[tuple]):
     """Of a text and the numbers of the terms and patterns that it holds as it is: all its spans, in order.
 

@@ -257,6 +257,21 @@ def modifier_of(category: Column, negation: Column, quotation: Column, most: Col
     return F.greatest(F.lit(0.1), (1 - 0.7 * zero(negation)) * (1 - zero(most) * zero(quotation)) * (1 - 0.8 * safe_))
 
 
+def modifiers_of(contexts: DataFrame) -> DataFrame:
+    """(doc_id, category, score, modifier) from ``engine.document_contexts``."""
+    rows = contexts.select("doc_id", F.explode("scores").alias("s"), "negation", "quotation", "most", "safe")
+    return rows.select("doc_id", "s.category", "s.score", modifier_of(F.col("s.category"), *map(F.col, ("negation", "quotation", "most", "safe"))).alias("modifier"))
+
+
+def flags_of(contexts: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, has_negation, has_quotation, is_safe_context, each context) from ``engine.document_contexts``."""
+    known = F.col("doc_id").isNotNull()
+    holds = lambda test: known & F.exists("contexts", test)
+    kind = lambda t: holds(lambda c: c["context_type"] == t)
+    kinds = [kind(t).alias(t) for t in K.SAFE_CONTEXTS]
+    return contexts.select("doc_id", F.col("negation").isNotNull().alias("has_negation"), (known & F.col("quoted")).alias("has_quotation"), holds(lambda c: c["confidence"] >= 0.5).alias("is_safe_context"), *kinds, *more)
+
+
 def context_modifiers(scores: DataFrame, spans: DataFrame, negated: DataFrame, quoted: DataFrame, safe: DataFrame) -> DataFrame:
     """(doc_id, category, modifier), at least 0.1: what negation, quotation and context leave of a score."""
     per_neg = negated.groupBy("doc_id").agg(F.max("negation").alias("neg"))
@@ -279,14 +294,46 @@ def recommended_action(modifiers: DataFrame, scores: DataFrame) -> DataFrame:
     """(doc_id, action): mean modifier first, else the largest score."""
     m = modifiers.groupBy("doc_id").agg(F.round(F.avg("modifier"), 9).alias("m"))
     s = scores.groupBy("doc_id").agg(F.round(F.max("score"), 9).alias("s"))
-    action = F.when(F.col("m") < 0.3, "allow").when(F.col("m") < 0.7, "review").when(F.col("s") > 0.8, "block").when(F.col("s") > 0.5, "review").otherwise("allow")
-    return s.join(m, "doc_id", "left").select("doc_id", action.alias("action"))
+    return s.join(m, "doc_id", "left").select("doc_id", action_of(F.col("m"), F.col("s")).alias("action"))
+
+
+def action_of(m: Column, s: Column) -> Column:
+    return F.when(m < 0.3, "allow").when(m < 0.7, "review").when(s > 0.8, "block").when(s > 0.5, "review").otherwise("allow")
+
+
+def recommended_in(contexts: DataFrame) -> DataFrame:
+    """(doc_id, action) of the documents with scores, from ``engine.document_contexts``."""
+    return contexts.select("doc_id", recommended_of().alias("action")).where("action is not null")
+
+
+def recommended_of() -> Column:
+    """The action by a document's mean modifier and largest score, in its own row; null without scores."""
+    modifier = lambda s: modifier_of(s["category"], *map(F.col, ("negation", "quotation", "most", "safe")))
+    total = F.aggregate(F.transform("scores", modifier), F.lit(0.0), lambda a, x: a + x)
+    m, s = F.round(total / F.size("scores"), 9), F.round(F.array_max(F.transform("scores", lambda x: x["score"])), 9)
+    return F.when(F.size("scores") > 0, action_of(m, s))
+
+
+def explained_in(contexts: DataFrame) -> DataFrame:
+    """(doc_id, lines) from ``engine.document_contexts``: flags and action in a document's own row."""
+    rows = flags_of(contexts, recommended_of().alias("action"))
+    return rows.select("doc_id", F.array_compact(F.array(*sentences_said())).alias("lines"))
 
 
 def adjust_confidence(scores: DataFrame, flags: DataFrame, language_factor: float = 1.0) -> DataFrame:
     """(doc_id, category, original, adjusted, factor) from (doc_id, negation, quotation, safe) by category sensitivities."""
+    return adjusted_rows(scores.join(flags, "doc_id", "left"), language_factor)
+
+
+def adjusted_in(contexts: DataFrame, language_factor: float = 1.0) -> DataFrame:
+    """The same of ``engine.document_contexts``."""
+    rows = contexts.select("doc_id", F.explode("scores").alias("s"), "negation", "quotation", "safe")
+    return adjusted_rows(rows.select("doc_id", "s.category", "s.score", "negation", "quotation", "safe"), language_factor)
+
+
+def adjusted_rows(rows: DataFrame, language_factor: float) -> DataFrame:
     pick = lambda k: F.coalesce(weighted({c: v[k] for c, v in K.SENSITIVITY.items()})[F.col("category")], F.lit(K.DEFAULT_SENSITIVITY[k]))
-    rows = scores.join(flags, "doc_id", "left").fillna(0.0, ["negation", "quotation", "safe"])
+    rows = rows.fillna(0.0, ["negation", "quotation", "safe"])
     c = F.col("score") * (1 - F.col("negation") * pick(0)) * (1 - F.col("quotation") * pick(1)) * (1 - F.col("safe") * pick(2)) * language_factor
     rows = rows.withColumn("c", c)
     k = F.when(F.col("c") < 0.1, 1.1).when(F.col("c") > 0.9, 0.95).otherwise(1 / (1 + F.exp(-5 * (F.col("c") - 0.5))) / F.col("c"))
@@ -319,5 +366,8 @@ def adjustment_summary(adjusted: DataFrame) -> DataFrame:
 
 def context_explanations(flags: DataFrame, actions: DataFrame) -> DataFrame:
     """(doc_id, lines): fixed sentences for flags and for the action."""
-    said = [F.when(F.col(f), text) for f, text in K.CONTEXT_SENTENCES.items()] + [F.when(F.col("action") == a, text) for a, text in K.ACTION_SENTENCES.items()]
-    return flags.join(actions, "doc_id", "left").select("doc_id", F.array_compact(F.array(*said)).alias("lines"))
+    return flags.join(actions, "doc_id", "left").select("doc_id", F.array_compact(F.array(*sentences_said())).alias("lines"))
+
+
+def sentences_said() -> list[Column]:
+    return [F.when(F.col(f), text) for f, text in K.CONTEXT_SENTENCES.items()] + [F.when(F.col("action") == a, text) for a, text in K.ACTION_SENTENCES.items()]

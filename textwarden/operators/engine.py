@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
-from textwarden.operators import align, matching
+from textwarden.operators import align, context, matching
 
 
 def engine_terms(lexicon: list[dict], signs: list[dict]) -> list[dict]:
@@ -46,6 +46,29 @@ def with_spans(rows: DataFrame, lexicon: DataFrame | None, emoji: DataFrame | No
     return rows.withColumn("spans", F.concat("spans", F.coalesce("by_term", F.slice("spans", 1, 0)))).drop("by_term") if far else rows
 
 
+def document_contexts(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, scores, negation, quotation, most, safe, contexts, quoted) of the documents, their texts scanned once.
+
+    ``scores``: array of (category, score) of the lexicon's terms as they are; ``quoted``: whether
+    there is any quote.  No text is shuffled, only what was found in it: rows of the same id
+    are one document, each text judged by itself; without an id there are but scores, as a join on the
+    id gives nothing else.
+    """
+    rows, terms = docs.select("doc_id", "text", F.lower("text").alias("low")), matching.inline_rows(lexicon)
+    if terms is None:
+        found = matching.match_terms(rows.select("doc_id", "text", F.lit(None).cast("string").alias("lang")), lexicon)
+        found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "category", "confidence")).alias("found"))
+        rows = rows.join(found, "doc_id", "left")
+    each = align.surrounded(rows, terms or [])
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "contexts")]
+    per_doc = each.groupBy("doc_id").agg(*lists, *[F.max(c).alias(c) for c in ("negation", "quotation", "most", "quoted")])
+    sure = lambda c: F.struct(c["context_type"].alias("context_type"), c["hits"].alias("hits"), F.least(F.lit(0.9), 0.3 + 0.2 * c["hits"]).alias("confidence"))
+    per_doc = per_doc.withColumn("contexts", F.transform("contexts", sure))
+    known = lambda name, c: F.when(F.col("doc_id").isNotNull(), c).alias(name)
+    near = [known(c, F.col(c)) for c in ("negation", "quotation", "most")]
+    return per_doc.select("doc_id", matching.category_scores_of(F.col("spans")).alias("scores"), *near, known("safe", context.safe_of(F.col("contexts"))), "contexts", "quoted")
+
+
 def scan_lexicon_engine(
     docs: DataFrame, lexicon: DataFrame | None = None, emoji: DataFrame | None = None, fuzzy: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from textwarden import constants as K
 from textwarden.operators import context, language, matching, policy, preprocess
 from textwarden.plans.common import sql_text, table, values
 from textwarden.plans.decision_queries import rounded
-from textwarden.plans.match_queries import ACTION, EMOJI_DOCS, LEX, MODIFIERS, SPANS, SQL_EMOJI, docs, flags, located, modifiers, over_spoken, spoken, terms, with_emoji
+from textwarden.plans.match_queries import ACTION, EMOJI_DOCS, LEX, MODIFIERS, SPANS, SQL_EMOJI, contexts, docs, located, over_spoken, with_emoji
 from textwarden.plans.policy_queries import BASE, applied
 
 Q: dict = {}
@@ -102,8 +102,7 @@ SELECT tenant, category, count(*) AS n FROM every GROUP BY ALL""",
 
 
 def f18(s, d):
-    actions = context.recommended_action(modifiers(s, d), matching.lpe_category_scores(terms(s, d, spoken)))
-    return context.context_explanations(flags(s, d), actions).select("doc_id", F.array_join("lines", "|").alias("lines"))
+    return context.explained_in(contexts(s, d)).select("doc_id", F.array_join("lines", "|").alias("lines"))
 
 
 LINES = ", ".join([f"CASE WHEN {f} THEN {sql_text(t)} END" for f, t in K.CONTEXT_SENTENCES.items()] + [f"CASE WHEN action = {sql_text(a)} THEN {sql_text(t)} END" for a, t in K.ACTION_SENTENCES.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
-from textwarden.operators import context, matching
+from textwarden.operators import context, engine, matching
 from textwarden.plans.common import spread, sql_text, table, values
 
 Q: dict = {}
@@ -304,18 +304,8 @@ Q["f10_safe_context_modifiers"] = (
 )
 
 
-def quoted(spark, sf):
-    return context.quoted_spans(terms(spark, sf, spoken), context.resolve_quotes(quotes(spark, sf)))
-
-
-def negated(spark, sf):
-    return context.negated_spans(terms(spark, sf, spoken), context.negation_scopes(context.negation_cues(spoken(spark, sf))))
-
-
-def modifiers(spark, sf):
-    spans = terms(spark, sf, spoken)
-    safe = context.safe_context_modifiers(context.safe_contexts(spoken(spark, sf)))
-    return context.context_modifiers(matching.lpe_category_scores(spans), spans, negated(spark, sf), quoted(spark, sf), safe)
+def contexts(spark, sf):
+    return engine.document_contexts(spoken(spark, sf), matching.load_lexicon(spark))
 
 
 SHARE = "CASE b[3] " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in context.QUOTE_SHARE.items()) + " END"
@@ -324,15 +314,11 @@ quote_doc AS (SELECT doc_id, max(b[1]) AS quotation, max({SHARE}) AS most FROM q
 modifiers AS (SELECT doc_id, category, score, greatest(0.1, (1 - 0.7 * coalesce(neg, 0)) * (1 - coalesce(most, 0) * coalesce(quotation, 0)) * (1 - 0.8 * CASE WHEN category <> 'spam/scam' THEN coalesce(safe, 0) ELSE 0 END)) AS modifier
               FROM scores LEFT JOIN neg USING (doc_id) LEFT JOIN quote_doc USING (doc_id) LEFT JOIN safe_doc USING (doc_id))"""
 Q["f11_context_modifiers"] = (
-    lambda spark, sf: modifiers(spark, sf).withColumn("modifier", F.round("modifier", 6)),
+    lambda spark, sf: context.modifiers_of(contexts(spark, sf)).select("doc_id", "category", F.round("modifier", 6).alias("modifier")),
     over_spoken(f"WITH {MODIFIERS} SELECT doc_id, category, round(modifier, 6) AS modifier FROM modifiers"),
 )
-def flags(spark, sf):
-    return context.context_flags(spoken(spark, sf), negated(spark, sf), quotes(spark, sf), context.safe_contexts(spoken(spark, sf)))
-
-
 Q["f12_context_flags"] = (
-    lambda spark, sf: flags(spark, sf).select("doc_id", "has_negation", "has_quotation", "is_safe_context", *K.SAFE_CONTEXTS),
+    lambda spark, sf: context.flags_of(contexts(spark, sf)).select("doc_id", "has_negation", "has_quotation", "is_safe_context", *K.SAFE_CONTEXTS),
     over_spoken(
         f"WITH {MODIFIERS} SELECT d.doc_id, neg.neg IS NOT NULL AS has_negation, d.doc_id IN (SELECT doc_id FROM quotes) AS has_quotation, coalesce(max(confidence) >= 0.5, false) AS is_safe_context, "
         + ", ".join(f"coalesce(bool_or(context_type = '{t}'), false) AS {t}" for t in K.SAFE_CONTEXTS)
@@ -341,17 +327,13 @@ Q["f12_context_flags"] = (
 )
 ACTION = "CASE WHEN m < 0.3 THEN 'allow' WHEN m < 0.7 THEN 'review' WHEN s > 0.8 THEN 'block' WHEN s > 0.5 THEN 'review' ELSE 'allow' END"
 Q["f13_recommended_action"] = (
-    lambda spark, sf: context.recommended_action(modifiers(spark, sf), matching.lpe_category_scores(terms(spark, sf, spoken))),
+    lambda spark, sf: context.recommended_in(contexts(spark, sf)),
     over_spoken(f"WITH {MODIFIERS} SELECT doc_id, {ACTION} AS action FROM (SELECT doc_id, round(avg(modifier), 9) AS m, round(max(score), 9) AS s FROM modifiers GROUP BY doc_id)"),
 )
 
 
 def adjusted(spark, sf):
-    spans = terms(spark, sf, spoken)
-    neg = negated(spark, sf).groupBy("doc_id").agg(F.max("negation").alias("negation"))
-    quote = quoted(spark, sf).groupBy("doc_id").agg(F.max("quotation").alias("quotation"))
-    safe = context.safe_context_modifiers(context.safe_contexts(spoken(spark, sf)))
-    return context.adjust_confidence(matching.lpe_category_scores(spans), neg.join(safe, "doc_id", "full").join(quote, "doc_id", "full"))
+    return context.adjusted_in(contexts(spark, sf))
 
 
 N, Q_, S = K.DEFAULT_SENSITIVITY
