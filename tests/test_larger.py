@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textwarden.operators import align, context, engine, language, matching
+from textwarden.operators import align, context, engine, language, matching, normalize
 
 
 def test_tokens_leave_in_bounded_batches():
@@ -47,3 +47,11 @@ def test_contexts_of_a_document_from_one_scan(spark):
 def test_reporting_sentences_are_found_by_their_words():
     text = "They told us. Sad! He SAID so? said.according to me"
     assert [text[a:b] for a, b in align.reporting(text)] == ["They told us", " He SAID so", " said", "according to me"]
+
+
+def test_unicode_passes_take_few_texts_at_a_time():
+    texts = pa.array(["plain", "e\u0301te\u0301 \u0928\u093c", None, ""] * 50)
+    parts = list(normalize.unicode_parts(texts, "NFC", False))
+    assert max(map(len, parts)) <= normalize.TEXTS and sum(map(len, parts)) == 200
+    assert pa.concat_arrays(parts).to_pylist()[-4:] == ["plain", "\u00e9t\u00e9 \u0928\u093c", None, ""]
+    assert pa.concat_arrays(normalize.unicode_parts(texts, None, True)).to_pylist()[1] == "ete \u0928"

@@ -7,9 +7,10 @@ and are what composed pipelines use, so that a chain of steps is one projection.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,17 +53,33 @@ def clean_whitespace_of(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
 
 
+#: Texts of a batch that are Python objects at a time.
+TEXTS = 64
+
+
+def in_unicode(text: str, form: str | None, marks: bool) -> str:
+    if text.isascii():
+        return text
+    if form:
+        text = unicodedata.normalize(form, text)
+    if marks:
+        text = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn"))
+    return text
+
+
+def unicode_parts(texts: pa.Array, form: str | None, marks: bool) -> Iterator[pa.Array]:
+    """The texts in a normal form, a few at a time, however many a batch has; ASCII has only one form."""
+    for begin in range(0, len(texts), TEXTS):
+        part = texts.slice(begin, TEXTS).to_pylist()
+        yield pa.array([None if t is None else in_unicode(t, form, marks) for t in part], pa.string())
+
+
 def unicode_pass(form: str | None, marks: bool):
     """Arrow pass for what Spark has no function for: normal forms, and dropping marks."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        if form:
-            texts = texts.str.normalize(form)
-        if marks:
-            drop = lambda t: t if t is None or t.isascii() else "".join(c for c in t if unicodedata.category(c) != "Mn")
-            texts = texts.str.normalize("NFD").map(drop).str.normalize("NFC")
-        return texts
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays(unicode_parts(texts, form, marks)) if len(texts) else pa.array([], pa.string())
 
     return run
 
