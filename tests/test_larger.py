@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textwarden.operators import align, context, engine, language, matching, normalize
+from textwarden.streaming import in_order
 
 
 def test_tokens_leave_in_bounded_batches():
@@ -53,5 +54,10 @@ def test_unicode_passes_take_few_texts_at_a_time():
     texts = pa.array(["plain", "e\u0301te\u0301 \u0928\u093c", None, ""] * 50)
     parts = list(normalize.unicode_parts(texts, "NFC", False))
     assert max(map(len, parts)) <= normalize.TEXTS and sum(map(len, parts)) == 200
-    assert pa.concat_arrays(parts).to_pylist()[-4:] == ["plain", "\u00e9t\u00e9 \u0928\u093c", None, ""]
+    assert pa.concat_arrays(parts).to_pylist()[-4:] == ["plain", "\u00e9t\u00e9 \u0929", None, ""]
     assert pa.concat_arrays(normalize.unicode_parts(texts, None, True)).to_pylist()[1] == "ete \u0928"
+
+
+def test_events_of_a_batch_come_in_order():
+    rows = [{"us": us, "event_id": k} for us, k in ((5, 2), (-1, 9), (5, 1), (2**40, 3))]
+    assert list(in_order(iter(rows))) == [(-1, 9), (5, 1), (5, 2), (2**40, 3)] and list(in_order(iter(()))) == []
