@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textwarden.operators import align, context, engine, language, matching, normalize
+from textwarden.operators import align, context, engine, language, matching, normalize, pii
 from textwarden.streaming import in_order
 
 
@@ -61,3 +61,9 @@ def test_unicode_passes_take_few_texts_at_a_time():
 def test_events_of_a_batch_come_in_order():
     rows = [{"us": us, "event_id": k} for us, k in ((5, 2), (-1, 9), (5, 1), (2**40, 3))]
     assert list(in_order(iter(rows))) == [(-1, 9), (5, 1), (5, 2), (2**40, 3)] and list(in_order(iter(()))) == []
+
+
+def test_texts_without_personal_data_are_left_out_first(spark):
+    found = pii.extract_pii(spark.createDataFrame([(1, "a b@c.io, 9876543210"), (2, "nothing")], "doc_id long, text string"))
+    assert "RLIKE" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.doc_id, r.value) for r in found.collect()] == [(1, "b@c.io"), (1, "9876543210")]
