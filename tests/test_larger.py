@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textwarden.operators import align, context, engine, language, matching, normalize, pii
+from textwarden.plans.moderate import moderate_corpus
 from textwarden.streaming import in_order
 
 
@@ -67,3 +70,49 @@ def test_texts_without_personal_data_are_left_out_first(spark):
     found = pii.extract_pii(spark.createDataFrame([(1, "a b@c.io, 9876543210"), (2, "nothing")], "doc_id long, text string"))
     assert "RLIKE" in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.doc_id, r.value) for r in found.collect()] == [(1, "b@c.io"), (1, "9876543210")]
+
+
+ODD = ["id|_|-|iot q|_|ick", "cckqu xph phck ><x ()", "fuuuuck ​shíiiit", "aaabbbccc 111 ___ ### AAAa", "æÆss f*ck F*CK", "", "móron 1d1ot \\/\\/\\/", "aaaa‍aa 🖕🖕🖕"]
+
+
+def test_forms_by_arrays_are_those_by_patterns():
+    unseen = lambda t: align.UNSEEN.sub(lambda m: align.K.LIGATURES.get(m[0], ""), t)
+    for text in ODD:
+        for form, keep in align.forms(text):
+            drawn = re.sub(r"([^\W\d_])\1{2,}", lambda m, keep=keep: m[1] * keep, align.folded(unseen(text)))
+            assert form == align.SOUND.sub(align.sounded, drawn)
+            placed = align.aligned(text, keep)
+            assert placed.text == form and len(placed.begins) == len(placed.ends) == len(form)
+    assert [align.aligned("fuuuuck!", 1).raw(0, 3), align.aligned("fuuuuck!", 1).raw(1, 2)] == [(0, 7), (1, 5)]
+    assert align.formed_in([*ODD, "such a m0r0n", "plain"], ["moron", "fuk"]) == {2, 4, 6, 8}
+
+
+def test_cues_of_languages_by_arrays_are_those_by_patterns(spark):
+    texts = [*ODD, "very achha xachhay, kya hai yaar the end", "नमस्ते yyy kya\x0bhai", " ", "tea see tea sea khoon", "ghar\x1chai ٣ ß İI", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: r for r in language.hinglish_score(language.script_shares(docs)).collect()}
+    low = [r.low for r in docs.orderBy("doc_id").select(F.lower("text").alias("low")).collect()]
+    for k, c in enumerate(language.cues_in(pa.array(texts), pa.array(low)).to_pylist()):
+        shares = {s: n / c["kept"] for s, n in zip(language.K.SCRIPTS, c["scripts"], strict=True) if n}
+        assert shares == want[k].scripts
+        score = min(c["tenths"] / 10 / c["words"], 1.0) if c["words"] else 1.0
+        assert (score if score > 0.1 else 0.0) == want[k].hinglish, texts[k]
+
+
+def test_the_flagship_and_the_engine_scan_once(spark):
+    docs = spark.createDataFrame([(1, "you 1d1ot, IDIOT and moron"), (1, "a moron"), (2, "fine"), (3, None)], "doc_id long, text string")
+    found = engine.scanned_documents(docs)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    (row,) = found.collect()
+    assert [(s.start, s.text) for s in row.kept] == [(2, "moron"), (11, "IDIOT"), (21, "moron")]
+    assert len(row.spans) == 4 and {t.split(" ->")[0] for t in row.traces} == {"Rule: lexicon:en:idiot", "Rule: lexicon:en:moron"}
+    plan = moderate_corpus(spark, docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "RLIKE" in plan and "regexp_count" not in plan
+
+
+def test_parts_of_a_batch_are_bounded_by_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(align, "BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 25, "", None, "abc", "d" * 8, "ee"] + [""] * 300)], ["text"])
+    parts = list(align.slices(batch, "text"))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and max(p.num_rows for p in parts) <= align.TEXTS
+    assert parts[0].num_rows == 1 and all(p.num_rows == 1 or sum(map(len, filter(None, p.column(0).to_pylist()))) <= 10 for p in parts)

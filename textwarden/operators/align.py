@@ -2,10 +2,10 @@
 
 The matchable form of a text is what is left of its disguises: no zero-width signs and
 combining marks, look-alike, full-width and accented letters folded, leet spellings and
-drawn-out letters undone, sounds and drawn letters written one way.  Column functions say which
-terms and patterns a text holds as it is; one Arrow pass makes the form, in a few passes over
-the text that a column function takes ten times as long for (measured: 0.4 against 3.5 s for 25
-million characters), and places what is found.  Where the form holds a term, each step keeps, for
+drawn-out letters undone, sounds and drawn letters written one way.  One Arrow pass screens many
+texts at once: automata without back-tracking (RE2, by pyarrow) say which hold a term or a pattern
+as they are, and the form is made by arrays of code points.  Texts in which
+nothing was seen are done with then.  Where the form of another holds a term, each step keeps, for
 every code point of its result, where in the raw text it begins and ends, so a find is a span
 of the raw text.  The same pass looks for negations and quotes around the spans, by sweeps over
 sorted places; its time is linear in the length of a text, but for sorting.
@@ -16,20 +16,19 @@ from __future__ import annotations
 import re
 import sys
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from textwarden import constants as K
 from textwarden.operators import context, normalize
-from textwarden.operators.normalize import let
 
 #: Sounds and letters drawn by signs; longer ones first, so that none is taken for part of another.
 SOUNDS = dict(sorted((K.PHONETIC | {k: v for k, v in K.SUBSTITUTIONS.items() if len(k) > 1}).items(), key=lambda kv: (-len(kv[0]), kv[0])))
@@ -38,11 +37,29 @@ KEPT = (2, 1)
 PLACED = "spans array<struct<start:int,end:int,text:string,category:string,severity:string,confidence:double,rule_source:string>>, negation double, quotation double, most double"
 
 
-def held_in(text: Column, words: list[str]) -> Column:
-    """Array of the numbers of those words that a text holds; null if it holds none."""
-    every = F.from_json(F.lit(pd.Series(words, dtype=object).to_json(orient="values")), "array<string>")
-    numbers = lambda t: F.filter(F.transform(every, lambda w, k: F.when(F.contains(t, w), k)), lambda k: k.isNotNull())
-    return let(text, lambda t: let(numbers(t), lambda n: F.when(F.size(n) > 0, n)))
+#: Texts, and bytes of texts, that are Python objects at a time.
+TEXTS, BYTES = 256, 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of up to TEXTS rows that hold up to BYTES of a column, or one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BYTES, "right"))
+        end = min(max(end, at + 1), at + TEXTS)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def holding(texts: pa.Array, words: Iterable[str]) -> np.ndarray:
+    """Which texts hold any of the words, by one automaton."""
+    return matching(texts, "|".join(map(re.escape, words)))
+
+
+def matching(texts: pa.Array, pattern: str) -> np.ndarray:
+    """Which texts an RE2 pattern matches somewhere; nulls don't."""
+    return pc.fill_null(pc.match_substring_regex(texts, pattern), False).to_numpy(zero_copy_only=False)
 
 
 class Aligned:
@@ -51,9 +68,8 @@ class Aligned:
     def __init__(self, text: str, begins: np.ndarray, ends: np.ndarray):
         self.text, self.begins, self.ends = text, begins, ends
 
-    def replaced(self, pattern: re.Pattern, new) -> Aligned:
-        """Matches replaced by ``new(match)``, of any length; what is put in stands for the whole match."""
-        found = [(*m.span(), new(m)) for m in pattern.finditer(self.text)]
+    def replaced(self, found: list[tuple[int, int, str]]) -> Aligned:
+        """Places (start, end) in order replaced by what is given with them, of any length; it stands for the whole place."""
         if not found:
             return self
         a, b = (np.array([f[k] for f in found]) for k in (0, 1))
@@ -71,6 +87,21 @@ class Aligned:
             at = end
         return Aligned("".join([*parts, self.text[at:]]), np.repeat(self.begins, times), np.repeat(ends, times))
 
+    def shortened(self, keep: int) -> Aligned:
+        """Of a letter drawn out ``keep`` stay, which stand for all of them."""
+        codes = codes_of(self.text)
+        third = thirds(codes)
+        if not third.any():
+            return self
+        run = third | np.append(third[1:], False) | np.append(third[2:], [False, False])[: len(third)]
+        first = run & ~np.append(False, run[:-1] & (codes[1:] == codes[:-1]))
+        last = run & ~np.append(run[1:] & (codes[1:] == codes[:-1]), False)
+        own = np.cumsum(first) - 1
+        begins, ends = self.begins.copy(), self.ends.copy()
+        begins[run], ends[run] = self.begins[first][own[run]], self.ends[last][own[run]]
+        stays = ~dropped(third, keep)
+        return Aligned(text_of(codes[stays]), begins[stays], ends[stays])
+
     def same_length(self, text: str) -> Aligned:
         return Aligned(text, self.begins, self.ends)
 
@@ -80,7 +111,6 @@ class Aligned:
 
 #: The first step: what can't be seen goes, ligatures are spelled out.
 UNSEEN = re.compile(f"[{''.join(K.ZERO_WIDTH)}̀-ͯ]|{'|'.join(K.LIGATURES)}")
-DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 SOUND = re.compile("|".join(map(re.escape, SOUNDS)))
 LETTER = regex.compile(r"\p{L}")
 
@@ -117,26 +147,98 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
 
 
+#: Leet patterns, as the letters make them, that still aren't plain.
+SIGNED = {flat: plain for leet, plain in K.LEET_PATTERNS.items() if (flat := "".join(chr(LETTERS[ord(c)]) for c in leet)) != plain}
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def text_of(codes: np.ndarray) -> str:
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def folded(text: str) -> str:
     """The second step, letter by letter; of the leet patterns only signs that stand for no letter are left to do."""
-    flat = LETTERS[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].tobytes().decode("utf-32-le", "surrogatepass")
-    for leet, plain in K.LEET_PATTERNS.items():
-        flat = flat.replace("".join(chr(LETTERS[ord(c)]) for c in leet), plain)
+    flat = text_of(LETTERS[codes_of(text)])
+    for leet, plain in SIGNED.items():
+        flat = flat.replace(leet, plain)
     return flat
 
 
+def marked(pattern: str) -> np.ndarray:
+    """For each code point whether it is of a class of characters."""
+    every, out = "".join(map(chr, range(sys.maxunicode + 1))), np.zeros(sys.maxunicode + 1, "?")
+    for m in re.finditer(f"{pattern}+", every):
+        out[m.start() : m.end()] = True
+    return out
+
+
+DRAWABLE, HIDDEN = marked(r"[^\W\d_]"), marked(f"[{''.join(K.ZERO_WIDTH)}\u0300-\u036f{''.join(K.LIGATURES)}]")
+#: Letters before signs: no sound is made of what a sign draws.
+LETTER_SOUNDS, SIGN_SOUNDS = ([k for k in SOUNDS if k.isalpha() is yes] for yes in (True, False))
+SIGNS = "".join(sorted({c for k in SIGN_SOUNDS for c in k}))
+#: Two signs that have a character in common; which one is drawn depends on the first then.
+JOINED = [a + b[n:] for a in SIGN_SOUNDS for b in SIGN_SOUNDS for n in range(1, min(len(a), len(b))) if a != b and a[-n:] == b[:n]]
+
+
+def sounds_of(flat: str) -> str:
+    """``SOUND`` replaced, one literal after the other where that is the same."""
+    if any(j in flat for j in JOINED):
+        return SOUND.sub(sounded, flat)
+    for k in (*LETTER_SOUNDS, *SIGN_SOUNDS):
+        flat = flat.replace(k, SOUNDS[k])
+    return flat
+
+
+def thirds(codes: np.ndarray) -> np.ndarray:
+    """Which letters are the third of equal ones, or a later one."""
+    third = np.append([False, False], (codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2]))[: len(codes)]
+    at = np.flatnonzero(third)
+    third[at] = DRAWABLE[codes[at]]
+    return third
+
+
+def dropped(third: np.ndarray, keep: int) -> np.ndarray:
+    """Which letters go so that ``keep`` of each run of three or more stay."""
+    return third if keep == 2 else third | np.append(third[1:], False)
+
+
 def forms(text: str) -> Iterator[tuple[str, int]]:
     """The matchable forms of a text, with how many of a drawn-out letter stay; the second only if there is one."""
-    flat = folded(text if text.isascii() else UNSEEN.sub(lambda m: K.LIGATURES.get(m[0], ""), text))
-    for keep in KEPT if DRAWN.search(flat) else KEPT[:1]:
-        yield SOUND.sub(sounded, DRAWN.sub(lambda m, keep=keep: m[1] * keep, flat)), keep
+    if not text.isascii() and HIDDEN[codes_of(text)].any():
+        text = UNSEEN.sub(lambda m: K.LIGATURES.get(m[0], ""), text)
+    flat = folded(text)
+    codes = codes_of(flat)
+    third = thirds(codes)
+    if not third.any():
+        yield sounds_of(flat), KEPT[0]
+        return
+    for keep in KEPT:
+        yield sounds_of(text_of(codes[~dropped(third, keep)])), keep
 
 
 def aligned(text: str, keep: int) -> Aligned:
     """A matchable form again, with the places of its code points in the raw text."""
     n = np.arange(len(text))
-    bared = Aligned(text, n, n + 1).replaced(UNSEEN, lambda m: K.LIGATURES.get(m[0], ""))
-    return bared.same_length(folded(bared.text)).replaced(DRAWN, lambda m: m[1] * keep).replaced(SOUND, sounded)
+    bared = Aligned(text, n, n + 1)
+    if not text.isascii():
+        bared = bared.replaced([(*m.span(), K.LIGATURES.get(m[0], "")) for m in UNSEEN.finditer(text)])
+    flat = bared.same_length(folded(bared.text)).shortened(keep)
+    return flat.replaced(sounds_in(flat.text))
+
+
+def sounds_in(flat: str) -> list[tuple[int, int, str]]:
+    """(start, end, letters) of what ``sounds_of`` replaces."""
+    if any(j in flat for j in JOINED):
+        return [(*m.span(), sounded(m)) for m in SOUND.finditer(flat)]
+    found, end = [], 0
+    for at, less, k in sorted((at, -len(k), k) for k in SOUNDS for at in occurrences(flat, k)):
+        if at >= end:
+            found.append((at, at - less, SOUNDS[k]))
+            end = at - less
+    return found
 
 
 def occurrences(text: str, word: str) -> Iterator[int]:
@@ -219,6 +321,30 @@ def quotation_in(quotes: list[tuple], spans: list[tuple]) -> tuple[float | None,
 
 
 SAFE = [(t, words, re.compile(context.words_pattern(words).replace(r"[\p{L}\p{N}_]", r"\w"))) for t, words in K.SAFE_CONTEXTS.items()]
+CONTEXTS = "array<struct<context_type:string,hits:int>>"
+
+
+def contexts_in(low: str) -> list[dict]:
+    """The legitimate contexts whose words a lower-cased text has, with how often."""
+    return [{"context_type": t, "hits": n} for t, words, p in SAFE if any(w in low for w in words) and (n := len(p.findall(low)))]
+
+
+def contexts_of(text: pa.Array, low: pa.Array) -> pa.Array:
+    """``CONTEXTS`` of many texts in lower case; null for those that hold none of the words."""
+    held = holding(low, [w for _, words, _ in SAFE for w in words])
+    return pa.array([contexts_in(low[k].as_py()) if h else None for k, h in enumerate(held.tolist())], pa.list_(pa.struct([("context_type", pa.string()), ("hits", pa.int32())])))
+
+
+POLICY_CONTEXTS = [(name, re.compile("(?ai)" + "|".join(patterns))) for name, patterns in K.POLICY_CONTEXT_PATTERNS.items()]
+POLICY_SCREEN = "(?i)" + "|".join(p.replace(r"\s", r"[\s\x0B]") for patterns in K.POLICY_CONTEXT_PATTERNS.values() for p in patterns)
+
+
+def policy_contexts_of(text: pa.Array, low: pa.Array) -> pa.Array:
+    """What ``policy.context_of`` gives, of many texts."""
+    first = lambda t: next((name for name, p in POLICY_CONTEXTS if p.search(t)), None)
+    return pa.array([first(text[k].as_py()) if m else None for k, m in enumerate(matching(text, POLICY_SCREEN).tolist())], pa.string())
+
+
 AROUND = "spans array<struct<category:string,confidence:double>>, negation double, quotation double, most double, contexts array<struct<context_type:string,hits:int>>, quoted boolean"
 
 
@@ -238,9 +364,7 @@ def surrounded(rows: DataFrame, terms: list[dict]) -> DataFrame:
         spans.sort()
         quotes = quotes_of(text)
         negation, quotation = (negation_of(text, spans), quotation_in(quotes, spans)) if spans else (None, (None, None))
-        contexts = [(t, len(p.findall(low))) for t, words, p in SAFE if any(w in low for w in words)]
-        safe = [{"context_type": t, "hits": n} for t, n in contexts if n]
-        return [{"category": c, "confidence": w} for *_, c, w in spans], negation, *quotation, safe, bool(quotes)
+        return [{"category": c, "confidence": w} for *_, c, w in spans], negation, *quotation, contexts_in(low), bool(quotes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -289,28 +413,51 @@ def spanner(terms: list[dict], patterns: list[tuple]):
     return spans_of
 
 
-def placed(rows: DataFrame, terms: list[dict], patterns: list[tuple]) -> DataFrame:
-    """Replaces the columns text, plain and matched by spans, negation, quotation and most; the others go through as they are.
+def formed_in(texts: list[str], shapes: list[str]) -> set[int]:
+    """Which texts hold a shape in one of their matchable forms."""
+    made = [(k, form) for k, text in enumerate(texts) for form, _ in forms(text)]
+    return {made[k][0] for k in np.flatnonzero(holding(pa.array([form for _, form in made], pa.large_string()), shapes))}
+
+
+def placed(rows: DataFrame, terms: list[dict], patterns: list[tuple], more: list[tuple[str, str, Callable]] = ()) -> DataFrame:
+    """Replaces the columns text and low by spans, negation, quotation and most; the others go through as they are.
 
-    ``plain`` and ``matched``: numbers of the terms and patterns that a text holds, null for none.
+    ``low``: the text in lower case; ``more``: (name, type, function of text and low) of columns
+    that the same pass over the texts adds, as Arrow arrays.
     """
-    kept = [c for c in rows.columns if c not in ("text", "plain", "matched")]
+    kept = [c for c in rows.columns if c not in ("text", "low")]
     names = ("start", "end", "text", "category", "severity", "confidence", "rule_source")
     kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string())
     span = pa.list_(pa.struct(list(zip(names, kinds, strict=True))))
+    out = [*kept, *(name for name, *_ in more), "spans", "negation", "quotation", "most"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans_of = spanner(terms, patterns)
+        spans_of, shapes = spanner(terms, patterns), list(dict.fromkeys(form_of(t["term"]) for t in terms))
+        words = [t["term"] for t in terms]
+        exact = [re.compile("(?ai)" + p) for _, p, *_ in patterns]  # letters of ASCII alone have two cases here, as in a column function
+        any_of = "(?i)" + "|".join(f"(?:{p})" for _, p, *_ in patterns)
         for whole in batches:
-            for begin in range(0, whole.num_rows, 256):  # few texts are Python objects at a time
-                batch = whole.slice(begin, 256)
-                spans, around = [], []
-                for text, plain, matched in zip(*(batch.column(c).to_pylist() for c in ("text", "plain", "matched")), strict=True):
-                    own = spans_of(text or "", plain or [], matched or [])
-                    spans.append([dict(zip(names, s, strict=True)) for s in own])
-                    around.append((negation_of(text, own), *quotation_of(text, own)) if own else (None, None, None))
-                new = [pa.array(spans, span), *(pa.array(list(x), pa.float64()) for x in zip(*around, strict=True))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, "spans", "negation", "quotation", "most"])
-
-    schema = StructType([rows.schema[c] for c in kept] + list(StructType.fromDDL(PLACED)))
+            text, low = pc.fill_null(whole.column("text"), ""), pc.fill_null(whole.column("low"), "")
+            plainly = holding(low, words) if words else np.zeros(whole.num_rows, "?")
+            matched = matching(text, any_of) if patterns else np.zeros(whole.num_rows, "?")
+            both = pa.RecordBatch.from_arrays([text, low, *(whole.column(c) for c in kept)], ["text", "low", *kept])
+            at = 0
+            for batch in slices(both, "text"):
+                texts = batch.column("text").to_pylist()
+                spans, around = [[]] * len(texts), [(None, None, None)] * len(texts)
+                near = formed_in(texts, shapes) if shapes else set()
+                for k in range(len(texts)):
+                    if k not in near and not plainly[at + k] and not matched[at + k]:
+                        continue
+                    lower = batch.column("low")[k].as_py() if plainly[at + k] else ""
+                    plain = [i for i, w in enumerate(words) if w in lower] if lower else []
+                    if own := spans_of(texts[k], plain, [i for i, p in enumerate(exact) if p.search(texts[k])] if matched[at + k] else []):
+                        spans[k] = [dict(zip(names, s, strict=True)) for s in own]
+                        around[k] = (negation_of(texts[k], own), *quotation_of(texts[k], own))
+                at += len(texts)
+                added = [of(batch.column("text"), batch.column("low")) for *_, of in more]
+                new = [*added, pa.array(spans, span), *(pa.array(list(x), pa.float64()) for x in zip(*around, strict=True))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], out)
+
+    schema = StructType([*(rows.schema[c] for c in kept), *(StructType.fromDDL(f"{name} {kind}")[0] for name, kind, _ in more), *StructType.fromDDL(PLACED)])
     return rows.mapInArrow(run, schema)

@@ -220,8 +220,12 @@ def safe_contexts_of(low: Column, vocab: dict = K.SAFE_CONTEXTS) -> Column:
     """Array of (context_type, hits, confidence) of a lower-cased text: 0.3 and 0.2 a hit, at most 0.9."""
     everything = words_pattern(dict.fromkeys(w for words in vocab.values() for w in words))
     found = F.array(*[F.struct(F.lit(t).alias("context_type"), F.regexp_count(low, F.lit(words_pattern(w))).alias("hits")) for t, w in vocab.items()])
-    sure = lambda f: F.struct(f["context_type"].alias("context_type"), f["hits"].alias("hits"), F.least(F.lit(0.9), 0.3 + 0.2 * f["hits"]).alias("confidence"))
-    return F.when(low.rlike(everything), F.transform(F.filter(found, lambda f: f["hits"] > 0), sure))
+    return F.when(low.rlike(everything), sure_of(F.filter(found, lambda f: f["hits"] > 0)))
+
+
+def sure_of(found: Column) -> Column:
+    """Adds confidence to an array of (context_type, hits)."""
+    return F.transform(found, lambda f: F.struct(f["context_type"].alias("context_type"), f["hits"].alias("hits"), F.least(F.lit(0.9), 0.3 + 0.2 * f["hits"]).alias("confidence")))
 
 
 def safe_of(contexts: Column) -> Column:

@@ -21,8 +21,8 @@ def engine_terms(lexicon: list[dict], signs: list[dict]) -> list[dict]:
 FIELDS = ("lang", "term", "category", "severity", "weight")
 
 
-def with_spans(rows: DataFrame, lexicon: DataFrame | None, emoji: DataFrame | None) -> DataFrame:
-    """Replaces ``text`` and ``low`` by spans, negation, quotation and most; the other columns stay.
+def with_spans(rows: DataFrame, lexicon: DataFrame | None, emoji: DataFrame | None, more: list[tuple] = ()) -> DataFrame:
+    """Replaces ``text`` and ``low`` by spans, negation, quotation and most, and what ``align.placed`` adds; the other columns stay.
 
     A lexicon of the caller's that is too long for a constant is matched as a table, in the
     texts as they are, and gathered by document; signs and patterns are placed as always.
@@ -39,10 +39,7 @@ def with_spans(rows: DataFrame, lexicon: DataFrame | None, emoji: DataFrame | No
         rows = rows.join(found, "doc_id", "left")
     words = engine_terms(terms or [], signs)
     patterns = [*K.LEXICON_PATTERNS, *[("emoji", *r[1:5]) for r in K.EMOJI if r[0] == "combination"]]
-    numbers = F.array_compact(F.array(*[F.when(F.col("text").rlike("(?i)" + p), k) for k, (_, p, *_) in enumerate(patterns)]))
-    any_of = "(?i)" + "|".join(f"(?:{p})" for _, p, *_ in patterns)
-    rows = rows.select("*", align.held_in(F.col("low"), [w["term"] for w in words]).alias("plain"), F.when(F.col("text").rlike(any_of), numbers).alias("matched"))
-    rows = align.placed(rows.drop("low"), words, patterns)
+    rows = align.placed(rows, words, patterns, more)
     return rows.withColumn("spans", F.concat("spans", F.coalesce("by_term", F.slice("spans", 1, 0)))).drop("by_term") if far else rows
 
 
@@ -69,23 +66,31 @@ def document_contexts(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     return per_doc.select("doc_id", matching.category_scores_of(F.col("spans")).alias("scores"), *near, known("safe", context.safe_of(F.col("contexts"))), "contexts", "quoted")
 
 
-def scan_lexicon_engine(
-    docs: DataFrame, lexicon: DataFrame | None = None, emoji: DataFrame | None = None, fuzzy: int | None = None
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(spans, scores, traces) of all matches in ``docs`` (doc_id, text).
+def scanned_documents(docs: DataFrame, lexicon: DataFrame | None = None, emoji: DataFrame | None = None, fuzzy: int | None = None) -> DataFrame:
+    """(doc_id, spans, kept, scores, traces) of the documents (doc_id, text) in which anything matches, their texts scanned once.
 
     Lexicon terms and words that sound like them, in the text and in its matchable form,
     patterns, emoji, kaomoji and their combinations; with ``fuzzy`` also whole words
-    at most so many edits away from a term.  Scores and traces are of all matches, spans are
-    those that stay when some overlap.
+    at most so many edits away from a term.  Scores and traces are of all matches (``spans``); ``kept``
+    are those that stay when some overlap.  No text is shuffled, only what was found in it.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = with_spans(rows.withColumn("low", F.lower("text")), lexicon, emoji)
-    matches = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    found = with_spans(rows.withColumn("low", F.lower("text")), lexicon, emoji).select("doc_id", "spans").where("size(spans) > 0")
     if fuzzy:
         terms = lexicon if lexicon is not None else matching.load_lexicon(docs.sparkSession)
         near = matching.match_edited(rows, terms, fuzzy).groupBy("word", "category").agg(F.max(F.struct("confidence", "severity", "term")).alias("m"))
         near = near.select(F.concat(F.lit("fuzzy:"), "m.term").alias("lang"), F.col("word").alias("term"), "category", "m.severity", F.col("m.confidence").alias("weight"))
         more = matching.match_terms(rows.withColumn("lang", F.lit(None).cast("string")), near, whole_word=True)
-        matches = matches.unionByName(more.select(matches.columns))
-    return matching.dedupe_spans(matches), matching.lpe_category_scores(matches), matching.rule_traces(matches)
+        found = found.unionByName(more.select("doc_id", F.array(F.struct(*matching.SPAN[1:])).alias("spans")))
+    per_doc = found.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = F.col("spans")
+    return matching.with_kept(per_doc).select("doc_id", "spans", "kept", matching.category_scores_of(spans).alias("scores"), matching.traces_of(spans).alias("traces"))
+
+
+def scan_lexicon_engine(
+    docs: DataFrame, lexicon: DataFrame | None = None, emoji: DataFrame | None = None, fuzzy: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans, scores, traces) of ``scanned_documents`` as long tables; one that wants several of them scans but once with that."""
+    per_doc = scanned_documents(docs, lexicon, emoji, fuzzy)
+    spans = per_doc.select("doc_id", F.explode("kept").alias("s")).select("doc_id", *[f"s.{c}" for c in matching.SPAN[1:]])
+    return spans, per_doc.select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.*"), per_doc.select("doc_id", "traces")

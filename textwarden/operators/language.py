@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +62,71 @@ def hinglish_score(df: DataFrame, col: str = "text") -> DataFrame:
     return rows.withColumn("hinglish", F.when(F.col("_raw") > 0.1, F.col("_raw")).otherwise(0.0)).drop("_low", "_raw", "_words")
 
 
+CUES = "struct<kept:int,scripts:array<int>,words:int,tenths:int>"
+SPACE = "[\\t\\n\\x0B\\f\\r ]"
+LISTED = r"\b(?:" + "|".join(p.strip(r"\b").strip("()") for p in K.HINGLISH[:-2]) + r")\b"
+VERB, PRAISE = (p.replace(r"\s", SPACE) for p in (K.HINGLISH[-2].replace(r"\b\w+", r"\w", 1), K.HINGLISH[-1]))
+MIXED = (r"[A-Yy\[-`a-x]", r"[\x{900}-\x{97e}]")
+
+
+@lru_cache(maxsize=1)
+def letter_classes() -> np.ndarray:
+    """For each code point 0 if it is no letter or digit, else the place of its script, or one after the last."""
+    out = np.zeros(0x110000, "u1")
+    for o in range(len(out)):
+        if unicodedata.category(chr(o))[0] in "LN":
+            out[o] = len(K.SCRIPTS) + 1
+    for k, (lo, hi) in enumerate(K.SCRIPTS.values(), 1):
+        out[lo : hi + 1][out[lo : hi + 1] > 0] = k
+    return out
+
+
+def byte_kinds() -> np.ndarray:
+    """For each byte of UTF-8 a bit each: of a word, space, vowel, k or g, t or d, h; of ASCII alone, as in a column function."""
+    out = np.zeros(256, "u1")
+    for bit, of in enumerate((r"\w", r"\s", "[aeiou]", "[kg]", "[td]", "h")):
+        out[[o for o in range(128) if re.match(of, chr(o), re.A) and o not in range(0x1C, 0x20)]] |= 1 << bit
+    return out
+
+
+BYTES = byte_kinds()
+
+
+def cues(text: pa.Array, low: pa.Array) -> pa.Array:
+    """``CUES`` of texts and their lower case: letters and digits in all and by script, words, and tenths of cues of Hindi in Latin letters.
+
+    What ``script_shares`` and ``hinglish_score`` find by patterns: letters are counted by arrays of
+    code points, lists of words by automata, and of letter pairs the words that hold one.
+    """
+    n, text, low = len(text), pc.fill_null(text, ""), pc.fill_null(low, "")
+    classes, k = letter_classes(), len(K.SCRIPTS) + 2
+    codes = np.frombuffer("".join(text.to_pylist()).encode("utf-32-le"), "<u4")
+    row = np.repeat(np.arange(n, dtype="i4") * k, pc.utf8_length(text).to_numpy())
+    letters = np.bincount(row + classes[codes], minlength=n * k).reshape(n, k).astype("i4")
+    data = BYTES[np.frombuffer(("\n" + "\n".join(low.to_pylist())).encode(), "u1")]
+    starts = np.append(1, 1 + np.cumsum(pc.binary_length(low).to_numpy().astype("i8") + 1))[:n]
+    per_text = lambda at: np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=n)
+    space, inside = data & 2 > 0, data & 1 > 0
+    words = per_text(np.flatnonzero(space[:-1] & ~space[1:]) + 1)
+    number, roman = np.cumsum(inside[1:] & ~inside[:-1]), np.zeros(n, "i8")
+    for a, b in ((4, 4), (8, 32), (16, 32)):
+        at = np.flatnonzero((data[:-1] & a > 0) & (data[1:] & b > 0))
+        own = number[at - 1]
+        roman += per_text(at[np.append(True, own[1:] != own[:-1])[: len(at)]])
+    hits = sum(pc.count_substring_regex(low, p).to_numpy().astype("i8") for p in (LISTED, VERB, PRAISE))
+    mixed = pc.and_(*[pc.match_substring_regex(text, p) for p in MIXED]).to_numpy(zero_copy_only=False)
+    tenths = hits * 10 + np.where(mixed, words * 3, 0) + roman
+    scripts = pa.FixedSizeListArray.from_arrays(pa.array(letters[:, 1:-1].ravel()), k - 2).cast(pa.list_(pa.int32()))
+    numbers = [pa.array(x.astype("i4")) for x in (letters[:, 1:].sum(axis=1), words, tenths)]
+    return pa.StructArray.from_arrays([numbers[0], scripts, *numbers[1:]], ["kept", "scripts", "words", "tenths"])
+
+
+def cues_in(text: pa.Array, low: pa.Array) -> pa.Array:
+    """``cues`` of few texts at a time."""
+    parts = [cues(text.slice(at, 256), low.slice(at, 256)) for at in range(0, max(len(text), 1), 256)]
+    return pa.concat_arrays(parts)
+
+
 def language_mix_report(df: DataFrame, by: list[str], code: str = "code", confidence: str = "confidence") -> DataFrame:
     """(by, code, bucket, n): documents by detected language and confidence bucket."""
     c = F.col(confidence)
@@ -187,8 +256,17 @@ def detect_languages(df: DataFrame, col: str = "text", hints_col: str | None = N
     Shares of scripts give their languages; Latin text is Hinglish or English, the latter
     with ``english`` as the n-gram evidence.  Hints raise what was found by a fifth.
     """
-    rows = hinglish_score(script_shares(df, col), col)
-    share = lambda s: F.coalesce(F.col("scripts")[s], F.lit(0.0))
+    found_in = F.arrow_udf(cues_in, CUES)
+    return languages_from(df.withColumn("_cues", found_in(F.col(col), F.lower(col))), "_cues", hints_col, threshold, english).drop("_cues")
+
+
+def languages_from(rows: DataFrame, counted: str, hints_col: str | None = None, threshold: float = 0.7, english: float = 0.5) -> DataFrame:
+    """Adds ``languages`` to rows with ``CUES``."""
+    c = F.col(counted)
+    raw = F.least(c["tenths"] / 10 / F.nullif(c["words"], F.lit(0)), F.lit(1.0))
+    rows = rows.withColumn("_raw", raw).withColumn("hinglish", F.when(F.col("_raw") > 0.1, F.col("_raw")).otherwise(0.0))
+    place = {s: k for k, s in enumerate(K.SCRIPTS)}
+    share = lambda s: F.coalesce(F.get(c["scripts"], F.lit(place[s])) / F.nullif(c["kept"], F.lit(0)), F.lit(0.0))
     found = []
     for script, languages in K.SCRIPT_LANGUAGES.items():
         for code, weight in languages:
@@ -210,7 +288,7 @@ def detect_languages(df: DataFrame, col: str = "text", hints_col: str | None = N
     rows = rows.withColumn("_kept", F.transform(F.array_sort(F.transform("_kept", row)), back))
     rows = rows.withColumn("_sure", F.filter("_kept", lambda x: x["confidence"] >= threshold))
     final = F.when(F.size("_kept") == 0, default).when(F.size("_sure") == 0, F.slice("_kept", 1, 1)).otherwise(F.col("_sure"))
-    return rows.withColumn("languages", final).drop("scripts", "hinglish", "_kept", "_total", "_sure")
+    return rows.withColumn("languages", final).drop("hinglish", "_raw", "_kept", "_total", "_sure")
 
 
 def detect_per_segment(df: DataFrame, col: str = "text", id_col: str = "doc_id", segment_length: int = 50) -> DataFrame:

@@ -308,9 +308,15 @@ def dedupe_exact_spans(spans: DataFrame) -> DataFrame:
 
 def dedupe_spans(spans: DataFrame) -> DataFrame:
     """Greedy over (start, end, heavier first): an overlapping span replaces the first kept one it overlaps if heavier."""
-    fields = [c for c in SPAN if c != "doc_id"]
-    item = F.struct("start", "end", (-F.col("confidence")).alias("lighter"), *[c for c in fields if c not in ("start", "end")])
-    per_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*SPAN[1:])).alias("spans"))
+    return with_kept(per_doc).select("doc_id", F.explode("kept").alias("s")).select("doc_id", *[f"s.{c}" for c in SPAN[1:]])
+
+
+def with_kept(per_doc: DataFrame) -> DataFrame:
+    """Adds ``kept``, what stays of a document's ``spans``."""
+    rest = [c for c in SPAN[1:] if c not in ("start", "end")]
+    item = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (-s["confidence"]).alias("lighter"), *[s[c].alias(c) for c in rest])
+    per_doc = per_doc.withColumn("all", F.array_sort(F.transform("spans", item)))
 
     def step(live: Column, s: Column) -> Column:
         # spans come by their start, so one that ends before it is settled
@@ -325,8 +331,7 @@ def dedupe_spans(spans: DataFrame) -> DataFrame:
         return F.struct(let(open_, placed).alias("live"), done.alias("out"))
 
     kind = per_doc.schema["all"].dataType.simpleString()
-    kept = swept(F.col("all"), F.slice("all", 1, 0), kind, step)
-    return per_doc.select("doc_id", F.explode(kept).alias("s")).select("doc_id", *[f"s.{c}" for c in fields])
+    return per_doc.withColumn("kept", swept(F.col("all"), F.slice("all", 1, 0), kind, step)).drop("all")
 
 
 def lpe_category_scores(matches: DataFrame) -> DataFrame:
@@ -334,11 +339,21 @@ def lpe_category_scores(matches: DataFrame) -> DataFrame:
     return matches.groupBy("doc_id", "category").agg(F.least(F.avg("confidence"), F.lit(1.0)).alias("score"))
 
 
+def trace_of(rule_source: Column, category: Column, confidence: Column) -> Column:
+    return F.concat(F.lit("Rule: "), rule_source, F.lit(" -> Category: "), category, F.lit(" -> Weight: "), F.format_string("%.2f", confidence))
+
+
 def rule_traces(matches: DataFrame) -> DataFrame:
-    line = F.concat(F.lit("Rule: "), "rule_source", F.lit(" -> Category: "), "category", F.lit(" -> Weight: "), F.format_string("%.2f", "confidence"))
+    line = trace_of(*map(F.col, ("rule_source", "category", "confidence")))
     return matches.select("doc_id", line.alias("trace")).groupBy("doc_id").agg(F.array_sort(F.collect_set("trace")).alias("traces"))
 
 
+def traces_of(spans: Column) -> Column:
+    """The traces of one document's spans, each once."""
+    named = F.array_distinct(F.transform(spans, lambda s: F.struct(s["rule_source"].alias("r"), s["category"].alias("c"), s["confidence"].alias("w"))))
+    return F.array_sort(F.array_distinct(F.transform(named, lambda s: trace_of(s["r"], s["c"], s["w"]))))
+
+
 def search_lexicon(lexicon: DataFrame, term: str | None = None, category: str | None = None, severity: str | None = None, langs: list[str] | None = None) -> DataFrame:
     out = lexicon
     for name, value in (("term", term and term.lower()), ("category", category), ("severity", severity)):

@@ -11,7 +11,7 @@ from textwarden.plans.common import sql_text, table, values
 from textwarden.operators.context import QUOTE_SHARE
 from textwarden.plans.match_queries import PARTS as CUE_PARTS
 from textwarden.plans.match_queries import DEDUPED, QUOTED, SAFE, SCORES, SPANS, SQL_SAFE, SQL_SAFE_DOC, TOUCHED, docs, located, sql_quotes, terms
-from textwarden.operators.engine import FIELDS, engine_terms, scan_lexicon_engine
+from textwarden.operators.engine import FIELDS, engine_terms, scanned_documents
 from textwarden.plans.moderate import moderate_corpus
 from textwarden.plans.text_queries import SQL_HITS, SQL_ROMAN
 
@@ -402,11 +402,10 @@ def disguised(s, d):
 
 def e13(s, d):
     """All three results of the engine, a row for each document that has any."""
-    spans, scores_, traces = scan_lexicon_engine(disguised(s, d))
-    per_span = spans.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("chars"))
-    line = F.format_string("%s=%.6f", "category", F.round("score", 6))
-    per_score = scores_.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("scores"))
-    return per_span.join(per_score, "doc_id").join(traces.select("doc_id", F.array_join("traces", "\n").alias("traces")), "doc_id")
+    found = scanned_documents(disguised(s, d)).where("doc_id is not null")
+    chars = F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
+    lines = F.transform("scores", lambda x: F.format_string("%s=%.6f", x["category"], F.round(x["score"], 6)))
+    return found.select("doc_id", F.size("kept").cast("long").alias("n_spans"), chars.alias("chars"), F.array_join(F.array_sort(lines), ",").alias("scores"), F.array_join("traces", "\n").alias("traces"))
 
 
 DISGUISED_TEXTS = f"SELECT doc_id, text || '. ' || ([{', '.join(map(sql_text, DISGUISED))}])[doc_id % {len(DISGUISED)} + 1] AS text FROM documents"

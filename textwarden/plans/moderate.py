@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
-from textwarden.operators import context, decide, language, matching, policy
+from textwarden.operators import align, context, decide, language, matching, policy
 from textwarden.operators.engine import with_spans
 from textwarden.operators.normalize import let
 
+#: What the pass that places spans finds too.
+FOUND_TOO = [("cues", language.CUES, language.cues), ("contexts", align.CONTEXTS, align.contexts_of), ("own_context", "string", align.policy_contexts_of)]
 SCORES = "array<struct<category:string,score:double>>"
 
 
@@ -42,11 +44,12 @@ def moderate_corpus(
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *optional)
     for c in ("tenant", "department", "context"):
         rows = rows if c in optional else rows.withColumn(c, F.lit(None).cast("string"))
-    rows = language.detect_languages(rows).withColumn("language", F.get("languages", F.lit(0))).withColumn("low", F.lower("text"))
-    text = F.col("text")
-    around = [let(context.safe_contexts_of(F.col("low")), context.safe_of).alias("safe"), F.coalesce("context", policy.context_of(text)).alias("context")]
+    rows = rows.select("doc_id", "text", F.lower("text").alias("low"), "tenant", "department", "context", *decide.features_of(F.col("text")))
+    rows = with_spans(rows, lexicon, emoji, FOUND_TOO)
+    rows = language.languages_from(rows, "cues").withColumn("language", F.get("languages", F.lit(0)))
+    around = [let(context.sure_of(F.col("contexts")), context.safe_of).alias("safe"), F.coalesce("context", "own_context").alias("context")]
     language_ = [F.col("language.code").alias("language"), F.col("language.confidence").alias("language_confidence")]
-    rows = with_spans(rows.select("doc_id", "text", "low", "tenant", "department", *around, *language_, *decide.features_of(text)), lexicon, emoji)
+    rows = rows.select("doc_id", "tenant", "department", *around, *language_, "length", "code_mixed", "obfuscated", "spans", "negation", "quotation", "most")
     rows = rows.withColumn("lpe", matching.category_scores_of(F.col("spans")))
     parts = ["lpe"]
     if classifier is not None:
