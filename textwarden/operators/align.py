@@ -378,6 +378,28 @@ def surrounded(rows: DataFrame, terms: list[dict]) -> DataFrame:
     return rows.mapInArrow(run, StructType([rows.schema["doc_id"], *StructType.fromDDL(AROUND)]))
 
 
+HITS = "array<struct<category:string,confidence:double>>"
+
+
+def with_hits(rows: DataFrame, terms: list[dict]) -> DataFrame:
+    """The rows whose ``low``, a text in lower case, holds a term, with ``hits`` in its place: category and weight of every occurrence of every term."""
+    kept = [c for c in rows.columns if c != "low"]
+    kind = pa.list_(pa.struct([("category", pa.string()), ("confidence", pa.float64())]))
+    words = [t["term"] for t in terms]
+
+    def hits(low: str) -> list[dict]:
+        return [{"category": t["category"], "confidence": t["weight"]} for t in terms if t["term"] in low for _ in range(low.count(t["term"]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            held = whole.filter(pa.array(holding(whole.column("low"), words)))
+            for batch in slices(held, "low"):
+                found = pa.array([hits(low) for low in batch.column("low").to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*kept, "hits"])
+
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in kept), *StructType.fromDDL(f"hits {HITS}")]))
+
+
 def spanner(terms: list[dict], patterns: list[tuple]):
     """Of a text and the numbers of the terms and patterns that it holds as it is: all its spans, in order.
 

@@ -234,9 +234,15 @@ def policy_summary(policies: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def content_hash_of(text: Column) -> Column:
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
 def audit_decisions(applied: DataFrame, docs: DataFrame, ts: Column) -> DataFrame:
-    """Audit envelopes: what was decided, by what, about which content, with compliance flags."""
-    text_hash = docs.select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("content_hash"))
+    """Audit envelopes: what was decided, by what, about which content, with compliance flags.
+
+    ``applied`` may have each document's ``content_hash``; else ``docs`` are joined for it.
+    """
     hard, override = F.col("hard_rule").isNotNull(), F.col("decision") != F.col("policy_decision")
     flags = F.array_compact(
         F.array(
@@ -249,7 +255,9 @@ def audit_decisions(applied: DataFrame, docs: DataFrame, ts: Column) -> DataFram
         (F.col("policy_confidence") - F.col("confidence")).alias("confidence_change"), "department", override.alias("override_applied"), hard.alias("hard_rule_triggered"),
         F.col("severity").alias("severity_level"),
     )
-    rows = applied.join(text_hash, "doc_id").withColumn("timestamp", ts)
+    known = "content_hash" in applied.columns
+    rows = applied.where("doc_id is not null") if known else applied.join(docs.select("doc_id", content_hash_of(F.col("text")).alias("content_hash")), "doc_id")
+    rows = rows.withColumn("timestamp", ts)
     return rows.select(
         F.concat(F.lit("dec-"), "doc_id").alias("entry_id"), "timestamp", F.to_date("timestamp").alias("event_date"), F.lit("policy_decision").alias("event_type"),
         F.col("tenant").alias("tenant_id"), details.alias("details"), "content_hash", flags.alias("compliance_flags"),

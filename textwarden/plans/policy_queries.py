@@ -5,22 +5,57 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
-from textwarden.operators import decide, feedback, matching, policy
-from textwarden.operators.decide import severity
+from textwarden.operators import align, decide, feedback, matching, policy
 from textwarden.operators.matching import bounded
-from textwarden.plans.common import sql_text, table, values
+from textwarden.plans.common import sql_text, stored, table, values
 from textwarden.plans.match_queries import over_spoken, spoken
-from textwarden.plans.decision_queries import DECIDED, SEVERITY, decided, docs, lpe, rounded
+from textwarden.plans.decision_queries import DECIDED, SEVERITY, docs, lpe, rounded
 
 Q: dict = {}
 DEPARTMENTS = ("hr", "legal", "security", "engineering", "sales")
 
 
-def base(s, d):
+def judged(s, d, *more):
+    """Decision, severity, context and lexicon scores of the documents that hold a term, all in a document's own row."""
+    rows, terms_ = docs(s, d), matching.inline_rows(matching.load_lexicon(s))
+    sure = F.when(F.col("lang") == "en", 0.9).otherwise(0.6).alias("language_confidence")
+    rows = align.with_hits(rows.select("doc_id", sure, "text", F.lower("text").alias("low")), terms_)
+    rows = rows.select("doc_id", "language_confidence", policy.context_of(F.col("text")).alias("context"), *decide.features_of(F.col("text")), "hits", *more)
+    scores = F.transform(matching.category_scores_of(F.col("hits")), lambda c: F.struct(c["score"].alias("score"), c["category"].alias("category")))
+    rows = decide.adapt_thresholds(rows.withColumn("scores", scores))
+    top = F.array_max(F.transform("scores", lambda c: F.struct(F.round(c["score"], 9).alias("score"), c["category"].alias("category"))))
+    rows = rows.withColumn("top", top).select("*", *decide.decision_of(F.col("top.score")), decide.grade_of(F.col("top.score"), F.col("top.category")).alias("severity"))
     dept = F.element_at(F.array(*map(F.lit, DEPARTMENTS)), (F.col("doc_id") % 5 + 1).cast("int"))
     tenant = F.when(F.col("doc_id") % 2 == 0, "tech_corp").otherwise("acme")
-    rows = decided(s, d).join(severity(lpe(s, d)), "doc_id").select("doc_id", "decision", F.round("confidence", 9).alias("confidence"), "severity")
-    return rows.withColumn("tenant", tenant).withColumn("department", dept)
+    known = [c for c in rows.columns if c == "content_hash"]
+    return rows.select("doc_id", "decision", F.round("confidence", 9).alias("confidence"), "severity", tenant.alias("tenant"), dept.alias("department"), "context", "scores", *known)
+
+
+def base(s, d):
+    return judged(s, d).select("doc_id", "decision", "confidence", "severity", "tenant", "department")
+
+
+def gathered(s, d):
+    """(decisions, scores, contexts, policies), of one scan of the texts."""
+    rows = stored(judged(s, d).where("doc_id is not null"), "judged")
+    scores = rows.select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.category", "s.score")
+    own = policy.resolve_policy(rows.select("tenant").distinct(), policy.policy_tables(s))
+    return rows.drop("context", "scores"), scores, rows.select("doc_id", "context").where("context is not null"), own
+
+
+def shifts(s, d):
+    decisions, scores, contexts, own = gathered(s, d)
+    return policy.department_overrides(decisions, scores, own["departments"], contexts)
+
+
+def i5(s, d):
+    decisions, scores, contexts, own = gathered(s, d)
+    return policy.threshold_rules(decisions, scores, own["thresholds"], policy.department_overrides(decisions, scores, own["departments"], contexts))
+
+
+def i2(s, d):
+    decisions, scores, _, own = gathered(s, d)
+    return policy.hard_rules(decisions, scores, own["hard_rules"])
 
 
 def policies(s, d):
@@ -72,8 +107,8 @@ applied AS (SELECT base.*, CASE WHEN rule IS NOT NULL THEN 'block' ELSE (['allow
 
 
 def i1(s, d):
-    t = policies(s, d)["thresholds"]
-    rows = base(s, d).select("doc_id", "tenant").join(lpe(s, d), "doc_id").join(bounded(t), ["tenant", "category"])
+    decisions, scores, _, own = gathered(s, d)
+    rows = decisions.select("doc_id", "tenant").join(scores, "doc_id").join(bounded(own["thresholds"]), ["tenant", "category"])
     return rows.groupBy("tenant", "category", "severity", "threshold").agg(F.sum((F.round("score", 9) >= F.col("threshold")).cast("long")).alias("n_over"))
 
 
@@ -81,32 +116,21 @@ Q["i1_resolve_policy"] = (
     i1,
     f"WITH {BASE} SELECT b.tenant, s.category, p.severity, threshold, count(*) FILTER (round(score, 9) >= threshold) AS n_over FROM base b JOIN scores s USING (doc_id) JOIN pthr p ON p.tenant = b.tenant AND p.category = s.category GROUP BY ALL",
 )
-Q["i2_hard_rules"] = (lambda s, d: policy.hard_rules(base(s, d), lpe(s, d), policies(s, d)["hard_rules"]), f"WITH {BASE} SELECT doc_id, rule FROM hard")
+Q["i2_hard_rules"] = (i2, f"WITH {BASE} SELECT doc_id, rule FROM hard")
 Q["i3_policy_safe_context"] = (lambda s, d: policy.policy_safe_context(spoken(s, d)), over_spoken(f"SELECT * FROM (SELECT doc_id, {CONTEXT_CASE} AS context FROM documents) WHERE context IS NOT NULL"))
 Q["i4_department_overrides"] = (
-    lambda s, d: rounded(policy.department_overrides(base(s, d), lpe(s, d), policies(s, d)["departments"], policy.policy_safe_context(docs(s, d))), "adjustment"),
+    lambda s, d: rounded(shifts(s, d), "adjustment"),
     f"WITH {BASE} SELECT doc_id, round(adjustment, 6) AS adjustment FROM adj0",
 )
 Q["i5_threshold_rules"] = (
-    lambda s, d: policy.threshold_rules(base(s, d), lpe(s, d), policies(s, d)["thresholds"], policy.department_overrides(base(s, d), lpe(s, d), policies(s, d)["departments"], policy.policy_safe_context(docs(s, d)))),
+    i5,
     f"WITH {BASE} SELECT doc_id, (['allow', 'review', 'block'])[lvl + 1] AS decision, n_rules FROM thr2",
 )
 
 
-def applied(s, d):
-    """Lexicon scores, features, decision and policy of the documents that hold a term, all in a document's own row."""
-    rows, terms_ = docs(s, d).withColumn("low", F.lower("text")), matching.inline_terms(matching.load_lexicon(s))
-    sure = F.when(F.col("lang") == "en", 0.9).otherwise(0.6).alias("language_confidence")
-    names = ["doc_id", sure, policy.context_of(F.col("text")).alias("context"), *decide.features_of(F.col("text"))]
-    rows = rows.select(*names, matching.term_spans_of(F.col("text"), F.col("low"), terms_).alias("spans")).where("size(spans) > 0")
-    scores = F.transform(matching.category_scores_of(F.col("spans")), lambda c: F.struct(c["score"].alias("score"), c["category"].alias("category")))
-    rows = decide.adapt_thresholds(rows.withColumn("scores", scores))
-    top = F.array_max(F.transform("scores", lambda c: F.struct(F.round(c["score"], 9).alias("score"), c["category"].alias("category"))))
-    rows = rows.withColumn("top", top).select("*", *decide.decision_of(F.col("top.score")), decide.grade_of(F.col("top.score"), F.col("top.category")).alias("severity"))
-    dept = F.element_at(F.array(*map(F.lit, DEPARTMENTS)), (F.col("doc_id") % 5 + 1).cast("int"))
-    tenant = F.when(F.col("doc_id") % 2 == 0, "tech_corp").otherwise("acme")
-    rows = rows.select("doc_id", "decision", F.round("confidence", 9).alias("confidence"), "severity", tenant.alias("tenant"), dept.alias("department"), "context", "scores")
-    return policy.with_policy(rows, policy.builtin_policies()).drop("context", "scores")
+def applied(s, d, *more):
+    """``judged`` with the policy's decision."""
+    return policy.with_policy(judged(s, d, *more), policy.builtin_policies()).drop("context", "scores")
 
 
 SHOWN = ("doc_id", "decision", "confidence", "severity", "tenant", "department", "policy_decision", "policy_confidence", "adjustment", "hard_rule")
@@ -153,7 +177,8 @@ SELECT tenant, (SELECT count(*) FROM pthr p WHERE p.tenant = b.tenant) AS n_thre
 
 
 def audit(s, d):
-    return policy.audit_decisions(applied(s, d), docs(s, d), F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(doc_id AS INT))"))
+    hashed = applied(s, d, policy.content_hash_of(F.col("text")).alias("content_hash"))
+    return policy.audit_decisions(hashed, docs(s, d), F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(doc_id AS INT))"))
 
 
 AUDIT = f"""{BASE}, audit AS (SELECT a.*, left(sha256(text), 16) AS content_hash, TIMESTAMP '2024-01-01' + to_hours(a.doc_id) AS ts FROM applied a JOIN documents USING (doc_id))"""
