@@ -7,7 +7,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from textwarden import streaming
 from textwarden.operators import align, context, engine, language, matching, normalize, pii
+from textwarden.plans import stream_queries
 from textwarden.plans.moderate import moderate_corpus
 from textwarden.streaming import in_order
 
@@ -116,3 +118,50 @@ def test_parts_of_a_batch_are_bounded_by_rows_and_bytes(monkeypatch):
     parts = list(align.slices(batch, "text"))
     assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and max(p.num_rows for p in parts) <= align.TEXTS
     assert parts[0].num_rows == 1 and all(p.num_rows == 1 or sum(map(len, filter(None, p.column(0).to_pylist()))) <= 10 for p in parts)
+
+
+def test_policy_queries_scan_the_texts_once(spark, sf):
+    from textwarden.plans import policy_queries
+
+    for df in (policy_queries.audit(spark, sf), policy_queries.applied(spark, sf), policy_queries.base(spark, sf)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("documents.parquet") + df._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 1
+    decisions, scores, contexts, own = policy_queries.gathered(spark, sf)
+    for df in (decisions, scores, contexts, own["thresholds"]):
+        assert not any("documents.parquet" in f for f in df.inputFiles())
+
+
+def test_hits_of_terms_are_their_occurrences(spark):
+    rows = spark.createDataFrame([(1, "idiot idiotidiot fool"), (2, "nothing"), (3, None), (4, "a fool")], "doc_id long, low string")
+    terms = [{"term": "idiot", "category": "c", "weight": 0.5}, {"term": "fool", "category": "d", "weight": 0.25}]
+    found = {r.doc_id: [(h.category, h.confidence) for h in r.hits] for r in align.with_hits(rows, terms).collect()}
+    assert found == {1: [("c", 0.5)] * 3 + [("d", 0.25)], 4: [("d", 0.25)]}
+
+
+def test_a_day_of_audits_is_one_file(spark, tmp_path):
+    from textwarden import sources
+
+    rows = spark.range(0, 400, 1, 8).selectExpr("concat('dec-', id) AS entry_id", "date_add(DATE '2024-01-01', cast(id % 5 AS int)) AS event_date")
+    sources.write_audit(rows, f"file://{tmp_path}/audit")
+    files = [len(list(day.glob("*.json"))) for day in (tmp_path / "audit").iterdir() if day.is_dir()]
+    assert files == [1] * 5
+    assert sources.read_audit(spark, f"file://{tmp_path}/audit", rows.schema).distinct().count() == 400
+
+
+def test_tasks_pass_on_the_newest_outcomes_alone():
+    names = ["component", "outcome_id", "score", "us"]
+    rows = [("a" if k % 3 else None, k, k / 100, k * 7 % 50) for k in range(100)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part], pa.schema([("component", pa.string()), ("outcome_id", pa.int64()), ("score", pa.float64()), ("us", pa.int64())])) for part in (rows[:60], rows[60:])]
+    out = [r for b in streaming.newest_of(iter(batches), 5) for r in b.to_pylist()]
+    for component in ("a", None):
+        want = sorted(((r[3], r[1], r[2]) for r in rows if r[0] == component), reverse=True)[:5]
+        own = [r for r in out if r["component"] == component]
+        assert [(r["us"], r["outcome_id"], r["score"]) for r in own] == want
+        assert sum(r["stands_for"] for r in own) == sum(r[0] == component for r in rows)
+    assert list(streaming.newest_of(iter(()), 5)) == []
+
+
+def test_a_streamed_file_is_dealt_over_the_cores(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(stream_queries, "moderate_corpus", lambda s, batch: seen.append(batch.rdd.getNumPartitions()) or batch.selectExpr("doc_id", "1.0D AS confidence", "0.0D AS max_score"))
+    assert stream_queries.m1(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert seen and min(seen) >= spark.sparkContext.defaultParallelism

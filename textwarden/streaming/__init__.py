@@ -7,6 +7,8 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -169,6 +171,22 @@ def stream_drift(windows: DataFrame, n: int = 5, threshold: float = 0.05) -> Dat
     return stateful(rows).groupBy("tenant").transformWithState(Baseline(n, threshold), "tenant string, win_us long, score double", "Append", "None")
 
 
+def newest_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Of (component, outcome_id, score, us) each component's last n; ``stands_for`` of a component sums to its rows."""
+    newest: dict[str | None, pa.Table] = {}
+    seen: dict[str | None, int] = {}
+    for batch in batches:
+        coded = pc.dictionary_encode(batch.column("component"), null_encoding="encode")
+        for k, component in enumerate(coded.dictionary.to_pylist()):
+            own = pa.Table.from_batches([batch.filter(pc.equal(coded.indices, k))])
+            seen[component] = seen.get(component, 0) + own.num_rows
+            own = pa.concat_tables([newest[component], own]) if component in newest else own
+            newest[component] = own.sort_by([("us", "descending"), ("outcome_id", "descending"), ("score", "descending")]).slice(0, n)
+    for component, own in newest.items():
+        counts = pa.array([seen[component], *[0] * (own.num_rows - 1)], pa.int64())
+        yield from own.append_column("stands_for", counts).combine_chunks().to_batches()
+
+
 class Weights(StatefulProcessor):
     """The last n outcome scores of each component, and the weights that follow from them."""
 
@@ -186,7 +204,7 @@ class Weights(StatefulProcessor):
         for r in rows:
             heap, item = newest.setdefault(r["component"], []), (r["us"], r["outcome_id"], r["score"])
             (heapq.heappush if len(heap) < self.n else heapq.heappushpop)(heap, item)
-            seen += 1
+            seen += r["stands_for"]
         self.seen.update((seen,))
         for component, heap in newest.items():
             before = list(self.last.getValue((component,))[0]) if self.last.containsKey((component,)) else []
@@ -205,10 +223,13 @@ def stream_adaptive_weights(outcomes: DataFrame, base: dict[str, float] | None =
     """(component, seen, performance, weight) of every component, emitted at every trigger.
 
     Weights are relative to each other, so the few components' last n scores are one key's
-    state; a batch's rows are reduced to each component's last n by a heap as they come.
+    state.  Each task of a batch passes on but each component's last n of its rows, with how many
+    there were, and a heap reduces those of all tasks.
     """
     score = F.when(F.col("correct"), F.col("confidence")).otherwise(1 - F.col("confidence")).alias("score")
-    rows = outcomes.select("component", "outcome_id", score, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.lit(0).alias("all"))
+    rows = outcomes.select("component", F.col("outcome_id").cast("long"), score, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    kinds = "component string, outcome_id long, score double, us long, stands_for long"
+    rows = rows.mapInArrow(lambda batches: newest_of(batches, n), kinds).withColumn("all", F.lit(0))
     out = "component string, seen long, performance double, weight double"
     return stateful(rows).groupBy("all").transformWithState(Weights(base or decide.WEIGHTS, n), out, "Update", "None")
 
