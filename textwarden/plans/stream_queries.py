@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from textwarden import streaming
 from textwarden.plans.common import spread
 from textwarden.plans.decision_queries import Q as DECISIONS
-from textwarden.plans.decision_queries import rounded
+from textwarden.plans.decision_queries import H22_ROUNDED, rounded
 from textwarden.plans.moderate import moderate_corpus
 from textwarden.plans.monitor_queries import LOG, shared
 
@@ -29,7 +29,7 @@ def events(s, d):
 def m1(s, d):
     path = place(s)
     docs = streaming.read_stream(s, f"{d}/documents.parquet")
-    streaming.stream_moderate(docs, lambda batch: rounded(moderate_corpus(s, spread(batch)), "confidence", "max_score"), path).awaitTermination()
+    streaming.stream_moderate(docs, lambda batch: rounded(moderate_corpus(s, spread(batch)), *H22_ROUNDED), path).awaitTermination()
     return s.read.parquet(f"{path}/out").drop("batch")
 
 
