@@ -155,3 +155,30 @@ def test_a_streamed_file_is_dealt_over_the_cores(spark, sf, monkeypatch):
     monkeypatch.setattr(stream_queries, "moderate_corpus", lambda s, batch: seen.append(batch.rdd.getNumPartitions()) or batch.selectExpr("doc_id", "1.0D AS confidence", "0.0D AS max_score"))
     assert stream_queries.m1(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert seen and min(seen) >= spark.sparkContext.defaultParallelism
+
+
+def test_audits_of_sparse_days_are_gathered_by_month(spark, tmp_path):
+    from textwarden import sources
+
+    rows = spark.range(0, 400, 1, 8).selectExpr("concat('dec-', id) AS entry_id", "date_add(DATE '2024-01-01', cast(id % 100 AS int)) AS event_date")
+    rows = rows.unionByName(spark.sql("SELECT 'dec-none' AS entry_id, CAST(NULL AS date) AS event_date"))
+    for period, n in (("day", 101), ("month", 5), ("year", 2)):
+        path = f"file://{tmp_path}/{period}"
+        sources.write_audit(rows, path, period)
+        folders = [f for f in (tmp_path / period).iterdir() if f.is_dir()]
+        assert len(folders) == n and all(len(list(f.glob("*.json"))) == 1 for f in folders)
+        back = sources.read_audit(spark, path, rows.schema)
+        assert sorted(back.collect(), key=str) == sorted(rows.select(*back.columns).collect(), key=str)
+        one = sources.read_audit(spark, path, rows.schema, "2024-02-03")
+        assert sorted(r.entry_id for r in one.collect()) == ["dec-133", "dec-233", "dec-33", "dec-333"]
+        assert "PartitionFilters: []" not in one._jdf.queryExecution().executedPlan().toString()
+        sources.write_audit(rows.where("entry_id = 'dec-33'"), path, period)
+        assert sources.read_audit(spark, path, rows.schema, "2024-02-03").count() == 5
+
+
+def test_the_audit_round_trip_has_a_file_for_each_month(spark, sf):
+    from textwarden.plans import monitor_queries
+
+    back = monitor_queries.a6(spark, sf)
+    days = {r.event_date for r in back.select("event_date").distinct().collect()}
+    assert len(days) > 1 and len(back.inputFiles()) == len({d[:7] for d in days})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from textwarden.constants import LANGUAGE_HINTS
 
@@ -34,13 +35,27 @@ def validate_requests(requests: DataFrame, max_len: int = 10_000) -> tuple[DataF
     return valid, rows.where("size(reasons) > 0").select("request_id", "reasons")
 
 
-def write_audit(audit: DataFrame, path: str) -> None:
-    """Appends audit envelopes as JSON lines, one folder for each day."""
-    audit.write.mode("append").partitionBy("event_date").json(path)
+#: How much of the calendar a folder of audit files holds, and its name.
+PERIODS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
 
 
-def read_audit(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def write_audit(audit: DataFrame, path: str, period: str = "day") -> None:
+    """Appends audit envelopes as JSON lines, one folder for each day, month or year; a path keeps to one of them.
+
+    A folder and a file cost the file system the same for one line as for a million, so days of a few entries
+    each go by month or year; a day's lines then lie together.  Rows of one folder are gathered first, or
+    each task would write a file of its own for it; a folder of more than one task's share is several files.
+    """
+    by, rows = ("event_date", audit) if period == "day" else ("event_period", audit.withColumn("event_period", F.date_format("event_date", PERIODS[period])))
+    rows.hint("rebalance", by).sortWithinPartitions(*dict.fromkeys((by, "event_date"))).write.mode("append").partitionBy(by).json(path)
+
+
+def read_audit(spark: SparkSession, path: str, schema: StructType, day: str | None = None) -> DataFrame:
+    """Audit envelopes of all days, or of one; for one day no more than its own folder is read."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("event_period", StringType())])).json(path)
+    if day:
+        rows = rows.where(F.coalesce(F.lit(day).startswith(F.col("event_period")), F.lit(True))).where(F.col("event_date") == F.lit(day).cast("date"))
+    return rows.drop("event_period")
 
 
 def find_decision(audit: DataFrame, request_id: str, date: str | None = None) -> DataFrame:
