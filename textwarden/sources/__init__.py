@@ -51,7 +51,7 @@ def write_audit(audit: DataFrame, path: str, period: str = "day") -> None:
 
 
 def read_audit(spark: SparkSession, path: str, schema: StructType, day: str | None = None) -> DataFrame:
-    """Audit envelopes of all days, or of one; for one day no more than its own folder is read."""
+    """Audit envelopes of all days, or of one; for one day, no other folder of dated entries is read."""
     rows = spark.read.schema(StructType([*schema.fields, StructField("event_period", StringType())])).json(path)
     if day:
         rows = rows.where(F.coalesce(F.lit(day).startswith(F.col("event_period")), F.lit(True))).where(F.col("event_date") == F.lit(day).cast("date"))
