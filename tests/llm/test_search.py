@@ -90,6 +90,29 @@ def test_blocks_find_what_stars_miss(spark):
     assert {i: found.get(i, i) for i in component} == component
 
 
+def test_components_take_few_jobs(spark):
+    """Components equal those of brute force; a forest of stars needs no further round, so the driver keeps few jobs and tasks."""
+    r = random.Random(5)
+    paths = [(i, i + 1) for i in range(100, 140)] + [(i + 1, i) for i in range(200, 230)]
+    some = [(r.randrange(300, 360), r.randrange(300, 360)) for _ in range(45)]
+    leaves = [(1, i) for i in range(2, 60)] + [(i, 60) for i in range(61, 90)]
+    for links, jobs in (([*paths, *some, *some[:9], (7, 7), *leaves], None), (leaves, 8), ([(7, 7)], 8)):
+        top = {i: i for pair in links for i in pair if pair[0] != pair[1]}
+        for _ in top:
+            for a, b in ((a, b) for a, b in links if a != b):
+                top[a] = top[b] = min(top[a], top[b])
+        group = f"components-{len(links)}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            found = near_dedup.components(spark.createDataFrame(links, "a long, b long"))
+            ran = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        rows = [(x.doc_id, x.component) for x in found.collect()]
+        assert dict(rows) == top and len(rows) == len(top)
+        assert jobs is None or 0 < ran <= jobs
+
+
 def test_odd_documents(spark):
     rows = [(1, None), (2, ""), (3, " \t "), (4, "one"), (5, "ONE"), (6, "one two"), (7, "a b c " * 20_000), (8, "A b c " * 20_000), (4, "one"), (None, "one")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -217,39 +217,46 @@ def on_centre(pairs: DataFrame, side: DataFrame) -> DataFrame:
     return pairs.join(mark, "a", "left_anti").join(side, "a").unionByName(hot)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(doc_id, component) of every document in ``links`` (a, b): the least id reachable.
+def is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every document has one larger end of an edge (a > b) at most, and none is both a larger and a smaller one."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """Edges (a, b) from every document in ``links`` (a, b) to the least id reachable, if that is another one.
 
     Large-star and small-star steps in turn; each at least halves the depth of the
-    trees, so the rounds grow with the logarithm of the longest path.
+    trees, so the rounds grow with the logarithm of the longest path.  They end as soon
+    as the edges are a forest of stars, which further steps would leave as it is.
     """
-    edges = links.select("a", "b").where("a <> b").distinct().checkpoint()
-    while True:
+    turned = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = written(turned.distinct(), "edges")
+    while not is_forest_of_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (
-            both.join(near, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        ).distinct()
-        # small star: all smaller neighbours, and the node, point to the least one
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            down.join(lowest, "a")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(lowest.select("a", F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct()
-            .checkpoint()
-        )
-        same = small.count() == edges.count() and small.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges = small
-        if same:
-            break
+        large = both.join(near, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        # small star: all smaller neighbours, and the node, point to the least one; large edges go from larger to smaller
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = written(small.distinct(), "edges")
+    return edges
+
+
+def placed_by(edges: DataFrame) -> DataFrame:
+    """(doc_id, component) of every document in a forest of stars."""
     return edges.select(F.col("a").alias("doc_id"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("doc_id"), F.col("b").alias("component")).distinct()
     )
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(doc_id, component) of every document in ``links`` (a, b): the least id reachable."""
+    return placed_by(stars(links))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * |A and B| >= percent * |A or B|, on full sets."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
@@ -393,20 +400,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = written(by_bucket(buckets, written(distinct.select("bucket", "first"), "shared")).select("bucket", "doc_id", "first"), "members")
     sketches = written(sketches.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "sketches")
 
-    stars = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = confirmed_of(texts, stars, sketches, width, percent, "star")
-    found = components(links)
-    still = written(unsettled(members, found), "unsettled")
+    pairs = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+    edges = stars(confirmed_of(texts, pairs, sketches, width, percent, "star"))
+    still = written(unsettled(members, placed_by(edges)), "unsettled")
     if not still.isEmpty():
         more = confirmed_of(texts, hub_pairs(still), sketches, width, percent, "hub")
-        links = links.unionByName(more)
-        found = components(links)
-        again = written(unsettled(members, found), "unsettled")
+        # the stars found so far hold together what their links did
+        edges = stars(edges.unionByName(more))
+        again = written(unsettled(members, placed_by(edges)), "unsettled")
         left = written(with_partners(again, sketches, percent), "partners")
         sets = sets_of(texts, left.select("doc_id").distinct(), width)
-        links = links.unionByName(written(between_components(left, sets, percent), "last_links"))
+        edges = stars(edges.unionByName(written(between_components(left, sets, percent), "last_links")))
     # components are those of the representatives; copies get theirs by their key, however many they are
-    final = written(components(links), "components")
+    final = written(placed_by(edges), "components")
     several = copies.where("n > 1").select("set_key", F.col("r.doc_id").alias("rep"))
     several = several.join(final.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
     several = written(several.select("set_key", "rep", F.coalesce("component", "rep").alias("component")), "copied")
