@@ -225,6 +225,46 @@ def test_crowded_buckets_and_centres(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 3, 85).collect()} == want
 
 
+def test_what_is_broadcast_does_not_grow_with_the_input(spark, monkeypatch):
+    """Ids and bucket summaries beyond some 2 MB stay away from the driver, and the joins give the same rows."""
+    sent, broadcast = [], near_dedup.F.broadcast
+    monkeypatch.setattr(near_dedup.F, "broadcast", lambda df: sent.append(len(df.columns) * df.count()) or broadcast(df))
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(-30, 60)] + [(10**12, "x"), (None, "x")], "doc_id long, text string")
+    many = spark.range(0, 240_000, 2).withColumnRenamed("id", "doc_id")
+    got = {r.doc_id: r.shingles for r in near_dedup.sets_of(docs, many, 3).collect()}
+    assert got == {i: near_dedup.shingle_set(f"text {i % 7}", 3).view("i8").tolist() for i in range(0, 60, 2)}
+    assert sent and max(sent) <= 2 * 50_000
+    likely = {r.doc_id for r in near_dedup.likely_wanted(docs.where("doc_id is not null"), many).collect()}
+    assert likely >= set(range(0, 60, 2)) and len(likely) < 60
+    summary = spark.range(60_000).selectExpr("id AS bucket", "id + 1 AS first", "CASE WHEN id = 3 THEN 900 ELSE 1 END AS size")
+    rows = spark.range(1_800).selectExpr("id AS doc_id", "CASE WHEN id < 900 THEN 3 ELSE id * 50 END AS bucket")
+    want = {(i, 3 if i < 900 else i * 50) for i in range(1_800) if i < 900 or i * 50 < 60_000}
+    for how in ("inner", "left_semi"):
+        joined = near_dedup.by_bucket(rows, summary, how)
+        assert joined.columns == ["bucket", "doc_id", "first"][: 3 if how == "inner" else 2]
+        found = joined.collect()
+        assert {(r.doc_id, r.bucket) for r in found} == want and len(found) == len(want)
+        assert how != "inner" or all(r.first == r.bucket + 1 for r in found)
+    assert max(sent) <= 2 * 50_000
+    wide = near_dedup.by_bucket(rows, summary.limit(20_000), width=near_dedup.HUBS_WIDTH)
+    assert wide.count() > 0 and max(sent) <= 2 * 50_000
+
+
+def test_plans_name_a_step_once(spark, monkeypatch):
+    """What is named several times is stored first: the driver's heap grows with its largest plans."""
+    plans, written = {}, near_dedup.written
+    monkeypatch.setattr(near_dedup, "CROWD", 5)
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString().count("Join")}) or written(df, name))
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('the same words stand here again and again ', id % 3) AS text")
+    pairs = spark.range(1, 40).selectExpr("0L AS a", "id AS b")
+    for k in range(12):
+        pairs = pairs.join(spark.range(100 + k).withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
+    sketches = near_dedup.signatures(docs, 3).select("doc_id", "n_shingles", "sketch")
+    found = near_dedup.confirmed_of(docs, pairs, written(sketches, "sketches"), 3, 70, "x").collect()
+    assert {(r.a, r.b) for r in found} == {(0, i) for i in range(1, 40)}
+    assert plans["x_likely"] <= 8 and plans["x_links"] <= 8, plans
+
+
 def test_a_very_long_item(spark):
     """Rows of a window's surroundings are as long as two windows, however long the item."""
     words = [f"w{i}" for i in range(20_000)]

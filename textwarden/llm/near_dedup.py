@@ -53,10 +53,15 @@ from textwarden.llm.common import corpus, written
 BANDS, ROWS = 24, 5
 BLOCK, HUBS = 512, 6
 COORDINATES = BANDS * ROWS
-#: Ids that are broadcast at most to pick texts.
-MOST_BROADCAST = 1_000_000
-#: Rows of a bucket summary that are broadcast at most; pairs from which on a centre is crowded; shares it is dealt in.
-MOST_SUMMARIES, CROWD, SALTS = 200_000, 500, 32
+#: Ids that are broadcast at most to pick texts.  A broadcast table passes through the driver several times over, so
+#: what is broadcast stays at some 2 MB, whatever the input.
+MOST_BROADCAST = 50_000
+#: Parts of the bitmap that stands for more ids, and bits in each (those that bitmap_construct_agg() has).
+PARTS, BITS = 512, 32_768
+#: Rows of a bucket summary that are broadcast at most; pairs or rows from which on a centre or bucket is crowded; shares it is dealt in.
+MOST_SUMMARIES, CROWD, SALTS = 50_000, 500, 32
+#: A summary's row with hubs is so many times as wide as one without.
+HUBS_WIDTH = 8
 #: Odd multiplier of the polynomial hash over a shingle's bytes, and its inverse mod 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
@@ -153,7 +158,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles array<long>) of the documents whose ids are in ``wanted``.
 
-    The ids are broadcast up to ``MOST_BROADCAST``; beyond it Spark shuffles the texts.
+    The ids are broadcast up to ``MOST_BROADCAST``.  Of more, a bitmap of constant size is,
+    and only the texts that it lets pass are shuffled, to be told by their ids.
     """
 
     @F.pandas_udf("array<long>")
@@ -163,10 +169,19 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     small = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    kept = rows.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
+    kept = rows.join(F.broadcast(wanted), "doc_id", "left_semi") if small else likely_wanted(rows, wanted).join(wanted, "doc_id", "left_semi")
     return kept.select("doc_id", run("text").alias("shingles"))
 
 
+def likely_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ids are in ``wanted``, and a few more: those whose bit in a bitmap of the wanted ids' hashes is set."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS * BITS))
+    placed = lambda df: df.withColumn("part", F.floor(place / BITS)).withColumn("bit", place % BITS)
+    bitmap = placed(wanted.select("doc_id")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    is_set = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1 = 1")
+    return placed(rows).join(F.broadcast(bitmap), "part").where(is_set).select(*rows.columns)
+
+
 def least_share(percent: int) -> float:
     p = percent / 100
     return p - 5.5 * (p * (1 - p) / COORDINATES) ** 0.5
@@ -181,28 +196,39 @@ def alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         one, two = (np.frombuffer(b"".join(v), "u1").reshape(-1, COORDINATES) for v in (x, y))
         return pd.Series((one == two).mean(axis=1))
 
-    both = on_centre(pairs.where("a <> b").join(side("b"), "b"), side("a"))
+    both = on_centre(pairs.where("a <> b"), side("a")).join(side("b"), "b")
     both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return both.where(share("sa", "sb") >= least_share(percent)).select("a", "b")
 
 
-def by_bucket(rows: DataFrame, summary: DataFrame, how: str = "inner", key: str = "bucket") -> DataFrame:
+def by_bucket(rows: DataFrame, summary: DataFrame, how: str = "inner", key: str = "bucket", width: int = 1) -> DataFrame:
     """``rows`` joined with a table of one row for each bucket (or ``key``); no task gets all rows of a large one.
 
-    Up to MOST_SUMMARIES rows the table is broadcast; a longer one is joined in SALTS
-    copies, with each bucket's rows dealt over them.
+    The summary's column ``size`` is the number of a bucket's rows, and is left out.  A table
+    of up to MOST_SUMMARIES rows (of ``width`` times the common one) is broadcast.  Of a
+    longer one the crowded buckets are, and the others are joined by a shuffle; if even those
+    are too many, all are joined in SALTS copies, with each bucket's rows dealt over them.
     """
-    if summary.limit(MOST_SUMMARIES + 1).count() <= MOST_SUMMARIES:
-        return rows.join(F.broadcast(summary), key, how)
+    most = MOST_SUMMARIES // width
+    few = lambda df: df.limit(most + 1).count() <= most
+    plain = summary.drop("size")
+    if few(summary):
+        return rows.join(F.broadcast(plain), key, how)
+    crowded = summary.where(F.col("size") > CROWD)
+    if few(crowded):
+        mark = F.broadcast(crowded.drop("size"))
+        rest = rows.join(F.broadcast(crowded.select(key)), key, "left_anti")
+        return rest.join(summary.where(F.col("size") <= CROWD).drop("size"), key, how).unionByName(rows.join(mark, key, how))
     dealt_ = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    copies = summary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = plain.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return dealt_.join(copies, [key, "salt"], how).drop("salt")
 
 
 def on_centre(pairs: DataFrame, side: DataFrame) -> DataFrame:
     """Pairs (a, b, ...) joined with ``side`` on a, where a star's centre may be in a great many pairs.
 
-    The pairs of a crowded centre are dealt over SALTS copies of its row.
+    The pairs of a crowded centre are dealt over SALTS copies of its row.  ``pairs`` and
+    ``side`` are named several times, so they should be stored tables.
     """
     crowded = written(pairs.groupBy("a").count().where(F.col("count") > CROWD).select("a"), "crowded")
     n = crowded.limit(MOST_SUMMARIES + 1).count()
@@ -276,11 +302,12 @@ def dealt(open_members: DataFrame) -> DataFrame:
     sizes = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"))
     sizes = sizes.where("all > top.n").select(
         "bucket",
+        F.col("all").alias("size"),
         F.col("top.component").alias("main"),
         F.ceil(F.col("all") / BLOCK).cast("int").alias("mb"),
         F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("sb"),
     )
-    rows = by_bucket(open_members, written(sizes, "sizes"))
+    rows = written(by_bucket(open_members, written(sizes, "sizes")), "open_rows")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     strays = rows.where("component <> main").select("*", block("sb").alias("i"), every("mb").alias("j"), F.lit(True).alias("stray"))
@@ -353,9 +380,9 @@ def unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     Pairs with the least member were; so a bucket counts if its other members differ.
     """
     placed = members.where("doc_id <> first").join(found, "doc_id", "left")
-    placed = placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return by_bucket(placed, written(apart.select("bucket"), "apart"), "left_semi")
+    placed = written(placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    return by_bucket(placed, written(apart.select("bucket", "size"), "apart"), "left_semi")
 
 
 def hub_pairs(open_members: DataFrame) -> DataFrame:
@@ -363,16 +390,17 @@ def hub_pairs(open_members: DataFrame) -> DataFrame:
     draw = [F.min(F.struct(F.xxhash64(F.lit(r), "doc_id").alias("h"), "doc_id", "component")) for r in range(HUBS)]
     hubs = open_members.groupBy("bucket").agg(F.array_distinct(F.array(*draw)).alias("hubs"))
     parts = open_members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"))
-    rows = by_bucket(open_members, written(main.join(hubs, "bucket"), "hubs")).where("component <> top.component")
+    main = parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"))
+    rows = by_bucket(open_members, written(main.join(hubs, "bucket"), "hubs"), width=HUBS_WIDTH).where("component <> top.component")
     pairs = rows.select("doc_id", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
     return pairs.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
 
 
 def confirmed_of(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    likely = written(alike(pairs, sketches, percent), name + "_likely")
+    """The pairs that are links.  Each step is stored, as plans that name a step several times are the driver's largest load."""
+    likely = written(alike(written(pairs, name + "_pairs"), sketches, percent), name + "_likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return written(confirmed(likely, sets_of(docs, ids, width), percent), name + "_links")
+    return written(confirmed(likely, written(sets_of(docs, ids, width), name + "_sets"), percent), name + "_links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -397,7 +425,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     # buckets of equal members need but one test
     distinct = shared.where("size > 1").groupBy("first", "size", "who").agg(F.min("bucket").alias("bucket"))
-    members = written(by_bucket(buckets, written(distinct.select("bucket", "first"), "shared")).select("bucket", "doc_id", "first"), "members")
+    members = written(by_bucket(buckets, written(distinct.select("bucket", "first", "size"), "shared")).select("bucket", "doc_id", "first"), "members")
     sketches = written(sketches.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "sketches")
 
     pairs = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -413,10 +441,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         edges = stars(edges.unionByName(written(between_components(left, sets, percent), "last_links")))
     # components are those of the representatives; copies get theirs by their key, however many they are
     final = written(placed_by(edges), "components")
-    several = copies.where("n > 1").select("set_key", F.col("r.doc_id").alias("rep"))
+    several = copies.where("n > 1").select("set_key", F.col("r.doc_id").alias("rep"), F.col("n").alias("size"))
     several = several.join(final.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
-    several = written(several.select("set_key", "rep", F.coalesce("component", "rep").alias("component")), "copied")
-    copied = by_bucket(full.select("set_key", "doc_id"), several.select("set_key", "component"), key="set_key").select("doc_id", "component")
+    several = written(several.select("set_key", "rep", "size", F.coalesce("component", "rep").alias("component")), "copied")
+    copied = by_bucket(full.select("set_key", "doc_id"), several.select("set_key", "component", "size"), key="set_key").select("doc_id", "component")
     single = final.join(several.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "component")
     return (
         signed.select("doc_id", "n_shingles")
